@@ -40,3 +40,16 @@ def drop_null_keys(df: DataFrame, cols: list[str]) -> DataFrame:
         e = F.col(c).isNotNull()
         cond = e if cond is None else cond & e
     return df if cond is None else df.filter(cond)
+
+
+def mean(c, exact: bool = False) -> Column:
+    """Mean of non-null values.
+
+    ``exact=True`` sums in ``decimal(38,18)`` (exact for telemetry magnitudes), so
+    the result is the same whatever the partitioning and summation order; the
+    default is Spark's double ``avg``.
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    if not exact:
+        return F.avg(col)
+    return F.sum(col.cast("decimal(38,18)")).cast("double") / F.count(col).cast("double")
