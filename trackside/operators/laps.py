@@ -84,4 +84,6 @@ def fastest_lap_samples(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     fastest = (work.filter(F.col("LapTime_seconds").isNotNull())
                .groupBy(*keys, S.DRIVER_COL)
                .agg(F.min_by(F.col(S.LAP_COL), F.struct("LapTime_seconds", S.LAP_COL)).alias(S.LAP_COL)))
-    return work.join(fastest, keys + [S.DRIVER_COL, S.LAP_COL], "left_semi")
+    # Samples of that lap with a parsed lap time (as the analysed project keeps).
+    valid = work.filter(F.col("LapTime_seconds").isNotNull())
+    return valid.join(fastest, keys + [S.DRIVER_COL, S.LAP_COL], "left_semi")

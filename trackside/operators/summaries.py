@@ -14,7 +14,7 @@ def _brake_num(df: DataFrame) -> Column:
     return brake_numeric("Brake", df.schema["Brake"].dataType)
 
 
-def driver_summary(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, digits: int = 1,
+def driver_summary(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, digits: int | None = 1,
                    exact_mean: bool = False) -> DataFrame:
     """AG-4: Avg/Max Speed, Avg Throttle, Brake_Pct, Avg/Max RPM, distinct laps,
     rows, rounded half-even to ``digits``."""
@@ -27,8 +27,9 @@ def driver_summary(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, digits: i
         F.countDistinct(S.LAP_COL).alias("Laps"),
         F.count(F.lit(1)).alias("Data_Points"),
     )
-    for c in ("Avg_Speed", "Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM", "Max_RPM"):
-        agg = agg.withColumn(c, F.bround(c, digits))
+    if digits is not None:
+        for c in ("Avg_Speed", "Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM", "Max_RPM"):
+            agg = agg.withColumn(c, F.bround(c, digits))
     return agg
 
 
@@ -71,8 +72,9 @@ def multi_stats(df: DataFrame, spec: dict[str, list[str]], *, keys: list[str] =
             c = c.cast("int")
         for st in stats:
             e = mean(c, True) if (st == "mean" and exact_mean) else STAT_FUNCS[st](c)
+            e = e.cast("double")
             if digits is not None:
-                e = F.bround(e.cast("double"), digits)
+                e = F.bround(e, digits)
             exprs.append(e.alias(f"{col}_{st}"))
     return work.groupBy(*keys, *by).agg(*exprs)
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.operators import kinematics, summaries
+from trackside.plans.common import r6, round6
 from trackside.plans.registry import register
-from trackside.plans.sqlfrag import KEYS, accel_type, clip
+from trackside.plans.sqlfrag import KEYS, accel_type, clip, xmean
 from trackside.sources.adapter import read_table, telemetry_view
 
 # The adapter's rounds 0..3 all use the round-1 corner table.
@@ -15,6 +16,13 @@ ADAPTER_ROUNDS = [0, 1, 2, 3]
 ADAPTER_CORNERS = {r: S.CIRCUIT_CORNERS[1] for r in ADAPTER_ROUNDS}
 
 
+_AG4_FLOATS = ["Avg_Speed", "Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM", "Max_RPM"]
+
+
+def _r6_all(df):
+    return round6(df, [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"])
+
+
 def processed(spark, sf):
     return kinematics.process_telemetry(telemetry_view(spark, sf), corners=ADAPTER_CORNERS)
 
@@ -90,41 +98,41 @@ def q_nearest_corner_table(spark, sf):
 
 @register("driver_summary", sql(f"""
 SELECT {KEYS}, "Driver",
-       round_even((fsum("Speed") / count("Speed")), 6) AS "Avg_Speed", round_even(max("Speed"), 6) AS "Max_Speed",
-       round_even((fsum("Throttle") / count("Throttle")), 6) AS "Avg_Throttle",
-       round_even((fsum(CAST("Brake" AS INTEGER)) / count(CAST("Brake" AS INTEGER))) * 100.0, 6) AS "Brake_Pct",
-       round_even((fsum("RPM") / count("RPM")), 6) AS "Avg_RPM", round_even(max("RPM"), 6) AS "Max_RPM",
+       round_even({xmean('"Speed"')}, 6) AS "Avg_Speed", round_even(max("Speed"), 6) AS "Max_Speed",
+       round_even({xmean('"Throttle"')}, 6) AS "Avg_Throttle",
+       round_even({xmean('CAST("Brake" AS INTEGER)')} * 100.0, 6) AS "Brake_Pct",
+       round_even({xmean('"RPM"')}, 6) AS "Avg_RPM", round_even(max("RPM"), 6) AS "Max_RPM",
        count(DISTINCT "LapNumber") AS "Laps", count(*) AS "Data_Points"
 FROM tel GROUP BY ALL"""))
 def q_driver_summary(spark, sf):
     # digits=6 with order-independent means: the library default (1 digit, as
     # in the analysed project) rounds double means whose last bits depend on
     # the summation order, so ties could fall either way between engines.
-    return summaries.driver_summary(telemetry_view(spark, sf), digits=6, exact_mean=True)
+    return round6(summaries.driver_summary(telemetry_view(spark, sf), digits=None, exact_mean=True), _AG4_FLOATS)
 
 
 @register("driver_multi_stats", sql(f"""
 SELECT {KEYS}, "Driver",
-  round_even((fsum("Throttle") / count("Throttle")), 6) AS "Throttle_mean", round_even(max("Throttle"), 6) AS "Throttle_max",
+  round_even({xmean('"Throttle"')}, 6) AS "Throttle_mean", round_even(max("Throttle"), 6) AS "Throttle_max",
   round_even(min("Throttle"), 6) AS "Throttle_min",
-  round_even((fsum(CAST("Brake" AS INTEGER)) / count(CAST("Brake" AS INTEGER))), 6) AS "Brake_mean", round_even(CAST(max(CAST("Brake" AS INTEGER)) AS DOUBLE), 6) AS "Brake_max",
-  round_even((fsum("Speed") / count("Speed")), 6) AS "Speed_mean", round_even(max("Speed"), 6) AS "Speed_max",
-  round_even((fsum("RPM") / count("RPM")), 6) AS "RPM_mean", round_even(max("RPM"), 6) AS "RPM_max"
+  round_even({xmean('CAST("Brake" AS INTEGER)')}, 6) AS "Brake_mean", round_even(CAST(max(CAST("Brake" AS INTEGER)) AS DOUBLE), 6) AS "Brake_max",
+  round_even({xmean('"Speed"')}, 6) AS "Speed_mean", round_even(max("Speed"), 6) AS "Speed_max",
+  round_even({xmean('"RPM"')}, 6) AS "RPM_mean", round_even(max("RPM"), 6) AS "RPM_max"
 FROM tel GROUP BY ALL"""))
 def q_driver_multi_stats(spark, sf):
-    return summaries.multi_stats(telemetry_view(spark, sf), summaries.QUALI_STATS, digits=6, exact_mean=True)
+    return _r6_all(summaries.multi_stats(telemetry_view(spark, sf), summaries.QUALI_STATS, digits=None, exact_mean=True))
 
 
 @register("driver_race_stats", sql(f"""
 SELECT {KEYS}, "Driver",
-  round_even((fsum("Throttle") / count("Throttle")), 6) AS "Throttle_mean", round_even(max("Throttle"), 6) AS "Throttle_max",
-  round_even((fsum(CAST("Brake" AS INTEGER)) / count(CAST("Brake" AS INTEGER))), 6) AS "Brake_mean", round_even(CAST(max(CAST("Brake" AS INTEGER)) AS DOUBLE), 6) AS "Brake_max",
-  round_even((fsum("Speed") / count("Speed")), 6) AS "Speed_mean", round_even(max("Speed"), 6) AS "Speed_max",
-  round_even((fsum("RPM") / count("RPM")), 6) AS "RPM_mean", round_even(max("RPM"), 6) AS "RPM_max",
+  round_even({xmean('"Throttle"')}, 6) AS "Throttle_mean", round_even(max("Throttle"), 6) AS "Throttle_max",
+  round_even({xmean('CAST("Brake" AS INTEGER)')}, 6) AS "Brake_mean", round_even(CAST(max(CAST("Brake" AS INTEGER)) AS DOUBLE), 6) AS "Brake_max",
+  round_even({xmean('"Speed"')}, 6) AS "Speed_mean", round_even(max("Speed"), 6) AS "Speed_max",
+  round_even({xmean('"RPM"')}, 6) AS "RPM_mean", round_even(max("RPM"), 6) AS "RPM_max",
   round_even(CAST(max("LapNumber") AS DOUBLE), 6) AS "LapNumber_max"
 FROM tel GROUP BY ALL"""))
 def q_driver_race_stats(spark, sf):
-    return summaries.multi_stats(telemetry_view(spark, sf), summaries.RACE_STATS, digits=6, exact_mean=True)
+    return _r6_all(summaries.multi_stats(telemetry_view(spark, sf), summaries.RACE_STATS, digits=None, exact_mean=True))
 
 
 @register("driver_deep_dive", sql(f"""
@@ -135,7 +143,7 @@ SELECT {KEYS}, "Driver", "Corner", count(*) AS "Data_Points",
 FROM proc WHERE "Corner" IS NOT NULL GROUP BY ALL"""))
 def q_driver_deep_dive(spark, sf):
     d = summaries.driver_corner_deep_dive(processed(spark, sf))
-    return d.withColumn("Avg_Throttle", F.round("Avg_Throttle", 6)).withColumn("Avg_Brake", F.round("Avg_Brake", 6))
+    return d.withColumn("Avg_Throttle", r6("Avg_Throttle")).withColumn("Avg_Brake", r6("Avg_Brake"))
 
 
 @register("driver_session_deep_dive", sql(f"""
@@ -147,21 +155,21 @@ FROM tel GROUP BY ALL"""))
 def q_driver_session_deep_dive(spark, sf):
     d = summaries.driver_session_deep_dive(telemetry_view(spark, sf))
     for c in ("Avg_Throttle", "Avg_Brake", "Avg_Speed"):
-        d = d.withColumn(c, F.round(c, 6))
+        d = d.withColumn(c, r6(c))
     return d
 
 
 @register("driver_compare", sql(f"""
 SELECT {KEYS}, "Driver", "Metric", "Value" FROM (
   SELECT {KEYS}, "Driver",
-         round_even(max("Speed"), 6) AS "Max_Speed", round_even((fsum("Throttle") / count("Throttle")), 6) AS "Avg_Throttle",
-         round_even((fsum(CAST("Brake" AS INTEGER)) / count(CAST("Brake" AS INTEGER))) * 100.0, 6) AS "Brake_Pct", round_even((fsum("RPM") / count("RPM")), 6) AS "Avg_RPM"
+         round_even(max("Speed"), 6) AS "Max_Speed", round_even({xmean('"Throttle"')}, 6) AS "Avg_Throttle",
+         round_even({xmean('CAST("Brake" AS INTEGER)')} * 100.0, 6) AS "Brake_Pct", round_even({xmean('"RPM"')}, 6) AS "Avg_RPM"
   FROM tel GROUP BY ALL)
 UNPIVOT ("Value" FOR "Metric" IN ("Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM"))"""))
 def q_driver_compare(spark, sf):
     """CH-4: the four comparison metrics of every driver in long form (pick
     drivers by filtering ``Driver``)."""
-    s = summaries.driver_summary(telemetry_view(spark, sf), digits=6, exact_mean=True)
+    s = round6(summaries.driver_summary(telemetry_view(spark, sf), digits=None, exact_mean=True), _AG4_FLOATS)
     return s.unpivot([*S.SESSION_KEYS, "Driver"], ["Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM"],
                      "Metric", "Value")
 
@@ -261,7 +269,7 @@ FROM binned GROUP BY {KEYS}, "Bin"
 """)
 def q_speed_histogram(spark, sf):
     h = summaries.histogram(telemetry_view(spark, sf), "Speed", 40)
-    return h.withColumn("Bin_Lo", F.round("Bin_Lo", 6))
+    return h.withColumn("Bin_Lo", r6("Bin_Lo"))
 
 
 @register("rpm_histogram", f"""
@@ -277,7 +285,7 @@ FROM binned GROUP BY {KEYS}, "Bin"
 """)
 def q_rpm_histogram(spark, sf):
     h = summaries.histogram(telemetry_view(spark, sf), "RPM", 40)
-    return h.withColumn("Bin_Lo", F.round("Bin_Lo", 6))
+    return h.withColumn("Bin_Lo", r6("Bin_Lo"))
 
 
 @register("gear_counts", """

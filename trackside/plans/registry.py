@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,29 @@ def register(name: str, sql: str | None = None, *, adapter: bool = True):
     return deco
 
 
+def round6_sql(sql: str) -> str:
+    """Render every ``round(x, 6)`` / ``round_even(x, 6)`` of oracle text as
+    ``floor(x * 1e6 + 0.5) / 1e6``, the formula of ``plans.common.r6``."""
+    out, i = [], 0
+    pat = re.compile(r"\b(round_even|round)\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, j = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        inner = sql[m.end():j - 1]
+        head, sep, digits = inner.rpartition(",")
+        if sep and digits.strip() == "6":
+            out.append(sql[i:m.start()] + f"(floor(({round6_sql(head)}) * 1000000.0 + 0.5) / 1000000.0)")
+        else:
+            out.append(sql[i:m.end()] + round6_sql(inner) + ")")
+        i = j
+
+
 def _compose(sql: str, adapter: bool) -> str:
     if "\n---\n" in sql:
         ctes, body = sql.split("\n---\n", 1)
@@ -37,13 +61,14 @@ def _compose(sql: str, adapter: bool) -> str:
         ctes, body = "", sql
     parts = ([ADAPTER_SQL.strip()] if adapter else []) + ([ctes] if ctes else [])
     if not parts:
-        return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+        return round6_sql(body.strip())
+    return round6_sql("WITH " + ",\n".join(parts) + "\n" + body.strip())
 
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from trackside.plans import (  # noqa: F401
+        q_features,
         q_kinematics,
         q_laps,
     )

@@ -53,3 +53,11 @@ def slug(x: str) -> str:
 
 def r6(x: str) -> str:
     return f"round({x}, 6)"
+
+
+def xmean(x: str) -> str:
+    """Exact mean mirroring ``operators.common.mean(exact=True)``: each double is
+    taken at its shortest decimal text, summed in DECIMAL(38,18), and the sum
+    converted to the nearest double before dividing by the count."""
+    return (f"(CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE)"
+            f" / count({x}))")
