@@ -68,6 +68,7 @@ def _compose(sql: str, adapter: bool) -> str:
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from trackside.plans import (  # noqa: F401
+        q_align,
         q_features,
         q_kinematics,
         q_laps,
