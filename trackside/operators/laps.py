@@ -59,12 +59,10 @@ def best_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
             .agg(F.min_by(F.struct(S.LAP_COL, "LapTime_seconds", "Compound"),
                           F.struct("LapTime_seconds", S.LAP_COL)).alias("b"))
             .select(*keys, S.DRIVER_COL, "b.*"))
-    # Session best: a partial aggregate (one row per session) joined back on the
-    # keys; Spark/AQE broadcasts it when its measured size allows.
-    session_best = best.groupBy(*keys).agg(F.min("LapTime_seconds").alias("_pole"))
-    return (best.join(session_best, keys, "inner")
-            .withColumn("Gap", F.col("LapTime_seconds") - F.col("_pole"))
-            .drop("_pole"))
+    # Session best over the per-driver table (one row per driver and session),
+    # in the same window partitioning as the classification ranking.
+    pole = F.min("LapTime_seconds").over(Window.partitionBy(*keys))
+    return best.withColumn("Gap", F.col("LapTime_seconds") - pole)
 
 
 def classification(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
