@@ -317,3 +317,34 @@ def q_head_per_key(spark, sf):
     h = summaries.head_per_key(p, [*S.SESSION_KEYS, "Driver", "Corner"], 5)
     return h.select(*S.SESSION_KEYS, "Driver", "Corner", "sample_id", "TimeInLap", "Speed", "Throttle", "Brake",
                     "Acceleration", "Accel_Type", "RowInKey")
+
+
+@register("processed_telemetry", sql(f"""
+SELECT {KEYS}, "DriverNumber", "Driver", "LapNumber", sample_id, "TimeInLap", "Speed", "X", "Y",
+       "Corner", "Speed_ms", "Acceleration", "Accel_Type" FROM proc"""))
+def q_processed_telemetry(spark, sf):
+    """PL-1: corner tagging + acceleration on every sample."""
+    p = processed(spark, sf)
+    return p.select(*S.SESSION_KEYS, "DriverNumber", "Driver", "LapNumber", "sample_id", "TimeInLap", "Speed",
+                    "X", "Y", "Corner", "Speed_ms", "Acceleration", "Accel_Type")
+
+
+@register("canonical_projection", """
+SELECT "Year", "Round", "SessionType", "DriverNumber", "Driver", "LapNumber", "TimeInLap", "Throttle", "Brake",
+       "RPM", "Speed", "X", "Y", "LapTime", "Sector1Time", "Sector2Time", "Sector3Time", "Compound", sample_id
+FROM tel""")
+def q_canonical_projection(spark, sf):
+    """PRJ-1: canonical column order over the telemetry view (present columns only)."""
+    from trackside.sources.files import canonical_order
+    return canonical_order(telemetry_view(spark, sf), extra=["sample_id"])
+
+
+@register("preview_rows", """
+SELECT "Year", "Round", "SessionType", "DriverNumber", "LapNumber", "TimeInLap", sample_id, "Speed" FROM tel
+ORDER BY "Year", "Round", "SessionType", "DriverNumber", "LapNumber", "TimeInLap" NULLS LAST, sample_id
+LIMIT 1799""")
+def q_preview_rows(spark, sf):
+    """SNK-2: the 1,800-line preview (1,799 rows) in explicit sample order."""
+    from trackside.sources.sinks import preview
+    return preview(telemetry_view(spark, sf)).select("Year", "Round", "SessionType", "DriverNumber", "LapNumber",
+                                                     "TimeInLap", "sample_id", "Speed")
