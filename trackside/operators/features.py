@@ -3,7 +3,7 @@ feature matrix (AG-15, PL-5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
@@ -59,20 +59,18 @@ def zscore_within_round(features: DataFrame, *, keys: list[str] = S.SESSION_KEYS
 
     A column whose std is null or 0, or whose min equals its max, becomes 0.0
     for every row (null cells included); otherwise nulls stay null. The
-    per-session statistics are one partial aggregate joined back on the keys.
+    statistics are window aggregates over the per-driver feature table (one row
+    per driver and session), so the upstream plan runs once.
     """
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in features.columns]
-    stats = features.groupBy(*keys).agg(*[e for c in cols for e in (
-        F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"),
-        F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
-    joined = features.join(stats, list(keys), "inner")
+    w = Window.partitionBy(*keys)
     out = []
     for c in cols:
-        sd, mu = F.col(f"_sd_{c}"), F.col(f"_mu_{c}")
-        const = sd.isNull() | (sd == 0) | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}"))
+        sd, mu = F.stddev_samp(c).over(w), F.avg(c).over(w)
+        const = sd.isNull() | (sd == 0) | (F.min(c).over(w) == F.max(c).over(w))
         out.append(F.when(const, F.lit(0.0)).otherwise((F.col(c) - mu) / sd).alias(c))
     rest = [c for c in features.columns if c not in cols]
-    return joined.select(*rest, *out)
+    return features.select(*rest, *out)
 
 
 def driver_feature_matrix(per_round: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
