@@ -78,13 +78,16 @@ def sector_ratios(session_df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) ->
     per_lap = session_df.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(*[
         first_non_null(parse_duration_seconds(f"Sector{i}Time"), order).alias(f"S{i}") for i in (1, 2, 3)])
     per_lap = per_lap.filter(F.col(S.DRIVER_COL).isNotNull())
-    best = per_lap.groupBy(*keys).agg(*[F.min(f"S{i}").alias(f"_best{i}") for i in (1, 2, 3)])
     tot = F.coalesce(F.col("S1"), F.lit(0.0)) + F.coalesce(F.col("S2"), F.lit(0.0)) + F.coalesce(F.col("S3"), F.lit(0.0))
-    pick = (per_lap.groupBy(*keys, S.DRIVER_COL)
-            .agg(F.min_by(F.struct("S1", "S2", "S3"), F.struct(tot, F.col(S.LAP_COL))).alias("_p"))
-            .select(*keys, S.DRIVER_COL, "_p.*"))
-    out = pick.join(best, keys, "inner")
+    # One chain: per lap -> per driver (pick + the driver's sector minimums) ->
+    # session best as a window over the per-driver table (one row per driver).
+    per_driver = (per_lap.groupBy(*keys, S.DRIVER_COL)
+                  .agg(F.min_by(F.struct("S1", "S2", "S3"), F.struct(tot, F.col(S.LAP_COL))).alias("_p"),
+                       *[F.min(f"S{i}").alias(f"_dmin{i}") for i in (1, 2, 3)])
+                  .select(*keys, S.DRIVER_COL, "_p.*", "_dmin1", "_dmin2", "_dmin3"))
+    w = Window.partitionBy(*keys)
+    out = per_driver
     for i in (1, 2, 3):
-        out = out.withColumn(f"Sector{i}_Ratio",
-                             F.when(F.col(f"_best{i}") > 0, F.col(f"S{i}") / F.col(f"_best{i}")))
+        best = F.min(f"_dmin{i}").over(w)
+        out = out.withColumn(f"Sector{i}_Ratio", F.when(best > 0, F.col(f"S{i}") / best))
     return out.select(*keys, S.DRIVER_COL, "Sector1_Ratio", "Sector2_Ratio", "Sector3_Ratio")
