@@ -44,9 +44,16 @@ def lap_style_features(laps: DataFrame, session_df: DataFrame, *,
 def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                           min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                          exact_mean: bool = False) -> DataFrame:
+                          exact_mean: bool = False, single_pass: bool = True) -> DataFrame:
     """PL-4: style features of each driver's fastest lap, for every session in one
-    plan. The fastest lap must hold >= ``min_lap_samples`` samples."""
+    plan. The fastest lap must hold >= ``min_lap_samples`` samples.
+
+    ``single_pass=True`` (default) computes every lap once and picks the fastest
+    per driver from the lap table; ``False`` first selects the fastest laps'
+    samples (semi join) and describes only those."""
+    if single_pass:
+        return round_driver_features_single_pass(df, keys=keys, min_lap_samples=min_lap_samples,
+                                                 min_feature_samples=min_feature_samples, exact_mean=exact_mean)
     fastest = fastest_lap_samples(df, keys=keys)
     floor = max(min_lap_samples, min_feature_samples)
     feats = lap_style_features(fastest, df, keys=keys, min_samples=floor, exact_mean=exact_mean)
@@ -79,3 +86,95 @@ def driver_feature_matrix(per_round: DataFrame, *, keys: list[str] = S.SESSION_K
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in per_round.columns]
     z = zscore_within_round(per_round, keys=keys, cols=cols)
     return z.groupBy(S.DRIVER_COL).agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def _sum(c, exact: bool):
+    return F.sum(c.cast("decimal(38,18)")) if exact else F.sum(c)
+
+
+def _ratio(s, n):
+    return F.when(n > 0, s.cast("double") / n.cast("double"))
+
+
+def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
+                     exact_mean: bool = False) -> DataFrame:
+    """PL-3 for every lap of ``df`` in one pass over the samples.
+
+    Samples are marked (zones, LapPct) with per-lap windows, then aggregated
+    once per (lap, zone, braking flag) and once more per lap from those
+    partials; both aggregations reuse the window partitioning (no exchange).
+    Adds ``LapTime_seconds`` (lap minimum) and ``_samples`` per lap; the sector
+    ratios are not included (they are per driver, see ``sector_ratios``).
+    """
+    from trackside.functions.exprs import brake_numeric
+    from trackside.operators.common import sample_order
+
+    lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL]
+    m = add_lap_pct(mark_zones(df, lap_keys=lap_keys), lap_keys=lap_keys)
+    order = sample_order(m)
+    b = brake_numeric("Brake", m.schema["Brake"].dataType)
+    speed, pct = F.col("Speed"), F.col("LapPct")
+    prof = []
+    for p in S.SPEED_PCT_POINTS:
+        cond = (pct >= p - S.SPEED_PCT_HALF_WIDTH) & (pct < p + S.SPEED_PCT_HALF_WIDTH)
+        v = F.when(cond, speed)
+        prof += [_sum(v, exact_mean).alias(f"_ps{p}"), F.count(v).alias(f"_pn{p}")]
+    for label, lo, hi in S.BRAKE_THIRDS:
+        v = F.when((pct >= lo) & (pct < hi), b)
+        prof += [_sum(v, exact_mean).alias(f"_ts_{label}"), F.count(v).alias(f"_tn_{label}")]
+    g = m.groupBy(*lap_keys, "zone_id", "_braking").agg(
+        F.count(F.lit(1)).alias("_n"),
+        _sum(speed, exact_mean).alias("_ss"), F.count(speed).alias("_sn"), F.max(speed).alias("_smax"),
+        _sum(F.col("Throttle"), exact_mean).alias("_ths"), F.count("Throttle").alias("_thn"),
+        _sum(b, exact_mean).alias("_bs"), F.count(b).alias("_bn"),
+        _sum(F.col("RPM"), exact_mean).alias("_rs"), F.count("RPM").alias("_rn"),
+        F.min(order).alias("_o1"), F.max(order).alias("_o2"),
+        F.min_by(S.TIME_COL, order).alias("_t1"), F.max_by(S.TIME_COL, order).alias("_t2"),
+        F.min_by("Speed", order).alias("_entry"), F.max_by("Speed", order).alias("_exit"),
+        F.min("Speed").alias("_apex"),
+        F.min(F.when(F.col("Acceleration") < S.ZONE_PEAK_DECEL_THRESHOLD, F.col("Acceleration"))).alias("_pk"),
+        F.min("LapTime_seconds").alias("_lt"),
+        *prof)
+    dur = F.col("_t2") - F.col("_t1")
+    kept = F.col("_braking") & (dur >= S.MIN_BRAKE_ZONE_DURATION)
+    peak = F.coalesce(F.col("_pk"), F.lit(0.0))
+    lap = g.groupBy(*lap_keys).agg(
+        _ratio(F.sum("_ss"), F.sum("_sn")).alias("Avg_Speed"), F.max("_smax").alias("Max_Speed"),
+        _ratio(F.sum("_ths"), F.sum("_thn")).alias("Avg_Throttle"),
+        (_ratio(F.sum("_bs"), F.sum("_bn")) * 100.0).alias("Brake_Pct"),
+        _ratio(F.sum("_rs"), F.sum("_rn")).alias("Avg_RPM"),
+        (F.max_by("_t2", "_o2") - F.min_by("_t1", "_o1")).alias("_lap_time"),
+        F.sum("_n").alias("_samples"), F.min("_lt").alias("LapTime_seconds"),
+        F.count(F.when(kept, 1)).cast("double").alias("Brake_Zones"),
+        F.avg(F.when(kept, F.col("_entry"))).alias("Mean_Entry_Speed"),
+        F.avg(F.when(kept, F.col("_apex"))).alias("Mean_Apex_Speed"),
+        F.avg(F.when(kept, F.col("_exit"))).alias("Mean_Exit_Speed"),
+        F.avg(F.when(kept, dur)).alias("Mean_Brake_Duration"),
+        F.stddev_pop(F.when(kept, dur)).alias("Std_Brake_Duration"),
+        F.avg(F.when(kept, peak)).alias("Mean_Peak_Decel"),
+        F.min(F.when(kept, peak)).alias("Max_Peak_Decel"),
+        F.coalesce(F.sum(F.when(kept, dur)), F.lit(0.0)).alias("_brake_time"),
+        *[_ratio(F.sum(f"_ps{p}"), F.sum(f"_pn{p}")).alias(f"Speed_Pct_{p}") for p in S.SPEED_PCT_POINTS],
+        *[(_ratio(F.sum(f"_ts_{t[0]}"), F.sum(f"_tn_{t[0]}")) * 100.0).alias(t[0]) for t in S.BRAKE_THIRDS])
+    return lap.withColumn("Brake_Time_Pct", F.when(F.col("_lap_time") > 0,
+                                                   F.col("_brake_time") / F.col("_lap_time") * 100.0)
+                          .otherwise(F.lit(0.0)))
+
+
+def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
+                                      min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
+                                      min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
+                                      exact_mean: bool = False) -> DataFrame:
+    """PL-4 without a join back to the samples: features of every lap with a
+    parsed lap time (one pass), then per driver the fastest lap's row (ties to
+    the lowest LapNumber) if it holds enough samples, plus sector ratios."""
+    from trackside.operators.laps import with_laptime_seconds
+    valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    laps = all_lap_features(valid, keys=keys, exact_mean=exact_mean)
+    fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
+    pick = (laps.groupBy(*keys, S.DRIVER_COL)
+            .agg(F.min_by(F.struct("_samples", *fcols), F.struct("LapTime_seconds", S.LAP_COL)).alias("_f"))
+            .select(*keys, S.DRIVER_COL, "_f.*")
+            .filter(F.col("_samples") >= max(min_lap_samples, min_feature_samples)))
+    out = pick.join(sector_ratios(df, keys=keys), list(keys) + [S.DRIVER_COL], "left")
+    return out.select(*keys, S.DRIVER_COL, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
