@@ -2,8 +2,9 @@
 
 None of these operators runs a window over a whole driver or session, or
 emits all pairs of a group: the as-of join works inside (key, time bucket)
-partitions plus one neighbour row per bucket; the interval join replicates each
-lap into the time buckets it covers; stints are expanded into their lap numbers.
+partitions that also hold the neighbouring buckets' right rows; the interval
+join replicates each lap into the time buckets it covers; stints are expanded
+into their lap numbers.
 """
 
 from __future__ import annotations
@@ -35,54 +36,46 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: s
     (right order = timestamp, then ``right_order``). Unmatched left rows keep
     null right columns.
 
-    Plan: rows are bucketed by ``floor(t / tolerance)``; the nearest backward and
-    forward right rows inside each (key, bucket) come from running windows on the
-    union of both sides, and the last/first right row of the neighbouring buckets
-    from a per-bucket aggregate joined on (key, bucket -+ 1). Any match within
-    tolerance lies in the same or a neighbouring bucket, so the result is exact.
+    Plan: rows are bucketed by ``floor(t / tolerance)``; every right row is
+    also copied into the two neighbouring buckets, so one window over each
+    (key, bucket), ordered by time, holds every right row that can lie within
+    tolerance of the bucket's left rows. The nearest backward / forward right
+    rows are a running ``last`` / ``first`` (ignoring nulls) in that window: no
+    join, no pairs, and a hot key is split by time.
     """
     tol_us = int(round(tolerance_seconds * 1000000))
     if tol_us <= 0:
         raise ValueError("tolerance must be positive")
     rord = F.col(right_order) if right_order else F.lit(0)
-    # left rows keep all their columns in a struct; right rows carry the payload
     lcols = left.columns
-    Lx = left.select(*[F.col(k) for k in by], micros(left, left_ts).alias("_t"),
+    rtype = T.StructType([T.StructField("_rt", T.LongType()), T.StructField("_ro", T.LongType())]
+                         + [right.schema[c] for c in right_cols])
+    lt = micros(left, left_ts)
+    Lx = left.select(*[F.col(k) for k in by], lt.alias("_t"), F.floor(lt / F.lit(tol_us)).cast("long").alias("_b"),
                      F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_ro"),
-                     F.struct(*[F.col(c) for c in lcols]).alias("_l"),
-                     F.lit(None).cast(T.StructType([T.StructField("_rt", T.LongType()),
-                                                     T.StructField("_ro", T.LongType())] +
-                                                    [right.schema[c] for c in right_cols])).alias("_r"))
-    Rx = right.select(*[F.col(k) for k in by], micros(right, right_ts).alias("_t"),
+                     F.struct(*[F.col(c) for c in lcols]).alias("_l"), F.lit(None).cast(rtype).alias("_r"))
+    rt = micros(right, right_ts)
+    rb = F.floor(rt / F.lit(tol_us)).cast("long")
+    Rx = right.select(*[F.col(k) for k in by], rt.alias("_t"),
+                      F.explode(F.array(rb - 1, rb, rb + 1)).alias("_b"),
                       F.lit(0).alias("_side"), rord.cast("long").alias("_ro"),
                       F.lit(None).cast(Lx.schema["_l"].dataType).alias("_l"),
-                      F.struct(micros(right, right_ts).alias("_rt"), rord.cast("long").alias("_ro"),
+                      F.struct(rt.alias("_rt"), rord.cast("long").alias("_ro"),
                                *[F.col(c) for c in right_cols]).alias("_r"))
-    u = Lx.unionByName(Rx).withColumn("_b", F.floor(F.col("_t") / F.lit(tol_us)).cast("long"))
-    part = [*by, "_b"]
-    w_back = (Window.partitionBy(*part).orderBy("_t", "_side", "_ro")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_fwd = (Window.partitionBy(*part).orderBy("_t", "_side", "_ro")
-             .rowsBetween(1, Window.unboundedFollowing))
-    scanned = (u.withColumn("_bk", F.last("_r", ignorenulls=True).over(w_back))
-                .withColumn("_fw", F.first("_r", ignorenulls=True).over(w_fwd))
-                .filter(F.col("_side") == 1))
-    per_bucket = (Rx.withColumn("_b", F.floor(F.col("_t") / F.lit(tol_us)).cast("long"))
-                  .groupBy(*part)
-                  .agg(F.max_by("_r", F.struct("_t", "_ro")).alias("_last"),
-                       F.min_by("_r", F.struct("_t", "_ro")).alias("_first")))
-    prev_b = per_bucket.select(*by, (F.col("_b") + 1).alias("_b"), "_last")
-    next_b = per_bucket.select(*by, (F.col("_b") - 1).alias("_b"), "_first")
-    j = (scanned.join(prev_b, part, "left").join(next_b, part, "left")
-         .withColumn("_bk", F.coalesce("_bk", "_last"))
-         .withColumn("_fw", F.coalesce("_fw", "_first")))
+    w = Window.partitionBy(*by, "_b").orderBy("_t", "_side", "_ro")
+    scanned = (Lx.unionByName(Rx)
+               .withColumn("_bk", F.last("_r", ignorenulls=True).over(
+                   w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+               .withColumn("_fw", F.first("_r", ignorenulls=True).over(
+                   w.rowsBetween(1, Window.unboundedFollowing)))
+               .filter(F.col("_side") == 1))
     db = F.col("_t") - F.col("_bk._rt")
     df_ = F.col("_fw._rt") - F.col("_t")
     back_ok = F.col("_bk").isNotNull() & (db <= tol_us)
     fwd_ok = F.col("_fw").isNotNull() & (df_ <= tol_us)
     pick = (F.when(back_ok & (~fwd_ok | (db <= df_)), F.col("_bk"))
             .when(fwd_ok, F.col("_fw")))
-    out = j.withColumn("_m", pick)
+    out = scanned.withColumn("_m", pick)
     return out.select(*[F.col(f"_l.{c}").alias(c) for c in lcols],
                       *[F.col(f"_m.{c}").alias(prefix + c) for c in right_cols])
 
