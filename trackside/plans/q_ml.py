@@ -3,8 +3,7 @@ model round trip and cluster tables (ML-*, AG-16, WN-8, CH-6..8)."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -166,8 +165,9 @@ def q_predict_roundtrip(spark, sf):
     """SNK-7 + ML-8: save, load and predict; ``Same`` tells whether the label
     after the round trip equals the fitted one."""
     r = _fit(spark, sf, 4)
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="trackside-model-")
-    path = os.path.join(base, "trackside_models", "emb_k4")
+    # models go to the shared checkpoint folder, else the session's warehouse folder
+    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = base.rstrip("/") + f"/trackside_models/emb_k4_{uuid.uuid4().hex}"
     clustering.save_clustering_model(r, path)
     art = clustering.load_clustering_model(spark, path)
     m = emb_matrix(spark, sf).drop("Cluster")
