@@ -105,3 +105,26 @@ def test_single_pass_equals_semi_join_path(spark):
         for c in S.STYLE_FEATURE_COLUMNS:
             x, y = ra[k][c], rb[k][c]
             assert (x is None and y is None) or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9), (k, c, x, y)
+
+
+def test_season_clustering_job_writes_outputs(spark, tmpdir_fresh):
+    import json
+    from trackside.plans.jobs import cluster_charts, season_clustering_job
+    tel = kinematics.add_acceleration(synthetic_season(spark, n_points=120))
+    out = os.path.join(tmpdir_fresh, "season")
+    summary = season_clustering_job(spark, tel, out, n_clusters=2)
+    assert summary["n_rounds"] == 2 and summary["n_drivers"] == 6 and summary["n_clusters"] == 2
+    for t in ("round_features", "feature_matrix", "labels", "pca", "profiles"):
+        assert spark.read.parquet(os.path.join(out, t)).count() > 0
+    written = json.loads(spark.read.text(os.path.join(out, "summary")).first()[0])
+    assert written == summary
+    art = clustering.load_clustering_model(spark, os.path.join(out, "model"))
+    assert art["n_clusters"] == 2 and len(art["feature_columns"]) >= 20
+
+
+def test_season_job_guard(spark, tmpdir_fresh):
+    import pytest
+    from trackside.plans.jobs import season_clustering_job
+    tel = kinematics.add_acceleration(synthetic_season(spark, n_points=120).filter("Driver IN ('VER', 'NOR')"))
+    with pytest.raises(ValueError):
+        season_clustering_job(spark, tel, os.path.join(tmpdir_fresh, "x"), n_clusters=2)

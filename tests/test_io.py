@@ -120,3 +120,18 @@ def test_api_documents_to_telemetry(spark, tmpdir_fresh):
     assert got[0].LapTime == "0 days 00:00:02.000000" and got[0].Sector3Time is None
     assert tel.columns[:6] == S.CANONICAL_COLUMNS[:6]
     assert api_docs.read_endpoint(spark, root, "weather").count() == 0
+
+
+def test_season_summaries_union_and_completed(spark):
+    from trackside.plans.jobs import season_summaries
+    sched = spark.createDataFrame([(0, "2025-02-28"), (1, "2025-03-16"), (2, None), (3, "2025-12-07")],
+                                  "RoundNumber int, EventDate string")
+    race = spark.createDataFrame([("VER", 1, "0 days 00:01:20.000000", "SOFT", True)],
+                                 "Driver string, LapNumber int, LapTime string, Compound string, FreshTyre boolean")
+    quali = spark.createDataFrame([("NOR", 2, "0:01:19.500000", True)],
+                                  "Driver string, LapNumber int, LapTime string, IsPersonalBest boolean")
+    out = season_summaries(sched, {"Race": race, "Qualifying": quali}, as_of="2025-06-01")
+    assert [r.RoundNumber for r in out["schedule"].collect()] == [1]
+    laps = {r.SessionType: r for r in out["laps"].collect()}
+    assert laps["Race"].IsPersonalBest is None and laps["Qualifying"].Compound is None
+    assert laps["Qualifying"].LapTime_seconds == 79.5
