@@ -53,3 +53,12 @@ def test_summary_rounding_half_even(spark):
             for i, (s, b) in enumerate([(0.2, True), (0.3, False)])]
     s = summaries.driver_summary(_rows(spark, rows)).first()
     assert s.Avg_Speed == 0.2 and s.Brake_Pct == 50.0 and s.Data_Points == 2 and s.Laps == 1
+
+
+def test_null_keys_get_no_acceleration(spark):
+    rows = [(2025, 1, "Q", "1", "VER", None, float(i), 10.0 * i, None, None, None, False, 1.0, 1.0)
+            for i in range(5)]
+    rows += [(2025, 1, "Q", None, "VER", 1, float(i), 10.0 * i, None, None, None, False, 1.0, 1.0) for i in range(3)]
+    out = kinematics.add_acceleration(_rows(spark, rows)).collect()
+    assert len(out) == 8 and all(r.Acceleration is None and r.Accel_Type is None for r in out)
+    assert all(r.Speed_ms is not None for r in out)

@@ -169,7 +169,9 @@ def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESS
     parsed lap time (one pass), then per driver the fastest lap's row (ties to
     the lowest LapNumber) if it holds enough samples, plus sector ratios."""
     from trackside.operators.laps import with_laptime_seconds
-    valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    # laps without a driver or number can never be a driver's fastest lap
+    valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull() & F.col(S.DRIVER_COL).isNotNull()
+                                            & F.col(S.LAP_COL).isNotNull())
     laps = all_lap_features(valid, keys=keys, exact_mean=exact_mean)
     fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
     pick = (laps.groupBy(*keys, S.DRIVER_COL)

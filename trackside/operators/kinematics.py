@@ -10,6 +10,9 @@ from trackside.functions.exprs import accel_type, clip_symmetric
 from trackside.operators.common import sample_sort_cols
 
 
+NULL_KEY_SPREAD = 4096
+
+
 def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                      seq_keys: tuple[str, ...] = ("DriverNumber", S.LAP_COL),
                      clip: float = S.ACCEL_CLIP) -> DataFrame:
@@ -20,16 +23,20 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     One window (partition = session keys + car + lap, order = TimeInLap, sample_id);
     the exchange and sort are shared with every other per-lap window on the same spec.
     """
-    part = list(keys) + list(seq_keys)
+    keys_ok = None
+    for k in seq_keys:
+        e = F.col(k).isNotNull()
+        keys_ok = e if keys_ok is None else keys_ok & e
+    # Samples without a car or lap number get no acceleration (T3); they are
+    # spread over many window partitions instead of forming one large null group.
+    spread = F.when(keys_ok, F.lit(0)).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
+                                                        F.lit(NULL_KEY_SPREAD)))
+    part = [F.col(c) for c in list(keys) + list(seq_keys)] + [spread]
     w = Window.partitionBy(*part).orderBy(*sample_sort_cols(df))
     speed_ms = F.col("Speed") / F.lit(S.KMH_PER_MS)
     out = df.withColumn("Speed_ms", speed_ms)
     dt = F.col(S.TIME_COL) - F.lag(S.TIME_COL).over(w)
     dv = F.col("Speed_ms") - F.lag("Speed_ms").over(w)
-    keys_ok = None
-    for k in seq_keys:
-        e = F.col(k).isNotNull()
-        keys_ok = e if keys_ok is None else keys_ok & e
     acc = F.when(keys_ok & (dt > 0), clip_symmetric(dv / dt, clip))
     out = out.withColumn("Acceleration", acc)
     return out.withColumn("Accel_Type", accel_type("Acceleration"))

@@ -73,6 +73,27 @@ def classification(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFr
     return bl.withColumn("Pos", F.row_number().over(w))
 
 
+def fastest_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+    """Each driver's fastest lap (parsed LapTime, ties to the lowest LapNumber)
+    from a per-lap aggregate, with the lap's sample count and X/Y counts."""
+    work = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    xy = [F.count(c).alias(f"_n{c}") if c in work.columns else F.lit(0).alias(f"_n{c}") for c in ("X", "Y")]
+    per_lap = work.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(
+        F.min("LapTime_seconds").alias("LapTime_seconds"), F.count(F.lit(1)).alias("Samples"), *xy)
+    return (per_lap.groupBy(*keys, S.DRIVER_COL)
+            .agg(F.min_by(F.struct(S.LAP_COL, "LapTime_seconds", "Samples", "_nX", "_nY"),
+                          F.struct("LapTime_seconds", S.LAP_COL)).alias("_f"))
+            .select(*keys, S.DRIVER_COL, F.col("_f.*")))
+
+
+def track_map_samples(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+    """CH-3 + FLT-10: fastest-lap samples of drivers whose fastest lap has some
+    X and some Y values (checked on the lap table, not on the samples)."""
+    fl = fastest_laps(df, keys=keys).filter((F.col("_nX") > 0) & (F.col("_nY") > 0))
+    valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    return valid.join(fl.select(*keys, S.DRIVER_COL, S.LAP_COL), keys + [S.DRIVER_COL, S.LAP_COL], "left_semi")
+
+
 def fastest_lap_samples(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                         drivers: list[str] | None = None) -> DataFrame:
     """JN-11: all samples of each driver's fastest lap (fastest by parsed LapTime,

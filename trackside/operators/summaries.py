@@ -164,18 +164,18 @@ def corner_leaders(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, n: int =
     ``reference_tail=True`` reproduces the analysed notebook, whose deceleration
     list keeps the n *weakest* values (sorted ascending, then the tail)."""
     cs = corner_summary(df, keys=keys)
-    dec_order = F.col("Max_Deceleration").desc() if reference_tail else F.col("Max_Deceleration").asc()
-    wd = Window.partitionBy(*keys, "Corner").orderBy(dec_order, F.col(S.DRIVER_COL))
-    wa = Window.partitionBy(*keys, "Corner").orderBy(F.col("Max_Acceleration_Exit").desc(), F.col(S.DRIVER_COL))
-    dec = (cs.filter(F.col("Max_Deceleration").isNotNull())
-           .withColumn("Rank", F.row_number().over(wd)).filter(F.col("Rank") <= n)
-           .select(*keys, "Corner", F.lit("Deceleration").alias("Board"), "Rank", S.DRIVER_COL,
-                   F.col("Max_Deceleration").alias("Value")))
-    acc = (cs.filter(F.col("Max_Acceleration_Exit").isNotNull())
-           .withColumn("Rank", F.row_number().over(wa)).filter(F.col("Rank") <= n)
-           .select(*keys, "Corner", F.lit("Acceleration").alias("Board"), "Rank", S.DRIVER_COL,
-                   F.col("Max_Acceleration_Exit").alias("Value")))
-    return dec.unionByName(acc)
+    # Both boards in one long table and one window (one pass over the summary).
+    dec_key = -F.col("Max_Deceleration") if reference_tail else F.col("Max_Deceleration")
+    boards = F.explode(F.array(
+        F.struct(F.lit("Deceleration").alias("Board"), F.col("Max_Deceleration").alias("Value"),
+                 dec_key.alias("_k")),
+        F.struct(F.lit("Acceleration").alias("Board"), F.col("Max_Acceleration_Exit").alias("Value"),
+                 (-F.col("Max_Acceleration_Exit")).alias("_k"))))
+    long = (cs.select(*keys, "Corner", S.DRIVER_COL, boards.alias("_e"))
+            .select(*keys, "Corner", S.DRIVER_COL, "_e.*").filter(F.col("Value").isNotNull()))
+    w = Window.partitionBy(*keys, "Corner", "Board").orderBy(F.col("_k"), F.col(S.DRIVER_COL))
+    return (long.withColumn("Rank", F.row_number().over(w)).filter(F.col("Rank") <= n)
+            .select(*keys, "Corner", "Board", "Rank", S.DRIVER_COL, "Value"))
 
 
 def top_decel_events(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, n: int = 15) -> DataFrame:

@@ -162,11 +162,8 @@ WHERE ({KEYS}, "Driver") IN (SELECT ({KEYS}, "Driver") FROM fl GROUP BY {KEYS},
                              HAVING count("X") > 0 AND count("Y") > 0)""")
 def q_track_map(spark, sf):
     """CH-3 + FLT-10: fastest-lap XY with metrics, laps with some position data."""
-    f = laps.fastest_lap_samples(telemetry_view(spark, sf))
-    ok = (f.groupBy(*S.SESSION_KEYS, "Driver").agg(F.count("X").alias("nx"), F.count("Y").alias("ny"))
-          .filter((F.col("nx") > 0) & (F.col("ny") > 0)))
-    return (f.join(ok, [*S.SESSION_KEYS, "Driver"], "left_semi")
-            .select(*S.SESSION_KEYS, "Driver", "X", "Y", "Speed", "Throttle", "RPM", "sample_id"))
+    f = laps.track_map_samples(telemetry_view(spark, sf))
+    return f.select(*S.SESSION_KEYS, "Driver", "X", "Y", "Speed", "Throttle", "RPM", "sample_id")
 
 
 @register("braking_zones", ACC_SQL + "," + marked_sql("acc", "am") + "," + zones_sql("am", "azones") + f"""
