@@ -110,7 +110,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     from trackside.operators.common import sample_order
 
     lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL]
-    m = add_lap_pct(mark_zones(df, lap_keys=lap_keys), lap_keys=lap_keys)
+    m = zones_and_lap_pct(df, lap_keys=lap_keys)
     order = sample_order(m)
     b = brake_numeric("Brake", m.schema["Brake"].dataType)
     speed, pct = F.col("Speed"), F.col("LapPct")
@@ -180,3 +180,19 @@ def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESS
             .filter(F.col("_samples") >= max(min_lap_samples, min_feature_samples)))
     out = pick.join(sector_ratios(df, keys=keys), list(keys) + [S.DRIVER_COL], "left")
     return out.select(*keys, S.DRIVER_COL, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
+
+
+def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str]) -> DataFrame:
+    """WN-4 step 1 and WN-2 in one ordered scan per lap (one exchange)."""
+    from trackside.operators.profile import SCAN_TMP, lap_pct_column, step_distance
+    from trackside.operators.sequence import lap_scan
+    from trackside.operators.zones import braking_flag, zone_start
+    has_xy = "X" in df.columns and "Y" in df.columns
+    x = df.withColumn("_braking", braking_flag(df))
+    x = lap_scan(x, keys=lap_keys, time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
+                 lags=["_braking"] + (["X", "Y"] if has_xy else []),
+                 running={"zone_id": zone_start,
+                          "_cum": step_distance if has_xy else (lambda prev: F.lit(0.0))},
+                 lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n")
+    return (x.withColumn("LapPct", lap_pct_column())
+            .drop("_prev__braking", "zone_id_lap_total", *[c for c in SCAN_TMP if c in x.columns]))

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.exprs import accel_type, clip_symmetric
-from trackside.operators.common import sample_sort_cols
-
-
-NULL_KEY_SPREAD = 4096
+from trackside.operators.sequence import lap_scan
 
 
 def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
@@ -20,25 +17,22 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     previous sample of the same lap, only where dt > 0, clipped to +-clip; the first
     sample of a lap, dt <= 0 and null keys give null. Adds ``Accel_Type`` (SC-4).
 
-    One window (partition = session keys + car + lap, order = TimeInLap, sample_id);
-    the exchange and sort are shared with every other per-lap window on the same spec.
+    One ordered scan per lap (``operators.sequence.lap_scan``: partition = session
+    keys + car + lap, order = TimeInLap, sample_id; hot laps are split).
     """
     keys_ok = None
     for k in seq_keys:
         e = F.col(k).isNotNull()
         keys_ok = e if keys_ok is None else keys_ok & e
     # Samples without a car or lap number get no acceleration (T3); they are
-    # spread over many window partitions instead of forming one large null group.
-    spread = F.when(keys_ok, F.lit(0)).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
-                                                        F.lit(NULL_KEY_SPREAD)))
-    part = [F.col(c) for c in list(keys) + list(seq_keys)] + [spread]
-    w = Window.partitionBy(*part).orderBy(*sample_sort_cols(df))
-    speed_ms = F.col("Speed") / F.lit(S.KMH_PER_MS)
-    out = df.withColumn("Speed_ms", speed_ms)
-    dt = F.col(S.TIME_COL) - F.lag(S.TIME_COL).over(w)
-    dv = F.col("Speed_ms") - F.lag("Speed_ms").over(w)
+    # spread over many window partitions instead of forming one null group.
+    out = df.withColumn("Speed_ms", F.col("Speed") / F.lit(S.KMH_PER_MS))
+    out = lap_scan(out, keys=list(keys) + list(seq_keys), time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
+                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True)
+    dt = F.col(S.TIME_COL) - F.col(f"_prev_{S.TIME_COL}")
+    dv = F.col("Speed_ms") - F.col("_prev_Speed_ms")
     acc = F.when(keys_ok & (dt > 0), clip_symmetric(dv / dt, clip))
-    out = out.withColumn("Acceleration", acc)
+    out = out.withColumn("Acceleration", acc).drop(f"_prev_{S.TIME_COL}", "_prev_Speed_ms")
     return out.withColumn("Accel_Type", accel_type("Acceleration"))
 
 

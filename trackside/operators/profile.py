@@ -3,13 +3,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import parse_duration_seconds
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import first_non_null, mean, sample_order, sample_sort_cols
+from trackside.operators.common import first_non_null, mean, sample_order
+from trackside.operators.sequence import lap_scan
+
+
+def step_distance(prev) -> Column:
+    """sqrt(dX^2 + dY^2) to the previous sample; null (first sample, missing X/Y) -> 0 (T15)."""
+    dx = F.col("X") - prev["X"]
+    dy = F.col("Y") - prev["Y"]
+    return F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+
+
+def lap_pct_column() -> Column:
+    """LapPct from the scan outputs ``_cum``, ``_cum_lap_total``, ``_last_TimeInLap``, ``_n``."""
+    return (F.when(F.col("_cum_lap_total") > 0, F.col("_cum") / F.col("_cum_lap_total") * 100.0)
+            .when((F.col("_n") > 1) & (F.col(f"_last_{S.TIME_COL}") > 0),
+                  F.col(S.TIME_COL) / F.col(f"_last_{S.TIME_COL}") * 100.0)
+            .otherwise(F.lit(0.0)))
+
+
+SCAN_TMP = ["_cum", "_cum_lap_total", f"_last_{S.TIME_COL}", "_n", "_prev_X", "_prev_Y"]
 
 
 def add_lap_pct(df: DataFrame, *, lap_keys: list[str] = S.LAP_KEYS) -> DataFrame:
@@ -18,28 +37,15 @@ def add_lap_pct(df: DataFrame, *, lap_keys: list[str] = S.LAP_KEYS) -> DataFrame
     step = sqrt(dX^2 + dY^2) vs the previous sample (null -> 0, T15); LapPct =
     cum/total*100 when total > 0, else TimeInLap/last TimeInLap*100 when the lap
     has > 1 sample and last TimeInLap > 0, else 0. ``total`` is the last running
-    value, so the last sample is exactly 100.
+    value, so the last sample is exactly 100. One ordered scan per lap
+    (``operators.sequence.lap_scan``; hot laps are split).
     """
-    w = Window.partitionBy(*lap_keys).orderBy(*sample_sort_cols(df))
-    wall = Window.partitionBy(*lap_keys)
-    order = sample_order(df)
     has_xy = "X" in df.columns and "Y" in df.columns
-    if has_xy:
-        dx = F.col("X") - F.lag("X").over(w)
-        dy = F.col("Y") - F.lag("Y").over(w)
-        step = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    else:
-        step = F.lit(0.0)
-    out = df.withColumn("_step", step).withColumn(
-        "_cum", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.max_by("_cum", order).over(wall)
-    t_last = F.max_by(S.TIME_COL, order).over(wall)
-    n = F.count(F.lit(1)).over(wall)
-    out = out.withColumn("_total", total).withColumn("_t_last", t_last).withColumn("_n", n)
-    pct = (F.when(F.col("_total") > 0, F.col("_cum") / F.col("_total") * 100.0)
-           .when((F.col("_n") > 1) & (F.col("_t_last") > 0), F.col(S.TIME_COL) / F.col("_t_last") * 100.0)
-           .otherwise(F.lit(0.0)))
-    return out.withColumn("LapPct", pct).drop("_step", "_cum", "_total", "_t_last", "_n")
+    out = lap_scan(df, keys=lap_keys, time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
+                   lags=["X", "Y"] if has_xy else [],
+                   running={"_cum": step_distance if has_xy else (lambda prev: F.lit(0.0))},
+                   lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n")
+    return out.withColumn("LapPct", lap_pct_column()).drop(*[c for c in SCAN_TMP if c in out.columns])
 
 
 def lap_profile_aggs(df: DataFrame, exact_mean: bool = False) -> list:

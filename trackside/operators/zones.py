@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import sample_order, sample_sort_cols
+from trackside.operators.common import sample_order
+from trackside.operators.sequence import lap_scan
 
 
 def braking_flag(df: DataFrame, decel_threshold: float = S.DECEL_THRESHOLD) -> Column:
@@ -20,12 +21,18 @@ def braking_flag(df: DataFrame, decel_threshold: float = S.DECEL_THRESHOLD) -> C
 
 def mark_zones(df: DataFrame, *, lap_keys: list[str] = S.LAP_KEYS,
                decel_threshold: float = S.DECEL_THRESHOLD) -> DataFrame:
-    """WN-4 step 1: ``_braking`` flag and ``zone_id`` (running count of run starts)
-    on every sample; zone_id is meaningful only where ``_braking``."""
-    w = Window.partitionBy(*lap_keys).orderBy(*sample_sort_cols(df))
+    """WN-4 step 1: ``_braking`` flag and ``zone_id`` (running count of run starts,
+    a run start being a braking sample whose previous sample is not braking) on
+    every sample; zone_id is meaningful only where ``_braking``."""
     out = df.withColumn("_braking", braking_flag(df, decel_threshold))
-    start = F.col("_braking") & ~F.coalesce(F.lag("_braking").over(w), F.lit(False))
-    return out.withColumn("zone_id", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = lap_scan(out, keys=lap_keys, time_col=S.TIME_COL, tie_col=S.SAMPLE_ID, lags=["_braking"],
+                   running={"zone_id": zone_start})
+    return out.drop("_prev__braking")
+
+
+def zone_start(prev) -> Column:
+    """1 where a braking run starts (previous sample not braking), else 0."""
+    return (F.col("_braking") & ~F.coalesce(prev["_braking"], F.lit(False))).cast("long")
 
 
 def zone_features(marked: DataFrame, *, lap_keys: list[str] = S.LAP_KEYS,
