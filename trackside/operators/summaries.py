@@ -17,15 +17,31 @@ def _brake_num(df: DataFrame) -> Column:
 def driver_summary(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, digits: int | None = 1,
                    exact_mean: bool = False) -> DataFrame:
     """AG-4: Avg/Max Speed, Avg Throttle, Brake_Pct, Avg/Max RPM, distinct laps,
-    rows, rounded half-even to ``digits``."""
-    work = drop_null_keys(df, [S.DRIVER_COL])
-    agg = work.groupBy(*keys, S.DRIVER_COL).agg(
-        mean("Speed", exact_mean).alias("Avg_Speed"), F.max("Speed").alias("Max_Speed"),
-        mean("Throttle", exact_mean).alias("Avg_Throttle"),
-        (mean(_brake_num(work), exact_mean) * 100.0).alias("Brake_Pct"),
-        mean("RPM", exact_mean).alias("Avg_RPM"), F.max("RPM").alias("Max_RPM"),
-        F.countDistinct(S.LAP_COL).alias("Laps"),
-        F.count(F.lit(1)).alias("Data_Points"),
+    rows, rounded half-even to ``digits``.
+
+    Two-level aggregate: partial sums per lap (on the per-lap partitioning, no
+    exchange), then per driver; the distinct lap count is the number of non-null
+    lap groups, so no row-duplicating distinct expansion is planned."""
+    work = drop_null_keys(df, [S.DRIVER_COL]).withColumn("_b", _brake_num(df))
+
+    def tot(c):
+        col = F.col(c)
+        return F.sum(col.cast("decimal(38,18)") if exact_mean else col.cast("double"))
+
+    per_lap = work.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(
+        *[e for c in ("Speed", "Throttle", "_b", "RPM") for e in (tot(c).alias(f"_s_{c}"),
+                                                                  F.count(c).alias(f"_n_{c}"))],
+        F.max("Speed").alias("_max_Speed"), F.max("RPM").alias("_max_RPM"), F.count(F.lit(1)).alias("_rows"))
+
+    def avg(c):
+        s_, n_ = F.sum(f"_s_{c}"), F.sum(f"_n_{c}")
+        return F.when(n_ > 0, s_.cast("double") / n_.cast("double"))
+
+    agg = per_lap.groupBy(*keys, S.DRIVER_COL).agg(
+        avg("Speed").alias("Avg_Speed"), F.max("_max_Speed").alias("Max_Speed"),
+        avg("Throttle").alias("Avg_Throttle"), (avg("_b") * 100.0).alias("Brake_Pct"),
+        avg("RPM").alias("Avg_RPM"), F.max("_max_RPM").alias("Max_RPM"),
+        F.count(S.LAP_COL).alias("Laps"), F.sum("_rows").alias("Data_Points"),
     )
     if digits is not None:
         for c in ("Avg_Speed", "Max_Speed", "Avg_Throttle", "Brake_Pct", "Avg_RPM", "Max_RPM"):
