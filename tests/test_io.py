@@ -135,3 +135,27 @@ def test_season_summaries_union_and_completed(spark):
     laps = {r.SessionType: r for r in out["laps"].collect()}
     assert laps["Race"].IsPersonalBest is None and laps["Qualifying"].Compound is None
     assert laps["Qualifying"].LapTime_seconds == 79.5
+
+
+def test_csv_export_gzip_roundtrip_and_optional_sources(spark, tmpdir_fresh):
+    out = os.path.join(tmpdir_fresh, "export")
+    sinks.write_csv(_raw(spark, [1]), out, compress=True)
+    assert any(f.endswith(".csv.gz") for f in os.listdir(out))
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 5
+    missing = files.read_optional(spark, os.path.join(tmpdir_fresh, "nope"), "Driver string, Cluster int")
+    assert missing.count() == 0 and missing.columns == ["Driver", "Cluster"]
+    assert not sinks.publish_summary(spark.createDataFrame([], "a int"), os.path.join(tmpdir_fresh, "empty"))
+    assert not os.path.exists(os.path.join(tmpdir_fresh, "empty"))
+    assert sinks.publish_summary(_raw(spark, [1]), os.path.join(tmpdir_fresh, "summ"))
+    sinks.write_run_summary(spark, os.path.join(tmpdir_fresh, "run"), n_rounds=2, silhouette_score=0.1234)
+    assert json.loads(spark.read.text(os.path.join(tmpdir_fresh, "run")).first()[0])["n_rounds"] == 2
+
+
+def test_load_telemetry_processed_else_raw(spark, tmpdir_fresh):
+    raw = os.path.join(tmpdir_fresh, "raw")
+    _raw(spark, [1]).write.parquet(raw)
+    t = files.load_telemetry(spark, os.path.join(tmpdir_fresh, "processed"), raw)
+    assert "Acceleration" in t.columns and t.count() == 5
+    with __import__("pytest").raises(FileNotFoundError):
+        files.load_telemetry(spark, os.path.join(tmpdir_fresh, "processed"))
