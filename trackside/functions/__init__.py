@@ -4,6 +4,7 @@ from trackside.functions.durations import (  # noqa: F401
     duration_text,
     format_gap,
     format_laptime,
+    parsable_duration,
     parse_duration_seconds,
     seconds_to_duration_text,
 )

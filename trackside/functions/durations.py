@@ -30,6 +30,11 @@ def parse_duration_seconds(c) -> Column:
     return F.when(s.rlike(DURATION_PATTERN), total)
 
 
+def parsable_duration(c) -> Column:
+    """True where the text parses as a duration (one regex match, no extraction)."""
+    return _col(c).cast("string").rlike(DURATION_PATTERN)
+
+
 def duration_text(micros, short: bool | Column = False) -> Column:
     """Whole microseconds (bigint) -> duration text.
 

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
-from trackside.functions.durations import parse_duration_seconds
+from trackside.functions.durations import parsable_duration, parse_duration_seconds
 from trackside.operators.common import drop_null_keys, first_non_null, sample_order
 
 LAP_ATTRS = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time", "Compound", "FreshTyre"]
 
 
+def _is_numeric(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() in ("double", "float", "int", "bigint") or \
+        df.schema[col].dataType.simpleString().startswith("decimal")
+
+
 def with_laptime_seconds(df: DataFrame, col: str = "LapTime",
                          out: str = "LapTime_seconds") -> DataFrame:
     """SC-1 applied to a duration column (numeric columns pass through as seconds)."""
@@ -47,14 +52,21 @@ def best_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
     lowest LapNumber) -> AG-3 (gap to the session minimum).
     Columns: keys, Driver, LapNumber, LapTime_seconds, Compound, Gap.
     """
-    work = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    numeric = "LapTime_seconds" in df.columns or _is_numeric(df, "LapTime")
+    if numeric:
+        work = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull())
+    else:  # one regex match per sample; the text is parsed once per lap below
+        work = df.filter(parsable_duration("LapTime"))
     work = drop_null_keys(work, [S.DRIVER_COL, S.LAP_COL])
     order = sample_order(work)
     has_cmp = "Compound" in work.columns
     per_lap = work.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(
-        first_non_null("LapTime_seconds", order).alias("LapTime_seconds"),
+        (first_non_null("LapTime_seconds", order) if numeric
+         else F.min_by("LapTime", order)).alias("LapTime_seconds"),
         (first_non_null("Compound", order) if has_cmp else F.lit(None).cast("string")).alias("Compound"),
     )
+    if not numeric:
+        per_lap = per_lap.withColumn("LapTime_seconds", parse_duration_seconds("LapTime_seconds"))
     best = (per_lap.groupBy(*keys, S.DRIVER_COL)
             .agg(F.min_by(F.struct(S.LAP_COL, "LapTime_seconds", "Compound"),
                           F.struct("LapTime_seconds", S.LAP_COL)).alias("b"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
-from trackside.functions.durations import parse_duration_seconds
+from trackside.functions.durations import parsable_duration, parse_duration_seconds
 from trackside.functions.exprs import brake_numeric
 from trackside.operators.common import first_non_null, mean, sample_order
 from trackside.operators.sequence import lap_scan
@@ -81,8 +81,12 @@ def sector_ratios(session_df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) ->
     S1+S2+S3 (null sectors count 0, ties to the lowest LapNumber), each sector
     divided by the session's best sector; null unless that best is > 0."""
     order = sample_order(session_df)
+    # first parsable text per lap (one regex match per sample), parsed once per lap
     per_lap = session_df.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(*[
-        first_non_null(parse_duration_seconds(f"Sector{i}Time"), order).alias(f"S{i}") for i in (1, 2, 3)])
+        F.min_by(F.col(f"Sector{i}Time"), F.when(parsable_duration(f"Sector{i}Time"), order)).alias(f"S{i}")
+        for i in (1, 2, 3)])
+    per_lap = per_lap.select(*keys, S.DRIVER_COL, S.LAP_COL,
+                             *[parse_duration_seconds(f"S{i}").alias(f"S{i}") for i in (1, 2, 3)])
     per_lap = per_lap.filter(F.col(S.DRIVER_COL).isNotNull())
     tot = F.coalesce(F.col("S1"), F.lit(0.0)) + F.coalesce(F.col("S2"), F.lit(0.0)) + F.coalesce(F.col("S3"), F.lit(0.0))
     # One chain: per lap -> per driver (pick + the driver's sector minimums) ->
