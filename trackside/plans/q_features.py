@@ -44,7 +44,7 @@ def marked_sql(src: str, name: str) -> str:
 {name}_1 AS (SELECT *, lag(_brk) OVER wl AS _prevb,
      COALESCE(sqrt(("X" - lag("X") OVER wl) * ("X" - lag("X") OVER wl) + ("Y" - lag("Y") OVER wl) * ("Y" - lag("Y") OVER wl)), 0.0) AS _step
    FROM {name}_0 WINDOW wl AS (PARTITION BY {LAPK} {WORDER})),
-{name}_2 AS (SELECT *, sum(CASE WHEN _brk AND NOT COALESCE(_prevb, false) THEN 1 ELSE 0 END) OVER wr AS zone_id,
+{name}_2 AS (SELECT *, CAST(sum(CASE WHEN _brk AND NOT COALESCE(_prevb, false) THEN 1 ELSE 0 END) OVER wr AS BIGINT) AS zone_id,
      sum(_step) OVER wr AS _cum
    FROM {name}_1 WINDOW wr AS (PARTITION BY {LAPK} {WORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {name}_3 AS (SELECT *, last_value(_cum) OVER wa AS _total, last_value("TimeInLap") OVER wa AS _t_last,
@@ -145,7 +145,7 @@ def q_fastest_lap_samples(spark, sf):
 @register("lap_trace", ACC_SQL + "," + FASTEST_SQL + f"""
 ---
 SELECT {KEYS}, "Driver", "TimeInLap", "Speed", "Throttle", sample_id,
-       row_number() OVER (PARTITION BY {KEYS}, "Driver" {WORDER}) AS "Point" FROM fl""")
+       CAST(row_number() OVER (PARTITION BY {KEYS}, "Driver" {WORDER}) AS INTEGER) AS "Point" FROM fl""")
 def q_lap_trace(spark, sf):
     """CH-2: fastest-lap trace (TimeInLap, Speed, Throttle) of every driver, ordered."""
     from pyspark.sql import Window

@@ -203,11 +203,11 @@ FROM proc WHERE "Corner" IS NOT NULL GROUP BY ALL)"""
 
 @register("corner_leaders", sql(f"""
 SELECT {KEYS}, "Corner", 'Deceleration' AS "Board", "Rank", "Driver", "Max_Deceleration" AS "Value" FROM (
-  SELECT *, row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Deceleration", "Driver") AS "Rank"
+  SELECT *, CAST(row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Deceleration", "Driver") AS INTEGER) AS "Rank"
   FROM cs WHERE "Max_Deceleration" IS NOT NULL) WHERE "Rank" <= 10
 UNION ALL
 SELECT {KEYS}, "Corner", 'Acceleration' AS "Board", "Rank", "Driver", "Max_Acceleration_Exit" AS "Value" FROM (
-  SELECT *, row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Acceleration_Exit" DESC, "Driver") AS "Rank"
+  SELECT *, CAST(row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Acceleration_Exit" DESC, "Driver") AS INTEGER) AS "Rank"
   FROM cs WHERE "Max_Acceleration_Exit" IS NOT NULL) WHERE "Rank" <= 10""", CS_SQL))
 def q_corner_leaders(spark, sf):
     return summaries.corner_leaders(processed(spark, sf))
@@ -215,7 +215,7 @@ def q_corner_leaders(spark, sf):
 
 @register("top_decel_events", sql(f"""
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY "Max_Deceleration", "Driver", "Corner") AS "Rank"
+  SELECT *, CAST(row_number() OVER (PARTITION BY {KEYS} ORDER BY "Max_Deceleration", "Driver", "Corner") AS INTEGER) AS "Rank"
   FROM (SELECT {KEYS}, "Driver", "Corner", min("Speed") AS "Min_Speed",
                min("Acceleration") AS "Max_Deceleration", max("Acceleration") AS "Max_Acceleration_Exit"
         FROM proc WHERE "Corner" IS NOT NULL GROUP BY ALL)
@@ -228,9 +228,9 @@ def q_top_decel_events(spark, sf):
 SELECT {KEYS}, "Driver", "Corner", round_even("Min_Speed", 2) AS "Min_Speed",
        round_even("Max_Deceleration", 2) AS "Max_Deceleration",
        round_even("Max_Acceleration_Exit", 2) AS "Max_Acceleration_Exit", "Data_Points",
-       row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Min_Speed", "Driver") AS "Speed_Order",
-       CASE WHEN "Max_Deceleration" IS NOT NULL THEN row_number() OVER (
-         PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Deceleration" IS NULL, "Max_Deceleration", "Driver") END AS "Decel_Order"
+       CAST(row_number() OVER (PARTITION BY {KEYS}, "Corner" ORDER BY "Min_Speed", "Driver") AS INTEGER) AS "Speed_Order",
+       CASE WHEN "Max_Deceleration" IS NOT NULL THEN CAST(row_number() OVER (
+         PARTITION BY {KEYS}, "Corner" ORDER BY "Max_Deceleration" IS NULL, "Max_Deceleration", "Driver") AS INTEGER) END AS "Decel_Order"
 FROM cs""", CS_SQL))
 def q_corner_bars(spark, sf):
     return summaries.corner_bars(processed(spark, sf))
@@ -309,7 +309,7 @@ def q_dedupe_first(spark, sf):
 @register("head_per_key", sql(f"""
 SELECT * FROM (
   SELECT {KEYS}, "Driver", "Corner", sample_id, "TimeInLap", "Speed", "Throttle", "Brake", "Acceleration", "Accel_Type",
-         row_number() OVER (PARTITION BY {KEYS}, "Driver", "Corner" ORDER BY "TimeInLap", sample_id) AS "RowInKey"
+         CAST(row_number() OVER (PARTITION BY {KEYS}, "Driver", "Corner" ORDER BY "TimeInLap", sample_id) AS INTEGER) AS "RowInKey"
   FROM proc WHERE "Corner" IS NOT NULL) WHERE "RowInKey" <= 5"""))
 def q_head_per_key(spark, sf):
     """TK-6: five samples per driver and corner in time order."""

@@ -46,7 +46,7 @@ bl AS (
   SELECT *, "LapTime_seconds" - min("LapTime_seconds") OVER (PARTITION BY {KEYS}) AS "Gap" FROM best
 ),
 cls AS (
-  SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY "LapTime_seconds", "Driver") AS "Pos" FROM bl
+  SELECT *, CAST(row_number() OVER (PARTITION BY {KEYS} ORDER BY "LapTime_seconds", "Driver") AS INTEGER) AS "Pos" FROM bl
 )"""
 
 
