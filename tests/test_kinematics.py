@@ -62,3 +62,16 @@ def test_null_keys_get_no_acceleration(spark):
     out = kinematics.add_acceleration(_rows(spark, rows)).collect()
     assert len(out) == 8 and all(r.Acceleration is None and r.Accel_Type is None for r in out)
     assert all(r.Speed_ms is not None for r in out)
+
+
+def test_filter_drivers_and_display_order(spark):
+    from trackside.operators import charts
+    rows = [(2025, 1, "Q", str(i), d, 1, 0.0, 1.0, 0.0, 0.0, t, False, 1.0, 1.0)
+            for i, (d, t) in enumerate([("VER", "0:01:30.000000"), ("NOR", "0:01:29.000000"),
+                                        ("HAM", "0:01:31.000000")])]
+    df = _rows(spark, rows)
+    assert {r.Driver for r in summaries.filter_drivers(df, ["VER", "HAM"]).collect()} == {"VER", "HAM"}
+    picks = spark.createDataFrame([("NOR",)], "d string")
+    assert [r.Driver for r in summaries.filter_drivers(df, picks).collect()] == ["NOR"]
+    cls = charts.display_sorted(laps.best_laps(df), "classification").collect()
+    assert [r.Driver for r in cls] == ["NOR", "VER", "HAM"]

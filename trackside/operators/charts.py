@@ -50,3 +50,17 @@ def cluster_roster(labels: DataFrame, *, id_col: str = S.DRIVER_COL) -> DataFram
     """CH-8: drivers by (Cluster, Driver) with label and colour."""
     return labels.select(id_col, "Cluster", cluster_label("Cluster").alias("ClusterLabel"),
                          cluster_color("Cluster").alias("Color")).orderBy("Cluster", id_col)
+
+
+def display_sorted(df: DataFrame, kind: str, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+    """TK-1: presentation orderings of the small result tables: ``classification``
+    (lap time, driver), ``corners`` (corner, min speed), ``assignments``
+    (cluster, driver), ``trace`` (driver, time in lap). A global sort: use on
+    per-driver / per-corner tables or after a filter, not on raw samples."""
+    orders = {
+        "classification": [*keys, "LapTime_seconds", S.DRIVER_COL],
+        "corners": [*keys, "Corner", "Min_Speed", S.DRIVER_COL],
+        "assignments": ["Cluster", S.DRIVER_COL],
+        "trace": [*keys, S.DRIVER_COL, F.col(S.TIME_COL).asc_nulls_last()],
+    }
+    return df.orderBy(*[c for c in orders[kind] if not isinstance(c, str) or c in df.columns])

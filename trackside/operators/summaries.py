@@ -220,3 +220,11 @@ def corner_bars(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame
     for c in ("Min_Speed", "Max_Deceleration", "Max_Acceleration_Exit"):
         out = out.withColumn(c, F.bround(c, 2))
     return out
+
+
+def filter_drivers(df: DataFrame, drivers: list[str] | DataFrame, col: str = S.DRIVER_COL) -> DataFrame:
+    """FLT-2: keep the given drivers. A Python list becomes an ``isin`` predicate
+    (pushed to the scan); a DataFrame of drivers becomes a left semi join."""
+    if isinstance(drivers, DataFrame):
+        return df.join(drivers.select(F.col(drivers.columns[0]).alias(col)).distinct(), col, "left_semi")
+    return df.filter(F.col(col).isin(list(drivers)))
