@@ -44,7 +44,8 @@ def lap_style_features(laps: DataFrame, session_df: DataFrame, *,
 def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                           min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                          exact_mean: bool = False, single_pass: bool = True) -> DataFrame:
+                          exact_mean: bool = False, single_pass: bool = True,
+                          split_hot: bool | None = None) -> DataFrame:
     """PL-4: style features of each driver's fastest lap, for every session in one
     plan. The fastest lap must hold >= ``min_lap_samples`` samples.
 
@@ -53,7 +54,8 @@ def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     samples (semi join) and describes only those."""
     if single_pass:
         return round_driver_features_single_pass(df, keys=keys, min_lap_samples=min_lap_samples,
-                                                 min_feature_samples=min_feature_samples, exact_mean=exact_mean)
+                                                 min_feature_samples=min_feature_samples, exact_mean=exact_mean,
+                                                 split_hot=split_hot)
     fastest = fastest_lap_samples(df, keys=keys)
     floor = max(min_lap_samples, min_feature_samples)
     feats = lap_style_features(fastest, df, keys=keys, min_samples=floor, exact_mean=exact_mean)
@@ -97,7 +99,7 @@ def _ratio(s, n):
 
 
 def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                     exact_mean: bool = False) -> DataFrame:
+                     exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
     """PL-3 for every lap of ``df`` in one pass over the samples.
 
     Samples are marked (zones, LapPct) with per-lap windows, then aggregated
@@ -110,7 +112,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     from trackside.operators.common import sample_order
 
     lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL]
-    m = zones_and_lap_pct(df, lap_keys=lap_keys)
+    m = zones_and_lap_pct(df, lap_keys=lap_keys, split_hot=split_hot)
     order = sample_order(m)
     b = brake_numeric("Brake", m.schema["Brake"].dataType)
     speed, pct = F.col("Speed"), F.col("LapPct")
@@ -164,7 +166,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
 def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                                       min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                                       min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                                      exact_mean: bool = False) -> DataFrame:
+                                      exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
     """PL-4 without a join back to the samples: features of every lap with a
     parsed lap time (one pass), then per driver the fastest lap's row (ties to
     the lowest LapNumber) if it holds enough samples, plus sector ratios."""
@@ -172,7 +174,7 @@ def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESS
     # laps without a driver or number can never be a driver's fastest lap
     valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull() & F.col(S.DRIVER_COL).isNotNull()
                                             & F.col(S.LAP_COL).isNotNull())
-    laps = all_lap_features(valid, keys=keys, exact_mean=exact_mean)
+    laps = all_lap_features(valid, keys=keys, exact_mean=exact_mean, split_hot=split_hot)
     fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
     pick = (laps.groupBy(*keys, S.DRIVER_COL)
             .agg(F.min_by(F.struct("_samples", *fcols), F.struct("LapTime_seconds", S.LAP_COL)).alias("_f"))
@@ -182,7 +184,7 @@ def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESS
     return out.select(*keys, S.DRIVER_COL, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
 
 
-def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str]) -> DataFrame:
+def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str], split_hot: bool | None = None) -> DataFrame:
     """WN-4 step 1 and WN-2 in one ordered scan per lap (one exchange)."""
     from trackside.operators.profile import SCAN_TMP, lap_pct_column, step_distance
     from trackside.operators.sequence import lap_scan
@@ -193,6 +195,6 @@ def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str]) -> DataFrame:
                  lags=["_braking"] + (["X", "Y"] if has_xy else []),
                  running={"zone_id": zone_start,
                           "_cum": step_distance if has_xy else (lambda prev: F.lit(0.0))},
-                 lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n")
+                 lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n", split_hot=split_hot)
     return (x.withColumn("LapPct", lap_pct_column())
             .drop("_prev__braking", "zone_id_lap_total", *[c for c in SCAN_TMP if c in x.columns]))

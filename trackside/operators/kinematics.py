@@ -12,7 +12,7 @@ from trackside.operators.sequence import lap_scan
 
 def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                      seq_keys: tuple[str, ...] = ("DriverNumber", S.LAP_COL),
-                     clip: float = S.ACCEL_CLIP) -> DataFrame:
+                     clip: float = S.ACCEL_CLIP, split_hot: bool | None = None) -> DataFrame:
     """WN-1: ``Speed_ms`` and ``Acceleration`` = d(Speed/3.6)/d(TimeInLap) against the
     previous sample of the same lap, only where dt > 0, clipped to +-clip; the first
     sample of a lap, dt <= 0 and null keys give null. Adds ``Accel_Type`` (SC-4).
@@ -28,7 +28,7 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     # spread over many window partitions instead of forming one null group.
     out = df.withColumn("Speed_ms", F.col("Speed") / F.lit(S.KMH_PER_MS))
     out = lap_scan(out, keys=list(keys) + list(seq_keys), time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
-                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True)
+                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True, split_hot=split_hot)
     dt = F.col(S.TIME_COL) - F.col(f"_prev_{S.TIME_COL}")
     dv = F.col("Speed_ms") - F.col("_prev_Speed_ms")
     acc = F.when(keys_ok & (dt > 0), clip_symmetric(dv / dt, clip))
@@ -85,6 +85,6 @@ def tag_corners(df: DataFrame, corners: dict | DataFrame | None = None, *,
 
 
 def process_telemetry(df: DataFrame, *, corners: dict | DataFrame | None = None,
-                      keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+                      keys: list[str] = S.SESSION_KEYS, split_hot: bool | None = None) -> DataFrame:
     """PL-1: corner tagging + acceleration for all sessions at once."""
-    return add_acceleration(tag_corners(df, corners), keys=keys)
+    return add_acceleration(tag_corners(df, corners), keys=keys, split_hot=split_hot)
