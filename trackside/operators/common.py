@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
@@ -53,3 +53,21 @@ def mean(c, exact: bool = False) -> Column:
     if not exact:
         return F.avg(col)
     return F.sum(col.cast("decimal(38,18)")).cast("double") / F.count(col).cast("double")
+
+
+TOP_N_SALTS = 64
+
+
+def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, *, rank_col: str = "Rank",
+          salt_by: list[str] | None = None, salts: int = TOP_N_SALTS) -> DataFrame:
+    """Top ``n`` rows per group under a total ``order``, ranked 1..n, in two phases:
+    the top n per (group, salt) first (a hot group is split over ``salts``
+    partitions), then the top n of those candidates (at most n x salts rows per
+    group). Equal to a single ``row_number`` window when ``order`` is total."""
+    cols = salt_by or df.columns
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts))
+    w1 = Window.partitionBy(*[F.col(g) for g in group], F.col("_salt")).orderBy(*order)
+    cand = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+            .filter(F.col("_r1") <= n).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import drop_null_keys, mean, sample_order
+from trackside.operators.common import drop_null_keys, mean, sample_order, sample_sort_cols, top_n
 
 
 def _brake_num(df: DataFrame) -> Column:
@@ -189,23 +189,23 @@ def corner_leaders(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, n: int =
                  (-F.col("Max_Acceleration_Exit")).alias("_k"))))
     long = (cs.select(*keys, "Corner", S.DRIVER_COL, boards.alias("_e"))
             .select(*keys, "Corner", S.DRIVER_COL, "_e.*").filter(F.col("Value").isNotNull()))
-    w = Window.partitionBy(*keys, "Corner", "Board").orderBy(F.col("_k"), F.col(S.DRIVER_COL))
-    return (long.withColumn("Rank", F.row_number().over(w)).filter(F.col("Rank") <= n)
-            .select(*keys, "Corner", "Board", "Rank", S.DRIVER_COL, "Value"))
+    ranked = top_n(long, [*keys, "Corner", "Board"], [F.col("_k"), F.col(S.DRIVER_COL)], n,
+                   salt_by=[S.DRIVER_COL])
+    return ranked.select(*keys, "Corner", "Board", "Rank", S.DRIVER_COL, "Value")
 
 
 def top_decel_events(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS, n: int = 15) -> DataFrame:
     """TK-3: the n strongest (most negative) corner deceleration events per session."""
     ev = corner_events(df, keys=keys).filter(F.col("Max_Deceleration").isNotNull())
-    w = Window.partitionBy(*keys).orderBy(F.col("Max_Deceleration").asc(), F.col(S.DRIVER_COL), F.col("Corner"))
-    return ev.withColumn("Rank", F.row_number().over(w)).filter(F.col("Rank") <= n)
+    order = [F.col("Max_Deceleration").asc(), F.col(S.DRIVER_COL), F.col("Corner")]
+    return top_n(ev, list(keys), order, n, salt_by=[S.DRIVER_COL, "Corner"])
 
 
-def head_per_key(df: DataFrame, key: list[str], n: int, order: Column | None = None) -> DataFrame:
-    """TK-6: first n rows per key in sample order."""
-    order = sample_order(df) if order is None else order
-    w = Window.partitionBy(*key).orderBy(order)
-    return df.withColumn("RowInKey", F.row_number().over(w)).filter(F.col("RowInKey") <= n)
+def head_per_key(df: DataFrame, key: list[str], n: int, order: list[Column] | None = None) -> DataFrame:
+    """TK-6: first n rows per key in sample order (two-phase top-n, so a key
+    holding many samples is split before ranking)."""
+    order = sample_sort_cols(df) if order is None else order
+    return top_n(df, key, order, n, rank_col="RowInKey")
 
 
 def corner_bars(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:

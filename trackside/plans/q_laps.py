@@ -113,8 +113,12 @@ def q_gap_text(spark, sf):
 SELECT {KEYS}, "Pos", "Driver", "LapTime_seconds", "Gap" FROM cls WHERE "Pos" <= 10
 """)
 def q_top10_laps(spark, sf):
-    c = laps.classification(telemetry_view(spark, sf))
-    return c.filter(F.col("Pos") <= 10).select(*SESSION_KEYS, "Pos", "Driver", "LapTime_seconds", "Gap")
+    """TK-2: ten best laps per session (two-phase top-n on the per-driver table)."""
+    from trackside.operators.common import top_n
+    bl = laps.best_laps(telemetry_view(spark, sf))
+    t = top_n(bl, SESSION_KEYS, [F.col("LapTime_seconds"), F.col("Driver")], 10, rank_col="Pos",
+              salt_by=["Driver"])
+    return t.select(*SESSION_KEYS, "Pos", "Driver", "LapTime_seconds", "Gap")
 
 
 @register("top10_spread", BEST_SQL + "\n---\n" + f"""
