@@ -120,6 +120,11 @@ def test_api_documents_to_telemetry(spark, tmpdir_fresh):
     assert got[0].LapTime == "0 days 00:00:02.000000" and got[0].Sector3Time is None
     assert tel.columns[:6] == S.CANONICAL_COLUMNS[:6]
     assert api_docs.read_endpoint(spark, root, "weather").count() == 0
+    from trackside.plans.ingest import api_ingest_rejects
+    rej = {r.reason: r["count"] for r in api_ingest_rejects(sessions=ep["sessions"], laps=ep["laps"],
+                                                            car_data=ep["car_data"], schedule=sched).collect()}
+    # the 0.5 s sample lies in pit-out lap 1; the others are inside lap 2 (2.0 s to 4.0 s)
+    assert rej == {"sample_pit_out": 1}
 
 
 def test_season_summaries_union_and_completed(spark):

@@ -64,3 +64,33 @@ def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame
         seconds_to_duration_text("duration_sector_3").alias("Sector3Time"),
         "Compound", "FreshTyre")
     return canonical_order(out)
+
+
+def api_ingest_rejects(*, sessions: DataFrame, laps: DataFrame, car_data: DataFrame, schedule: DataFrame,
+                       lap_bucket_seconds: float = 120.0) -> DataFrame:
+    """What PL-2 leaves out, counted per session instead of skipped silently:
+    ``session_unmatched`` (no round for its country/location), ``sample_no_lap``
+    (car samples inside no lap window) and ``sample_pit_out`` (samples of pit-out
+    laps). One row per (session_key, reason, count)."""
+    _, missing = align.map_rounds(
+        sessions.select("session_key", "country_name", "location"),
+        schedule.filter(F.col("RoundNumber") > 0).select("Country", "Location", "RoundNumber"),
+        session_key=["country_name", "location"], schedule_key=["Country", "Location"])
+    by = ["session_key", "driver_number"]
+    car = car_data.select(*by, "date").withColumn("_row", F.monotonically_increasing_id())
+    tagged = align.assign_laps(car, laps.select(*by, "lap_number", "date_start", "lap_duration"), by=by,
+                               sample_ts="date", bucket_seconds=lap_bucket_seconds, out_col="lap_number",
+                               sample_id="_row")
+    no_lap = car.join(tagged.select("_row"), "_row", "left_anti")
+    pit = tagged.join(laps.filter(F.coalesce(F.col("is_pit_out_lap"), F.lit(False)))
+                      .select(*by, "lap_number"), by + ["lap_number"], "left_semi")
+    parts = [
+        missing.groupBy("session_key").agg(F.count(F.lit(1)).alias("count"))
+        .withColumn("reason", F.lit("session_unmatched")),
+        no_lap.groupBy("session_key").agg(F.count(F.lit(1)).alias("count")).withColumn("reason", F.lit("sample_no_lap")),
+        pit.groupBy("session_key").agg(F.count(F.lit(1)).alias("count")).withColumn("reason", F.lit("sample_pit_out")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("session_key", "reason", "count")
