@@ -66,9 +66,10 @@ def test_zscore_single_driver_and_constant(spark):
     rows = [(2025, 1, "Q", "VER", *[1.0] * len(cols)), (2025, 2, "Q", "VER", *[2.0] * len(cols)),
             (2025, 2, "Q", "NOR", *[None] * len(cols))]
     schema = "Year int, Round int, SessionType string, Driver string, " + ", ".join(f"{c} double" for c in cols)
-    z = features.zscore_within_round(spark.createDataFrame(rows, schema)).collect()
-    # round 1: one driver (std null) -> 0.0; round 2: one non-null value -> constant -> 0.0 (null cells too)
-    assert all(r.Avg_Speed == 0.0 for r in z)
+    for method in ("window", "join"):
+        z = features.zscore_within_round(spark.createDataFrame(rows, schema), method=method).collect()
+        # round 1: one driver (std null) -> 0.0; round 2: one non-null value -> constant -> 0.0 (null cells too)
+        assert len(z) == 3 and all(r.Avg_Speed == 0.0 for r in z)
 
 
 def test_silhouette_exact_matches_bruteforce(spark):

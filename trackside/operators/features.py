@@ -63,30 +63,50 @@ def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
 
 
 def zscore_within_round(features: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                        cols: list[str] | None = None) -> DataFrame:
+                        cols: list[str] | None = None, method: str = "window") -> DataFrame:
     """WN-6: z-score each feature within its session using the sample std.
 
     A column whose std is null or 0, or whose min equals its max, becomes 0.0
     for every row (null cells included); otherwise nulls stay null. The
     statistics are window aggregates over the per-driver feature table (one row
     per driver and session), so the upstream plan runs once.
+
+    ``method='join'`` computes them as one partial aggregate per session joined
+    back on the keys (no task holds a whole session); use it when ``features``
+    is materialised (e.g. checkpointed), since it reads the input twice.
     """
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in features.columns]
-    w = Window.partitionBy(*keys)
+    rest = [c for c in features.columns if c not in cols]
+    if method == "join":
+        stats = features.groupBy(*keys).agg(*[e for c in cols for e in (
+            F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"),
+            F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
+        src = features.join(stats, list(keys), "inner")
+
+        def stat(kind, c):
+            return F.col(f"_{kind}_{c}")
+    elif method == "window":
+        w = Window.partitionBy(*keys)
+        src = features
+        fns = {"mu": F.avg, "sd": F.stddev_samp, "lo": F.min, "hi": F.max}
+
+        def stat(kind, c):
+            return fns[kind](c).over(w)
+    else:
+        raise ValueError(f"unknown method {method!r}")
     out = []
     for c in cols:
-        sd, mu = F.stddev_samp(c).over(w), F.avg(c).over(w)
-        const = sd.isNull() | (sd == 0) | (F.min(c).over(w) == F.max(c).over(w))
+        sd, mu = stat("sd", c), stat("mu", c)
+        const = sd.isNull() | (sd == 0) | (stat("lo", c) == stat("hi", c))
         out.append(F.when(const, F.lit(0.0)).otherwise((F.col(c) - mu) / sd).alias(c))
-    rest = [c for c in features.columns if c not in cols]
-    return features.select(*rest, *out)
+    return src.select(*rest, *out)
 
 
 def driver_feature_matrix(per_round: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                          cols: list[str] | None = None) -> DataFrame:
+                          cols: list[str] | None = None, zscore_method: str = "window") -> DataFrame:
     """PL-5 / AG-15: z-score within each session, then average per driver."""
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in per_round.columns]
-    z = zscore_within_round(per_round, keys=keys, cols=cols)
+    z = zscore_within_round(per_round, keys=keys, cols=cols, method=zscore_method)
     return z.groupBy(S.DRIVER_COL).agg(*[F.avg(c).alias(c) for c in cols])
 
 

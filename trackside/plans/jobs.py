@@ -32,7 +32,8 @@ def season_clustering_job(spark: SparkSession, telemetry: DataFrame, out_dir: st
     n_rounds = per_round.select(*S.SESSION_KEYS).distinct().count()
     if n_rounds < min_rounds:
         raise ValueError(f"need at least {min_rounds} round(s) with features, got {n_rounds}")
-    matrix = cut_lineage(features.driver_feature_matrix(per_round))
+    # per_round is materialised: per-session statistics as aggregate + join
+    matrix = cut_lineage(features.driver_feature_matrix(per_round, zscore_method="join"))
     n_drivers = matrix.count()
     if n_drivers < min_drivers:
         raise ValueError(f"need at least {min_drivers} drivers, got {n_drivers}")
