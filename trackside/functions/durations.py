@@ -42,7 +42,6 @@ def duration_text(micros, short: bool | Column = False) -> Column:
     (the latter when ``short`` is true; may be a boolean column).
     """
     us = _col(micros).cast("long")
-    d = F.expr("0L")
     parts_long = F.format_string(
         "%d days %02d:%02d:%02d.%06d",
         F.floor(us / 86400000000).cast("long"),
@@ -58,7 +57,6 @@ def duration_text(micros, short: bool | Column = False) -> Column:
         F.pmod(F.floor(us / 1000000).cast("long"), F.lit(60)),
         F.pmod(us, F.lit(1000000)),
     )
-    del d
     short_c = short if isinstance(short, Column) else F.lit(bool(short))
     return F.when(us.isNull(), F.lit(None).cast("string")).when(short_c, parts_short).otherwise(parts_long)
 

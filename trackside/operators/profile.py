@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackside import schemas as S
 from trackside.functions.durations import parsable_duration, parse_duration_seconds
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import first_non_null, mean, sample_order
+from trackside.operators.common import mean, sample_order
 from trackside.operators.sequence import lap_scan
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import drop_null_keys, mean, sample_order, sample_sort_cols, top_n
+from trackside.operators.common import drop_null_keys, mean, sample_sort_cols, top_n
 
 
 def _brake_num(df: DataFrame) -> Column:
