@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trackside.operators import align
@@ -71,3 +73,32 @@ def test_round_map_last_wins_and_missing(spark):
                                schedule_key=["Country", "Location"])
     assert [(r.session_key, r.RoundNumber) for r in m.collect()] == [(1, 17)]
     assert [r.session_key for r in miss.collect()] == [2]
+
+
+@pytest.mark.parametrize("factor", [1, 3, 4])
+def test_asof_random_against_bruteforce(spark, factor):
+    import random
+    rnd = random.Random(7 + factor)
+    base = dt.datetime(2025, 3, 15, 5, 0, 0)
+    left = [(rnd.randint(0, 2), i, rnd.randint(0, 3000)) for i in range(250)]
+    right = [(rnd.randint(0, 2), j, rnd.randint(0, 3000) // 7 * 7) for j in range(250)]   # duplicates
+    tol_ms = 40
+    L = spark.createDataFrame([(d, i, base + dt.timedelta(milliseconds=t)) for d, i, t in left],
+                              "d int, lid int, t timestamp")
+    R = spark.createDataFrame([(d, j, base + dt.timedelta(milliseconds=t)) for d, j, t in right],
+                              "d int, rid int, rt timestamp")
+    out = align.asof_nearest(L, R, by=["d"], left_ts="t", right_ts="rt", tolerance_seconds=tol_ms / 1000,
+                             right_cols=["rid"], right_order="rid", bucket_factor=factor)
+    got = {r.lid: r.rid for r in out.collect()}
+    for d, i, t in left:
+        cands = [(rt, rid) for rd, rid, rt in right if rd == d]
+        back = [c for c in cands if c[0] <= t]
+        fwd = [c for c in cands if c[0] > t]
+        b = max(back) if back else None            # latest time, then highest id
+        f = min(fwd) if fwd else None              # earliest time, then lowest id
+        exp = None
+        if b is not None and t - b[0] <= tol_ms and (f is None or t - b[0] <= f[0] - t):
+            exp = b[1]
+        elif f is not None and f[0] - t <= tol_ms:
+            exp = f[1]
+        assert got[i] == exp, (d, i, t, b, f, got[i])

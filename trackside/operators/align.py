@@ -28,7 +28,7 @@ def micros(df: DataFrame, col: str) -> Column:
 
 def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: str, right_ts: str,
                  tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS, right_cols: list[str],
-                 right_order: str | None = None, prefix: str = "") -> DataFrame:
+                 right_order: str | None = None, prefix: str = "", bucket_factor: int = 4) -> DataFrame:
     """JN-1: left as-of join to the nearest right row of the same ``by`` key.
 
     |dt| <= tolerance (inclusive); equal distance -> the earlier (backward) row;
@@ -36,28 +36,35 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: s
     (right order = timestamp, then ``right_order``). Unmatched left rows keep
     null right columns.
 
-    Plan: rows are bucketed by ``floor(t / tolerance)``; every right row is
-    also copied into the two neighbouring buckets, so one window over each
+    Plan: rows are bucketed by ``floor(t / W)`` with W = ``bucket_factor`` x
+    tolerance; a right row within one tolerance of its bucket's lower (upper)
+    edge is also copied into the previous (next) bucket, so one window over each
     (key, bucket), ordered by time, holds every right row that can lie within
-    tolerance of the bucket's left rows. The nearest backward / forward right
-    rows are a running ``last`` / ``first`` (ignoring nulls) in that window: no
-    join, no pairs, and a hot key is split by time.
+    tolerance of the bucket's left rows (right side shuffled 1 + 2/factor
+    times). The nearest backward / forward right rows are a running ``last`` /
+    ``first`` (ignoring nulls) in that window: no join, no pairs, and a hot key
+    is split by time.
     """
     tol_us = int(round(tolerance_seconds * 1000000))
-    if tol_us <= 0:
-        raise ValueError("tolerance must be positive")
+    if tol_us <= 0 or bucket_factor < 1:
+        raise ValueError("tolerance and bucket_factor must be positive")
+    width = tol_us * int(bucket_factor)
     rord = F.col(right_order) if right_order else F.lit(0)
     lcols = left.columns
     rtype = T.StructType([T.StructField("_rt", T.LongType()), T.StructField("_ro", T.LongType())]
                          + [right.schema[c] for c in right_cols])
     lt = micros(left, left_ts)
-    Lx = left.select(*[F.col(k) for k in by], lt.alias("_t"), F.floor(lt / F.lit(tol_us)).cast("long").alias("_b"),
+    Lx = left.select(*[F.col(k) for k in by], lt.alias("_t"), F.floor(lt / F.lit(width)).cast("long").alias("_b"),
                      F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_ro"),
                      F.struct(*[F.col(c) for c in lcols]).alias("_l"), F.lit(None).cast(rtype).alias("_r"))
     rt = micros(right, right_ts)
-    rb = F.floor(rt / F.lit(tol_us)).cast("long")
+    rb = F.floor(rt / F.lit(width)).cast("long")
+    # own bucket, plus the previous / next bucket when within tolerance of that edge
+    copies = F.filter(F.array(
+        F.when(rt - rb * width <= tol_us, rb - 1), rb,
+        F.when((rb + 1) * width - rt <= tol_us, rb + 1)), lambda b: b.isNotNull())
     Rx = right.select(*[F.col(k) for k in by], rt.alias("_t"),
-                      F.explode(F.array(rb - 1, rb, rb + 1)).alias("_b"),
+                      F.explode(copies).alias("_b"),
                       F.lit(0).alias("_side"), rord.cast("long").alias("_ro"),
                       F.lit(None).cast(Lx.schema["_l"].dataType).alias("_l"),
                       F.struct(rt.alias("_rt"), rord.cast("long").alias("_ro"),
