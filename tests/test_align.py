@@ -102,3 +102,37 @@ def test_asof_random_against_bruteforce(spark, factor):
         elif f is not None and f[0] - t <= tol_ms:
             exp = f[1]
         assert got[i] == exp, (d, i, t, b, f, got[i])
+
+
+@pytest.mark.parametrize("bucket", [0.5, 3.0, 50.0])
+def test_assign_laps_random_against_bruteforce(spark, bucket):
+    import random
+    rnd = random.Random(11)
+    base = dt.datetime(2025, 3, 15, 5, 0, 0)
+    laps, samples = [], []
+    for d in range(3):
+        starts = sorted(rnd.sample(range(0, 200), 12))
+        for n, st in enumerate(starts):
+            dur = rnd.choice([None, 0.0, 2.0, 7.5, 30.0])            # None/0 -> next start or +180 s
+            laps.append((d, n + 1, st, dur))
+        samples += [(d, len(samples) + k, rnd.randint(-5, 420) / 2) for k in range(120)]
+    L = spark.createDataFrame([(d, n, base + dt.timedelta(seconds=st), dur) for d, n, st, dur in laps],
+                              "d int, lap_number int, date_start timestamp, lap_duration double")
+    Sm = spark.createDataFrame([(d, sid, base + dt.timedelta(seconds=t)) for d, sid, t in samples],
+                               "d int, sid int, t timestamp")
+    got = {r.sid: r.LapNumber for r in align.assign_laps(Sm, L, by=["d"], sample_ts="t", bucket_seconds=bucket,
+                                                          sample_id="sid").collect()}
+    exp = {}
+    for d in range(3):
+        mine = sorted((st, n, dur) for dd, n, st, dur in laps if dd == d)
+        spans = []
+        for k, (st, n, dur) in enumerate(mine):
+            end = st + dur if dur else (mine[k + 1][0] if k + 1 < len(mine) else st + 180.0)
+            spans.append((st, n, end))
+        for dd, sid, t in samples:
+            if dd != d:
+                continue
+            hit = [(st, n) for st, n, end in spans if st <= t <= end]
+            if hit:
+                exp[sid] = max(hit)[1]                                  # later start wins
+    assert got == exp
