@@ -101,7 +101,8 @@ RACE_STATS = {"Throttle": ["mean", "max"], "Brake": ["mean", "max"], "Speed": ["
               "RPM": ["mean", "max"], "LapNumber": ["max"]}
 
 
-def driver_corner_deep_dive(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+def driver_corner_deep_dive(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
+                            exact_mean: bool = False) -> DataFrame:
     """AG-8 (per corner): data points, min/max speed, min/max acceleration, mean
     throttle and mean brake (0/1) for every driver and corner at once."""
     work = df.filter(F.col("Corner").isNotNull() & F.col(S.DRIVER_COL).isNotNull())
@@ -109,19 +110,20 @@ def driver_corner_deep_dive(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS)
         F.count(F.lit(1)).alias("Data_Points"),
         F.min("Speed").alias("Min_Speed"), F.max("Speed").alias("Max_Speed"),
         F.min("Acceleration").alias("Max_Deceleration"), F.max("Acceleration").alias("Max_Acceleration"),
-        F.avg("Throttle").alias("Avg_Throttle"), F.avg(_brake_num(work)).alias("Avg_Brake"),
+        mean("Throttle", exact_mean).alias("Avg_Throttle"), mean(_brake_num(work), exact_mean).alias("Avg_Brake"),
     )
 
 
-def driver_session_deep_dive(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
+def driver_session_deep_dive(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
+                             exact_mean: bool = False) -> DataFrame:
     """AG-8 (whole session): points, laps completed, mean/max of throttle, brake, speed."""
     work = drop_null_keys(df, [S.DRIVER_COL])
     b = _brake_num(work)
     return work.groupBy(*keys, S.DRIVER_COL).agg(
         F.count(F.lit(1)).alias("Data_Points"), F.max(S.LAP_COL).alias("Laps_Completed"),
-        F.avg("Throttle").alias("Avg_Throttle"), F.max("Throttle").alias("Max_Throttle"),
-        F.avg(b).alias("Avg_Brake"), F.max(b).alias("Max_Brake"),
-        F.avg("Speed").alias("Avg_Speed"), F.max("Speed").alias("Max_Speed"),
+        mean("Throttle", exact_mean).alias("Avg_Throttle"), F.max("Throttle").alias("Max_Throttle"),
+        mean(b, exact_mean).alias("Avg_Brake"), F.max(b).alias("Max_Brake"),
+        mean("Speed", exact_mean).alias("Avg_Speed"), F.max("Speed").alias("Max_Speed"),
     )
 
 

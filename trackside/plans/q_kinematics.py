@@ -139,21 +139,21 @@ def q_driver_race_stats(spark, sf):
 SELECT {KEYS}, "Driver", "Corner", count(*) AS "Data_Points",
        min("Speed") AS "Min_Speed", max("Speed") AS "Max_Speed",
        min("Acceleration") AS "Max_Deceleration", max("Acceleration") AS "Max_Acceleration",
-       round(avg("Throttle"), 6) AS "Avg_Throttle", round(avg(CAST("Brake" AS INTEGER)), 6) AS "Avg_Brake"
+       round({xmean('"Throttle"')}, 6) AS "Avg_Throttle", round({xmean('CAST("Brake" AS INTEGER)')}, 6) AS "Avg_Brake"
 FROM proc WHERE "Corner" IS NOT NULL GROUP BY ALL"""))
 def q_driver_deep_dive(spark, sf):
-    d = summaries.driver_corner_deep_dive(processed(spark, sf))
+    d = summaries.driver_corner_deep_dive(processed(spark, sf), exact_mean=True)
     return d.withColumn("Avg_Throttle", r6("Avg_Throttle")).withColumn("Avg_Brake", r6("Avg_Brake"))
 
 
 @register("driver_session_deep_dive", sql(f"""
 SELECT {KEYS}, "Driver", count(*) AS "Data_Points", max("LapNumber") AS "Laps_Completed",
-       round(avg("Throttle"), 6) AS "Avg_Throttle", max("Throttle") AS "Max_Throttle",
-       round(avg(CAST("Brake" AS INTEGER)), 6) AS "Avg_Brake", max(CAST("Brake" AS INTEGER)) AS "Max_Brake",
-       round(avg("Speed"), 6) AS "Avg_Speed", max("Speed") AS "Max_Speed"
+       round({xmean('"Throttle"')}, 6) AS "Avg_Throttle", max("Throttle") AS "Max_Throttle",
+       round({xmean('CAST("Brake" AS INTEGER)')}, 6) AS "Avg_Brake", max(CAST("Brake" AS INTEGER)) AS "Max_Brake",
+       round({xmean('"Speed"')}, 6) AS "Avg_Speed", max("Speed") AS "Max_Speed"
 FROM tel GROUP BY ALL"""))
 def q_driver_session_deep_dive(spark, sf):
-    d = summaries.driver_session_deep_dive(telemetry_view(spark, sf))
+    d = summaries.driver_session_deep_dive(telemetry_view(spark, sf), exact_mean=True)
     for c in ("Avg_Throttle", "Avg_Brake", "Avg_Speed"):
         d = d.withColumn(c, r6(c))
     return d
