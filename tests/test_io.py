@@ -164,3 +164,14 @@ def test_load_telemetry_processed_else_raw(spark, tmpdir_fresh):
     assert "Acceleration" in t.columns and t.count() == 5
     with __import__("pytest").raises(FileNotFoundError):
         files.load_telemetry(spark, os.path.join(tmpdir_fresh, "processed"))
+
+
+def test_session_predicates_and_union(spark):
+    from trackside.operators.sessions import session_predicate, union_by_name
+    s = spark.createDataFrame([(1, "Race", "Race"), (2, "Sprint Race", "Race"), (3, "Qualifying", "Qualifying"),
+                               (4, "Practice 3", "Practice")], "k int, session_name string, session_type string")
+    assert sorted(r.k for r in s.filter(session_predicate(name_contains="Race")).collect()) == [1, 2]
+    assert sorted(r.k for r in s.filter(session_predicate(types=["Qualifying", "Race"])).collect()) == [1, 2, 3]
+    assert [r.k for r in s.filter(session_predicate(name_equals="Qualifying")).collect()] == [3]
+    u = union_by_name([s.select("k"), s.select("k", "session_type")])
+    assert u.count() == 8 and u.filter("session_type IS NULL").count() == 4
