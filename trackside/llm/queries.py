@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackside.llm import decontaminate, exact_dedup, langid, mixing, simhash
-from trackside.llm.common import UPPER, crc_fold, read_table
+from trackside.llm import decontaminate, exact_dedup, langid, mixing, quality, simhash, substring_dedup, token_counts, warc
+from trackside.llm.common import UPPER, crc_fold, read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,48 @@ _NORM = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 LANG_FOLDS, LANG_HELD_OUT = 4, 2
 
 
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """``docs`` with three edits each, placed by the text's length: a deletion, an insertion, a change of case."""
+    n, at = F.char_length("text"), lambda c: c.cast("long")
+    tail = F.greatest(n - 40, F.lit(0))
+    return docs.select("doc_id", "text", F.array(
+        F.struct(at(n / 4).alias("start"), at(n / 4 + 16).alias("end"), F.lit("").alias("replacement")),
+        F.struct(at(n / 2).alias("start"), at(n / 2).alias("end"),
+                 F.concat(F.lit(" ["), F.coalesce("source", F.lit("")), F.lit("] ")).alias("replacement")),
+        F.struct(at(tail).alias("start"), at(tail + 8).alias("end"),
+                 F.upper(F.expr("substring(text, int(greatest(char_length(text) - 40, 0)) + 1, 8)")).alias("replacement")),
+    ).cast(token_counts.EDITS_TYPE).alias("edits"))
+
+
+@register("op1_edit_aware_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = token_counts.build_trees(sample_edits(read_table(spark, sf_dir, "documents")), keep=("edits",))
+    return token_counts.apply_edits(trees).select(
+        F.col("id").alias("doc_id"), "n_tokens", "n_edits", "n_pretokens_after", "n_tokens_after", "n_reencoded",
+        "chars_reencoded")
+
+
+@register("op2_warc_revisits", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+o AS (SELECT h, max(page_id) AS original FROM p WHERE strlen(h) >= {warc.MIN_REVISIT_BYTES} GROUP BY h)
+SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN o.original IS NULL OR o.original = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN o.original <> p.page_id THEN o.original END AS refers_to
+FROM p LEFT JOIN o USING (h)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = warc.headers(read_table(spark, sf_dir, "pages"))
+    segments = warc.write_archives(warc.resolve_revisits(heads))
+    records = stored(warc.read_archives(segments, with_payload=False).drop("payload"), "warc-records")
+    return warc.join_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_text=False)
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @register("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
@@ -114,3 +156,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = langid.predict(docs, language_model(docs))
     return got.select(F.col("id").alias("doc_id"), (crc_fold(F.col("id"), LANG_FOLDS) == LANG_HELD_OUT).alias("held_out"),
                       "lang_pred", "score", "ambiguous")
+
+
+QUALITY_FOLDS, QUALITY_HELD_OUT = 5, 3
+
+
+@register("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources; paths are the languages within a source."""
+    got = quality.quality_scores(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+        train=crc_fold(F.col("id"), QUALITY_FOLDS) != QUALITY_HELD_OUT, host=F.col("source"), path=F.col("lang"))
+    return got.select(F.col("id").alias("doc_id"),
+                      (crc_fold(F.col("id"), QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out"),
+                      "host_prior", "path_prior", "evidence", "quality", "kept")
