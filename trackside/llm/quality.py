@@ -129,7 +129,7 @@ def fit_evidence(features: DataFrame, labels: DataFrame, *, train: Column, id_co
     sample = rows.filter(draw < share).select(array_to_vector("x").alias("features"), F.col("y").alias("label"),
                                               (F.lit(1.0) / share).alias("w"))
     model = LogisticRegression(maxIter=40, regParam=1e-4, weightCol="w").fit(sample)
-    return Evidence(model.coefficients.tolist(), float(model.intercept), base)
+    return Evidence(model.coefficients.toArray().tolist(), float(model.intercept), base)
 
 
 def _strength(between: float, within: float, scale: float, mean_var: float) -> float:

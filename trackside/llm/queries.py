@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackside.llm import decontaminate, exact_dedup, langid, mixing, quality, simhash, substring_dedup, token_counts, warc
+from trackside.llm import decontaminate, exact_dedup, langid, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts, warc
 from trackside.llm.common import UPPER, crc_fold, read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id", "n_links")
 
 
+LM_FOLDS, LM_HELD_OUT = 5, 1
+
+
+@register("op5_suffix_tree_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_tree.score_documents(read_table(spark, sf_dir, "documents"),
+                                      train=crc_fold(F.col("doc_id"), LM_FOLDS) != LM_HELD_OUT)
+    return got.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
 @register("op6_exact_dedup", f"""
 WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
