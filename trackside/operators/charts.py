@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +11,18 @@ from trackside.functions.exprs import cluster_color, cluster_label
 
 def normalize_profiles(profiles: DataFrame, features: list[str], *, by: str = "Cluster") -> DataFrame:
     """WN-8: min-max scale each feature across clusters to 0..1; a constant or
-    all-null feature becomes 0.5. The min/max are one aggregate row joined on a
-    constant key (the profiles table has one row per cluster)."""
+    all-null feature becomes 0.5. The ranges are one aggregate row over the profiles
+    table (one row per cluster), read once and used as literals."""
     feats = [f for f in features if f in profiles.columns]
-    rng = profiles.agg(*[e for f in feats for e in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))])
-    j = profiles.withColumn("_one", F.lit(1)).join(rng.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    out = []
-    for f in feats:
-        lo, hi = F.col(f"_lo_{f}"), F.col(f"_hi_{f}")
-        out.append(F.when(lo.isNull() | hi.isNull() | (hi == lo), F.lit(0.5))
-                   .otherwise((F.col(f) - lo) / (hi - lo)).alias(f))
-    return j.select(by, *out)
+    rng = profiles.agg(*[e for f in feats for e in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).first()
+
+    def scaled(f):
+        lo, hi = rng[f"lo_{f}"], rng[f"hi_{f}"]
+        if lo is None or hi is None or hi == lo:
+            return F.lit(0.5).alias(f)
+        return ((F.col(f) - F.lit(lo)) / F.lit(hi - lo)).alias(f)
+
+    return profiles.select(by, *[scaled(f) for f in feats])
 
 
 def radar_long(profiles: DataFrame, features: list[str] | None = None, *, by: str = "Cluster") -> DataFrame:
@@ -31,10 +30,10 @@ def radar_long(profiles: DataFrame, features: list[str] | None = None, *, by: st
     first spoke repeated at the end to close each polygon."""
     feats = [f for f in (features or S.RADAR_FEATURES) if f in profiles.columns]
     norm = normalize_profiles(profiles, feats, by=by)
-    parts = [norm.select(by, F.lit(i).alias("Spoke"), F.lit(f).alias("Feature"), F.col(f).alias("Value"))
-             for i, f in enumerate(feats + feats[:1])]
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn(
-        "Color", cluster_color(by)).withColumn("Label", cluster_label(by))
+    spokes = F.array(*[F.struct(F.lit(i).alias("Spoke"), F.lit(f).alias("Feature"), F.col(f).cast("double").alias("Value"))
+                       for i, f in enumerate(feats + feats[:1])])
+    return norm.select(by, F.explode(spokes).alias("_s")).select(
+        by, "_s.*", cluster_color(by).alias("Color"), cluster_label(by).alias("Label"))
 
 
 def pca_scatter(labels: DataFrame, coords: DataFrame, *, id_col: str = S.DRIVER_COL) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
@@ -12,38 +13,46 @@ from trackside.operators import charts, clustering
 from trackside.plans.common import round6
 from trackside.plans.registry import register
 from trackside.sources.adapter import read_table
-from trackside.session import checkpoint_dir
+from trackside.session import checkpoint_dir, cut_lineage
 
-DIMS8 = [f"d{i}" for i in range(8)]
 DIMS = [f"d{i}" for i in range(64)]
+# some cells are blanked by a rule on the id, so that imputation has work to do
+BLANK_EVERY = 7
 
 
-def emb_matrix(spark, sf, dims=DIMS8):
+def emb_matrix(spark, sf, *, blanks: bool = False):
     """Embeddings as a matrix: id ``Driver`` (vec_id as text), one column per dimension."""
     e = read_table(spark, sf, "embeddings")
+
+    def cell(i):
+        v = F.col("embedding")[i].cast("double")
+        return F.when(F.col("vec_id") % BLANK_EVERY != i % BLANK_EVERY, v) if blanks else v
+
     return e.select(F.col("vec_id").cast("string").alias("Driver"), F.col("label").alias("Cluster"),
-                    *[F.col("embedding")[int(d[1:])].cast("double").alias(d) for d in dims])
+                    *[cell(i).alias(d) for i, d in enumerate(DIMS)])
 
 
 @register("impute_scale", f"""
-m AS (SELECT vec_id, {", ".join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS d{i}' for i in range(8))} FROM embeddings),
-st AS (SELECT {", ".join(f'avg(d{i}) AS mu{i}, stddev_pop(d{i}) AS sd{i}' for i in range(8))} FROM m)
+m AS (SELECT vec_id, {", ".join(f'CASE WHEN vec_id % {BLANK_EVERY} <> {i % BLANK_EVERY} THEN CAST(embedding[{i + 1}] AS DOUBLE) END AS d{i}' for i in range(64))} FROM embeddings),
+mu AS (SELECT {", ".join(f'avg(d{i}) AS mu{i}' for i in range(64))} FROM m),
+f AS (SELECT vec_id, {", ".join(f'COALESCE(d{i}, mu{i}) AS d{i}' for i in range(64))} FROM m, mu),
+st AS (SELECT {", ".join(f'avg(d{i}) AS mu{i}, stddev_pop(d{i}) AS sd{i}' for i in range(64))} FROM f)
 ---
 SELECT CAST(vec_id AS VARCHAR) AS "Driver",
-  {", ".join(f'round(CASE WHEN sd{i} IS NULL OR sd{i} = 0 THEN 0.0 ELSE (COALESCE(d{i}, mu{i}) - mu{i}) / sd{i} END, 6) AS d{i}' for i in range(8))}
-FROM m, st""", adapter=False)
+  {", ".join(f'round(CASE WHEN sd{i} IS NULL OR sd{i} = 0 THEN 0.0 ELSE (d{i} - mu{i}) / sd{i} END, 6) AS d{i}' for i in range(64))}
+FROM f, st""", adapter=False)
 def q_impute_scale(spark, sf):
-    """ML-1 + ML-2 on the first 8 embedding dimensions."""
-    m = emb_matrix(spark, sf).drop("Cluster")
-    means = clustering.column_means(m, DIMS8)
-    imp = clustering.impute_means(m, DIMS8, means)
-    return round6(clustering.apply_scaler(imp, DIMS8, clustering.fit_scaler(imp, DIMS8)), DIMS8)
+    """ML-1 + ML-2 on all embedding dimensions, a seventh of the cells blank."""
+    m = emb_matrix(spark, sf, blanks=True).drop("Cluster")
+    means = clustering.column_means(m, DIMS)
+    imp = clustering.impute_means(m, DIMS, means)
+    return round6(clustering.apply_scaler(imp, DIMS, clustering.fit_scaler(imp, DIMS)), DIMS)
 
 
 SIL_SQL = """
 p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 cnt AS (SELECT label, count(*) AS n FROM p GROUP BY label),
-dist AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s
+dist AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(pow(list_distance(a.v, b.v), 2)) AS s
          FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY ALL),
 ab AS (SELECT d.vec_id, d.own,
               max(CASE WHEN d.other = d.own THEN d.s / (c.n - 1) END) AS a,
@@ -54,7 +63,7 @@ sil AS (SELECT p.vec_id, p.label, CASE WHEN c.n > 1 THEN (ab.b - ab.a) / greates
 
 
 def _emb_points(spark, sf):
-    m = emb_matrix(spark, sf, DIMS)
+    m = emb_matrix(spark, sf)
     return clustering.assemble(m, DIMS).select("Driver", "Cluster", "features")
 
 
@@ -63,30 +72,30 @@ def _emb_points(spark, sf):
 SELECT CAST(vec_id AS VARCHAR) AS "Driver", label AS "Cluster", round(s, 6) AS silhouette FROM sil""",
           adapter=False)
 def q_silhouette_by_label(spark, sf):
-    """ML-4: exact Euclidean silhouette of every embedding, clusters = label."""
-    return round6(clustering.silhouette_exact(_emb_points(spark, sf)), ["silhouette"])
+    """ML-4: silhouette (squared Euclidean) of every embedding, clusters = label."""
+    return round6(clustering.silhouette_points(_emb_points(spark, sf)), ["silhouette"])
 
 
 @register("silhouette_score", SIL_SQL + """
 ---
 SELECT round(avg(s), 6) AS silhouette FROM sil""", adapter=False)
 def q_silhouette_score(spark, sf):
-    return round6(clustering.silhouette_exact(_emb_points(spark, sf)).agg(F.avg("silhouette").alias("silhouette")),
+    return round6(clustering.silhouette_points(_emb_points(spark, sf)).agg(F.avg("silhouette").alias("silhouette")),
                   ["silhouette"])
 
 
 PROF_SQL = f"""
-prof AS (SELECT label AS "Cluster", {", ".join(f'avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS d{i}' for i in range(8))}
+prof AS (SELECT label AS "Cluster", {", ".join(f'avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS d{i}' for i in range(64))}
          FROM embeddings GROUP BY label)"""
 
 
 @register("cluster_profiles", PROF_SQL + f"""
 ---
-SELECT "Cluster", {", ".join(f'round(d{i}, 6) AS d{i}' for i in range(8))} FROM prof""", adapter=False)
+SELECT "Cluster", {", ".join(f'round(d{i}, 6) AS d{i}' for i in range(64))} FROM prof""", adapter=False)
 def q_cluster_profiles(spark, sf):
     """AG-16: mean features per cluster (embedding label as the cluster)."""
     m = emb_matrix(spark, sf)
-    return round6(m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS8]), DIMS8)
+    return round6(m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS]), DIMS)
 
 
 _PALETTE_CASE = "CASE \"Cluster\" % 8 " + " ".join(
@@ -94,20 +103,20 @@ _PALETTE_CASE = "CASE \"Cluster\" % 8 " + " ".join(
 
 
 @register("radar_long", PROF_SQL + "," + f"""
-rng AS (SELECT {", ".join(f'min(d{i}) AS lo{i}, max(d{i}) AS hi{i}' for i in range(8))} FROM prof),
-norm AS (SELECT "Cluster", {", ".join(f'CASE WHEN lo{i} IS NULL OR hi{i} IS NULL OR hi{i} = lo{i} THEN 0.5 ELSE (d{i} - lo{i}) / (hi{i} - lo{i}) END AS d{i}' for i in range(8))}
+rng AS (SELECT {", ".join(f'min(d{i}) AS lo{i}, max(d{i}) AS hi{i}' for i in range(64))} FROM prof),
+norm AS (SELECT "Cluster", {", ".join(f'CASE WHEN lo{i} IS NULL OR hi{i} IS NULL OR hi{i} = lo{i} THEN 0.5 ELSE (d{i} - lo{i}) / (hi{i} - lo{i}) END AS d{i}' for i in range(64))}
          FROM prof, rng)
 ---
 SELECT "Cluster", "Spoke", "Feature", round("Value", 6) AS "Value", {_PALETTE_CASE} AS "Color",
        'Cluster ' || CAST("Cluster" AS VARCHAR) AS "Label"
 FROM (
   {" UNION ALL ".join(f"SELECT \"Cluster\", {j} AS \"Spoke\", 'd{i}' AS \"Feature\", d{i} AS \"Value\" FROM norm"
-                      for j, i in enumerate(list(range(8)) + [0]))})""", adapter=False)
+                      for j, i in enumerate(list(range(64)) + [0]))})""", adapter=False)
 def q_radar_long(spark, sf):
-    """WN-8 + CH-7 on cluster profiles of 8 embedding dimensions."""
+    """WN-8 + CH-7 on cluster profiles of all embedding dimensions."""
     m = emb_matrix(spark, sf)
-    prof = m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS8])
-    return round6(charts.radar_long(prof, DIMS8), ["Value"])
+    prof = m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS])
+    return round6(charts.radar_long(prof, DIMS), ["Value"])
 
 
 @register("cluster_palette", f"""
@@ -121,28 +130,44 @@ def q_cluster_palette(spark, sf):
 
 
 # --------------------------------------------------------------------------- #
-# Rows-only group (no SQL oracle): k-means, k choice, PCA, model round trip.
+# Fitted models: k-means, k choice, PCA, model round trip.
 # --------------------------------------------------------------------------- #
-def _fit(spark, sf, k=None):
-    m = emb_matrix(spark, sf).drop("Cluster")
-    return clustering.fit_driver_clusters(m, n_clusters=k, cols=DIMS8)
+def _fit(spark, sf, k=None, **parts):
+    m = emb_matrix(spark, sf, blanks=True).drop("Cluster")
+    return clustering.fit_driver_clusters(m, n_clusters=k, cols=DIMS, **parts)
 
 
 @register("kmeans_labels")
 def q_kmeans_labels(spark, sf):
-    """ML-3 + ML-7: k-means (k=4, 10 seeds) on the scaled 8-dim embedding matrix."""
-    return _fit(spark, sf, 4).labels
+    """ML-3 + ML-7: k-means (k=4, 10 seeds) on the scaled embedding matrix."""
+    return _fit(spark, sf, 4, score=False, pca=False).labels
+
+
+ALL_TRUE = """SELECT CAST(vec_id AS VARCHAR) AS "Driver", TRUE AS "{}" FROM embeddings"""
+
+
+@register("kmeans_nearest", ALL_TRUE.format("Nearest"), adapter=False)
+def q_kmeans_nearest(spark, sf):
+    """ML-3: every point carries the label of the centre nearest to it (constant true)."""
+    r = _fit(spark, sf, 4, score=False, pca=False)
+    v = vector_to_array(F.col("features"))
+    back = {label: raw for raw, label in r.label_map.items()}
+    centres = r.kmeans.clusterCenters()
+    far = [F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in centres[back[c]]]), lambda a, b: (a - b) * (a - b)),
+                       F.lit(0.0), lambda acc, x: acc + x) for c in sorted(back)]
+    return r.scaled.withColumn("_d", F.array(*far)).select(
+        "Driver", (F.element_at("_d", F.col("Cluster") + 1) <= F.array_min("_d") + 1e-9).alias("Nearest"))
 
 
 @register("best_k")
 def q_best_k(spark, sf):
     """ML-5: silhouette-based choice of k in [3, 8] (one row per tried k)."""
-    m = emb_matrix(spark, sf).drop("Cluster")
-    means = clustering.column_means(m, DIMS8)
-    imp = clustering.impute_means(m, DIMS8, means)
-    x = clustering.apply_scaler(imp, DIMS8, clustering.fit_scaler(imp, DIMS8))
-    vec = clustering.assemble(x, DIMS8).select("Driver", "features")
-    best, scores = clustering.find_best_k(vec, n_init=2)
+    m = emb_matrix(spark, sf, blanks=True).drop("Cluster")
+    means = clustering.column_means(m, DIMS)
+    imp = clustering.impute_means(m, DIMS, means)
+    x = clustering.apply_scaler(imp, DIMS, clustering.fit_scaler(imp, DIMS))
+    vec = cut_lineage(clustering.assemble(x, DIMS).select("Driver", "features"))
+    best, scores = clustering.find_best_k(vec)
     return spark.createDataFrame([(k, float(v), k == best) for k, v in sorted(scores.items())],
                                  "k int, silhouette double, chosen boolean")
 
@@ -150,29 +175,32 @@ def q_best_k(spark, sf):
 @register("pca_coords")
 def q_pca_coords(spark, sf):
     """ML-6 + CH-6: PCA scatter of the clustered matrix."""
-    r = _fit(spark, sf, 4)
+    r = _fit(spark, sf, 4, score=False)
     return charts.pca_scatter(r.labels, r.pca_coords)
 
 
 @register("cluster_roster")
 def q_cluster_roster(spark, sf):
     """CH-8: drivers by cluster."""
-    return charts.cluster_roster(_fit(spark, sf, 4).labels)
+    return charts.cluster_roster(_fit(spark, sf, 4, score=False, pca=False).labels)
 
 
-@register("predict_roundtrip")
+@register("predict_roundtrip", ALL_TRUE.format("Same"), adapter=False)
 def q_predict_roundtrip(spark, sf):
-    """SNK-7 + ML-8: save, load and predict; ``Same`` tells whether the label
-    after the round trip equals the fitted one."""
-    r = _fit(spark, sf, 4)
+    """SNK-7 + ML-8: save, load and predict; ``Same`` tells whether label and PCA
+    coordinates after the round trip equal the fitted ones (constant true)."""
+    r = _fit(spark, sf, 4, score=False)
     # models go to the shared checkpoint folder, else the session's warehouse folder
     base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
     path = base.rstrip("/") + f"/trackside_models/emb_k4_{uuid.uuid4().hex}"
     clustering.save_clustering_model(r, path)
     art = clustering.load_clustering_model(spark, path)
-    m = emb_matrix(spark, sf).drop("Cluster")
+    m = emb_matrix(spark, sf, blanks=True).drop("Cluster")
     pred = clustering.predict_driver_clusters(m, art).withColumnRenamed("Cluster", "Predicted")
-    return r.labels.join(pred, "Driver").withColumn("Same", F.col("Cluster") == F.col("Predicted"))
+    again = clustering.predict_pca(m, art).select("Driver", F.col("PC1").alias("_1"), F.col("PC2").alias("_2"))
+    return (r.labels.join(r.pca_coords, "Driver").join(pred, "Driver").join(again, "Driver")
+            .select("Driver", ((F.col("Cluster") == F.col("Predicted")) & (F.abs(F.col("PC1") - F.col("_1")) < 1e-9)
+                               & (F.abs(F.col("PC2") - F.col("_2")) < 1e-9)).alias("Same")))
 
 
 @register("season_clusters")
@@ -182,5 +210,5 @@ def q_season_clusters(spark, sf):
     from trackside.plans.q_features import rdf
     from trackside.operators import features
     fm = features.driver_feature_matrix(rdf(spark, sf))
-    r = clustering.fit_driver_clusters(fm, n_init=3)
+    r = clustering.fit_driver_clusters(fm)
     return charts.pca_scatter(r.labels, r.pca_coords)
