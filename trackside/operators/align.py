@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackside import schemas as S
+from trackside.session import cut_lineage
 
 
 def micros(df: DataFrame, col: str) -> Column:
@@ -38,12 +39,13 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: s
 
     Plan: rows are bucketed by ``floor(t / W)`` with W = ``bucket_factor`` x
     tolerance; a right row within one tolerance of its bucket's lower (upper)
-    edge is also copied into the previous (next) bucket, so one window over each
-    (key, bucket), ordered by time, holds every right row that can lie within
-    tolerance of the bucket's left rows (right side shuffled 1 + 2/factor
-    times). The nearest backward / forward right rows are a running ``last`` /
-    ``first`` (ignoring nulls) in that window: no join, no pairs, and a hot key
-    is split by time.
+    edge is also copied into the previous (next) bucket, so one exchange by
+    (key, bucket) brings together every right row that can lie within tolerance
+    of the bucket's left rows (right side shuffled 1 + 2/factor times). The
+    nearest backward right row is a running ``last`` (ignoring nulls) in time
+    order, the nearest forward one a running ``last`` in reversed order: each row
+    is visited twice, there is no join and there are no pairs, and a hot key is
+    split by time.
     """
     tol_us = int(round(tolerance_seconds * 1000000))
     if tol_us <= 0 or bucket_factor < 1:
@@ -69,12 +71,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: s
                       F.lit(None).cast(Lx.schema["_l"].dataType).alias("_l"),
                       F.struct(rt.alias("_rt"), rord.cast("long").alias("_ro"),
                                *[F.col(c) for c in right_cols]).alias("_r"))
-    w = Window.partitionBy(*by, "_b").orderBy("_t", "_side", "_ro")
+    order = ["_t", "_side", "_ro"]
+    w = Window.partitionBy(*by, "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = (Lx.unionByName(Rx)
-               .withColumn("_bk", F.last("_r", ignorenulls=True).over(
-                   w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-               .withColumn("_fw", F.first("_r", ignorenulls=True).over(
-                   w.rowsBetween(1, Window.unboundedFollowing)))
+               .withColumn("_bk", F.last("_r", ignorenulls=True).over(w.orderBy(*order)))
+               .withColumn("_fw", F.last("_r", ignorenulls=True).over(w.orderBy(*[F.desc_nulls_last(c) for c in order])))
                .filter(F.col("_side") == 1))
     db = F.col("_t") - F.col("_bk._rt")
     df_ = F.col("_fw._rt") - F.col("_t")
@@ -166,7 +167,9 @@ def attach_lap_attributes(samples: DataFrame, lap_attrs: DataFrame, *, keys: lis
 
 def time_in_lap(samples: DataFrame, *, lap_keys: list[str], ts: str, out_col: str = S.TIME_COL) -> DataFrame:
     """WN-3: seconds since the first sample of the lap. The lap start is a partial
-    aggregate joined back on the lap keys (no whole-lap window)."""
+    aggregate joined back on the lap keys (no whole-lap window); the samples are
+    materialised once, so that the upstream work is not planned twice."""
+    samples = cut_lineage(samples)
     t = micros(samples, ts)
     first = samples.groupBy(*lap_keys).agg(F.min(t).alias("_lap_t0"))
     return (samples.join(first, lap_keys, "inner")

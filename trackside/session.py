@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,9 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss).
 
-    Without a checkpoint folder the frame is persisted memory-and-disk; it is
-    then recomputed from lineage if an executor is lost.
+    Only where the session names no folder (a local session) a fresh one is set.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not checkpoint_dir(df.sparkSession):
+        df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackside-checkpoint-"))
+    return df.checkpoint(eager=True)
