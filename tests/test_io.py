@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -77,6 +78,84 @@ def test_streaming_ingest_only_new_files(spark, tmpdir_fresh):
     assert spark.read.parquet(store).count() == 10
 
 
+def test_processed_discovery_keeps_every_season(spark, tmpdir_fresh):
+    for name, body in [("r01_australia_2024_quali_telemetry_processed.csv", "VER,1,0.0\n"),
+                       ("r01_australia_2025_quali_telemetry_processed.csv", "NOR,1,0.0\n"),
+                       ("r01_australia_2025_quali_telemetry_processed_sample.csv", "NOR,1,0.0\n")]:
+        with open(os.path.join(tmpdir_fresh, name), "w") as f:
+            f.write("Driver,LapNumber,TimeInLap\n" + body)
+    got = files.read_processed_sessions(spark, tmpdir_fresh, "Driver string, LapNumber int, TimeInLap double")
+    assert sorted((r.Year, r.Round, r.Driver) for r in got.collect()) == [(2024, 1, "VER"), (2025, 1, "NOR")]
+    none = files.read_processed_sessions(spark, os.path.join(tmpdir_fresh, "nothing"), "Driver string")
+    assert none.count() == 0 and none.columns == ["Driver", "Year", "Round", "event_slug", "is_sample"]
+
+
+def test_streaming_ingest_joins_split_sessions(spark, tmpdir_fresh):
+    landed, store, ckpt = (os.path.join(tmpdir_fresh, x) for x in ("landed", "store", "ckpt"))
+    whole = _raw(spark, [1])
+    later = whole.withColumn("TimeInLap", F.col("TimeInLap") + 5).withColumn("sample_id", F.col("sample_id") + 5)
+    for n, part in enumerate((whole.filter("TimeInLap < 2"), whole.filter("TimeInLap >= 2"))):
+        part.coalesce(1).write.parquet(os.path.join(landed, f"s{n}"))
+    start_ingest(spark, landed + "/*", store, ckpt, schema=whole.schema, max_files_per_trigger=1).awaitTermination(120)
+    assert spark.read.parquet(store).count() == 5
+    later.write.parquet(os.path.join(landed, "s9"))  # the same session goes on in another run
+    start_ingest(spark, landed + "/*", store, ckpt, schema=whole.schema).awaitTermination(120)
+    got = spark.read.parquet(store)
+    assert got.count() == 10 and got.select("TimeInLap").distinct().count() == 10
+
+
+def test_two_seasons_and_session_types(spark):
+    from trackside.operators.sessions import session_predicate
+    from trackside.plans.ingest import api_ingest_rejects
+    t = datetime(2025, 3, 15, 5)
+    sessions = spark.createDataFrame(
+        [(1, "Qualifying", "Australia", "Melbourne", 2024), (2, "Qualifying", "Australia", "Melbourne", 2025),
+         (3, "Race", "Australia", "Melbourne", 2025), (4, "Qualifying", "Atlantis", "Deep", 2025)],
+        "session_key long, session_name string, country_name string, location string, year int")
+    schedule = spark.createDataFrame([("Australia", "Melbourne", 3, "2024-03-24"), ("Australia", "Melbourne", 1, "2025-03-16")],
+                                     "Country string, Location string, RoundNumber int, EventDate string")
+    keys = [1, 2, 3, 4]
+    laps = spark.createDataFrame([(k, 1, n, t + timedelta(seconds=10 * n), 10.0, None, None, None, n == 1)
+                                  for k in keys for n in (1, 2)],
+                                 "session_key long, driver_number int, lap_number int, date_start timestamp, lap_duration double, "
+                                 "duration_sector_1 double, duration_sector_2 double, duration_sector_3 double, is_pit_out_lap boolean")
+    car = [(k, 1, t + timedelta(seconds=x), 1.0, 0.0, 1, 1.0, 100.0 + x, 3) for k in keys for x in (1, 12, 21, 22, 22, 23, 50)]
+    car = spark.createDataFrame(car, api_docs._st(("session_key", api_docs._L), ("driver_number", api_docs._I), ("date", api_docs._TS),
+                                                  ("throttle", api_docs._D), ("brake", api_docs._D), ("drs", api_docs._I),
+                                                  ("rpm", api_docs._D), ("speed", api_docs._D), ("n_gear", api_docs._I)))
+    stints = spark.createDataFrame([], api_docs.ENDPOINT_SCHEMAS["stints"])
+    location = spark.createDataFrame([], api_docs.ENDPOINT_SCHEMAS["location"])
+    drivers = spark.createDataFrame([(k, 1, a) for k in keys for a in ("VER", "AAA")],
+                                    "session_key long, driver_number int, name_acronym string")
+    for picked, want in ((None, {(2024, 3, "Q"): 3, (2025, 1, "Q"): 3, (2025, 1, "R"): 3}),
+                         (session_predicate(name_equals="Qualifying"), {(2024, 3, "Q"): 3, (2025, 1, "Q"): 3})):
+        tel = api_to_telemetry(sessions=sessions, drivers=drivers, laps=laps, stints=stints, car_data=car, location=location,
+                               schedule=schedule, session_filter=picked)
+        got = {(r.Year, r.Round, r.SessionType): r["n"]
+               for r in tel.groupBy("Year", "Round", "SessionType").agg(F.count("*").alias("n")).collect()}
+        assert got == want and {r.Driver for r in tel.select("Driver").distinct().collect()} == {"AAA"}
+        rej = {}
+        for r in api_ingest_rejects(sessions=sessions, laps=laps, car_data=car, schedule=schedule, session_filter=picked).collect():
+            rej[r.session_key] = rej.get(r.session_key, 0) + r["count"]
+        stored_by_key = {1: 3, 2: 3, 3: 3 if picked is None else 0, 4: 0}
+        assert {k: rej[k] + stored_by_key[k] for k in keys} == dict.fromkeys(keys, 7)  # rows in = stored + rejects
+
+
+def test_endpoint_documents_keep_all_their_fields(spark, tmpdir_fresh):
+    _land(tmpdir_fresh, "session_result", [{"session_key": 9, "driver_number": 1, "position": 1, "points": 25.0, "dnf": False,
+                                            "gap_to_leader": [0, 1.5, None], "duration": 5400.1, "number_of_laps": 57}])
+    r = api_docs.read_endpoint(spark, tmpdir_fresh, "session_result").first()
+    assert (r.points, r.dnf, r.number_of_laps, r.duration, r.gap_to_leader.replace(" ", "")) == (25.0, False, 57, "5400.1", "[0,1.5,null]")
+
+
+def test_telemetry_from_csv_files(spark, tmpdir_fresh):
+    path = os.path.join(tmpdir_fresh, "raw.csv")
+    pdf = _raw(spark, [1]).toPandas()
+    pdf.to_csv(path + ".gz", index=False)
+    t = files.load_telemetry(spark, os.path.join(tmpdir_fresh, "processed.csv"), path, schema=_raw(spark, [1]).schema)
+    assert t.count() == 5 and "Acceleration" in t.columns
+
+
 def _land(root, endpoint, docs):
     d = os.path.join(root, f"endpoint={endpoint}")
     os.makedirs(d, exist_ok=True)

@@ -8,26 +8,61 @@ canonical columns (PRJ-4, PRJ-1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import seconds_to_duration_text
 from trackside.operators import align
+from trackside.operators.summaries import dedupe_first
+from trackside.session import cut_lineage
 from trackside.sources.files import canonical_order
 
 
+# Session names of the API and the store's session types (fixed values).
+SESSION_TYPES = {"Qualifying": "Q", "Race": "R", "Sprint": "S", "Sprint Qualifying": "SQ", "Sprint Shootout": "SQ",
+                 "Practice 1": "FP1", "Practice 2": "FP2", "Practice 3": "FP3"}
+
+
+def session_type(name: str = "session_name") -> Column:
+    """PRJ-2: the store's SessionType of a session name; unknown names stay as they are."""
+    known = F.create_map(*[F.lit(x) for kv in SESSION_TYPES.items() for x in kv])
+    return F.coalesce(F.element_at(known, F.col(name)), F.col(name))
+
+
+def session_rounds(sessions: DataFrame, schedule: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JN-5 for every season: (session_key, Year, Round, SessionType) and the sessions
+    without a round. The year takes part wherever the schedule tells it (``Year`` or
+    ``EventDate``)."""
+    own = sessions.select("session_key", "country_name", "location", "year", session_type().alias("SessionType"))
+    keys, on = ["Country", "Location"], ["country_name", "location"]
+    sched = schedule.filter(F.col("RoundNumber") > 0)
+    if "Year" in schedule.columns or "EventDate" in schedule.columns:
+        year = F.col("Year") if "Year" in schedule.columns else F.year(F.to_date("EventDate"))
+        sched = sched.withColumn("_year", year.cast("int"))
+        keys, on = keys + ["_year"], on + ["year"]
+    found, missing = align.map_rounds(own, sched.select(*keys, "RoundNumber"), session_key=on, schedule_key=keys)
+    return found.select("session_key", F.col("year").alias("Year"), F.col("RoundNumber").cast("int").alias("Round"),
+                        "SessionType"), missing
+
+
+def sample_key(df: DataFrame) -> Column:
+    """A sample's key from its own values: equal samples are one sample."""
+    return F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+
+
 def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame, stints: DataFrame,
                      car_data: DataFrame, location: DataFrame, schedule: DataFrame,
-                     session_type: str = "Q", tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS,
+                     session_filter: Column | None = None, tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS,
                      lap_bucket_seconds: float = 120.0) -> DataFrame:
-    rounds, _missing = align.map_rounds(
-        sessions.select("session_key", "country_name", "location", "year"),
-        schedule.filter(F.col("RoundNumber") > 0).select("Country", "Location", "RoundNumber"),
-        session_key=["country_name", "location"], schedule_key=["Country", "Location"])
-    rounds = rounds.select("session_key", F.col("year").alias("Year"), F.col("RoundNumber").cast("int").alias("Round"))
+    """``session_filter`` (FLT-6, see ``operators.sessions.session_predicate``) picks the sessions; default all."""
+    picked = sessions if session_filter is None else sessions.filter(session_filter)
+    rounds, _missing = session_rounds(picked, schedule)
     by = ["session_key", "driver_number"]
-    car = car_data.withColumn("_row", F.monotonically_increasing_id())
+    car = car_data.join(rounds.select("session_key"), "session_key", "left_semi")
+    car = car.withColumn("_row", sample_key(car_data))
     loc = location.select(*by, F.col("date").alias("loc_date"), "x", "y", "z")
     with_pos = align.asof_nearest(car, loc, by=by, left_ts="date", right_ts="loc_date",
                                   tolerance_seconds=tolerance_seconds, right_cols=["x", "y", "z"])
@@ -43,11 +78,12 @@ def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame
                                                 "lap_start", "lap_end", "compound"),
                                   by=by, lap_col="lap_number")
     timed = align.time_in_lap(tagged, lap_keys=lap_keys, ts="date")
+    names = dedupe_first(drivers.select(*by, "name_acronym"), by, ["name_acronym"])
     j = (timed.join(tyres, lap_keys, "left")
          .join(rounds, "session_key", "inner")
-         .join(drivers.select(*by, "name_acronym").dropDuplicates(by), by, "left"))
+         .join(names, by, "left"))
     out = j.select(
-        F.col("Year").cast("int").alias("Year"), "Round", F.lit(session_type).alias("SessionType"),
+        F.col("Year").cast("int").alias("Year"), "Round", "SessionType",
         F.col("driver_number").cast("string").alias("DriverNumber"), F.col("name_acronym").alias("Driver"),
         F.col("lap_number").cast("int").alias("LapNumber"), "TimeInLap",
         F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX").alias("Time"),
@@ -67,30 +103,29 @@ def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame
 
 
 def api_ingest_rejects(*, sessions: DataFrame, laps: DataFrame, car_data: DataFrame, schedule: DataFrame,
-                       lap_bucket_seconds: float = 120.0) -> DataFrame:
-    """What PL-2 leaves out, counted per session instead of skipped silently:
-    ``session_unmatched`` (no round for its country/location), ``sample_no_lap``
-    (car samples inside no lap window) and ``sample_pit_out`` (samples of pit-out
-    laps). One row per (session_key, reason, count)."""
-    _, missing = align.map_rounds(
-        sessions.select("session_key", "country_name", "location"),
-        schedule.filter(F.col("RoundNumber") > 0).select("Country", "Location", "RoundNumber"),
-        session_key=["country_name", "location"], schedule_key=["Country", "Location"])
+                       session_filter: Column | None = None, lap_bucket_seconds: float = 120.0) -> DataFrame:
+    """What PL-2 leaves out, counted per session: (session_key, reason, count) in samples.
+
+    Reasons: ``session_filtered`` (not picked, or not in the session table),
+    ``session_unmatched`` (no round), ``sample_repeated`` (equal to another sample),
+    ``sample_no_lap`` and ``sample_pit_out``. Per session, samples in = stored + rejects."""
+    picked = sessions if session_filter is None else sessions.filter(session_filter)
+    rounds, missing = session_rounds(picked, schedule)
     by = ["session_key", "driver_number"]
-    car = car_data.select(*by, "date").withColumn("_row", F.monotonically_increasing_id())
-    tagged = align.assign_laps(car, laps.select(*by, "lap_number", "date_start", "lap_duration"), by=by,
-                               sample_ts="date", bucket_seconds=lap_bucket_seconds, out_col="lap_number",
-                               sample_id="_row")
-    no_lap = car.join(tagged.select("_row"), "_row", "left_anti")
-    pit = tagged.join(laps.filter(F.coalesce(F.col("is_pit_out_lap"), F.lit(False)))
-                      .select(*by, "lap_number"), by + ["lap_number"], "left_semi")
-    parts = [
-        missing.groupBy("session_key").agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("reason", F.lit("session_unmatched")),
-        no_lap.groupBy("session_key").agg(F.count(F.lit(1)).alias("count")).withColumn("reason", F.lit("sample_no_lap")),
-        pit.groupBy("session_key").agg(F.count(F.lit(1)).alias("count")).withColumn("reason", F.lit("sample_pit_out")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("session_key", "reason", "count")
+    car = car_data.select(*by, "date", sample_key(car_data).alias("_row"))
+    known = cut_lineage(car.join(rounds.select("session_key"), "session_key", "left_semi"))
+    tagged = cut_lineage(align.assign_laps(known, laps.select(*by, "lap_number", "date_start", "lap_duration"), by=by,
+                                           sample_ts="date", bucket_seconds=lap_bucket_seconds, out_col="lap_number",
+                                           sample_id="_row"))
+    kinds = known.groupBy(*by, "_row").agg(F.count(F.lit(1)).alias("n"))
+    pit = tagged.join(laps.filter(F.coalesce(F.col("is_pit_out_lap"), F.lit(False))).select(*by, "lap_number"),
+                      by + ["lap_number"], "left_semi")
+    unpicked = car.join(picked.select("session_key"), "session_key", "left_anti")
+    unmatched = car.join(missing.select("session_key"), "session_key", "left_semi")
+    parts = [("session_filtered", unpicked, F.count(F.lit(1))), ("session_unmatched", unmatched, F.count(F.lit(1))),
+             ("sample_repeated", kinds.filter("n > 1"), F.sum(F.col("n") - 1)),
+             ("sample_no_lap", kinds.join(tagged.select(*by, "_row"), [*by, "_row"], "left_anti"), F.count(F.lit(1))),
+             ("sample_pit_out", pit, F.count(F.lit(1)))]
+    counts = [df.groupBy("session_key").agg(n.cast("long").alias("count")).select(
+        "session_key", F.lit(reason).alias("reason"), "count") for reason, df, n in parts]
+    return reduce(DataFrame.unionByName, counts)

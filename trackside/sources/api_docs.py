@@ -19,32 +19,53 @@ def _st(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+_AI = T.ArrayType(_I)
+_SESSION = (("meeting_key", _L), ("session_key", _L))
+_DRIVER = (*_SESSION, ("driver_number", _I))
+
+# Fields of the public API's documents (fixed values). Values that come as a number or
+# as a list, depending on the session, are kept as text.
 ENDPOINT_SCHEMAS: dict[str, T.StructType] = {
-    "meetings": _st(("meeting_key", _L), ("year", _I), ("country_name", _S), ("location", _S)),
-    "sessions": _st(("session_key", _L), ("meeting_key", _L), ("session_name", _S), ("session_type", _S),
-                    ("country_name", _S), ("location", _S), ("year", _I), ("date_start", _TS)),
-    "drivers": _st(("session_key", _L), ("driver_number", _I), ("name_acronym", _S), ("team_name", _S)),
-    "laps": _st(("session_key", _L), ("driver_number", _I), ("lap_number", _I), ("date_start", _TS),
-                ("lap_duration", _D), ("duration_sector_1", _D), ("duration_sector_2", _D),
-                ("duration_sector_3", _D), ("is_pit_out_lap", _B)),
-    "stints": _st(("session_key", _L), ("driver_number", _I), ("stint_number", _I), ("lap_start", _I),
-                  ("lap_end", _I), ("compound", _S)),
-    "car_data": _st(("session_key", _L), ("driver_number", _I), ("date", _TS), ("throttle", _D),
-                    ("brake", _D), ("drs", _I), ("rpm", _D), ("speed", _D), ("n_gear", _I)),
-    "location": _st(("session_key", _L), ("driver_number", _I), ("date", _TS), ("x", _D), ("y", _D), ("z", _D)),
-    "championship_drivers": _st(("session_key", _L), ("driver_number", _I), ("points_current", _D)),
-    "championship_teams": _st(("session_key", _L), ("team_name", _S), ("points_current", _D)),
-    "starting_grid": _st(("session_key", _L), ("driver_number", _I), ("position", _I)),
-    "session_result": _st(("session_key", _L), ("driver_number", _I), ("position", _I)),
-    "pit": _st(("session_key", _L), ("driver_number", _I), ("lap_number", _I), ("pit_duration", _D)),
-    "overtakes": _st(("session_key", _L), ("overtaking_driver_number", _I), ("overtaken_driver_number", _I)),
-    "weather": _st(("session_key", _L), ("date", _TS), ("air_temperature", _D), ("track_temperature", _D)),
+    "meetings": _st(("meeting_key", _L), ("meeting_name", _S), ("meeting_official_name", _S), ("year", _I),
+                    ("country_key", _I), ("country_code", _S), ("country_name", _S), ("location", _S),
+                    ("circuit_key", _I), ("circuit_short_name", _S), ("date_start", _TS), ("date_end", _TS),
+                    ("gmt_offset", _S)),
+    "sessions": _st(*_SESSION, ("session_name", _S), ("session_type", _S), ("year", _I), ("country_key", _I),
+                    ("country_code", _S), ("country_name", _S), ("location", _S), ("circuit_key", _I),
+                    ("circuit_short_name", _S), ("date_start", _TS), ("date_end", _TS), ("gmt_offset", _S)),
+    "drivers": _st(*_DRIVER, ("name_acronym", _S), ("broadcast_name", _S), ("first_name", _S), ("last_name", _S),
+                   ("full_name", _S), ("team_name", _S), ("team_colour", _S), ("country_code", _S), ("headshot_url", _S)),
+    "laps": _st(*_DRIVER, ("lap_number", _I), ("date_start", _TS), ("lap_duration", _D), ("duration_sector_1", _D),
+                ("duration_sector_2", _D), ("duration_sector_3", _D), ("is_pit_out_lap", _B), ("i1_speed", _I),
+                ("i2_speed", _I), ("st_speed", _I), ("segments_sector_1", _AI), ("segments_sector_2", _AI),
+                ("segments_sector_3", _AI)),
+    "stints": _st(*_DRIVER, ("stint_number", _I), ("lap_start", _I), ("lap_end", _I), ("compound", _S),
+                  ("tyre_age_at_start", _I)),
+    "car_data": _st(*_DRIVER, ("date", _TS), ("throttle", _D), ("brake", _D), ("drs", _I), ("rpm", _D), ("speed", _D),
+                    ("n_gear", _I)),
+    "location": _st(*_DRIVER, ("date", _TS), ("x", _D), ("y", _D), ("z", _D)),
+    "championship_drivers": _st(*_DRIVER, ("points_start", _D), ("points_current", _D), ("position_start", _I),
+                                ("position_current", _I)),
+    "championship_teams": _st(*_SESSION, ("team_name", _S), ("points_start", _D), ("points_current", _D),
+                              ("position_start", _I), ("position_current", _I)),
+    "starting_grid": _st(*_DRIVER, ("position", _I), ("lap_duration", _D)),
+    "session_result": _st(*_DRIVER, ("position", _I), ("number_of_laps", _I), ("points", _D), ("dnf", _B), ("dns", _B),
+                          ("dsq", _B), ("duration", _S), ("gap_to_leader", _S)),
+    "pit": _st(*_DRIVER, ("lap_number", _I), ("date", _TS), ("pit_duration", _D), ("lane_duration", _D),
+               ("stop_duration", _D)),
+    "overtakes": _st(*_SESSION, ("date", _TS), ("overtaking_driver_number", _I), ("overtaken_driver_number", _I),
+                     ("position", _I)),
+    "weather": _st(*_SESSION, ("date", _TS), ("air_temperature", _D), ("track_temperature", _D), ("humidity", _D),
+                   ("pressure", _D), ("rainfall", _I), ("wind_direction", _I), ("wind_speed", _D)),
 }
 
 
 def read_endpoint(spark: SparkSession, root: str, endpoint: str,
                   schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
-    """Read one endpoint's landed documents (all sessions at once)."""
+    """Read one endpoint's landed documents (all sessions at once).
+
+    ``multiline`` documents (JSON arrays) are one task per file; land the sample
+    endpoints as JSON lines and pass ``multiline=False``, then files are split."""
     schema = schema or ENDPOINT_SCHEMAS[endpoint]
     path = f"{root.rstrip('/')}/endpoint={endpoint}"
     if not path_exists(spark, path):

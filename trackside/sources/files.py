@@ -6,6 +6,8 @@ session's Hadoop FileSystem, so they work on cluster storage as well.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, from the file system's listing (no file is opened)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(x.getPath().toString() for x in (found or []))
+
+
 def resolve_data_path(spark: SparkSession, path: str) -> str | None:
     """SRC-1: the path itself, else ``path + '.gz'``, else None."""
     if path_exists(spark, path):
@@ -45,30 +54,39 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(resolved)
 
 
-def read_processed_sessions(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
-    """SRC-2: every processed session file of ``directory``; per round only the
-    best variant (csv > csv.gz > _sample.csv) is kept. Adds ``Round`` (from the
-    name when absent), ``event_slug`` and ``is_sample``.
-
-    One multi-file scan; the variant choice is a per-round ``min`` joined back on
-    the file path (the list of files is a small dimension)."""
-    raw = (spark.read.option("header", True).schema(schema)
-           .csv(f"{directory.rstrip('/')}/r*_quali_telemetry_processed*")
-           .withColumn("_file", F.col("_metadata.file_path")))
-    name = F.regexp_extract("_file", r"([^/]+)$", 1)
-    variant = F.regexp_extract(name, PROCESSED_NAME, 4)
-    prio = F.create_map(*[F.lit(x) for kv in VARIANT_PRIORITY.items() for x in kv])
-    tagged = (raw.withColumn("_round", F.regexp_extract(name, PROCESSED_NAME, 1).cast("int"))
-              .withColumn("event_slug", F.regexp_extract(name, PROCESSED_NAME, 2))
-              .withColumn("_prio", F.element_at(prio, variant)))
-    files = tagged.select("_file", "_round", "_prio").distinct()
-    chosen = files.groupBy("_round").agg(F.min_by("_file", "_prio").alias("_file"))
-    out = tagged.join(chosen, ["_round", "_file"], "left_semi").withColumn("is_sample", F.col("_prio") == 2)
-    if "Round" in out.columns:
-        out = out.withColumn("Round", F.coalesce(F.col("Round").cast("int"), F.col("_round")))
-    else:
-        out = out.withColumn("Round", F.col("_round"))
-    return out.drop("_round", "_prio", "_file")
+def choose_variants(paths: list[str]) -> list[str]:
+    """SC-10 / SRC-2: per (year, round) and event the best file variant (csv > csv.gz > _sample.csv)."""
+    best: dict[tuple, tuple[int, str]] = {}
+    for path in paths:
+        m = re.search(PROCESSED_NAME, path.rsplit("/", 1)[-1])
+        if m:
+            key = (m[3], int(m[1]), m[2])
+            best[key] = min(best.get(key, (99, "")), (VARIANT_PRIORITY[m[4]], path))
+    return [path for _, path in best.values()]
+
+
+def read_processed_sessions(spark: SparkSession, directory: str, schema: T.StructType | str) -> DataFrame:
+    """SRC-2: every processed session file of ``directory``; per year, round and event
+    only the best variant (csv > csv.gz > _sample.csv) is read. Adds ``Year``, ``Round``
+    (from the name where absent or null), ``event_slug`` and ``is_sample``.
+
+    The variants are chosen from the directory listing, so only the chosen files are scanned."""
+    chosen = choose_variants(list_paths(spark, f"{directory.rstrip('/')}/r*_quali_telemetry_processed*"))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+
+    def part(i):
+        return F.regexp_extract(name, PROCESSED_NAME, i)
+
+    raw = (spark.read.option("header", True).schema(schema).csv(chosen) if chosen
+           else spark.createDataFrame([], schema))
+    named = {"Year": part(3).cast("int"), "Round": part(1).cast("int"), "event_slug": part(2),
+             "is_sample": part(4) == "_sample.csv"}
+    if not chosen:
+        named = {"Year": F.lit(None).cast("int"), "Round": F.lit(None).cast("int"), "event_slug": F.lit(None).cast("string"),
+                 "is_sample": F.lit(None).cast("boolean")}
+    own = {c: F.coalesce(F.col(c).cast("int"), v) if c in raw.columns and c in ("Year", "Round") else v
+           for c, v in named.items()}
+    return raw.select(*[c for c in raw.columns if c not in own], *[v.alias(c) for c, v in own.items()])
 
 
 SCHEDULE_DROP = ("Unnamed: 0", "_c0")
@@ -88,14 +106,24 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
-def load_telemetry(spark: SparkSession, processed: str, raw: str | None = None,
-                   corners: dict | None = None) -> DataFrame:
-    """SRC-7: processed telemetry if present, else the raw table processed by PL-1."""
+def read_table_file(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
+    """A stored table by its name: CSV (with the ``.gz`` fallback of SRC-1) or Parquet; None when missing."""
+    if path.endswith((".csv", ".csv.gz")):
+        return read_csv(spark, path, schema) if resolve_data_path(spark, path) else None
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
+def load_telemetry(spark: SparkSession, processed: str, raw: str | None = None, corners: dict | None = None,
+                   schema: T.StructType | str | None = None) -> DataFrame:
+    """SRC-7: processed telemetry if present, else the raw table processed by PL-1.
+    Either may be Parquet, ``.csv`` or ``.csv.gz``."""
     from trackside.operators.kinematics import process_telemetry
-    if path_exists(spark, processed):
-        return spark.read.parquet(processed)
-    if raw is not None and path_exists(spark, raw):
-        return process_telemetry(spark.read.parquet(raw), corners=corners)
+    found = read_table_file(spark, processed, schema)
+    if found is not None:
+        return found
+    landed = read_table_file(spark, raw, schema) if raw is not None else None
+    if landed is not None:
+        return process_telemetry(landed, corners=corners)
     raise FileNotFoundError(processed)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.operators.common import sample_sort_cols
-from trackside.sources.files import path_exists
+from trackside.sources.files import list_paths
 
 STORE_PARTITIONS = ["Year", "Round", "SessionType"]
 
@@ -65,10 +65,14 @@ def write_run_summary(spark: SparkSession, path: str, **fields) -> None:
 
 
 def written_sessions(spark: SparkSession, store: str, keys: list[str] = STORE_PARTITIONS) -> DataFrame:
-    """Sessions already present in the store (distinct partition values)."""
-    if not path_exists(spark, store):
-        return spark.createDataFrame([], "Year int, Round int, SessionType string").select(*keys)
-    return spark.read.parquet(store).select(*keys).distinct()
+    """Sessions already present in the store, from the listing of its partition folders
+    (no stored row is read)."""
+    found = list_paths(spark, f"{store.rstrip('/')}/" + "/".join(f"{k}=*" for k in STORE_PARTITIONS))
+    rows = []
+    for path in found:
+        values = dict(x.split("=", 1) for x in path.rsplit("/", len(STORE_PARTITIONS))[1:])
+        rows.append((int(values["Year"]), int(values["Round"]), values["SessionType"]))
+    return spark.createDataFrame(rows, "Year int, Round int, SessionType string").select(*keys)
 
 
 def sessions_to_process(spark: SparkSession, sessions: DataFrame, store: str,

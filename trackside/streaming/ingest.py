@@ -2,10 +2,9 @@
 
 The file source remembers which landed files it has processed (in the query
 checkpoint), so ``trigger(availableNow=True)`` processes only new sessions and
-re-running writes nothing. Each micro-batch is processed with PL-1 and written
-to the partitioned store with dynamic partition overwrite; sessions must be
-landed whole (one file or a set of files per session) so that lap windows see
-complete laps.
+re-running writes nothing. A micro-batch says which sessions have new rows; these
+sessions are computed anew (PL-1) from *all* their landed rows and their partitions
+overwritten, so a session may arrive in any number of files, batches and runs.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 
 from trackside import schemas as S
 from trackside.operators.kinematics import process_telemetry
-from trackside.sources.sinks import write_store
+from trackside.sources.sinks import STORE_PARTITIONS, write_store
 
 
 def start_ingest(spark: SparkSession, landed_dir: str, store: str, checkpoint: str, *,
@@ -30,7 +29,12 @@ def start_ingest(spark: SparkSession, landed_dir: str, store: str, checkpoint: s
     stream = reader.load(landed_dir)
 
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        write_store(process_telemetry(batch, corners=corners), store)
+        landed = batch.sparkSession.read.schema(schema).format(fmt)
+        if fmt == "csv":
+            landed = landed.option("header", True)
+        touched = batch.select(*STORE_PARTITIONS).distinct()
+        whole = landed.load(landed_dir).join(touched, STORE_PARTITIONS, "left_semi")
+        write_store(process_telemetry(whole, corners=corners), store)
 
     return (stream.writeStream.foreachBatch(each_batch)
             .option("checkpointLocation", checkpoint)
