@@ -34,12 +34,17 @@ def q_slug_prefix(spark, sf):
                     event_prefix("n_nationkey", "n_name").alias("prefix"))
 
 
-@register("driver_colour", """
-SELECT c_custkey, upper(substr(c_name, 1, 3)) AS code, CASE upper(substr(c_name, 1, 3)) """
-          + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DRIVER_COLORS.items())
-          + f" ELSE '{DEFAULT_COLOR}' END AS \"Color\" FROM customer", adapter=False)
+# every known code, unknown ones and a lower-case one, dealt by customer key
+CODES = [*DRIVER_COLORS, "ZZZ", "QQQ", next(iter(DRIVER_COLORS)).lower()]
+
+
+@register("driver_colour", f"""
+c AS (SELECT c_custkey, ({CODES})[c_custkey % {len(CODES)} + 1] AS code FROM customer)
+---
+SELECT c_custkey, code, CASE upper(code) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DRIVER_COLORS.items())
+          + f" ELSE '{DEFAULT_COLOR}' END AS \"Color\" FROM c", adapter=False)
 def q_driver_colour(spark, sf):
-    """JN-10 over customer name prefixes used as three-letter codes."""
+    """JN-10 over three-letter codes, known and unknown."""
     c = read_table(spark, sf, "customer")
-    code = F.upper(F.substring("c_name", 1, 3))
+    code = F.element_at(F.array(*[F.lit(x) for x in CODES]), (F.col("c_custkey") % len(CODES) + 1).cast("int"))
     return c.select("c_custkey", code.alias("code"), driver_color(code).alias("Color"))
