@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
+from trackside.session import cut_lineage
 
 
 def sample_order(df: DataFrame, time_col: str = S.TIME_COL) -> Column:
@@ -55,6 +56,32 @@ def mean(c, exact: bool = False) -> Column:
     return F.sum(col.cast("decimal(38,18)")).cast("double") / F.count(col).cast("double")
 
 
+def with_group_stats(df: DataFrame, group: list[str], stats: list[Column]) -> DataFrame:
+    """``df`` with aggregates of each group, as a partial aggregate joined back (a group's
+    rows never meet in one task). ``df`` is materialised, so its plan runs once."""
+    df = cut_lineage(df)
+    found = df.groupBy(*group).agg(*stats)
+    return df.join(found, list(group))
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """``row_number`` per group under a total ``order`` without a window over a whole group.
+
+    Rows are range-partitioned by (group, order) and written once; each slice numbers
+    its own rows and adds the row count of the group's earlier slices, taken from a table
+    with one row per group and slice."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df.repartitionByRange(slices, *[F.col(g) for g in group], *order)
+                       .withColumn("_slice", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+             .select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    own = Window.partitionBy(*group, "_slice").orderBy(*order)
+    numbered = rows.withColumn("_own", F.row_number().over(own))
+    return (numbered.join(sizes, [*group, "_slice"])
+            .withColumn(out, (F.col("_own") + F.col("_before")).cast("int")).drop("_slice", "_own", "_before"))
+
+
 TOP_N_SALTS = 64
 
 

@@ -3,110 +3,74 @@ feature matrix (AG-15, PL-5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
-from trackside.operators.laps import fastest_lap_samples
-from trackside.operators.profile import add_lap_pct, lap_profile_aggs, lap_scalar_aggs, sector_ratios
-from trackside.operators.zones import lap_zone_stats, mark_zones, zone_features
+from trackside.functions.durations import parse_duration_seconds
+from trackside.operators.common import with_group_stats
+from trackside.operators.laps import with_laptime_seconds
+from trackside.operators.profile import add_sector_ratios, sector_driver_aggs, sector_text_aggs
+
 
 ZONE_COLS = ["Mean_Entry_Speed", "Mean_Apex_Speed", "Mean_Exit_Speed", "Mean_Brake_Duration",
              "Std_Brake_Duration", "Mean_Peak_Decel", "Max_Peak_Decel"]
 
 
-def lap_style_features(laps: DataFrame, session_df: DataFrame, *,
-                       keys: list[str] = S.SESSION_KEYS,
-                       min_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                       exact_mean: bool = False) -> DataFrame:
-    """PL-3 for every lap in ``laps`` at once (29 features + keys, Driver, LapNumber).
-
-    ``laps`` holds the samples of the laps to describe (with Acceleration);
-    ``session_df`` is the full session telemetry used for the field-best sectors.
-    Laps with fewer than ``min_samples`` samples are dropped.
-    """
-    lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL]
-    marked = add_lap_pct(mark_zones(laps, lap_keys=lap_keys), lap_keys=lap_keys)
-    per_lap = marked.groupBy(*lap_keys).agg(*lap_scalar_aggs(marked, exact_mean),
-                                            *lap_profile_aggs(marked, exact_mean))
-    per_lap = per_lap.filter(F.col("_samples") >= min_samples)
-    zstats = lap_zone_stats(zone_features(marked, lap_keys=lap_keys), lap_keys=lap_keys)
-    out = per_lap.join(zstats, lap_keys, "left")
-    out = (out.withColumn("Brake_Zones", F.coalesce(F.col("Brake_Zones"), F.lit(0)).cast("double"))
-              .withColumn("Brake_Time_Pct",
-                          F.when(F.col("_lap_time") > 0,
-                                 F.coalesce(F.col("Brake_Time"), F.lit(0.0)) / F.col("_lap_time") * 100.0)
-                          .otherwise(F.lit(0.0))))
-    out = out.join(sector_ratios(session_df, keys=keys), list(keys) + [S.DRIVER_COL], "left")
-    return out.select(*lap_keys, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
-
-
 def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                           min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                          exact_mean: bool = False, single_pass: bool = True,
-                          split_hot: bool | None = None) -> DataFrame:
-    """PL-4: style features of each driver's fastest lap, for every session in one
-    plan. The fastest lap must hold >= ``min_lap_samples`` samples.
-
-    ``single_pass=True`` (default) computes every lap once and picks the fastest
-    per driver from the lap table; ``False`` first selects the fastest laps'
-    samples (semi join) and describes only those."""
-    if single_pass:
-        return round_driver_features_single_pass(df, keys=keys, min_lap_samples=min_lap_samples,
-                                                 min_feature_samples=min_feature_samples, exact_mean=exact_mean,
-                                                 split_hot=split_hot)
-    fastest = fastest_lap_samples(df, keys=keys)
-    floor = max(min_lap_samples, min_feature_samples)
-    feats = lap_style_features(fastest, df, keys=keys, min_samples=floor, exact_mean=exact_mean)
-    return feats.select(*keys, S.DRIVER_COL, *S.STYLE_FEATURE_COLUMNS)
+                          exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
+    """PL-4: style features of each driver's fastest lap (ties to the lowest LapNumber), for
+    every session in one plan. The fastest lap must hold >= ``min_lap_samples`` samples.
+
+    One pass over the samples makes the lap table; one aggregate over it picks the fastest
+    lap's features and the driver's sectors; the session's best sectors are joined back."""
+    # laps without a driver or number can never be a driver's fastest lap
+    work = with_laptime_seconds(df).filter(F.col(S.DRIVER_COL).isNotNull() & F.col(S.LAP_COL).isNotNull())
+    parts = all_lap_features(work, keys=keys, exact_mean=exact_mean, split_hot=split_hot)
+    fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
+    timed = F.when(F.col("_timed"), F.struct("LapTime_seconds", S.LAP_COL, "_samples", *fcols))
+    laps = parts.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(
+        F.first(timed, ignorenulls=True).alias("_lap"), *[F.min(f"_st{i}").alias(f"_st{i}") for i in (1, 2, 3)])
+    laps = laps.select(*keys, S.DRIVER_COL, S.LAP_COL, "_lap",
+                       *[parse_duration_seconds(f"_st{i}.t").alias(f"S{i}") for i in (1, 2, 3)])
+    fastest = F.when(F.col("_lap").isNotNull(), F.struct("_lap.LapTime_seconds", S.LAP_COL))
+    per_driver = laps.groupBy(*keys, S.DRIVER_COL).agg(F.min_by("_lap", fastest).alias("_f"), *sector_driver_aggs())
+    out = add_sector_ratios(per_driver, list(keys)).filter(
+        F.col("_f._samples") >= max(min_lap_samples, min_feature_samples))
+    out = out.select(*keys, S.DRIVER_COL, *[F.col(f"_f.{c}").alias(c) for c in fcols],
+                     *[f"Sector{i}_Ratio" for i in (1, 2, 3)])
+    return out.select(*keys, S.DRIVER_COL, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
 
 
 def zscore_within_round(features: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                        cols: list[str] | None = None, method: str = "window") -> DataFrame:
+                        cols: list[str] | None = None) -> DataFrame:
     """WN-6: z-score each feature within its session using the sample std.
 
     A column whose std is null or 0, or whose min equals its max, becomes 0.0
     for every row (null cells included); otherwise nulls stay null. The
-    statistics are window aggregates over the per-driver feature table (one row
-    per driver and session), so the upstream plan runs once.
-
-    ``method='join'`` computes them as one partial aggregate per session joined
-    back on the keys (no task holds a whole session); use it when ``features``
-    is materialised (e.g. checkpointed), since it reads the input twice.
+    statistics are one partial aggregate per session over the materialised
+    per-driver table, joined back on the keys (no task holds a whole session).
     """
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in features.columns]
     rest = [c for c in features.columns if c not in cols]
-    if method == "join":
-        stats = features.groupBy(*keys).agg(*[e for c in cols for e in (
-            F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"),
-            F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
-        src = features.join(stats, list(keys), "inner")
-
-        def stat(kind, c):
-            return F.col(f"_{kind}_{c}")
-    elif method == "window":
-        w = Window.partitionBy(*keys)
-        src = features
-        fns = {"mu": F.avg, "sd": F.stddev_samp, "lo": F.min, "hi": F.max}
-
-        def stat(kind, c):
-            return fns[kind](c).over(w)
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    src = with_group_stats(features, list(keys), [e for c in cols for e in (
+        F.avg(c).alias(f"_mu_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"),
+        F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
     out = []
     for c in cols:
-        sd, mu = stat("sd", c), stat("mu", c)
-        const = sd.isNull() | (sd == 0) | (stat("lo", c) == stat("hi", c))
+        sd, mu = F.col(f"_sd_{c}"), F.col(f"_mu_{c}")
+        const = sd.isNull() | (sd == 0) | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}"))
         out.append(F.when(const, F.lit(0.0)).otherwise((F.col(c) - mu) / sd).alias(c))
     return src.select(*rest, *out)
 
 
 def driver_feature_matrix(per_round: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                          cols: list[str] | None = None, zscore_method: str = "window") -> DataFrame:
+                          cols: list[str] | None = None) -> DataFrame:
     """PL-5 / AG-15: z-score within each session, then average per driver."""
     cols = [c for c in (cols or S.STYLE_FEATURE_COLUMNS) if c in per_round.columns]
-    z = zscore_within_round(per_round, keys=keys, cols=cols, method=zscore_method)
+    z = zscore_within_round(per_round, keys=keys, cols=cols)
     return z.groupBy(S.DRIVER_COL).agg(*[F.avg(c).alias(c) for c in cols])
 
 
@@ -120,19 +84,21 @@ def _ratio(s, n):
 
 def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                      exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
-    """PL-3 for every lap of ``df`` in one pass over the samples.
+    """PL-3 for every lap of ``df`` in one pass over the samples: one row per lap and
+    ``_timed`` (samples with and without a parsed lap time are described apart).
 
     Samples are marked (zones, LapPct) with per-lap windows, then aggregated
     once per (lap, zone, braking flag) and once more per lap from those
     partials; both aggregations reuse the window partitioning (no exchange).
     Adds ``LapTime_seconds`` (lap minimum) and ``_samples`` per lap; the sector
-    ratios are not included (they are per driver, see ``sector_ratios``).
+    texts are kept as ``_st1..3`` (their ratios are per driver, see ``add_sector_ratios``).
     """
     from trackside.functions.exprs import brake_numeric
     from trackside.operators.common import sample_order
 
-    lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL]
-    m = zones_and_lap_pct(df, lap_keys=lap_keys, split_hot=split_hot)
+    lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL, "_timed"]
+    m = zones_and_lap_pct(df.withColumn("_timed", F.col("LapTime_seconds").isNotNull()), lap_keys=lap_keys,
+                          split_hot=split_hot)
     order = sample_order(m)
     b = brake_numeric("Brake", m.schema["Brake"].dataType)
     speed, pct = F.col("Speed"), F.col("LapPct")
@@ -156,7 +122,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
         F.min("Speed").alias("_apex"),
         F.min(F.when(F.col("Acceleration") < S.ZONE_PEAK_DECEL_THRESHOLD, F.col("Acceleration"))).alias("_pk"),
         F.min("LapTime_seconds").alias("_lt"),
-        *prof)
+        *sector_text_aggs(order), *prof)
     dur = F.col("_t2") - F.col("_t1")
     kept = F.col("_braking") & (dur >= S.MIN_BRAKE_ZONE_DURATION)
     peak = F.coalesce(F.col("_pk"), F.lit(0.0))
@@ -176,6 +142,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
         F.avg(F.when(kept, peak)).alias("Mean_Peak_Decel"),
         F.min(F.when(kept, peak)).alias("Max_Peak_Decel"),
         F.coalesce(F.sum(F.when(kept, dur)), F.lit(0.0)).alias("_brake_time"),
+        *[F.min(f"_st{i}").alias(f"_st{i}") for i in (1, 2, 3)],
         *[_ratio(F.sum(f"_ps{p}"), F.sum(f"_pn{p}")).alias(f"Speed_Pct_{p}") for p in S.SPEED_PCT_POINTS],
         *[(_ratio(F.sum(f"_ts_{t[0]}"), F.sum(f"_tn_{t[0]}")) * 100.0).alias(t[0]) for t in S.BRAKE_THIRDS])
     return lap.withColumn("Brake_Time_Pct", F.when(F.col("_lap_time") > 0,
@@ -183,27 +150,6 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           .otherwise(F.lit(0.0)))
 
 
-def round_driver_features_single_pass(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                                      min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
-                                      min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                                      exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
-    """PL-4 without a join back to the samples: features of every lap with a
-    parsed lap time (one pass), then per driver the fastest lap's row (ties to
-    the lowest LapNumber) if it holds enough samples, plus sector ratios."""
-    from trackside.operators.laps import with_laptime_seconds
-    # laps without a driver or number can never be a driver's fastest lap
-    valid = with_laptime_seconds(df).filter(F.col("LapTime_seconds").isNotNull() & F.col(S.DRIVER_COL).isNotNull()
-                                            & F.col(S.LAP_COL).isNotNull())
-    laps = all_lap_features(valid, keys=keys, exact_mean=exact_mean, split_hot=split_hot)
-    fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
-    pick = (laps.groupBy(*keys, S.DRIVER_COL)
-            .agg(F.min_by(F.struct("_samples", *fcols), F.struct("LapTime_seconds", S.LAP_COL)).alias("_f"))
-            .select(*keys, S.DRIVER_COL, "_f.*")
-            .filter(F.col("_samples") >= max(min_lap_samples, min_feature_samples)))
-    out = pick.join(sector_ratios(df, keys=keys), list(keys) + [S.DRIVER_COL], "left")
-    return out.select(*keys, S.DRIVER_COL, *[F.col(c).cast("double").alias(c) for c in S.STYLE_FEATURE_COLUMNS])
-
-
 def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str], split_hot: bool | None = None) -> DataFrame:
     """WN-4 step 1 and WN-2 in one ordered scan per lap (one exchange)."""
     from trackside.operators.profile import SCAN_TMP, lap_pct_column, step_distance

@@ -11,14 +11,16 @@ from trackside.operators.sequence import lap_scan
 
 
 def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                     seq_keys: tuple[str, ...] = ("DriverNumber", S.LAP_COL),
+                     seq_keys: tuple[str, ...] = ("DriverNumber", S.LAP_COL), along: tuple[str, ...] = (S.DRIVER_COL,),
                      clip: float = S.ACCEL_CLIP, split_hot: bool | None = None) -> DataFrame:
     """WN-1: ``Speed_ms`` and ``Acceleration`` = d(Speed/3.6)/d(TimeInLap) against the
     previous sample of the same lap, only where dt > 0, clipped to +-clip; the first
     sample of a lap, dt <= 0 and null keys give null. Adds ``Accel_Type`` (SC-4).
 
     One ordered scan per lap (``operators.sequence.lap_scan``: partition = session
-    keys + car + lap, order = TimeInLap, sample_id; hot laps are split).
+    keys + car + lap, order = TimeInLap, sample_id; hot laps are split). ``along``
+    names columns that are fixed per car and session: with them the scan can use an
+    exchange on (session, Driver, lap) that is already there, or serve the later ones.
     """
     keys_ok = None
     for k in seq_keys:
@@ -28,7 +30,8 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     # spread over many window partitions instead of forming one null group.
     out = df.withColumn("Speed_ms", F.col("Speed") / F.lit(S.KMH_PER_MS))
     out = lap_scan(out, keys=list(keys) + list(seq_keys), time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
-                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True, split_hot=split_hot)
+                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True, split_hot=split_hot,
+                   along=[c for c in along if c in df.columns])
     dt = F.col(S.TIME_COL) - F.col(f"_prev_{S.TIME_COL}")
     dv = F.col("Speed_ms") - F.col("_prev_Speed_ms")
     acc = F.when(keys_ok & (dt > 0), clip_symmetric(dv / dt, clip))
@@ -36,6 +39,9 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     return out.withColumn("Accel_Type", accel_type("Acceleration"))
 
 
+MAX_BROADCAST_CORNERS = 100_000
+
+
 def _corner_struct_array(corners: list[tuple]) -> Column:
     return F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"),
@@ -76,6 +82,9 @@ def tag_corners(df: DataFrame, corners: dict | DataFrame | None = None, *,
                          F.col("corner_ord").alias("ord"), F.col("Corner").alias("name"),
                          ((F.col("x_lo") + F.col("x_hi")) / 2.0).alias("cx"),
                          ((F.col("y_lo") + F.col("y_hi")) / 2.0).alias("cy")))).alias("_c_arr")))
+        # one row per round: broadcast where the counted corner table is small, else Spark's choice
+        if corners.limit(MAX_BROADCAST_CORNERS + 1).count() <= MAX_BROADCAST_CORNERS:
+            per_round = F.broadcast(per_round)
         base = df.join(per_round, F.col(round_col).cast("int") == F.col("_c_round"), "left")
         arr = F.col("_c_arr")
     best = _nearest(arr, x, y)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import parsable_duration, parse_duration_seconds
-from trackside.operators.common import drop_null_keys, first_non_null, sample_order
+from trackside.operators.common import drop_null_keys, first_non_null, rank_in_group, sample_order, with_group_stats
 
 LAP_ATTRS = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time", "Compound", "FreshTyre"]
 
@@ -71,18 +71,15 @@ def best_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
             .agg(F.min_by(F.struct(S.LAP_COL, "LapTime_seconds", "Compound"),
                           F.struct("LapTime_seconds", S.LAP_COL)).alias("b"))
             .select(*keys, S.DRIVER_COL, "b.*"))
-    # Session best over the per-driver table (one row per driver and session),
-    # in the same window partitioning as the classification ranking.
-    pole = F.min("LapTime_seconds").over(Window.partitionBy(*keys))
-    return best.withColumn("Gap", F.col("LapTime_seconds") - pole)
+    # session best: a partial minimum over the per-driver table, joined back
+    return (with_group_stats(best, list(keys), [F.min("LapTime_seconds").alias("_pole")])
+            .withColumn("Gap", F.col("LapTime_seconds") - F.col("_pole")).drop("_pole"))
 
 
 def classification(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
     """CH-1 / WN-7: best laps with Pos 1..n per session (order LapTime, Driver)."""
     bl = best_laps(df, keys=keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("LapTime_seconds"), F.col(S.LAP_COL).isNull(),
-                                          F.col(S.DRIVER_COL))
-    return bl.withColumn("Pos", F.row_number().over(w))
+    return rank_in_group(bl, list(keys), [F.col("LapTime_seconds").asc(), F.col(S.DRIVER_COL).asc()], "Pos")
 
 
 def fastest_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:

@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import parsable_duration, parse_duration_seconds
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import mean, sample_order
+from trackside.operators.common import mean, sample_order, with_group_stats
 from trackside.operators.sequence import lap_scan
 
 
@@ -76,28 +76,38 @@ def lap_scalar_aggs(df: DataFrame, exact_mean: bool = False) -> list:
     ]
 
 
+def sector_text_aggs(order: Column) -> list:
+    """Per group of samples: the first parsable text of each sector, as (order, text)."""
+    return [F.min(F.when(parsable_duration(f"Sector{i}Time"), F.struct(order.alias("o"), F.col(f"Sector{i}Time").alias("t"))))
+            .alias(f"_st{i}") for i in (1, 2, 3)]
+
+
+def sector_driver_aggs() -> list:
+    """Per driver, over laps with S1..S3 in seconds: the sectors of the lap with the least
+    S1+S2+S3 (null sectors count 0, ties to the lowest LapNumber) and the least of each sector."""
+    tot = sum((F.coalesce(F.col(f"S{i}"), F.lit(0.0)) for i in (2, 3)), F.coalesce(F.col("S1"), F.lit(0.0)))
+    return [F.min_by(F.struct("S1", "S2", "S3"), F.struct(tot, F.col(S.LAP_COL))).alias("_sectors"),
+            *[F.min(f"S{i}").alias(f"_dmin{i}") for i in (1, 2, 3)]]
+
+
+def add_sector_ratios(per_driver: DataFrame, keys: list[str]) -> DataFrame:
+    """JN-8 on a per-driver table with ``sector_driver_aggs``: each sector over the session's best
+    (a partial minimum joined back); null unless that best is > 0."""
+    out = with_group_stats(per_driver, list(keys), [F.min(f"_dmin{i}").alias(f"_best{i}") for i in (1, 2, 3)])
+    ratios = [F.when(F.col(f"_best{i}") > 0, F.col(f"_sectors.S{i}") / F.col(f"_best{i}")).alias(f"Sector{i}_Ratio")
+              for i in (1, 2, 3)]
+    drop = {"_sectors", *[f"{p}{i}" for p in ("_dmin", "_best") for i in (1, 2, 3)]}
+    return out.select(*[c for c in out.columns if c not in drop], *ratios)
+
+
 def sector_ratios(session_df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
-    """AG-14 + JN-8: per (session, driver): the driver's lap with the least
-    S1+S2+S3 (null sectors count 0, ties to the lowest LapNumber), each sector
-    divided by the session's best sector; null unless that best is > 0."""
-    order = sample_order(session_df)
+    """AG-14 + JN-8: per (session, driver): the sectors of the driver's lap with the least
+    S1+S2+S3, each divided by the session's best sector."""
     # first parsable text per lap (one regex match per sample), parsed once per lap
-    per_lap = session_df.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(*[
-        F.min_by(F.col(f"Sector{i}Time"), F.when(parsable_duration(f"Sector{i}Time"), order)).alias(f"S{i}")
-        for i in (1, 2, 3)])
+    per_lap = (session_df.filter(F.col(S.DRIVER_COL).isNotNull()).groupBy(*keys, S.DRIVER_COL, S.LAP_COL)
+               .agg(*sector_text_aggs(sample_order(session_df))))
     per_lap = per_lap.select(*keys, S.DRIVER_COL, S.LAP_COL,
-                             *[parse_duration_seconds(f"S{i}").alias(f"S{i}") for i in (1, 2, 3)])
-    per_lap = per_lap.filter(F.col(S.DRIVER_COL).isNotNull())
-    tot = F.coalesce(F.col("S1"), F.lit(0.0)) + F.coalesce(F.col("S2"), F.lit(0.0)) + F.coalesce(F.col("S3"), F.lit(0.0))
-    # One chain: per lap -> per driver (pick + the driver's sector minimums) ->
-    # session best as a window over the per-driver table (one row per driver).
-    per_driver = (per_lap.groupBy(*keys, S.DRIVER_COL)
-                  .agg(F.min_by(F.struct("S1", "S2", "S3"), F.struct(tot, F.col(S.LAP_COL))).alias("_p"),
-                       *[F.min(f"S{i}").alias(f"_dmin{i}") for i in (1, 2, 3)])
-                  .select(*keys, S.DRIVER_COL, "_p.*", "_dmin1", "_dmin2", "_dmin3"))
-    w = Window.partitionBy(*keys)
-    out = per_driver
-    for i in (1, 2, 3):
-        best = F.min(f"_dmin{i}").over(w)
-        out = out.withColumn(f"Sector{i}_Ratio", F.when(best > 0, F.col(f"S{i}") / best))
+                             *[parse_duration_seconds(f"_st{i}.t").alias(f"S{i}") for i in (1, 2, 3)])
+    per_driver = per_lap.groupBy(*keys, S.DRIVER_COL).agg(*sector_driver_aggs())
+    out = add_sector_ratios(per_driver, list(keys))
     return out.select(*keys, S.DRIVER_COL, "Sector1_Ratio", "Sector2_Ratio", "Sector3_Ratio")

@@ -46,7 +46,7 @@ def lap_scan(df: DataFrame, *, keys: list[str], time_col: str, tie_col: str | No
              lags: list[str], running: dict[str, Callable[[dict[str, Column]], Column]] | None = None,
              lap_totals: bool = False, lap_last: list[str] | None = None, lap_count: str | None = None,
              spread_nulls: bool = False, hot_rows: int | None = None, splits: int | None = None,
-             split_hot: bool | None = None) -> DataFrame:
+             split_hot: bool | None = None, along: list[str] | None = None) -> DataFrame:
     """Add ``_prev_<c>`` for every ``lags`` column (previous row in lap order, null
     at the lap start), one running inclusive sum per ``running`` entry (the
     callable builds the per-row increment from the ``_prev_*`` columns), and
@@ -62,7 +62,7 @@ def lap_scan(df: DataFrame, *, keys: list[str], time_col: str, tie_col: str | No
     split_hot = SPLIT_HOT_LAPS if split_hot is None else split_hot
     if not split_hot:
         return _plain_scan(df, keys, time_col, tie_col, lags, running or {}, lap_totals, lap_last or [],
-                           lap_count, spread_nulls)
+                           lap_count, spread_nulls, along or [])
     running = running or {}
     lap_last = lap_last or []
     hot_rows = HOT_LAP_ROWS if hot_rows is None else hot_rows
@@ -77,7 +77,7 @@ def lap_scan(df: DataFrame, *, keys: list[str], time_col: str, tie_col: str | No
            .filter(keys_ok & (F.col("_lap_rows") > hot_rows)).select(*keys))
     bounds = (df.join(hot, keys, "left_semi").groupBy(*keys)
               .agg(F.percentile_approx(time_col, [i / splits for i in range(1, splits)], 10000).alias("_bounds")))
-    rows = df.join(F.broadcast(bounds), keys, "left")
+    rows = df.join(bounds, keys, "left")
     is_hot = F.col("_bounds").isNotNull()
     seg = (F.when(~is_hot, F.lit(0)).when(t.isNull(), F.lit(splits))
            .otherwise(F.size(F.filter(F.col("_bounds"), lambda b: b < t))))
@@ -151,9 +151,9 @@ def lap_scan(df: DataFrame, *, keys: list[str], time_col: str, tie_col: str | No
     return out.drop("_hot", "_seg")
 
 
-def _plain_scan(df, keys, time_col, tie_col, lags, running, lap_totals, lap_last, lap_count, spread_nulls):
+def _plain_scan(df, keys, time_col, tie_col, lags, running, lap_totals, lap_last, lap_count, spread_nulls, along):
     tie = tie_col if tie_col and tie_col in df.columns else None
-    part = [F.col(k) for k in keys]
+    part = [F.col(k) for k in [*keys, *along]]
     if spread_nulls:
         keys_ok = _and([F.col(k).isNotNull() for k in keys])
         part.append(F.when(keys_ok, F.lit(0)).otherwise(

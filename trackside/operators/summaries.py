@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.exprs import brake_numeric
-from trackside.operators.common import drop_null_keys, mean, sample_sort_cols, top_n
+from trackside.operators.common import drop_null_keys, mean, sample_sort_cols, rank_in_group, top_n
 
 
 def _brake_num(df: DataFrame) -> Column:
@@ -219,11 +219,10 @@ def corner_bars(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame
     """CH-5 / TK-7: corner summary rounded to 2 (half-even) with bar orderings:
     ``Speed_Order`` by Min_Speed and ``Decel_Order`` by Max_Deceleration (non-null)."""
     cs = corner_summary(df, keys=keys)
-    ws = Window.partitionBy(*keys, "Corner").orderBy(F.col("Min_Speed"), F.col(S.DRIVER_COL))
-    wd = Window.partitionBy(*keys, "Corner").orderBy(F.col("Max_Deceleration").isNull(),
-                                                      F.col("Max_Deceleration"), F.col(S.DRIVER_COL))
-    out = cs.withColumn("Speed_Order", F.row_number().over(ws)).withColumn(
-        "Decel_Order", F.when(F.col("Max_Deceleration").isNotNull(), F.row_number().over(wd)))
+    group = [*keys, "Corner"]
+    out = rank_in_group(cs, group, [F.col("Min_Speed").asc_nulls_first(), F.col(S.DRIVER_COL).asc()], "Speed_Order")
+    out = rank_in_group(out, group, [F.col("Max_Deceleration").asc_nulls_last(), F.col(S.DRIVER_COL).asc()], "Decel_Order")
+    out = out.withColumn("Decel_Order", F.when(F.col("Max_Deceleration").isNotNull(), F.col("Decel_Order")))
     for c in ("Min_Speed", "Max_Deceleration", "Max_Acceleration_Exit"):
         out = out.withColumn(c, F.bround(c, 2))
     return out

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.operators import charts, clustering, features
 from trackside.operators.kinematics import process_telemetry
 from trackside.operators.sessions import completed_rounds, union_by_name
+from trackside.plans.ingest import api_to_telemetry, session_rounds
 from trackside.sources import sinks
 from trackside.session import cut_lineage
 
@@ -32,8 +33,7 @@ def season_clustering_job(spark: SparkSession, telemetry: DataFrame, out_dir: st
     n_rounds = per_round.select(*S.SESSION_KEYS).distinct().count()
     if n_rounds < min_rounds:
         raise ValueError(f"need at least {min_rounds} round(s) with features, got {n_rounds}")
-    # per_round is materialised: per-session statistics as aggregate + join
-    matrix = cut_lineage(features.driver_feature_matrix(per_round, zscore_method="join"))
+    matrix = cut_lineage(features.driver_feature_matrix(per_round))
     n_drivers = matrix.count()
     if n_drivers < min_drivers:
         raise ValueError(f"need at least {min_drivers} drivers, got {n_drivers}")
@@ -63,6 +63,30 @@ def season_ingest_job(spark: SparkSession, raw: DataFrame, store: str, *,
     return sinks.ingest_manifest(spark, expected, store)
 
 
+def season_api_job(spark: SparkSession, *, schedule: DataFrame, store: str, as_of: str, docs: dict[str, DataFrame],
+                   session_filter: Column | None = None, preview_path: str | None = None,
+                   corners: dict | None = None, **ingest_kw) -> DataFrame:
+    """PL-7 end to end: completed rounds (FLT-4) -> sessions of these rounds (JN-5) that the
+    store lacks (SNK-8) -> telemetry (PL-2) -> corners and acceleration (PL-1) -> store ->
+    preview (SNK-2). Returns the manifest (SNK-9); a second run writes nothing.
+
+    ``docs`` holds the landed documents: sessions, drivers, laps, stints, car_data, location."""
+    done = completed_rounds(schedule.withColumn("EventDate", F.to_date("EventDate")), as_of=as_of)
+    sessions = docs["sessions"] if session_filter is None else docs["sessions"].filter(session_filter)
+    rounds, _ = session_rounds(sessions, done)
+    rounds = cut_lineage(rounds)
+    expected = rounds.select(*sinks.STORE_PARTITIONS).distinct()
+    todo = sinks.sessions_to_process(spark, expected, store)
+    fresh = sessions.join(rounds.join(todo, sinks.STORE_PARTITIONS, "left_semi").select("session_key"),
+                          "session_key", "left_semi")
+    if not fresh.isEmpty():
+        tel = api_to_telemetry(sessions=fresh, schedule=done, **{k: v for k, v in docs.items() if k != "sessions"}, **ingest_kw)
+        sinks.write_store(process_telemetry(tel, corners=corners), store)
+        if preview_path is not None:
+            sinks.write_preview(spark.read.parquet(store), preview_path)
+    return sinks.ingest_manifest(spark, expected, store)
+
+
 def season_summaries(schedule: DataFrame, lap_tables: dict[str, DataFrame], *, as_of: str) -> dict[str, DataFrame]:
     """PL-8: completed schedule rounds and the union of per-session-type lap
     tables (columns differ by session type) with ``*_seconds`` columns."""
