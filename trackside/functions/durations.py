@@ -61,11 +61,13 @@ def duration_text(micros, short: bool | Column = False) -> Column:
     return F.when(us.isNull(), F.lit(None).cast("string")).when(short_c, parts_short).otherwise(parts_long)
 
 
-def seconds_to_duration_text(c, short: bool | Column = False) -> Column:
-    """Seconds (double) -> duration text; null or 0 seconds -> null (SC-14)."""
+def seconds_to_duration_text(c, short: bool | Column = False, *, zero_is_missing: bool = True) -> Column:
+    """Seconds (double) -> duration text; null -> null, and 0 seconds -> null where
+    ``zero_is_missing`` (lap times; a sector of 0 s is a value) (SC-14)."""
     s = _col(c)
     us = F.floor(s * 1000000.0 + 0.5).cast("long")
-    return F.when(s.isNull() | (s == 0), F.lit(None).cast("string")).otherwise(duration_text(us, short))
+    missing = s.isNull() | (s == 0) if zero_is_missing else s.isNull()
+    return F.when(missing, F.lit(None).cast("string")).otherwise(duration_text(us, short))
 
 
 def _millis(c) -> Column:

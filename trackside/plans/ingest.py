@@ -95,9 +95,9 @@ def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame
         F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"),
         F.lit(None).cast("double").alias("Steering"), F.col("n_gear").cast("int").alias("Gear"),
         seconds_to_duration_text("lap_duration").alias("LapTime"),
-        seconds_to_duration_text("duration_sector_1").alias("Sector1Time"),
-        seconds_to_duration_text("duration_sector_2").alias("Sector2Time"),
-        seconds_to_duration_text("duration_sector_3").alias("Sector3Time"),
+        seconds_to_duration_text("duration_sector_1", zero_is_missing=False).alias("Sector1Time"),
+        seconds_to_duration_text("duration_sector_2", zero_is_missing=False).alias("Sector2Time"),
+        seconds_to_duration_text("duration_sector_3", zero_is_missing=False).alias("Sector3Time"),
         "Compound", "FreshTyre")
     return canonical_order(out)
 

@@ -69,6 +69,7 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     from trackside.plans import (  # noqa: F401
         q_align,
+        q_ingest,
         q_ml,
         q_scalar,
         q_features,
