@@ -219,6 +219,12 @@ def test_season_summaries_union_and_completed(spark):
     laps = {r.SessionType: r for r in out["laps"].collect()}
     assert laps["Race"].IsPersonalBest is None and laps["Qualifying"].Compound is None
     assert laps["Qualifying"].LapTime_seconds == 79.5
+    # with rounds and event names, every table keeps its columns and completed rounds only
+    full = season_summaries(sched.withColumn("EventName", F.lit("GP")), {
+        "Race": race.withColumn("Round", F.lit(1)).withColumn("Extra", F.lit(0)),
+        "Qualifying": quali.withColumn("Round", F.lit(3))}, as_of="2025-06-01")["laps"]
+    assert [(r.Driver, r.Round, r.EventName, r.SessionType) for r in full.collect()] == [("VER", 1, "GP", "Race")]
+    assert "Extra" not in full.columns and "IsPersonalBest" in full.columns
 
 
 def test_csv_export_gzip_roundtrip_and_optional_sources(spark, tmpdir_fresh):

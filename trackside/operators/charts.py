@@ -51,6 +51,18 @@ def cluster_roster(labels: DataFrame, *, id_col: str = S.DRIVER_COL) -> DataFram
                          cluster_color("Cluster").alias("Color")).orderBy("Cluster", id_col)
 
 
+def assignment_table(labels: DataFrame, coords: DataFrame, *, id_col: str = S.DRIVER_COL) -> DataFrame:
+    """CH-8 / JN-7 (left): every labelled driver with its PCA coordinates, where there are any."""
+    own = [c for c in coords.columns if c.startswith("PC")]
+    return labels.select(id_col, "Cluster").join(coords.select(id_col, *own), id_col, "left").select(
+        id_col, cluster_label("Cluster").alias("Cluster"), *own)
+
+
+def centroid_table(profiles: DataFrame, *, by: str = "Cluster", digits: int = 2) -> DataFrame:
+    """CH-8: cluster centroids rounded for display (half-even)."""
+    return profiles.select(by, *[F.bround(F.col(c).cast("double"), digits).alias(c) for c in profiles.columns if c != by])
+
+
 def display_sorted(df: DataFrame, kind: str, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
     """TK-1: presentation orderings of the small result tables: ``classification``
     (lap time, driver), ``corners`` (corner, min speed), ``assignments``

@@ -31,6 +31,22 @@ def session_predicate(name_col: str = "session_name", type_col: str = "session_t
     return cond
 
 
+# Columns of the season tables (fixed values).
+LAP_BASE = ["DriverNumber", "Driver", "LapNumber", "LapTime", "Sector1Time", "Sector2Time", "Sector3Time"]
+SESSION_LAP_COLUMNS = {"Race": [*LAP_BASE, "Compound", "FreshTyre"], "Qualifying": [*LAP_BASE, "IsPersonalBest"],
+                       "FP3": [*LAP_BASE, "Compound"]}
+RESULT_COLUMNS = ["DriverNumber", "Driver", "Abbreviation", "Team", "ClassifiedFinishingPosition", "Points"]
+
+
+def of_rounds(df: DataFrame, schedule: DataFrame, columns: list[str], *, session_type: str | None = None) -> DataFrame:
+    """PRJ-3: the given columns of all rounds at once with Round and EventName (and
+    SessionType); rows of rounds that are not in ``schedule`` go."""
+    events = schedule.select(F.col("RoundNumber").cast("int").alias("Round"), "EventName")
+    tail = [] if session_type is None else [F.lit(session_type).alias("SessionType")]
+    return (df.withColumn("Round", F.col("Round").cast("int")).join(events, "Round")
+            .select(*[c for c in columns if c in df.columns], "Round", "EventName", *tail))
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """ST-1..4: union of frames whose columns differ; missing columns are nulls."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -102,6 +102,22 @@ def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame
     return canonical_order(out)
 
 
+def landed_laps_to_telemetry(samples: DataFrame, laps: DataFrame, *, ts: str = "Time") -> tuple[DataFrame, DataFrame]:
+    """SRC-5: landed samples (with session, DriverNumber, LapNumber, ``ts``) and landed laps ->
+    (canonical telemetry, rejects).
+
+    Lap attributes are attached by an equi-join (JN-4), TimeInLap counts from the lap's first
+    sample (WN-3). Rejects count the samples per session without a lap (``no_lap``) or
+    without a time (``no_time``)."""
+    keys = [*S.SESSION_KEYS, "DriverNumber", S.LAP_COL]
+    timed = samples.filter(F.col(ts).isNotNull())
+    attrs = dedupe_first(laps, keys, [c for c in laps.columns if c not in keys])
+    tel = align.time_in_lap(align.attach_lap_attributes(timed, attrs, keys=keys), lap_keys=keys, ts=ts)
+    bad = (samples.filter(F.col(ts).isNull()).withColumn("reason", F.lit("no_time"))
+           .unionByName(timed.join(attrs.select(*keys), keys, "left_anti").withColumn("reason", F.lit("no_lap"))))
+    return canonical_order(tel), bad.groupBy(*S.SESSION_KEYS, "reason").agg(F.count(F.lit(1)).alias("count"))
+
+
 def api_ingest_rejects(*, sessions: DataFrame, laps: DataFrame, car_data: DataFrame, schedule: DataFrame,
                        session_filter: Column | None = None, lap_bucket_seconds: float = 120.0) -> DataFrame:
     """What PL-2 leaves out, counted per session: (session_key, reason, count) in samples.

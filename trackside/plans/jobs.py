@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 from trackside import schemas as S
 from trackside.operators import charts, clustering, features
 from trackside.operators.kinematics import process_telemetry
-from trackside.operators.sessions import completed_rounds, union_by_name
+from trackside.operators.align import semi_filter
+from trackside.operators.sessions import (
+    RESULT_COLUMNS,
+    SESSION_LAP_COLUMNS,
+    completed_rounds,
+    of_rounds,
+    session_predicate,
+    union_by_name,
+)
+from trackside.operators.summaries import dedupe_first
 from trackside.plans.ingest import api_to_telemetry, session_rounds
 from trackside.sources import sinks
 from trackside.session import cut_lineage
@@ -87,12 +96,38 @@ def season_api_job(spark: SparkSession, *, schedule: DataFrame, store: str, as_o
     return sinks.ingest_manifest(spark, expected, store)
 
 
+def season_results(results: DataFrame, schedule: DataFrame) -> DataFrame:
+    """ST-3 / PL-8: the race results of all (completed) rounds in one table."""
+    return of_rounds(results, schedule, RESULT_COLUMNS)
+
+
+def api_summaries(docs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """PL-8, second source: the season's summary tables from landed documents. Standings and
+    overtakes of races only, grids of qualifying and races, one row per driver; the other
+    tables as they are. All sessions, without the request limits of a client."""
+    sessions = docs["sessions"]
+    races = sessions.filter(session_predicate(name_contains="Race")).select("session_key")
+    graded = sessions.filter(session_predicate(types=["Qualifying", "Race"])).select("session_key")
+    out = {}
+    for name, df in docs.items():
+        if name in ("championship_drivers", "championship_teams", "overtakes"):
+            df = semi_filter(df, races, "session_key")
+        elif name == "starting_grid":
+            df = semi_filter(df, graded, "session_key")
+        elif name == "drivers":
+            df = dedupe_first(df, ["driver_number"], ["session_key"])
+        out[name] = df
+    return out
+
+
 def season_summaries(schedule: DataFrame, lap_tables: dict[str, DataFrame], *, as_of: str) -> dict[str, DataFrame]:
     """PL-8: completed schedule rounds and the union of per-session-type lap
     tables (columns differ by session type) with ``*_seconds`` columns."""
     from trackside.functions.durations import parse_duration_seconds
     sched = completed_rounds(schedule.withColumn("EventDate", F.to_date("EventDate")), as_of=as_of)
-    parts = [df.withColumn("SessionType", F.lit(st)) for st, df in lap_tables.items()]
+    named = "EventName" in sched.columns
+    parts = [of_rounds(df, sched, SESSION_LAP_COLUMNS.get(st, df.columns), session_type=st)
+             if named and "Round" in df.columns else df.withColumn("SessionType", F.lit(st)) for st, df in lap_tables.items()]
     laps = union_by_name(parts)
     for c in ("LapTime", "Sector1Time", "Sector2Time", "Sector3Time"):
         if c in laps.columns:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from trackside.functions.durations import seconds_to_duration_text
 from trackside.operators.sessions import session_predicate
 from trackside.operators.summaries import filter_drivers
-from trackside.plans.ingest import api_ingest_rejects, api_to_telemetry
-from trackside.plans.jobs import season_api_job
+from trackside.plans.ingest import api_ingest_rejects, api_to_telemetry, landed_laps_to_telemetry
+from trackside.plans.jobs import api_summaries, season_api_job, season_results
 from trackside.plans.q_align import ASOF_SQL, HOUR, LAPS_SQL
 from trackside.plans.registry import register
 from trackside.session import checkpoint_dir, cut_lineage
@@ -171,3 +171,80 @@ def q_sector_text(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", (F.col("event_id") % 5 * 30.25 + F.col("event_id") % 3 * 3600).alias("sec"))
     return e.select("event_id", seconds_to_duration_text("sec").alias("lap"),
                     seconds_to_duration_text("sec", zero_is_missing=False).alias("sector"))
+
+
+LANDED_SQL = """
+s AS (SELECT event_id, 2024 AS "Year", CAST(user_id % 4 AS INTEGER) AS "Round", 'Q' AS "SessionType",
+             CAST(user_id AS VARCHAR) AS "DriverNumber", CAST(floor((day(ts) - 1) / 10) AS INTEGER) AS "LapNumber",
+             CASE WHEN event_id % 50 > 0 THEN epoch_us(ts) END AS us, value AS "Speed" FROM events),
+l AS (SELECT "Year", "Round", "SessionType", "DriverNumber", "LapNumber", 'D' || "DriverNumber" AS "Driver",
+             CASE WHEN "LapNumber" = 0 THEN 'SOFT' ELSE 'HARD' END AS "Compound", "LapNumber" = 0 AS "FreshTyre"
+      FROM s WHERE "LapNumber" < 2 GROUP BY ALL)"""
+
+
+def _landed(spark, sf):
+    samples = read_table(spark, sf, "events").select(
+        F.lit(2024).alias("Year"), F.pmod("user_id", F.lit(4)).cast("int").alias("Round"), F.lit("Q").alias("SessionType"),
+        F.col("user_id").cast("string").alias("DriverNumber"),
+        F.floor((F.dayofmonth("ts") - 1) / 10).cast("int").alias("LapNumber"),
+        F.when(F.col("event_id") % 50 > 0, F.col("ts")).alias("Time"), F.col("value").alias("Speed"))
+    laps = samples.filter("LapNumber < 2").select("Year", "Round", "SessionType", "DriverNumber", "LapNumber").distinct()
+    laps = laps.withColumn("Driver", F.concat(F.lit("D"), "DriverNumber")).withColumn(
+        "Compound", F.when(F.col("LapNumber") == 0, "SOFT").otherwise("HARD")).withColumn("FreshTyre", F.col("LapNumber") == 0)
+    return landed_laps_to_telemetry(samples, laps)
+
+
+@register("landed_telemetry", LANDED_SQL + """
+---
+SELECT "Year", "Round", "SessionType", "DriverNumber", "Driver", "LapNumber", "Speed", "Compound", "FreshTyre",
+       (us - min(us) OVER (PARTITION BY "Round", "DriverNumber", "LapNumber")) / 1000000.0 AS "TimeInLap"
+FROM s JOIN l USING ("Year", "Round", "SessionType", "DriverNumber", "LapNumber") WHERE us IS NOT NULL""", adapter=False)
+def q_landed_telemetry(spark, sf):
+    """SRC-5: samples with lap attributes and time in lap."""
+    return _landed(spark, sf)[0].select("Year", "Round", "SessionType", "DriverNumber", "Driver", "LapNumber", "Speed", "Compound",
+                                        "FreshTyre", "TimeInLap")
+
+
+@register("landed_rejects", LANDED_SQL + """
+---
+SELECT "Year", "Round", "SessionType", CASE WHEN us IS NULL THEN 'no_time' ELSE 'no_lap' END AS reason, count(*) AS count
+FROM s WHERE us IS NULL OR "LapNumber" >= 2 GROUP BY ALL""", adapter=False)
+def q_landed_rejects(spark, sf):
+    return _landed(spark, sf)[1]
+
+
+@register("season_results", """
+SELECT CAST(o_custkey AS VARCHAR) AS "DriverNumber", o_totalprice AS "Points", CAST(o_orderkey % 30 AS INTEGER) AS "Round",
+       n_name AS "EventName" FROM orders JOIN nation ON n_nationkey = o_orderkey % 30 WHERE n_nationkey > 0""", adapter=False)
+def q_season_results(spark, sf):
+    """ST-3 / PRJ-3: results of every round of the schedule."""
+    schedule = read_table(spark, sf, "nation").filter("n_nationkey > 0").select(
+        F.col("n_nationkey").alias("RoundNumber"), F.col("n_name").alias("EventName"))
+    results = read_table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("DriverNumber"),
+                                                     F.col("o_totalprice").alias("Points"), (F.col("o_orderkey") % 30).alias("Round"))
+    return season_results(results, schedule)
+
+
+@register("api_summaries", """
+s AS (SELECT o_orderkey AS session_key, CASE WHEN o_orderstatus = 'F' THEN 'Sprint Race' ELSE 'Practice' END AS name,
+             CASE WHEN o_orderstatus = 'F' THEN 'Race' WHEN o_orderstatus = 'O' THEN 'Qualifying' ELSE 'Practice' END AS kind FROM orders),
+l AS (SELECT l_orderkey AS session_key, l_partkey AS driver_number FROM lineitem)
+---
+SELECT 'overtakes' AS "Table", session_key, driver_number FROM l JOIN (SELECT DISTINCT session_key FROM s WHERE name LIKE '%Race%') USING (session_key)
+UNION ALL
+SELECT 'starting_grid', session_key, driver_number FROM l JOIN (SELECT DISTINCT session_key FROM s WHERE kind IN ('Race', 'Qualifying')) USING (session_key)
+UNION ALL
+SELECT 'drivers', min(session_key), driver_number FROM l GROUP BY driver_number
+UNION ALL
+SELECT 'pit', session_key, driver_number FROM l""", adapter=False)
+def q_api_summaries(spark, sf):
+    """PL-8: sessions shaped from orders, their documents from lineitem."""
+    status = F.col("o_orderstatus")
+    sessions = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("session_key"), F.when(status == "F", "Sprint Race").otherwise("Practice").alias("session_name"),
+        F.when(status == "F", "Race").when(status == "O", "Qualifying").otherwise("Practice").alias("session_type"))
+    rows = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session_key"), F.col("l_partkey").alias("driver_number"))
+    tables = api_summaries({"sessions": sessions, **dict.fromkeys(("overtakes", "starting_grid", "drivers", "pit"), rows)})
+    parts = [tables[t].select(F.lit(t).alias("Table"), "session_key", "driver_number")
+             for t in ("overtakes", "starting_grid", "drivers", "pit")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -98,6 +98,26 @@ def q_cluster_profiles(spark, sf):
     return round6(m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS]), DIMS)
 
 
+@register("cluster_centroids", """
+SELECT label AS "Cluster", """ + ", ".join(f"round_even(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 2) AS d{i}" for i in range(64))
+          + " FROM embeddings GROUP BY label", adapter=False)
+def q_cluster_centroids(spark, sf):
+    """CH-8: centroids rounded to 2."""
+    m = emb_matrix(spark, sf)
+    return charts.centroid_table(m.groupBy("Cluster").agg(*[F.avg(d).alias(d) for d in DIMS]))
+
+
+@register("cluster_assignments", """
+SELECT CAST(vec_id AS VARCHAR) AS "Driver", 'Cluster ' || CAST(label AS VARCHAR) AS "Cluster",
+       CASE WHEN vec_id % 3 > 0 THEN CAST(embedding[1] AS DOUBLE) END AS "PC1",
+       CASE WHEN vec_id % 3 > 0 THEN CAST(embedding[2] AS DOUBLE) END AS "PC2" FROM embeddings""", adapter=False)
+def q_cluster_assignments(spark, sf):
+    """CH-8 / JN-7 (left): labels with coordinates, where there are any."""
+    m = emb_matrix(spark, sf)
+    coords = m.filter(F.col("Driver").cast("long") % 3 > 0).select("Driver", F.col("d0").alias("PC1"), F.col("d1").alias("PC2"))
+    return charts.assignment_table(m.select("Driver", "Cluster"), coords)
+
+
 _PALETTE_CASE = "CASE \"Cluster\" % 8 " + " ".join(
     f"WHEN {i} THEN '{c}'" for i, c in enumerate(S.CLUSTER_PALETTE)) + " END"
 
