@@ -19,6 +19,7 @@ from trackside.plans.jobs import api_summaries, season_api_job, season_results
 from trackside.plans.q_align import ASOF_SQL, HOUR, LAPS_SQL
 from trackside.plans.registry import register
 from trackside.session import checkpoint_dir, cut_lineage
+from trackside.sources import files, sinks
 from trackside.sources.adapter import read_table, telemetry_view
 
 
@@ -119,6 +120,13 @@ def q_api_rejects(spark, sf):
                               lap_bucket_seconds=86400.0)
 
 
+def _shared(spark, name):
+    """A fresh folder in the shared checkpoint folder (named here where the session has none)."""
+    if not checkpoint_dir(spark):
+        cut_lineage(spark.range(1))
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @register("season_store", API_SQL + """
 ---
 SELECT "Year", "Round", bool_or("SessionType" = 'Q') AS q_ok, bool_or("SessionType" = 'R') AS r_ok,
@@ -127,8 +135,7 @@ FROM api WHERE "Year" = 2024 OR "Year" = 2025 GROUP BY ALL""", adapter=False)
 def q_season_store(spark, sf):
     """PL-7: the season job writes the store and its manifest; a second run finds nothing left to write."""
     docs, schedule = _documents(spark, sf)
-    cut_lineage(spark.range(1))  # names a shared folder where the session has none
-    store = f"{checkpoint_dir(spark).rstrip('/')}/season-{uuid.uuid4().hex}"
+    store = _shared(spark, "season")
     job = dict(schedule=schedule, store=f"{store}/telemetry", as_of="2025-12-31", docs=docs, preview_path=f"{store}/preview")
     season_api_job(spark, **job, **_INGEST)
     first = set(spark.read.parquet(job["store"]).inputFiles())
@@ -248,3 +255,30 @@ def q_api_summaries(spark, sf):
     parts = [tables[t].select(F.lit(t).alias("Table"), "session_key", "driver_number")
              for t in ("overtakes", "starting_grid", "drivers", "pit")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("csv_roundtrip", """
+SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""", adapter=False)
+def q_csv_roundtrip(spark, sf):
+    """SNK-1 CSV export (gzip) read back by its plain name (SRC-1)."""
+    cols = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    path = _shared(spark, "export")
+    sinks.write_csv(read_table(spark, sf, "orders").select(*[c.split()[0] for c in cols.split(", ")]), f"{path}/orders.csv.gz",
+                    compress=True)
+    return files.read_csv(spark, f"{path}/orders.csv", cols)
+
+
+@register("summary_roundtrip", """
+SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'written', 1 UNION ALL SELECT 'skipped', 0""", adapter=False)
+def q_summary_roundtrip(spark, sf):
+    """SNK-4 (an empty summary is skipped), SNK-6 and SRC-6 (a missing table reads as an empty one)."""
+    path, schema = _shared(spark, "summary"), "c_mktsegment string, n long"
+    table = read_table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    done = {"written": sinks.publish_summary(table, f"{path}/segments"),
+            "skipped": sinks.publish_summary(table.filter("n < 0"), f"{path}/none")}
+    sinks.write_run_summary(spark, f"{path}/run", **done)
+    run = spark.read.schema("written boolean, skipped boolean").json(f"{path}/run")
+    flags = run.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("long").alias("v")) for k in done])).alias("f"))
+    return (files.read_optional(spark, f"{path}/segments", schema).unionByName(files.read_optional(spark, f"{path}/none", schema))
+            .unionByName(flags.select(F.col("f.k").alias("c_mktsegment"), F.col("f.v").alias("n"))))
