@@ -45,9 +45,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     first = stored(_levels(docs, id_col, text_col, []), "exact-levels")
     by_len = first.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
-    by_prefix = (first.join(by_len, "len", "left_semi").groupBy("len", "prefix")
-                 .agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-                 .select("len", "prefix", F.lit(True).alias("open")))
+    # the small results are written, so that the joins below deal out a hot key's rows anew
+    by_prefix = stored(first.join(by_len, "len", "left_semi").groupBy("len", "prefix")
+                       .agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                       .select("len", "prefix", F.lit(True).alias("open")), "exact-prefixes")
     norm = _normalised(F.col(text_col))
     if digest_all:
         rows = (_levels(docs, id_col, text_col, [F.sha2(norm, 256).alias("sha")])
@@ -59,9 +60,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 .withColumn("sha", F.sha2(_normalised(F.col("whole")), 256)).drop("whole"))
     rows = stored(rows.select("id", "len", "prefix", "sha", F.coalesce("open", F.lit(False)).alias("open"),
                               F.monotonically_increasing_id().alias("row")), "exact-rows")
-    groups = (rows.filter("open").groupBy("len", "prefix", "sha")
-              .agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1"))
+    groups = stored(rows.filter("open").groupBy("len", "prefix", "sha")
+                    .agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+                    .filter("n > 1"), "exact-groups")
     out = rows.join(groups, ["len", "prefix", "sha"], "left")
     alone = F.col("keep").isNull()
     return out.select(
