@@ -31,18 +31,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(pairs: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (node, component): the smallest node reachable.
 
-    Only nodes that occur in a pair of two different nodes appear. Stops when a
-    round leaves the edge table unchanged; the number of rounds is about the
-    square of the logarithm of the component size, at most.
+    Only nodes that occur in a pair of two different nodes appear. Stops when every
+    edge leads from a node to its component's smallest; the number of rounds is
+    about the square of the logarithm of the component size, at most.
     """
     edges = stored(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .distinct(), "cc-edges")
-    mark = None
-    while True:
+    while not _all_stars(edges):
         edges = stored(_star(edges, large=True), "cc-large")
         edges = stored(_star(edges, large=False), "cc-small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")),
-                        F.count_if(F.col("a") == F.col("b"))).first()
-        if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """No node has two smaller neighbours, and no node is the smaller one of one edge and the larger of another."""
+    forked = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+    return forked.unionByName(chained).isEmpty()

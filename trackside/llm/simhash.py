@@ -115,8 +115,9 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     low = node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     degree = (links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp")
               .agg(F.count(F.lit(1)).alias("n_links")))
-    named = node.join(low, "component").join(degree, "fp", "left").select(
-        "fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # written, so that the join below deals out a hot fingerprint's rows anew
+    named = stored(node.join(low, "component").join(degree, "fp", "left").select(
+        "fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "simhash-named")
     return rows.join(named, "fp").select("id", "fp", "n_links", "component_id")
 
 
