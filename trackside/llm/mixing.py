@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackside.llm.common import stored
+
 RATE_STEP = 16.0
 # P(Poisson(16) > 95) is below 1e-40, less than the step of the hashed number:
 # the inversion never needs a later entry.
@@ -72,15 +74,16 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, *, id_col: str = "doc_id",
     """``docs`` with rate and n_copies. ``rates`` (one row per source) is joined by
     source; Spark broadcasts it where it measures it as small and splits a hot
     source's rows where it does not."""
-    step = rates.withColumn("__draws", F.ceil(F.col("rate") / RATE_STEP).cast("int")).withColumn(
+    # written, so that its measured size decides about a broadcast before any document is shuffled
+    step = stored(rates.withColumn("__draws", F.ceil(F.col("rate") / RATE_STEP).cast("int")).withColumn(
         "__cdf", _cdf(F.col("rate") / F.greatest(F.col("__draws"), F.lit(1)))).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), "__draws", "__cdf")
+        F.col("source").alias("__source"), F.col("rate").alias("__rate"), "__draws", "__cdf"), "mix-rates")
     base = docs.select(*[c for c in docs.columns if c not in ("rate", "n_copies")])
     joined = base.join(step, F.col(source_col).eqNullSafe(F.col("__source")))
+    draws = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__draws"), F.lit(1))),
+                        lambda j: hashed_uniform(seed, j, F.col(id_col)))
     # each draw counts the terms at or below its number: the smallest k whose value exceeds it
-    n = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.col("__draws"), F.lit(1))), F.lit(0),
-        lambda acc, j: acc + F.size(F.filter(F.col("__cdf"), lambda c: c <= hashed_uniform(seed, j, F.col(id_col)))))
+    n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
     n = F.when(F.col("__draws") == 0, F.lit(0)).otherwise(n)
     return joined.withColumn("rate", F.col("__rate")).withColumn("n_copies", n.cast("long")).drop(
         "__source", "__rate", "__draws", "__cdf")
