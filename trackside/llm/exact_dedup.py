@@ -79,7 +79,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     repeat the id of the kept row with an equal text are reduced to the one
     whose other columns sort first.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col).filter("group_size > 1")
+    groups = stored(exact_groups(docs, id_col=id_col, text_col=text_col).filter("group_size > 1")
+                    .select("id", "len", "prefix", "sha", "kept"), "exact-losers")
     fate = stored(groups.groupBy("id", "len", "prefix", "sha")
                   .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")), "exact-fate")
     tag = "__x"
