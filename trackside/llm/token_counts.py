@@ -42,7 +42,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # No alternative of the pattern looks at more than two characters past the end of its match.
 LOOKAHEAD = 3
 BLOCK = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+# Rows that a task holds as Python objects at a time.
+SLICE_ROWS = 256
 EDITS_TYPE = "array<struct<start:long,end:long,replacement:string>>"
 
 
@@ -205,6 +207,13 @@ def edit_text(counter: Counter, tree: Tree, text: str, start, end, replacement)
     return new, len(chars), sum(chars)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into a few rows each, so that lists of texts and trees stay small."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
 def _vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read on the driver (about 1 MB) and sent to the tasks."""
     return spark.sparkContext.broadcast(Path(path).read_bytes())
@@ -219,7 +228,7 @@ def build_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(sent.value)
-        for b in batches:
+        for b in _slices(batches):
             pieces, tokens, trees = [], [], []
             for text in b.column(1):
                 chars, counts = counter.leaves(text.as_py())
@@ -242,7 +251,7 @@ def apply_edits(trees: DataFrame, *, edits_col: str = "edits", vocabulary: str =
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(sent.value)
-        for b in batches:
+        for b in _slices(batches):
             texts, packed, numbers = [], [], []
             for text, raw, edits in zip(b.column(1), b.column(3), b.column(4)):
                 text, tree, pieces, chars = text.as_py(), Tree.unpack(raw.as_py()), 0, 0
