@@ -87,6 +87,17 @@ def test_dedup_keeps_the_smallest_id(docs, corpus, clashing):
         assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, *_ in corpus if i not in lost)
 
 
+def test_dedup_judges_each_row_by_its_own_component(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")),  # the null id loses in a, not in b
+            (5, text("c")), (7, text("c")), (7, text("d")), (8, text("d")),  # 7 loses in c, names d
+            (None, text("e")), (None, text("e")), (None, text("e").upper()),  # no id at all: one row
+            (9, text("f")), (9, text("f"))]
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, r.text.lower()) for r in got.collect()) == Counter(
+        [(1, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (None, text("e")), (9, text("f")), (9, text("f"))])
+
+
 def test_empty_table(empty):
     assert simhash.simhash_groups(empty).count() == 0
     assert simhash.simhash_dedup(empty).count() == 0

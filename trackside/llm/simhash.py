@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackside.llm.common import stored
 from trackside.llm.components import connected_components
@@ -101,10 +102,8 @@ def hamming_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return probes.join(index, ["seg", "key"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                   shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per input row: id, fp, n_links (other fingerprints linked), component_id."""
-    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
+def _named(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id, n_links) of every distinct fingerprint of ``rows`` (id, fp), written once."""
     fps = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
     links = stored(hamming_links(fps.select("fp"), max_bits), "simhash-links")
     comp = connected_components(links)
@@ -115,23 +114,58 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     low = node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     degree = (links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp")
               .agg(F.count(F.lit(1)).alias("n_links")))
-    # written, so that the join below deals out a hot fingerprint's rows anew
-    named = stored(node.join(low, "component").join(degree, "fp", "left").select(
-        "fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "simhash-named")
-    return rows.join(named, "fp").select("id", "fp", "n_links", "component_id")
+    # written, so that later joins deal out a hot fingerprint's rows anew
+    return stored(node.join(low, "component").join(degree, "fp", "left").select(
+        "fp", "component", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "simhash-named")
+
+
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                   shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row per input row: id, fp, n_links (other fingerprints linked), component_id."""
+    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
+    return rows.join(_named(rows, max_bits), "fp").select("id", "fp", "n_links", "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, name: str, text_col: str, shingle_words: int) -> DataFrame:
+    """``docs`` with one more column, the fingerprint of the row's text."""
+    text = name + "text"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))],
+                                             names=[*b.schema.names[:-1], name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(task, schema)
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document per component: the one with the smallest id.
 
-    Rows with a null id stay only where their whole component has none; rows
-    that repeat a kept id all stay.
+    Judged row by row: a row stays if its id is the smallest of the component of its
+    own fingerprint, so rows that repeat a kept id in that component all stay, and an
+    id or a null id that loses in one component does not lose in another. A component
+    without any id keeps one row, the one whose columns sort first.
     """
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits)
-    lost = groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    tag = "__lost"
-    while tag in docs.columns:
+    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
+    named = _named(rows, max_bits)
+    tag = "__x"
+    while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
-    lost = lost.select(F.col("id").alias(tag))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col(tag)), "left_anti")
+    lost = (rows.join(named, "fp").filter(~F.col("id").eqNullSafe(F.col("component_id")))
+            .select(F.col("id").alias(tag + "id"), F.col("fp").alias(tag + "lost")).distinct())
+    fp = tag + "fp"
+    kept = _with_fingerprint(docs, fp, text_col, shingle_words).join(
+        lost, F.col(id_col).eqNullSafe(F.col(tag + "id")) & (F.col(fp) == F.col(tag + "lost")), "left_anti")
+    unnamed = named.filter(F.col("component_id").isNull()).select(
+        F.col("fp").alias(fp), F.col("component").alias(tag + "c"))
+    if not unnamed.head(1):
+        return kept.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    one = (kept.filter(F.col(id_col).isNull()).join(unnamed, fp).groupBy(tag + "c")
+           .agg(F.min(F.struct(text_col, *rest)).alias(tag + "row"))
+           .select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == id_col
+                     else F.col(tag + "row").getField(c).alias(c) for c in docs.columns]))
+    return kept.filter(F.col(id_col).isNotNull()).select(*docs.columns).unionByName(one)
