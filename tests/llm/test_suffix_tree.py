@@ -84,6 +84,16 @@ def test_matches_brute_force(docs, clashing, corpus, monkeypatch):
     close(run(docs, buckets=3), want)
 
 
+def test_pair_counts_do_not_depend_on_the_chunks(spark, monkeypatch):
+    texts = ["x " * 600000 + "a b"] + ["a b " * 20 + f"end{i}" for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for size in (1000, 6 << 20):  # a chunk of its own for every document, one chunk for all
+        monkeypatch.setattr(st, "CHUNK_BYTES", size)
+        ctx = st.candidate_contexts(st.pack_chunks(df, train=F.lit(True), id_col="doc_id", text_col="text"))
+        # x x, a b, b a; the others are below MIN_SHARE
+        assert sorted(ctx.pair_counts.tolist()) == [190, 201, 599999]
+
+
 def test_empty_table_and_no_training(docs, corpus, empty):
     assert run(empty) == []
     got = st.score_documents(docs, train=F.lit(False)).collect()

@@ -46,9 +46,7 @@ from trackside.llm.common import stored
 
 CHUNK_BYTES = 6 << 20
 MIN_SHARE = 1 / (1 << 16)
-# Chunks report word pairs from this share of their own tokens on; what they leave out
-# cannot lift a pair over MIN_SHARE by more than this (lossy counting).
-LOSS_SHARE = MIN_SHARE / 4
+LOSS_SHARE = 0.0    # chunks report every pair of candidate words, so pair counts are exact
 MIN_GAIN = 0.01
 TEST_WEIGHT = 0.5   # weight of the shorter context in the divergence test, as a share of the context's count
 _RARE = K.U64(1 << 63)
@@ -226,11 +224,12 @@ def candidate_contexts(chunks: DataFrame) -> Contexts:
                 rank = c.rank(t.hash)
                 ok = (t.doc[1:] == t.doc[:-1]) & t.train[1:] & (rank[1:] >= 0) & (rank[:-1] >= 0) & (t.hash[1:] != K.END_WORD)
                 code, n = np.unique(rank[:-1][ok] * len(c.words) + rank[1:][ok], return_counts=True)
-                many = n >= LOSS_SHARE * t.train.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(code[many]), pa.array(n[many])], names=["pair", "n"])
+                for i in range(0, len(code), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(code[i:i + (1 << 16)]), pa.array(n[i:i + (1 << 16)])],
+                                                     names=["pair", "n"])
 
     pairs = (chunks.select("train", "body").mapInArrow(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= (MIN_SHARE - LOSS_SHARE) * total).toPandas().sort_values("pair"))
+             .filter(F.col("n") >= MIN_SHARE * total).toPandas().sort_values("pair"))
     return Contexts(ctx.words, ctx.counts, pairs["pair"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64),
                     total, int(kinds))
 
