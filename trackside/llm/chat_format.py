@@ -31,6 +31,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackside.llm.common import stored
+
 SLICE_TURNS = 4096
 BAD = "bad"
 
@@ -152,7 +154,9 @@ def format_parts(turns: DataFrame, template: Template | None = None, *, conv_col
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), part.alias("part"),
         F.struct(turn.alias("turn"), text(role_col).alias("role"), template.escaped(text(text_col)).alias("text")).alias("t"))
-    long = (rows.filter(F.col("part").isNull() | (F.col("part") != 0)).select(F.col("conv_id").alias("long_id")).distinct())
+    # written first, so that Spark broadcasts it by its real size or else splits hot keys
+    long = stored(rows.filter(F.col("part").isNull() | (F.col("part") != 0))
+                  .select(F.col("conv_id").alias("long_id")).distinct(), "chat-long")
     match = F.col("conv_id").eqNullSafe(F.col("long_id"))
 
     def parts(found: DataFrame, whole: bool, keys: list[str]) -> DataFrame:
