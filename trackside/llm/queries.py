@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackside.llm import (
-    chat_format, decontaminate, exact_dedup, langid, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts, warc,
+    chat_format, decontaminate, exact_dedup, filter_audit, langid, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts, warc,
 )
 from trackside.llm.common import UPPER, crc_fold, read_table, stored
 
@@ -221,3 +221,45 @@ FROM b GROUP BY conv_id
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chat_format.format_parts(with_forged(read_table(spark, sf_dir, "conversations")))
     return chat_format.conversation_digests(chat_format.read_parts(parts))
+
+
+AUDIT_RULES = {
+    "A": lambda m: m.n_words < 200,
+    "B": lambda m: 100 * m.n_distinct < 50 * m.n_words,
+    "C": lambda m: (100 * F.char_length(F.regexp_replace(m.text, "[^A-Z]+", "")).cast("long")
+                    > 2 * F.char_length(m.text).cast("long")),
+    "D": lambda m: m.text.rlike("[#$%&*|]"),
+    "E": filter_audit.Duplicate(),
+}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@register("op11_filter_audit", f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT doc_id, part,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS m,
+        EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)::INT AS good,
+        EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)::INT AS toxic FROM d),
+g AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) l(c, b)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM l a, l b, l c, l d, l e
+      WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, k AS step, bs[k] AS b, list_sum(list_append(bs[:k - 1], 0))::BIGINT AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, filter_order, step, b,
+        sum(n) FILTER (m & (before | b) = 0) AS kept, sum(n) FILTER (m & before = 0 AND m & b > 0) AS removed,
+        sum(n) FILTER (m & before > 0 AND m & b > 0) AS redundant, sum(n) FILTER (m = b) AS unique_fails,
+        sum(good) FILTER (m & before = 0 AND m & b > 0) AS good_lost,
+        sum(toxic) FILTER (m & before = 0 AND m & b > 0) AS toxic_lost
+      FROM g, s GROUP BY part, filter_order, step, b, before)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, b), 0)::BIGINT AS shapley
+FROM r
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), AUDIT_RULES,
+                              part=F.col("source"))
