@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackside.llm import (
-    chat_format, decontaminate, exact_dedup, filter_audit, langid, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts, warc,
+    chat_format, decontaminate, exact_dedup, filter_audit, importance, langid, mixing, quality, simhash, substring_dedup, suffix_tree, token_counts, warc,
 )
 from trackside.llm.common import UPPER, crc_fold, read_table, stored
 
@@ -263,3 +263,41 @@ FROM r
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), AUDIT_RULES,
                               part=F.col("source"))
+
+
+GAIN_BUCKETS, DRAW_MIN_WORDS, DRAW_PERCENT, DRAW_SEED = 10_000, 20, 25, 7
+
+_LOWERED = _NORM.replace("translate(", "regexp_split_to_array(translate(") + ", '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RUNS = f"""SELECT *, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+      FROM (SELECT *, list_filter({_LOWERED}, lambda x: x <> '') AS w FROM {{}})"""
+
+
+@register("op12_importance_resample", f"""
+WITH d AS ({_RUNS.format("documents")}), b AS ({_RUNS.format("benchmark")}),
+k AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+u AS (SELECT DISTINCT unnest(f) AS f FROM (SELECT f FROM d UNION ALL SELECT f FROM b)),
+h AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(f) + 1),
+        lambda i: ('0x' || substr(hex(f), 2 * i - 1, 2))::BIGINT)),
+        lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) % {GAIN_BUCKETS} AS bucket FROM u, k),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(f) AS f FROM d) GROUP BY doc_id, f),
+s AS (SELECT bucket, sum(n)::DOUBLE AS n FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS n FROM (SELECT unnest(f) AS f FROM b) JOIN h USING (f) GROUP BY bucket),
+z AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM t), 0) AS t),
+g AS (SELECT bucket, floor(1000.0::DOUBLE * ln((coalesce(t.n, 0) + 1) * (z.t + {GAIN_BUCKETS})
+        / ((coalesce(s.n, 0) + 1) * (z.s + {GAIN_BUCKETS}))))::BIGINT AS gain
+      FROM (SELECT unnest(range(0, {GAIN_BUCKETS})) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), z),
+w AS (SELECT doc_id, sum(n) AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight
+      FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(d.w) AS words, coalesce(w.n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('{DRAW_SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5)
+          ::DOUBLE / 4294967296.0)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM x WHERE words >= {DRAW_MIN_WORDS})
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= {DRAW_PERCENT} * able // 100 THEN rank END AS rank
+FROM x LEFT JOIN r USING (doc_id)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = importance.importance_resample(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), buckets=GAIN_BUCKETS,
+        min_words=DRAW_MIN_WORDS, percent=DRAW_PERCENT, seed=DRAW_SEED)
+    return got.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
