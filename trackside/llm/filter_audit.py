@@ -73,11 +73,12 @@ def failing_ids(judged: DataFrame, rules: Mapping[str, Rule | Duplicate]) -> dic
         if isinstance(rule, Duplicate):
             shared = stored(judged.filter(F.col("id").isNotNull()).groupBy("digest")
                             .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-                            .select("digest", "first_id"), "audit-shared")
+                            .select("digest", "first_id"), "audit-shared", "none")
             fails = fails.unionByName(judged.join(shared, "digest").filter("id > first_id")
                                       .select("row", "id", "part", F.lit(name).alias("filter")))
     path = fresh_path(judged.sparkSession, "audit-fails")
-    fails.write.partitionBy("filter").option("compression", "zstd").parquet(path)
+    # plain files, so that Spark decides on a broadcast by about the size the rows have in memory
+    fails.write.partitionBy("filter").option("compression", "none").parquet(path)
     read = judged.sparkSession.read.schema(fails.schema).parquet(path)
     return {name: read.filter(F.col("filter") == name).drop("filter") for name in rules}
 
@@ -122,7 +123,7 @@ def audit(docs: DataFrame, labels: DataFrame, rules: Mapping[str, Rule | Duplica
     cut = removals(alive, tables)
 
     labelled = lambda c: stored(labels.filter(F.col(c) == 1).select(F.col(label_id).alias("id"))
-                                .distinct(), f"audit-{c}")
+                                .distinct(), f"audit-{c}", "none")
     counted = lambda df, as_: df.groupBy("part", "filter", "alive").agg(F.count(F.lit(1)).alias(as_))
     kinds = {"n": cut, "good": cut.join(labelled(good), "id", "left_semi"), "toxic": cut.join(labelled(toxic), "id", "left_semi")}
     counts = None
