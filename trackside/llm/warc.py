@@ -34,6 +34,7 @@ from trackside.llm.common import fresh_path, stored
 
 MIN_REVISIT_BYTES = 1000
 SEGMENT_BYTES = 8 << 20    # compressed bytes that one reading task takes at a time
+MAX_READERS = 50_000       # reading tasks; beyond it a task takes several segments
 FILE_BYTES = 512 << 20     # compressed bytes after which a task starts a new file
 GZIP_LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
@@ -61,9 +62,10 @@ def resolve_revisits(heads: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Da
     joined back by digest; Spark broadcasts them where small and splits hot digests.
     """
     key = ["payload_digest", "payload_bytes", "check"]
-    originals = (heads.filter(F.col("payload_bytes") >= min_bytes).groupBy(*key)
-                 .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-                 .filter("n > 1 AND original IS NOT NULL").drop("n"))
+    # written, so that payloads are shuffled only where the repeated digests are too many to broadcast
+    originals = stored(heads.filter(F.col("payload_bytes") >= min_bytes).groupBy(*key)
+                       .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
+                       .filter("n > 1 AND original IS NOT NULL").drop("n"), "warc-originals", "none")
     out = heads.join(originals, key, "left")
     own = F.col("page_id").eqNullSafe(F.col("original"))
     return out.withColumn("refers_to", F.when(F.col("original").isNotNull() & ~own, F.col("original"))).drop("original")
@@ -234,8 +236,9 @@ def read_archives(segments: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kinds)], schema=kinds)
 
-    # one segment after another in as many tasks as there are segments to share
-    return segments.select("path", "start", "length").repartition("path", "start").mapInArrow(task, RECORD_SCHEMA)
+    # a given number of partitions is not merged, however small the segment table is
+    n = max(1, min(segments.count(), MAX_READERS))
+    return segments.select("path", "start", "length").repartition(n).mapInArrow(task, RECORD_SCHEMA)
 
 
 def join_revisits(records: DataFrame) -> DataFrame:
