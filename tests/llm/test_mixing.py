@@ -17,10 +17,11 @@ def rates(rows, alpha=0.5, volume=1.0, weights=None):
     return {s: 1.0 if n == 0 else (w[s] / tw * tc * volume / n if tw else 0.0) for s, n in size.items()}
 
 
-def copies(doc_id, rate, seed=42):
+def copies(doc_id, rate, text="", seed=42):
+    key = doc_id if doc_id is not None else "text:" + hashlib.md5((text or "").encode()).hexdigest()
     draws, total = math.ceil(rate / mixing.RATE_STEP), 0
     for j in range(1, draws + 1):
-        u = int(hashlib.md5(f"{seed}:{j}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        u = int(hashlib.md5(f"{seed}:{j}:{key}".encode()).hexdigest()[:13], 16) / 2 ** 52
         p = c = math.exp(-rate / draws)
         k = 0
         while c <= u:
@@ -37,7 +38,7 @@ def test_matches_brute_force(docs, clashing, corpus, kw):
     rate = rates(corpus, **kw)
     want = Counter()
     for i, t, _, s in corpus:
-        for k in range(copies(i, rate[s])):
+        for k in range(copies(i, rate[s], t)):
             want[(i, t, s, k + 1)] += 1
     for df in (docs, clashing):
         got = mixing.mix_sources(df, **kw).collect()
@@ -46,7 +47,7 @@ def test_matches_brute_force(docs, clashing, corpus, kw):
 
 
 def test_draws_follow_the_poisson_distribution(spark):
-    ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    ids = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("x").alias("text"))
     for rate in (0.3, 2.0, 40.0):
         r = spark.createDataFrame([("s", 1, rate)], "source string, chars long, rate double")
         m, v = mixing.poisson_copies(ids, r).agg(F.avg("n_copies"), F.var_samp("n_copies")).first()
@@ -59,5 +60,13 @@ def test_order_is_global_and_repeatable(docs):
     assert sorted(a) == sorted(b)
 
 
+def test_rows_without_id_draw_one_by_one(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, volume=2.0).collect()
+    per_text = Counter(r.text for r in got)
+    assert len({per_text[f"text {i}"] for i in range(2000)}) > 4 and abs(len(got) / 2000 - 2) < 0.15
+    assert len({r.shuffle_key for r in got}) == len(got)
+
+
 def test_empty_table(empty):
     assert mixing.mix_sources(empty).count() == 0

@@ -12,8 +12,8 @@ Defined results
   of its own. Sources without any character keep rate 1.
 * Default target weights are volume ** alpha, normalised; given weights are
   normalised over the sources present, sources without a weight get rate 0.
-* Rows repeated with the same id draw the same count. A null id hashes as the
-  empty text. Empty tables give empty results.
+* Rows repeated with the same id draw the same count. Rows without an id are drawn and
+  dealt by a hash of their text. Empty tables give empty results.
 * Columns added: rate, n_copies, copy_no (1..n), shuffle_key; a clashing input
   column is replaced by them.
 """
@@ -32,9 +32,15 @@ CDF_TERMS = 96
 HEX_DIGITS = 13  # 52 bits, exact in a double
 
 
-def hashed_uniform(seed: int, part: Column, doc_id: Column) -> Column:
-    """A number in [0, 1) from md5(seed:part:id)."""
-    text = F.concat_ws(":", F.lit(str(seed)), part.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by: its id, or where it has none the MD5 of its text, so that such rows draw one by one."""
+    own = F.concat(F.lit("text:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.coalesce(doc_id.cast("string"), own)
+
+
+def hashed_uniform(seed: int, part: Column, key: Column) -> Column:
+    """A number in [0, 1) from md5(seed:part:key)."""
+    text = F.concat_ws(":", F.lit(str(seed)), part.cast("string"), key)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long") / F.lit(float(2 ** 52))
 
 
@@ -70,7 +76,7 @@ def _cdf(rate: Column) -> Column:
 
 
 def poisson_copies(docs: DataFrame, rates: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
-                   seed: int = 42) -> DataFrame:
+                   text_col: str = "text", seed: int = 42) -> DataFrame:
     """``docs`` with rate and n_copies. ``rates`` (one row per source) is joined by
     source; Spark broadcasts it where it measures it as small and splits a hot
     source's rows where it does not."""
@@ -81,7 +87,7 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, *, id_col: str = "doc_id",
     base = docs.select(*[c for c in docs.columns if c not in ("rate", "n_copies")])
     joined = base.join(step, F.col(source_col).eqNullSafe(F.col("__source")))
     draws = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__draws"), F.lit(1))),
-                        lambda j: hashed_uniform(seed, j, F.col(id_col)))
+                        lambda j: hashed_uniform(seed, j, draw_key(F.col(id_col), F.col(text_col))))
     # each draw counts the terms at or below its number: the smallest k whose value exceeds it
     n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
     n = F.when(F.col("__draws") == 0, F.lit(0)).otherwise(n)
@@ -95,10 +101,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     """Replicated rows in a global random order: dealt to partitions by a hashed
     key per copy and sorted by it inside each partition."""
     rates = source_rates(docs, source_col=source_col, text_col=text_col, weights=weights, alpha=alpha, volume=volume)
-    drawn = poisson_copies(docs, rates, id_col=id_col, source_col=source_col, seed=seed)
+    drawn = poisson_copies(docs, rates, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed)
     copies = drawn.filter("n_copies > 0").select(
         *[c for c in drawn.columns if c not in ("copy_no", "shuffle_key")],
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), draw_key(F.col(id_col), F.col(text_col)),
                             F.col("copy_no").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
