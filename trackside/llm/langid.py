@@ -40,6 +40,7 @@ CODE_SEED = 9
 # a bit's evidence: mean log-odds per n-gram, scaled before the loss
 SHARPNESS = 4.0
 AMBIGUOUS_MARGIN = 0.15
+AMBIGUOUS_LETTERS = 200
 # bytes that are not letters become one separator; letters are lower-cased before
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -102,7 +103,11 @@ class Model:
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
         slots = gram_slots(letters)
-        margin = self.weights[slots].sum(axis=0, dtype=np.float64) / max(len(slots), 1)
+        if len(slots) < DIMS:
+            margin = self.weights[slots].sum(axis=0, dtype=np.float64)
+        else:  # a long text: its slot counts, not a row of weights for each of its n-grams
+            margin = np.bincount(slots, minlength=DIMS) @ self.weights.astype(np.float64)
+        margin /= max(len(slots), 1)
         # loss-weighted decoding: exponential loss of each codeword bit against its margin
         loss = (self.trust * np.exp(-SHARPNESS * np.clip(self.code * margin, -2, 2))).sum(axis=1)
         order = np.argsort(loss, kind="stable")
@@ -184,17 +189,24 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         task, f"id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows the classifier rejects: those without a language (``und``).
+def rejected(model: Model, text: str | None, min_letters: int = AMBIGUOUS_LETTERS) -> bool:
+    """No language, or ambiguous in spite of ``min_letters`` bytes of letters (languages mixed, or none of those learned).
 
-    Ambiguous texts stay: a short clean text may well be ambiguous.
-    """
+    Short ambiguous texts are not rejected: too little evidence is no fault of theirs."""
+    letters = letters_of(text)
+    lang, _, ambiguous = model.decode(letters)
+    return lang == UND or (ambiguous and len(letters) >= min_letters)
+
+
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text",
+                    min_letters: int = AMBIGUOUS_LETTERS) -> DataFrame:
+    """``docs`` without the rows that ``rejected`` turns down."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [sent.value.decode(letters_of(t.as_py()))[0] != UND for t in b.column(at).cast(pa.string())]
+            keep = [not rejected(sent.value, t.as_py(), min_letters) for t in b.column(at).cast(pa.string())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
