@@ -62,3 +62,10 @@ def clashing(docs):
               "ranges", "own", "doc", "train", "body", "chunk", "edits", "score"):
         out = out.withColumn(c, F.lit(f"extra {c}"))
     return out
+
+
+@pytest.fixture(scope="session")
+def unsortable(docs):
+    """The corpus with a map and an array of maps, which Spark cannot order."""
+    from pyspark.sql import functions as F
+    return docs.withColumn("tags", F.create_map(F.lit("k"), "lang")).withColumn("more", F.array(F.create_map(F.lit("s"), "source")))

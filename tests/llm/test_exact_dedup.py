@@ -34,9 +34,9 @@ def test_groups_match_brute_force(docs, corpus, clashing):
         assert set(kept.values()) == {1}
 
 
-def test_dedup_keeps_one_row_per_text_and_all_columns(docs, corpus, clashing):
+def test_dedup_keeps_one_row_per_text_and_all_columns(docs, corpus, clashing, unsortable):
     want = expected(corpus)
-    for df in (docs, clashing):
+    for df in (docs, clashing, unsortable):
         out = exact_dedup.exact_dedup(df)
         assert out.columns == df.columns
         got = out.collect()

@@ -25,7 +25,7 @@ def test_run_matches_brute_force(spark):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = as_rows(table)
     model = queries.language_model(table)
-    rows = [r for r in rows if model.decode(langid.letters_of(r[1]))[0] != "und"]
+    rows = [r for r in rows if not langid.rejected(model, r[1])]
     best = test_exact_dedup.expected(rows)
     rows = [r for r in rows if best[test_exact_dedup.norm(r[1])][0] == r[0]]
     stay = test_simhash.survivors(rows)

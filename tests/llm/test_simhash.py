@@ -91,8 +91,8 @@ def survivors(rows):
     return stay
 
 
-def test_dedup_keeps_the_smallest_id(docs, corpus, clashing):
-    for df in (docs, clashing):
+def test_dedup_keeps_the_smallest_id(docs, corpus, clashing, unsortable):
+    for df in (docs, clashing, unsortable):
         out = simhash.simhash_dedup(df)
         assert out.columns == df.columns
         assert Counter((r.doc_id, None if r.doc_id is None else brute_fp(r.text)) for r in out.collect()) == survivors(corpus)

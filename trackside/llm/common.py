@@ -66,3 +66,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def first_row(columns: list[str]) -> Column:
+    """Aggregate: the row (as a struct) whose columns sort first as JSON text; columns of any type."""
+    row = F.struct(*columns)
+    return F.min_by(row, F.to_json(row))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackside.llm.common import ascii_lower, stored
+from trackside.llm.common import ascii_lower, first_row, stored
 
 PREFIX_CHARS = 64
 
@@ -44,8 +44,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     reported for every row.
     """
     first = stored(_levels(docs, id_col, text_col, []), "exact-levels")
-    by_len = first.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
     # the small results are written, so that the joins below deal out a hot key's rows anew
+    by_len = stored(first.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len"), "exact-lengths")
     by_prefix = stored(first.join(by_len, "len", "left_semi").groupBy("len", "prefix")
                        .agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                        .select("len", "prefix", F.lit(True).alias("open")), "exact-prefixes")
@@ -93,13 +93,14 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         fate,
         F.col(id_col).eqNullSafe(F.col(tag + "id")) & (F.octet_length(text) == F.col(tag + "len"))
         & (F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))) == F.col(tag + "prefix"))
-        & (F.sha2(_normalised(F.col(text_col)), 256) == F.col(tag + "sha")), "left")
+        # no join key: a key would be taken for every row
+        & F.coalesce(F.sha2(_normalised(F.col(text_col)), 256) == F.col(tag + "sha"), F.lit(False)), "left")
     kept, copies = F.col(tag + "kept"), F.col(tag + "copies")
     once = joined.filter(kept.isNull() | (kept & (copies == 1))).select(*docs.columns)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     one = (joined.filter(kept & (copies > 1))
            .groupBy(F.col(id_col).alias(tag + "i"), F.col(tag + "sha").alias(tag + "s"))
-           .agg(F.min(F.struct(*rest, text_col)).alias(tag + "row"))
+           .agg(first_row([*rest, text_col]).alias(tag + "row"))
            .select(*[F.col(tag + "i").alias(c) if c == id_col else F.col(tag + "row").getField(c).alias(c)
                      for c in docs.columns]))
     return once.unionByName(one)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackside.llm.common import stored
+from trackside.llm.common import first_row, stored
 from trackside.llm.components import connected_components
 
 HASH_SEED = 42
@@ -149,15 +149,17 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     id or a null id that loses in one component does not lose in another. A component
     without any id keeps one row, the one whose columns sort first.
     """
-    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
-    named = _named(rows, max_bits)
     tag = "__x"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
+    fp = tag + "fp"
+    # texts are hashed once: the rows are written with their fingerprints
+    marked = stored(_with_fingerprint(docs, fp, text_col, shingle_words), "simhash-docs")
+    rows = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    named = _named(rows, max_bits)
     lost = (rows.join(named, "fp").filter(~F.col("id").eqNullSafe(F.col("component_id")))
             .select(F.col("id").alias(tag + "id"), F.col("fp").alias(tag + "lost")).distinct())
-    fp = tag + "fp"
-    kept = _with_fingerprint(docs, fp, text_col, shingle_words).join(
+    kept = marked.join(
         lost, F.col(id_col).eqNullSafe(F.col(tag + "id")) & (F.col(fp) == F.col(tag + "lost")), "left_anti")
     unnamed = named.filter(F.col("component_id").isNull()).select(
         F.col("fp").alias(fp), F.col("component").alias(tag + "c"))
@@ -165,7 +167,7 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return kept.select(*docs.columns)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     one = (kept.filter(F.col(id_col).isNull()).join(unnamed, fp).groupBy(tag + "c")
-           .agg(F.min(F.struct(text_col, *rest)).alias(tag + "row"))
+           .agg(first_row([text_col, *rest]).alias(tag + "row"))
            .select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == id_col
                      else F.col(tag + "row").getField(c).alias(c) for c in docs.columns]))
     return kept.filter(F.col(id_col).isNotNull()).select(*docs.columns).unionByName(one)
