@@ -20,7 +20,7 @@ ZONE_COLS = ["Mean_Entry_Speed", "Mean_Apex_Speed", "Mean_Exit_Speed", "Mean_Bra
 def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                           min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                          exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
+                          exact_mean: bool = False) -> DataFrame:
     """PL-4: style features of each driver's fastest lap (ties to the lowest LapNumber), for
     every session in one plan. The fastest lap must hold >= ``min_lap_samples`` samples.
 
@@ -28,7 +28,7 @@ def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     lap's features and the driver's sectors; the session's best sectors are joined back."""
     # laps without a driver or number can never be a driver's fastest lap
     work = with_laptime_seconds(df).filter(F.col(S.DRIVER_COL).isNotNull() & F.col(S.LAP_COL).isNotNull())
-    parts = all_lap_features(work, keys=keys, exact_mean=exact_mean, split_hot=split_hot)
+    parts = all_lap_features(work, keys=keys, exact_mean=exact_mean)
     fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
     timed = F.when(F.col("_timed"), F.struct("LapTime_seconds", S.LAP_COL, "_samples", *fcols))
     laps = parts.groupBy(*keys, S.DRIVER_COL, S.LAP_COL).agg(
@@ -83,7 +83,7 @@ def _ratio(s, n):
 
 
 def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
-                     exact_mean: bool = False, split_hot: bool | None = None) -> DataFrame:
+                     exact_mean: bool = False) -> DataFrame:
     """PL-3 for every lap of ``df`` in one pass over the samples: one row per lap and
     ``_timed`` (samples with and without a parsed lap time are described apart).
 
@@ -97,8 +97,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     from trackside.operators.common import sample_order
 
     lap_keys = list(keys) + [S.DRIVER_COL, S.LAP_COL, "_timed"]
-    m = zones_and_lap_pct(df.withColumn("_timed", F.col("LapTime_seconds").isNotNull()), lap_keys=lap_keys,
-                          split_hot=split_hot)
+    m = zones_and_lap_pct(df.withColumn("_timed", F.col("LapTime_seconds").isNotNull()), lap_keys=lap_keys)
     order = sample_order(m)
     b = brake_numeric("Brake", m.schema["Brake"].dataType)
     speed, pct = F.col("Speed"), F.col("LapPct")
@@ -150,7 +149,7 @@ def all_lap_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           .otherwise(F.lit(0.0)))
 
 
-def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str], split_hot: bool | None = None) -> DataFrame:
+def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str]) -> DataFrame:
     """WN-4 step 1 and WN-2 in one ordered scan per lap (one exchange)."""
     from trackside.operators.profile import SCAN_TMP, lap_pct_column, step_distance
     from trackside.operators.sequence import lap_scan
@@ -161,6 +160,6 @@ def zones_and_lap_pct(df: DataFrame, *, lap_keys: list[str], split_hot: bool | N
                  lags=["_braking"] + (["X", "Y"] if has_xy else []),
                  running={"zone_id": zone_start,
                           "_cum": step_distance if has_xy else (lambda prev: F.lit(0.0))},
-                 lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n", split_hot=split_hot)
+                 lap_totals=True, lap_last=[S.TIME_COL], lap_count="_n")
     return (x.withColumn("LapPct", lap_pct_column())
             .drop("_prev__braking", "zone_id_lap_total", *[c for c in SCAN_TMP if c in x.columns]))

@@ -12,13 +12,13 @@ from trackside.operators.sequence import lap_scan
 
 def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                      seq_keys: tuple[str, ...] = ("DriverNumber", S.LAP_COL), along: tuple[str, ...] = (S.DRIVER_COL,),
-                     clip: float = S.ACCEL_CLIP, split_hot: bool | None = None) -> DataFrame:
+                     clip: float = S.ACCEL_CLIP) -> DataFrame:
     """WN-1: ``Speed_ms`` and ``Acceleration`` = d(Speed/3.6)/d(TimeInLap) against the
     previous sample of the same lap, only where dt > 0, clipped to +-clip; the first
     sample of a lap, dt <= 0 and null keys give null. Adds ``Accel_Type`` (SC-4).
 
     One ordered scan per lap (``operators.sequence.lap_scan``: partition = session
-    keys + car + lap, order = TimeInLap, sample_id; hot laps are split). ``along``
+    keys + car + lap, order = TimeInLap, sample_id, in slices of ten minutes). ``along``
     names columns that are fixed per car and session: with them the scan can use an
     exchange on (session, Driver, lap) that is already there, or serve the later ones.
     """
@@ -30,7 +30,7 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     # spread over many window partitions instead of forming one null group.
     out = df.withColumn("Speed_ms", F.col("Speed") / F.lit(S.KMH_PER_MS))
     out = lap_scan(out, keys=list(keys) + list(seq_keys), time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,
-                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True, split_hot=split_hot,
+                   lags=[S.TIME_COL, "Speed_ms"], spread_nulls=True,
                    along=[c for c in along if c in df.columns])
     dt = F.col(S.TIME_COL) - F.col(f"_prev_{S.TIME_COL}")
     dv = F.col("Speed_ms") - F.col("_prev_Speed_ms")
@@ -94,6 +94,6 @@ def tag_corners(df: DataFrame, corners: dict | DataFrame | None = None, *,
 
 
 def process_telemetry(df: DataFrame, *, corners: dict | DataFrame | None = None,
-                      keys: list[str] = S.SESSION_KEYS, split_hot: bool | None = None) -> DataFrame:
+                      keys: list[str] = S.SESSION_KEYS) -> DataFrame:
     """PL-1: corner tagging + acceleration for all sessions at once."""
-    return add_acceleration(tag_corners(df, corners), keys=keys, split_hot=split_hot)
+    return add_acceleration(tag_corners(df, corners), keys=keys)

@@ -38,7 +38,7 @@ def add_lap_pct(df: DataFrame, *, lap_keys: list[str] = S.LAP_KEYS) -> DataFrame
     cum/total*100 when total > 0, else TimeInLap/last TimeInLap*100 when the lap
     has > 1 sample and last TimeInLap > 0, else 0. ``total`` is the last running
     value, so the last sample is exactly 100. One ordered scan per lap
-    (``operators.sequence.lap_scan``; hot laps are split).
+    (``operators.sequence.lap_scan``).
     """
     has_xy = "X" in df.columns and "Y" in df.columns
     out = lap_scan(df, keys=lap_keys, time_col=S.TIME_COL, tie_col=S.SAMPLE_ID,

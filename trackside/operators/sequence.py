@@ -1,185 +1,171 @@
-"""Per-lap ordered scans (lag, running sums, lap totals), optionally splitting hot laps.
-
-By default a scan is one window partitioned by the lap keys. With hot-lap
-splitting on (``split_hot=True`` / ``SPLIT_HOT_LAPS``), a lap holding more than
-``HOT_LAP_ROWS`` samples is cut into ``HOT_LAP_SPLITS`` slices at approximate
-quantiles of its time column, so no task receives a whole hot lap:
-
-* every slice gets a copy ("ghost") of the last row of the previous non-empty
-  slice, so ``lag`` is exact at slice starts;
-* running sums are local to the slice plus an offset: the sum of the earlier
-  slices' totals, taken from a per-slice table (rows = hot laps x slices);
-* lap totals, last values and counts come from that per-slice table too.
-
-The hot-lap list is a per-lap count (a partial aggregate); it has at most
-total_rows / HOT_LAP_ROWS rows, and AQE broadcasts it when its measured size
-allows. Keys must be non-null for the split path; rows with null keys stay in
-the plain window path, spread over ``NULL_SPREAD`` partitions when
-``spread_nulls`` is set.
+"""Per-lap ordered scans (lag, running sums, lap totals) over fixed slices of a lap.
+
+A slice follows from the row alone: its time slice (``SLICE_SECONDS`` of lap time), and,
+for samples on a slice's lower edge (time 0 above all) or without a time, the
+block of ``TIE_SPAN`` tie values it falls into. Slices are intervals of the lap's
+order, so a two-level scan is exact: every window runs inside one slice, and a carry
+table with one row per slice holds what the slices before it hand over (the last
+row's values, the running sums, the lap's totals).
+
+A real lap is one slice, and such laps need no carry. Laps that reach further are found
+by a filter on the time column, which skips Parquet row groups, so on a sound store the
+table is empty and the scan is one window and one exchange. ``lap_scan`` runs this
+search when it is called (it is small, but eager); everything else is lazy. Where
+laps do reach further, the carry table is written to the shared folder and
+joined to their rows; the windows stay the same.
+
+Not split: samples of a lap that share one time inside a slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_LAP_ROWS = 20_000_000
-HOT_LAP_SPLITS = 64
+from trackside.session import stored
+
+SLICE_SECONDS = 600.0
+TIE_SPAN = 1 << 16
 NULL_SPREAD = 4096
-# Off by default: the split path reads its input several times (hot-lap counts,
-# slice bounds, ghost rows, slice offsets), which multiplies upstream work when
-# scans are nested. Turn it on (or pass split_hot=True) for inputs that may hold
-# hot laps, ideally reading a stored or checkpointed table.
-SPLIT_HOT_LAPS = False
+SLICE = ["_late", "_no", "_inside", "_block"]
+
+Increment = Callable[[dict[str, Column]], Column]
+
 
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
-def _and(cols):
-    out = None
-    for c in cols:
-        out = c if out is None else out & c
-    return out
+
+def slice_columns(df: DataFrame, time_col: str, tie_col: str | None, slice_seconds: float, tie_span: int) -> dict[str, Column]:
+    """The slice of a row; compared in this order, slices are in lap order (NaN, then null times last)."""
+    t = F.col(time_col).cast("double")
+    late = F.when(t.isNull(), 2).when(F.isnan(t), 1).otherwise(0)
+    no = F.when(late == 0, F.floor(t / F.lit(float(slice_seconds)))).otherwise(F.lit(0)).cast("long")
+    inside = (late == 0) & (t != no * F.lit(float(slice_seconds)))
+    block = F.lit(0).cast("long")
+    if tie_col and isinstance(df.schema[tie_col].dataType, T.IntegralType):
+        block = F.when(~inside, F.floor(F.col(tie_col) / F.lit(tie_span))).cast("long")
+        block = F.coalesce(block, F.lit(0).cast("long"))
+    return dict(zip(SLICE, (late, no, inside, block)))
+
+
+def _far_laps(df: DataFrame, keys: list[str], time_col: str, cut: dict[str, Column]) -> DataFrame:
+    """Keys of the laps that have more than their first slice: rows outside it, or several tie blocks at time 0."""
+    t = F.col(time_col)
+    far = (cut["_late"] > 0) | (cut["_no"] != 0)
+    rows = df.filter(_all([F.col(k).isNotNull() for k in keys])).filter(far | (t == 0))
+    found = rows.groupBy(*keys).agg(F.max(far).alias("_far"), F.min(cut["_block"]).alias("_lo"), F.max(cut["_block"]).alias("_hi"))
+    return stored(found.filter(F.col("_far") | (F.col("_lo") != F.col("_hi"))).select(*keys), "far-laps")
+
+
+def _carry(df: DataFrame, far: DataFrame, keys: list[str], time_col: str, tie: str | None, cut: dict[str, Column],
+           lags: list[str], running: dict[str, Increment], lap_last: list[str]) -> DataFrame:
+    """One row per slice of the laps of ``far``: ``_has_*`` (the last row before the slice), ``_off_*``
+    (running sums before it), ``_sum_*``, ``_lst_*`` and ``_cnt`` (of the whole lap)."""
+    rows = df.join(far, keys, "left_semi").withColumns(cut)
+    order = _order_struct(rows, time_col, tie)
+    slices = Window.partitionBy(*keys).orderBy(*SLICE)
+    whole = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # partial aggregates: no task holds a slice, let alone a lap
+    ends = rows.groupBy(*keys, *SLICE).agg(
+        F.max_by(F.struct(F.lit(1).alias("_one"), *[F.col(c) for c in dict.fromkeys([*lags, *lap_last])]), order).alias("_end"),
+        F.count(F.lit(1)).alias("_n"))
+    out = ends.select(*keys, *SLICE, F.lag("_end").over(slices).alias("_before"), F.last("_end").over(whole).alias("_lap_end"),
+                      F.sum("_n").over(whole).alias("_cnt"))
+    out = out.select(*keys, *SLICE, *[F.col(f"_before.{c}").alias(f"_has_{c}") for c in lags],
+                     *[F.col(f"_lap_end.{c}").alias(f"_lst_{c}") for c in lap_last], "_cnt")
+    if running:
+        out = stored(out, "lap-ends")
+        known = out.select(*keys, *SLICE, *[f"_has_{c}" for c in lags])
+        scanned = _scan(rows.join(known, [*keys, *SLICE]), [*keys, *SLICE], time_col, tie, lags, running)
+        sums = scanned.groupBy(*keys, *SLICE).agg(*[F.max_by(n, order).alias(f"_own_{n}") for n in running])
+        before = slices.rowsBetween(Window.unboundedPreceding, -1)
+        for n in running:
+            sums = sums.withColumn(f"_off_{n}", F.sum(f"_own_{n}").over(before))
+        for n in running:
+            last = F.coalesce(F.col(f"_off_{n}") + F.col(f"_own_{n}"), F.col(f"_own_{n}"))
+            sums = sums.withColumn(f"_sum_{n}", F.last(last).over(whole))
+        out = out.join(sums.drop(*[f"_own_{n}" for n in running]), [*keys, *SLICE])
+    return stored(out, "lap-carry")
+
+
+def _scan(x: DataFrame, part: list[str], time_col: str, tie: str | None, lags: list[str],
+          running: dict[str, Increment]) -> DataFrame:
+    """Lags (the first row of a slice takes ``_has_*``) and running sums inside ``part``."""
+    w = Window.partitionBy(*part).orderBy(*_order(time_col, tie))
+    carried = {c for c in lags if f"_has_{c}" in x.columns}
+    first = F.row_number().over(w) == 1
+    x = x.select("*", *[(F.when(first, F.col(f"_has_{c}")).otherwise(F.lag(c).over(w)) if c in carried
+                         else F.lag(c).over(w)).alias(f"_prev_{c}") for c in lags])
+    prev = {c: F.col(f"_prev_{c}") for c in lags}
+    for name, inc in running.items():
+        x = x.withColumn(name, F.sum(inc(prev)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x
 
 
 def lap_scan(df: DataFrame, *, keys: list[str], time_col: str, tie_col: str | None,
-             lags: list[str], running: dict[str, Callable[[dict[str, Column]], Column]] | None = None,
+             lags: list[str], running: dict[str, Increment] | None = None,
              lap_totals: bool = False, lap_last: list[str] | None = None, lap_count: str | None = None,
-             spread_nulls: bool = False, hot_rows: int | None = None, splits: int | None = None,
-             split_hot: bool | None = None, along: list[str] | None = None) -> DataFrame:
+             spread_nulls: bool = False, along: list[str] | None = None, slice_seconds: float | None = None,
+             tie_span: int | None = None) -> DataFrame:
     """Add ``_prev_<c>`` for every ``lags`` column (previous row in lap order, null
     at the lap start), one running inclusive sum per ``running`` entry (the
     callable builds the per-row increment from the ``_prev_*`` columns), and
     optionally ``<name>_lap_total`` (the last running value of the lap),
     ``_last_<c>`` (value at the lap's last row) and ``lap_count`` (rows in the lap).
 
-    Lap order = ``time_col`` ascending, nulls last, then ``tie_col``. By default
-    one window partitioned by the lap keys (one exchange, shared with other
-    scans on the same keys). With ``split_hot`` all rows go through one window
-    partitioned by (keys, hot flag, slice); a lap that is not hot is slice 0 of
-    itself.
+    Lap order = ``time_col`` ascending, NaN and nulls last, then ``tie_col``. ``along`` names
+    columns that are fixed per lap; with them the scan can use an exchange that is already there.
+    Rows with a null key form one lap, or with ``spread_nulls`` are dealt to
+    ``NULL_SPREAD`` partitions (their values then mean nothing).
     """
-    split_hot = SPLIT_HOT_LAPS if split_hot is None else split_hot
-    if not split_hot:
-        return _plain_scan(df, keys, time_col, tie_col, lags, running or {}, lap_totals, lap_last or [],
-                           lap_count, spread_nulls, along or [])
-    running = running or {}
-    lap_last = lap_last or []
-    hot_rows = HOT_LAP_ROWS if hot_rows is None else hot_rows
-    splits = HOT_LAP_SPLITS if splits is None else splits
-    cols = df.columns
-    tie = tie_col if tie_col and tie_col in cols else None
-    keys_ok = _and([F.col(k).isNotNull() for k in keys])
-    t = F.col(time_col)
-
-    # hot laps: per-lap counts (partial aggregate); <= total_rows / hot_rows rows
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lap_rows"))
-           .filter(keys_ok & (F.col("_lap_rows") > hot_rows)).select(*keys))
-    bounds = (df.join(hot, keys, "left_semi").groupBy(*keys)
-              .agg(F.percentile_approx(time_col, [i / splits for i in range(1, splits)], 10000).alias("_bounds")))
-    rows = df.join(bounds, keys, "left")
-    is_hot = F.col("_bounds").isNotNull()
-    seg = (F.when(~is_hot, F.lit(0)).when(t.isNull(), F.lit(splits))
-           .otherwise(F.size(F.filter(F.col("_bounds"), lambda b: b < t))))
-    rows = rows.withColumn("_hot", is_hot).withColumn("_seg", seg.cast("int")).drop("_bounds")
-    order = _order_struct(rows, time_col, tie)
-
-    # ghost rows (hot laps only): the previous non-empty slice's last row
-    carry = sorted(set(lags) | {time_col} | ({tie} if tie else set()))
-    seg_last = (rows.filter(F.col("_hot")).groupBy(*keys, "_seg")
-                .agg(F.max_by(F.struct(*[F.col(c) for c in carry]), order).alias("_last")))
-    ws = Window.partitionBy(*keys).orderBy("_seg")
-    ghosts = (seg_last.select(*keys, "_seg", F.lag("_last").over(ws).alias("_g"))
-              .filter(F.col("_g").isNotNull())
-              .select(*keys, "_seg", *[F.col(f"_g.{c}").alias(c) for c in carry])
-              .withColumn("_hot", F.lit(True)).withColumn("_ghost", F.lit(True)))
-    both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
-
-    part = [F.col(k) for k in keys] + [F.col("_hot"), F.col("_seg")]
+    running, lap_last = running or {}, lap_last or []
+    tie = tie_col if tie_col and tie_col in df.columns else None
+    cut = slice_columns(df, time_col, tie, SLICE_SECONDS if slice_seconds is None else slice_seconds,
+                        TIE_SPAN if tie_span is None else tie_span)
+    cols, x, part = df.columns, df, [*keys, *(along or [])]
+    far = _far_laps(df, keys, time_col, cut)
+    sliced = not far.isEmpty()
+    if sliced:
+        carry = _carry(df, far, keys, time_col, tie, cut, lags, running, lap_last).withColumn("_far", F.lit(True))
+        x = x.withColumns(cut).join(carry, [*keys, *SLICE], "left")
+        # laps of one slice stay in one partition, whatever slice columns their rows have
+        x = x.withColumns({c: F.when(F.col("_far"), F.col(c)) for c in SLICE})
+        part = [*part, *SLICE]
     if spread_nulls:
-        part.append(F.when(keys_ok, F.lit(0)).otherwise(
+        keys_ok = _all([F.col(k).isNotNull() for k in keys])
+        x = x.withColumn("_spread", F.when(keys_ok, F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(NULL_SPREAD))))
-    w = Window.partitionBy(*part).orderBy(*_order(both, time_col, tie))
-    wall = Window.partitionBy(*part)
-    x = both.select("*", *[F.lag(c).over(w).alias(f"_prev_{c}") for c in lags])
-    prev = {c: F.col(f"_prev_{c}") for c in lags}
-    for name, inc in running.items():
-        x = x.withColumn(name, F.sum(F.when(~F.col("_ghost"), inc(prev))).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.filter(~F.col("_ghost")).drop("_ghost")
-    sorder = _order_struct(x, time_col, tie)
-    if lap_totals:
-        for name in running:
-            x = x.withColumn(f"{name}_lap_total", F.max_by(name, sorder).over(wall))
-    for c in lap_last:
-        x = x.withColumn(f"_last_{c}", F.max_by(c, sorder).over(wall))
-    if lap_count:
-        x = x.withColumn(lap_count, F.count(F.lit(1)).over(wall))
-
-    # hot laps: offsets and lap-level values from the per-slice table
-    per_seg = (x.filter(F.col("_hot")).groupBy(*keys, "_seg")
-               .agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.max_by(name, sorder).alias(f"_tot_{name}") for name in running],
-                    *[F.max_by(c, sorder).alias(f"_lastv_{c}") for c in lap_last]))
-    wpre = ws.rowsBetween(Window.unboundedPreceding, -1)
-    step = per_seg.select("*", *[F.coalesce(F.sum(F.coalesce(F.col(f"_tot_{n}"), F.lit(0.0))).over(wpre),
-                                            F.lit(0.0)).alias(f"_off_{n}") for n in running])
-    wlap = Window.partitionBy(*keys)
-    sel = [*keys, "_seg", F.lit(True).alias("_hot"), *[f"_off_{n}" for n in running]]
-    if lap_totals:
-        for n in running:
-            last = F.max_by(F.struct(F.col(f"_off_{n}").alias("o"), F.col(f"_tot_{n}").alias("t")),
-                            F.col("_seg")).over(wlap)
-            sel.append((last["o"] + last["t"]).alias(f"_hlt_{n}"))
-    sel += [F.max_by(F.col(f"_lastv_{c}"), F.col("_seg")).over(wlap).alias(f"_hlast_{c}") for c in lap_last]
-    if lap_count:
-        sel.append(F.sum("_n").over(wlap).alias("_hcount"))
-    offsets = step.select(*sel)
-    out = x.join(offsets, [*keys, "_hot", "_seg"], "left")
-    rtypes = {n: x.schema[n].dataType for n in running}
-    for n in running:
-        out = out.withColumn(n, (F.col(n) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).cast(rtypes[n])) \
-                 .drop(f"_off_{n}")
-        if lap_totals:
-            out = out.withColumn(f"{n}_lap_total", F.coalesce(F.col(f"_hlt_{n}").cast(rtypes[n]),
-                                                              F.col(f"{n}_lap_total"))).drop(f"_hlt_{n}")
-    for c in lap_last:
-        out = out.withColumn(f"_last_{c}", F.when(F.col("_hot"), F.col(f"_hlast_{c}"))
-                             .otherwise(F.col(f"_last_{c}"))).drop(f"_hlast_{c}")
-    if lap_count:
-        out = out.withColumn(lap_count, F.coalesce(F.col("_hcount"), F.col(lap_count))).drop("_hcount")
-    return out.drop("_hot", "_seg")
+        part = [*part, "_spread"]
+    x = _scan(x, part, time_col, tie, lags, running)
+    lap = Window.partitionBy(*part)
+    order = _order_struct(x, time_col, tie)
 
+    def of_lap(column: str, value: Column) -> Column:
+        return F.coalesce(F.when(F.col("_far"), F.col(column)), value) if sliced else value
 
-def _plain_scan(df, keys, time_col, tie_col, lags, running, lap_totals, lap_last, lap_count, spread_nulls, along):
-    tie = tie_col if tie_col and tie_col in df.columns else None
-    part = [F.col(k) for k in [*keys, *along]]
-    if spread_nulls:
-        keys_ok = _and([F.col(k).isNotNull() for k in keys])
-        part.append(F.when(keys_ok, F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(NULL_SPREAD))))
-    w = Window.partitionBy(*part).orderBy(*_order(df, time_col, tie))
-    wall = Window.partitionBy(*part)
-    x = df.select("*", *[F.lag(c).over(w).alias(f"_prev_{c}") for c in lags])
-    prev = {c: F.col(f"_prev_{c}") for c in lags}
-    for name, inc in running.items():
-        x = x.withColumn(name, F.sum(inc(prev)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    order = _order_struct(x, time_col, tie)
-    if lap_totals:
-        for name in running:
-            x = x.withColumn(f"{name}_lap_total", F.max_by(name, order).over(wall))
+    added = {}
+    for n in running:
+        if lap_totals:
+            added[f"{n}_lap_total"] = of_lap(f"_sum_{n}", F.max_by(n, order).over(lap))
+        if sliced:
+            added[n] = F.coalesce(F.col(f"_off_{n}") + F.col(n), F.col(n))
     for c in lap_last:
-        x = x.withColumn(f"_last_{c}", F.max_by(c, order).over(wall))
+        own = F.max_by(c, order).over(lap)
+        added[f"_last_{c}"] = F.when(F.col("_far"), F.col(f"_lst_{c}")).otherwise(own) if sliced else own
     if lap_count:
-        x = x.withColumn(lap_count, F.count(F.lit(1)).over(wall))
-    return x
+        added[lap_count] = of_lap("_cnt", F.count(F.lit(1)).over(lap))
+    x = x.withColumns(added) if added else x
+    keep = [*cols, *[f"_prev_{c}" for c in lags], *running, *[c for c in added if c not in running]]
+    return x.select(*keep)
 
 
-def _order(df: DataFrame, time_col: str, tie_col: str | None) -> list[Column]:
-    cols = [F.col(time_col).asc_nulls_last()]
-    if tie_col and tie_col in df.columns:
-        cols.append(F.col(tie_col).asc())
-    return cols
+def _order(time_col: str, tie: str | None) -> list[Column]:
+    return [F.col(time_col).asc_nulls_last(), *([F.col(tie).asc()] if tie else [])]
 
 
 def _order_struct(df: DataFrame, time_col: str, tie_col: str | None) -> Column:

@@ -31,14 +31,14 @@ from trackside.session import cut_lineage
 
 def season_clustering_job(spark: SparkSession, telemetry: DataFrame, out_dir: str, *,
                           n_clusters: int | None = None, min_rounds: int = 1,
-                          min_drivers: int = S.MIN_CLUSTER_DRIVERS, split_hot: bool = True,
+                          min_drivers: int = S.MIN_CLUSTER_DRIVERS,
                           **feature_kw) -> dict:
     """PL-6: features of every driver's fastest lap in every session -> per-round
     z-scores -> driver matrix -> clustering -> five tables, summary and model.
 
     ``telemetry`` is the processed store (Acceleration present), so the feature
-    pass is a single per-lap scan and hot laps are split by default."""
-    per_round = cut_lineage(features.round_driver_features(telemetry, split_hot=split_hot, **feature_kw))
+    pass is a single per-lap scan."""
+    per_round = cut_lineage(features.round_driver_features(telemetry, **feature_kw))
     n_rounds = per_round.select(*S.SESSION_KEYS).distinct().count()
     if n_rounds < min_rounds:
         raise ValueError(f"need at least {min_rounds} round(s) with features, got {n_rounds}")
@@ -60,14 +60,14 @@ def season_clustering_job(spark: SparkSession, telemetry: DataFrame, out_dir: st
 
 
 def season_ingest_job(spark: SparkSession, raw: DataFrame, store: str, *,
-                      corners: dict | None = None, split_hot: bool = True) -> DataFrame:
+                      corners: dict | None = None) -> DataFrame:
     """PL-7: process only sessions missing from the store (SNK-8), write them with
     dynamic partition overwrite, and return the manifest (SNK-9)."""
     keys = sinks.STORE_PARTITIONS
     todo = sinks.sessions_to_process(spark, raw.select(*keys).distinct(), store, keys)
     fresh = raw.join(todo, keys, "left_semi")
     if not fresh.isEmpty():
-        sinks.write_store(process_telemetry(fresh, corners=corners, split_hot=split_hot), store)
+        sinks.write_store(process_telemetry(fresh, corners=corners), store)
     expected = raw.select(*keys).distinct()
     return sinks.ingest_manifest(spark, expected, store)
 

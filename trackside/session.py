@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,29 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss).
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names no folder (a local session) a fresh one is set.
+    A local session that names none gets a fresh local folder; on a cluster that is an error.
     """
-    if not checkpoint_dir(df.sparkSession):
-        df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackside-checkpoint-"))
-    return df.checkpoint(eager=True)
+    found = checkpoint_dir(spark)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackside-shared-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table below the shared folder and read it back: later plans read
+    committed files (with column pruning), so a lost executor costs only its running tasks."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``stored`` under a general name, for tables that several later steps read."""
+    return stored(df, "stage")
