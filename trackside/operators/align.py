@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackside import schemas as S
+from trackside.operators.intervals import stab
 from trackside.session import cut_lineage
 
 
@@ -116,22 +117,25 @@ def assign_laps(samples: DataFrame, laps: DataFrame, *, by: list[str], sample_ts
     """JN-2: tag each sample with the lap whose [start, end] (both inclusive) holds
     it; on overlap the later-starting lap wins; samples in no lap are dropped.
 
-    Each lap is replicated into the ``bucket_seconds`` time buckets it covers and
-    equi-joined with the samples on (key, bucket), so only laps overlapping a
-    sample's bucket are compared with it; the winner per sample is a ``max_by``
-    grouped on (key, bucket, sample), which reuses the join's partitioning.
-    ``sample_id`` names a unique sample column (else a generated row id is used).
+    Laps are looked up by the ``bucket_seconds`` time buckets that hold samples, through the
+    dyadic index of ``operators.intervals``: a lap costs at most two index rows a level,
+    however long it is, and meets only buckets with samples of its key. The laps of a
+    bucket are then equi-joined with its samples on (key, bucket), and the winner per
+    sample is a ``max_by`` grouped on (key, bucket, sample), which reuses the join's
+    partitioning. ``sample_id`` names a unique sample column (else a generated row id is used).
     """
     bw = int(round(bucket_seconds * 1000000))
     lw = lap_windows(laps, by=by, lap_col=lap_col, start=start, duration=duration,
                      fallback_seconds=fallback_seconds)
-    lx = (lw.select(*by, F.col(lap_col).alias("_lap"), "_start_us", "_end_us")
-          .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start_us") / bw).cast("long"),
-                                                  F.floor(F.col("_end_us") / bw).cast("long")))))
+    bucket = lambda c: F.floor(c / F.lit(bw)).cast("long")
+    lx = lw.select(*by, F.col(lap_col).alias("_lap"), "_start_us", "_end_us",
+                   bucket(F.col("_start_us")).alias("_b0"), bucket(F.col("_end_us")).alias("_b1"))
     cols = samples.columns
     sid = sample_id or "_asg_sid"
     sx = samples if sample_id else samples.withColumn(sid, F.monotonically_increasing_id())
-    sx = sx.withColumn("_t", micros(samples, sample_ts)).withColumn("_b", F.floor(F.col("_t") / bw).cast("long"))
+    sx = sx.withColumn("_t", micros(samples, sample_ts)).withColumn("_b", bucket(F.col("_t")))
+    filled = samples.select(*by, bucket(micros(samples, sample_ts)).alias("_b")).distinct()
+    lx = stab(filled, lx, by=by, point="_b", low="_b0", high="_b1")
     cand = sx.join(lx, [*by, "_b"], "inner").filter(
         (F.col("_t") >= F.col("_start_us")) & (F.col("_t") <= F.col("_end_us")))
     best = (cand.groupBy(*by, "_b", sid)
@@ -148,13 +152,13 @@ def stint_compounds(laps: DataFrame, stints: DataFrame, *, by: list[str], lap_co
     lap_start <= lap <= lap_end (missing lap_end = lap_start); FreshTyre is true
     when a stint matched, else null (as in the analysed project).
 
-    Stints are expanded into their lap numbers and equi-joined, so no
-    lap x stint pairs are formed."""
+    Stints are looked up by the lap numbers that occur, through the dyadic index of
+    ``operators.intervals``: a stint costs at most two index rows a level, whatever its end."""
     end = F.coalesce(F.col("lap_end"), F.col("lap_start"))
-    sx = (stints.filter(end >= F.col("lap_start"))
-          .select(*by, F.col(stint_order).alias("_so"), "compound",
-                  F.explode(F.sequence(F.col("lap_start").cast("int"), end.cast("int"))).alias(lap_col)))
-    first = (sx.groupBy(*by, lap_col)
+    sx = stints.select(*by, F.col(stint_order).alias("_so"), "compound",
+                       F.col("lap_start").cast("long").alias("_lo"), end.cast("long").alias("_hi"))
+    numbers = laps.select(*by, F.col(lap_col)).distinct()
+    first = (stab(numbers, sx, by=by, point=lap_col, low="_lo", high="_hi").groupBy(*by, lap_col)
              .agg(F.min_by("compound", "_so").alias("Compound"))
              .withColumn("FreshTyre", F.lit(True)))
     return laps.join(first, [*by, lap_col], "left")
