@@ -75,3 +75,33 @@ def test_filter_drivers_and_display_order(spark):
     assert [r.Driver for r in summaries.filter_drivers(df, picks).collect()] == ["NOR"]
     cls = charts.display_sorted(laps.best_laps(df), "classification").collect()
     assert [r.Driver for r in cls] == ["NOR", "VER", "HAM"]
+
+
+def test_corner_table_of_ten_thousand_matches_brute_force(spark):
+    import math
+    import random
+    from pyspark.sql import functions as F
+    from trackside import schemas as S
+    rng = random.Random(8)
+    table = []
+    for i in range(10_000):
+        cx, cy, w = rng.uniform(-30_000, 30_000), rng.uniform(-30_000, 30_000), rng.uniform(0, 80)
+        table.append((1, i, f"T{i}", cx - w, cx + w, cy - w, cy + w))
+    table += [(1, 10_000 + k, f"same{k}", *table[7][3:]) for k in range(50)] + [(2, 0, "far", 9e6, 9e6, 0.0, 0.0)]
+    corners = spark.createDataFrame(table, "Round int, corner_ord int, Corner string, x_lo double, x_hi double, y_lo double, y_hi double") \
+        .select(*[f.name for f in S.CORNER_SCHEMA.fields])
+    points = [(1, rng.uniform(-33_000, 33_000), rng.uniform(-33_000, 33_000), k) for k in range(400)]
+    points += [(1, (r[3] + r[4]) / 2, (r[5] + r[6]) / 2, 1000 + i) for i, r in enumerate(table[5:9])]
+    points += [(2, 0.0, 0.0, 2000), (3, 1.0, 1.0, 2001), (1, None, 1.0, 2002), (1, float("nan"), 1.0, 2003), (2, 9e6 + 499.9, 0.0, 2004),
+               (2, 9e6 + 500.0, 0.0, 2005)]
+    df = spark.createDataFrame(points, "Round int, X double, Y double, id long")
+    got = {r.id: r.Corner for r in kinematics.tag_corners(df, corners).collect()}
+    centres = [(r[0], (r[3] + r[4]) / 2.0, (r[5] + r[6]) / 2.0, r[1], r[2]) for r in table]
+    for rnd, x, y, i in points:
+        want = None
+        if x is not None and not math.isnan(x):
+            near = min(((math.sqrt((x - cx) ** 2 + (y - cy) ** 2), o, n) for r, cx, cy, o, n in centres if r == rnd), default=None)
+            want = near[2] if near and near[0] < 500 else None
+        assert got[i] == want, (i, got[i], want)
+    sizes = kinematics.corner_cells(corners, 500.0).select(F.max(F.size("_c_arr"))).first()[0]
+    assert sizes < 60  # no array of all corners

@@ -39,7 +39,20 @@ def add_acceleration(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
     return out.withColumn("Accel_Type", accel_type("Acceleration"))
 
 
-MAX_BROADCAST_CORNERS = 100_000
+def corner_cells(corners: DataFrame, max_distance: float) -> DataFrame:
+    """A spatial hash of a corner table: per round and square cell of side ``max_distance`` the
+    corners whose centre lies in the cell or one of its eight neighbours, which are all that can
+    be nearer than ``max_distance`` to a point of the cell. Of corners with one centre the earliest counts."""
+    side = F.lit(float(max_distance))
+    around = lambda c: F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]),
+                                   lambda d: F.floor(c / side).cast("long") + d.cast("long"))
+    centres = (corners.select(F.col("Round").cast("int").alias("_c_round"), F.col("corner_ord").alias("ord"),
+                              F.col("Corner").alias("name"), ((F.col("x_lo") + F.col("x_hi")) / 2.0).alias("cx"),
+                              ((F.col("y_lo") + F.col("y_hi")) / 2.0).alias("cy"))
+               .groupBy("_c_round", "cx", "cy").agg(F.min(F.struct("ord", "name")).alias("_first")))
+    return (centres.withColumn("_c_x", F.explode(around(F.col("cx")))).withColumn("_c_y", F.explode(around(F.col("cy"))))
+            .groupBy("_c_round", "_c_x", "_c_y")
+            .agg(F.collect_list(F.struct("_first.ord", "_first.name", "cx", "cy")).alias("_c_arr")))
 
 
 def _corner_struct_array(corners: list[tuple]) -> Column:
@@ -64,8 +77,9 @@ def tag_corners(df: DataFrame, corners: dict | DataFrame | None = None, *,
 
     ``corners`` is either a dict ``round -> [(name, (x_lo, x_hi), (y_lo, y_hi)), ...]``
     (compiled into a literal map: a pure projection, no join) or a DataFrame of
-    ``CORNER_SCHEMA`` rows, collapsed to one array per round and equi-joined on
-    the round. Ties go to the earlier corner; null X/Y or no corners -> null.
+    ``CORNER_SCHEMA`` rows, joined by round and grid cell (``corner_cells``), so a sample
+    is compared with the corners around it only. Ties go to the earlier corner;
+    null X/Y or no corners -> null.
     """
     corners = S.CIRCUIT_CORNERS if corners is None else corners
     x, y = F.col("X"), F.col("Y")
@@ -77,20 +91,15 @@ def tag_corners(df: DataFrame, corners: dict | DataFrame | None = None, *,
         arr = F.try_element_at(cmap, F.col(round_col).cast("int"))
         base = df
     else:
-        per_round = (corners.groupBy(F.col("Round").cast("int").alias("_c_round"))
-                     .agg(F.array_sort(F.collect_list(F.struct(
-                         F.col("corner_ord").alias("ord"), F.col("Corner").alias("name"),
-                         ((F.col("x_lo") + F.col("x_hi")) / 2.0).alias("cx"),
-                         ((F.col("y_lo") + F.col("y_hi")) / 2.0).alias("cy")))).alias("_c_arr")))
-        # one row per round: broadcast where the counted corner table is small, else Spark's choice
-        if corners.limit(MAX_BROADCAST_CORNERS + 1).count() <= MAX_BROADCAST_CORNERS:
-            per_round = F.broadcast(per_round)
-        base = df.join(per_round, F.col(round_col).cast("int") == F.col("_c_round"), "left")
+        near = corner_cells(corners, max_distance)
+        cell = [F.floor(c / F.lit(float(max_distance))).cast("long") for c in (x, y)]
+        base = df.join(near, (F.col(round_col).cast("int") == F.col("_c_round")) & (cell[0] == F.col("_c_x"))
+                       & (cell[1] == F.col("_c_y")), "left")
         arr = F.col("_c_arr")
     best = _nearest(arr, x, y)
     tagged = F.when(x.isNotNull() & y.isNotNull() & (best["dist"] < max_distance), best["name"])
     out = base.withColumn(out_col, tagged)
-    return out if isinstance(corners, dict) else out.drop("_c_round", "_c_arr")
+    return out if isinstance(corners, dict) else out.drop("_c_round", "_c_x", "_c_y", "_c_arr")
 
 
 def process_telemetry(df: DataFrame, *, corners: dict | DataFrame | None = None,
