@@ -40,7 +40,7 @@ def test_assign_laps_boundaries(spark):
     samples = spark.createDataFrame([(i, 1, ts(t)) for i, t in enumerate([0.0, 10.0, 12.0, 15.0, 16.0, 17.5,
                                                                          29.0, 210.0, 211.0, -1.0])],
                                     "sid int, d int, t timestamp")
-    out = align.assign_laps(samples, laps, by=["d"], sample_ts="t", bucket_seconds=5.0, sample_id="sid")
+    out = align.assign_laps(samples, laps, by=["d"], sample_ts="t", bucket_seconds=5.0)
     got = {r.sid: r.LapNumber for r in out.collect()}
     # 10.0 -> boundary of lap 1 end and lap 2 start -> later lap (2); lap 2 ends at lap 3 start (15.0)
     # 15.0 in lap 2 and 3 -> 3; 17.5 lap 2 end=15 -> none... lap 3 ends 17.0 -> dropped; 29 -> none
@@ -120,8 +120,7 @@ def test_assign_laps_random_against_bruteforce(spark, bucket):
                               "d int, lap_number int, date_start timestamp, lap_duration double")
     Sm = spark.createDataFrame([(d, sid, base + dt.timedelta(seconds=t)) for d, sid, t in samples],
                                "d int, sid int, t timestamp")
-    got = {r.sid: r.LapNumber for r in align.assign_laps(Sm, L, by=["d"], sample_ts="t", bucket_seconds=bucket,
-                                                          sample_id="sid").collect()}
+    got = {r.sid: r.LapNumber for r in align.assign_laps(Sm, L, by=["d"], sample_ts="t", bucket_seconds=bucket).collect()}
     exp = {}
     for d in range(3):
         mine = sorted((st, n, dur) for dd, n, st, dur in laps if dd == d)

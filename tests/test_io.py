@@ -106,7 +106,7 @@ def test_streaming_ingest_joins_split_sessions(spark, tmpdir_fresh):
 
 def test_two_seasons_and_session_types(spark):
     from trackside.operators.sessions import session_predicate
-    from trackside.plans.ingest import api_ingest_rejects
+    from trackside.plans.ingest import api_ingest, api_ingest_rejects
     t = datetime(2025, 3, 15, 5)
     sessions = spark.createDataFrame(
         [(1, "Qualifying", "Australia", "Melbourne", 2024), (2, "Qualifying", "Australia", "Melbourne", 2025),
@@ -127,8 +127,8 @@ def test_two_seasons_and_session_types(spark):
     location = spark.createDataFrame([], api_docs.ENDPOINT_SCHEMAS["location"])
     drivers = spark.createDataFrame([(k, 1, a) for k in keys for a in ("VER", "AAA")],
                                     "session_key long, driver_number int, name_acronym string")
-    for picked, want in ((None, {(2024, 3, "Q"): 3, (2025, 1, "Q"): 3, (2025, 1, "R"): 3}),
-                         (session_predicate(name_equals="Qualifying"), {(2024, 3, "Q"): 3, (2025, 1, "Q"): 3})):
+    for picked, want in ((None, {(2024, 3, "Q"): 4, (2025, 1, "Q"): 4, (2025, 1, "R"): 4}),
+                         (session_predicate(name_equals="Qualifying"), {(2024, 3, "Q"): 4, (2025, 1, "Q"): 4})):
         tel = api_to_telemetry(sessions=sessions, drivers=drivers, laps=laps, stints=stints, car_data=car, location=location,
                                schedule=schedule, session_filter=picked)
         got = {(r.Year, r.Round, r.SessionType): r["n"]
@@ -137,8 +137,12 @@ def test_two_seasons_and_session_types(spark):
         rej = {}
         for r in api_ingest_rejects(sessions=sessions, laps=laps, car_data=car, schedule=schedule, session_filter=picked).collect():
             rej[r.session_key] = rej.get(r.session_key, 0) + r["count"]
-        stored_by_key = {1: 3, 2: 3, 3: 3 if picked is None else 0, 4: 0}
+        stored_by_key = {1: 4, 2: 4, 3: 4 if picked is None else 0, 4: 0}  # the repeated sample stays repeated
         assert {k: rej[k] + stored_by_key[k] for k in keys} == dict.fromkeys(keys, 7)  # rows in = stored + rejects
+        both = api_ingest(sessions=sessions, drivers=drivers, laps=laps, stints=stints, car_data=car, location=location,
+                          schedule=schedule, session_filter=picked)
+        assert both[0].count() == sum(want.values())
+        assert sum(r["count"] for r in both[1].collect()) == sum(rej.values())
 
 
 def test_endpoint_documents_keep_all_their_fields(spark, tmpdir_fresh):

@@ -61,3 +61,8 @@ def test_column_pruning_and_pushdown_reach_the_scan(spark):
 @pytest.mark.parametrize("name", ["dedupe_first", "gear_counts", "session_semi"])
 def test_aggregates_have_one_exchange(spark, name):
     assert count(plan(spark, name), "Exchange ") <= 1
+
+
+def test_rejects_align_the_samples_once(spark):
+    p = plan(spark, "api_rejects")
+    assert count(p, "_ls") > 0 and sum("collect_set" in ln and "partial_collect_set" not in ln for ln in p.splitlines()) == 1

@@ -112,38 +112,34 @@ def lap_windows(laps: DataFrame, *, by: list[str], lap_col: str = "lap_number",
 
 def assign_laps(samples: DataFrame, laps: DataFrame, *, by: list[str], sample_ts: str,
                 lap_col: str = "lap_number", start: str = "date_start", duration: str = "lap_duration",
-                bucket_seconds: float = 3600.0, out_col: str = S.LAP_COL, sample_id: str | None = None,
+                bucket_seconds: float = 3600.0, out_col: str = S.LAP_COL, keep_unassigned: bool = False,
                 fallback_seconds: float = S.LAP_END_FALLBACK_SECONDS) -> DataFrame:
     """JN-2: tag each sample with the lap whose [start, end] (both inclusive) holds
-    it; on overlap the later-starting lap wins; samples in no lap are dropped.
+    it; on overlap the later-starting lap wins; samples in no lap are dropped, or with
+    ``keep_unassigned`` stay with a null lap. Repeated samples stay repeated.
 
     Laps are looked up by the ``bucket_seconds`` time buckets that hold samples, through the
     dyadic index of ``operators.intervals``: a lap costs at most two index rows a level,
-    however long it is, and meets only buckets with samples of its key. The laps of a
-    bucket are then equi-joined with its samples on (key, bucket), and the winner per
-    sample is a ``max_by`` grouped on (key, bucket, sample), which reuses the join's
-    partitioning. ``sample_id`` names a unique sample column (else a generated row id is used).
+    however long it is, and meets only buckets with samples of its key. A bucket's laps
+    (those of one driver in that time) are joined to its samples as one list, latest
+    start first, so every sample is one row before and after the join.
     """
     bw = int(round(bucket_seconds * 1000000))
     lw = lap_windows(laps, by=by, lap_col=lap_col, start=start, duration=duration,
                      fallback_seconds=fallback_seconds)
     bucket = lambda c: F.floor(c / F.lit(bw)).cast("long")
-    lx = lw.select(*by, F.col(lap_col).alias("_lap"), "_start_us", "_end_us",
+    lx = lw.select(*by, F.struct(F.col("_start_us").alias("s"), F.col(lap_col).alias("lap"), F.col("_end_us").alias("e")).alias("_l"),
                    bucket(F.col("_start_us")).alias("_b0"), bucket(F.col("_end_us")).alias("_b1"))
-    cols = samples.columns
-    sid = sample_id or "_asg_sid"
-    sx = samples if sample_id else samples.withColumn(sid, F.monotonically_increasing_id())
-    sx = sx.withColumn("_t", micros(samples, sample_ts)).withColumn("_b", bucket(F.col("_t")))
+    sx = samples.withColumn("_t", micros(samples, sample_ts)).withColumn("_b", bucket(F.col("_t")))
     filled = samples.select(*by, bucket(micros(samples, sample_ts)).alias("_b")).distinct()
-    lx = stab(filled, lx, by=by, point="_b", low="_b0", high="_b1")
-    cand = sx.join(lx, [*by, "_b"], "inner").filter(
-        (F.col("_t") >= F.col("_start_us")) & (F.col("_t") <= F.col("_end_us")))
-    best = (cand.groupBy(*by, "_b", sid)
-            .agg(F.max_by(F.struct(F.col("_lap").alias(out_col), *[F.col(c) for c in cols if c not in by + [sid]]),
-                          F.struct("_start_us", "_lap")).alias("_w")))
-    keep = [c for c in cols if c not in by + [sid]]
-    ident = [sid] if sample_id else []
-    return best.select(*by, *ident, *[F.col(f"_w.{c}").alias(c) for c in keep], F.col(f"_w.{out_col}").alias(out_col))
+    here = (stab(filled, lx, by=by, point="_b", low="_b0", high="_b1").groupBy(*by, "_b")
+            .agg(F.sort_array(F.collect_set("_l"), asc=False).alias("_ls")))
+    holds = F.filter("_ls", lambda x: (x["s"] <= F.col("_t")) & (F.col("_t") <= x["e"]))
+    out = sx.join(here, [*by, "_b"], "left" if keep_unassigned else "inner").withColumn(
+        out_col, F.try_element_at(holds, F.lit(1))["lap"])
+    rest = [c for c in samples.columns if c not in by and c != out_col]
+    out = out.select(*by, *rest, out_col)
+    return out if keep_unassigned else out.filter(F.col(out_col).isNotNull())
 
 
 def stint_compounds(laps: DataFrame, stints: DataFrame, *, by: list[str], lap_col: str = S.LAP_COL,
@@ -169,11 +165,13 @@ def attach_lap_attributes(samples: DataFrame, lap_attrs: DataFrame, *, keys: lis
     return samples.join(lap_attrs, keys, "inner")
 
 
-def time_in_lap(samples: DataFrame, *, lap_keys: list[str], ts: str, out_col: str = S.TIME_COL) -> DataFrame:
+def time_in_lap(samples: DataFrame, *, lap_keys: list[str], ts: str, out_col: str = S.TIME_COL,
+                stage: bool = True) -> DataFrame:
     """WN-3: seconds since the first sample of the lap. The lap start is a partial
-    aggregate joined back on the lap keys (no whole-lap window); the samples are
-    materialised once, so that the upstream work is not planned twice."""
-    samples = cut_lineage(samples)
+    aggregate joined back on the lap keys (no whole-lap window). With ``stage`` the samples are
+    written once as Parquet first, so that the work before is not done twice; pass False
+    where they are read from a table anyway."""
+    samples = cut_lineage(samples) if stage else samples
     t = micros(samples, ts)
     first = samples.groupBy(*lap_keys).agg(F.min(t).alias("_lap_t0"))
     return (samples.join(first, lap_keys, "inner")

@@ -8,8 +8,6 @@ canonical columns (PRJ-4, PRJ-1).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,40 +46,69 @@ def session_rounds(sessions: DataFrame, schedule: DataFrame) -> tuple[DataFrame,
                         "SessionType"), missing
 
 
-def sample_key(df: DataFrame) -> Column:
-    """A sample's key from its own values: equal samples are one sample."""
-    return F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+BY = ["session_key", "driver_number"]
 
 
-def api_to_telemetry(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame, stints: DataFrame,
-                     car_data: DataFrame, location: DataFrame, schedule: DataFrame,
-                     session_filter: Column | None = None, tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS,
-                     lap_bucket_seconds: float = 120.0) -> DataFrame:
-    """``session_filter`` (FLT-6, see ``operators.sessions.session_predicate``) picks the sessions; default all."""
-    picked = sessions if session_filter is None else sessions.filter(session_filter)
-    rounds, _missing = session_rounds(picked, schedule)
-    by = ["session_key", "driver_number"]
+def align_samples(*, rounds: DataFrame, laps: DataFrame, car_data: DataFrame, location: DataFrame | None = None,
+                  tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS, lap_bucket_seconds: float = 120.0) -> DataFrame:
+    """Every car sample of the sessions in ``rounds``, once: position (with ``location``), lap, lap
+    attributes, and ``reason`` why it is not stored (``sample_no_lap``, ``sample_pit_out``) or null."""
     car = car_data.join(rounds.select("session_key"), "session_key", "left_semi")
-    car = car.withColumn("_row", sample_key(car_data))
-    loc = location.select(*by, F.col("date").alias("loc_date"), "x", "y", "z")
-    with_pos = align.asof_nearest(car, loc, by=by, left_ts="date", right_ts="loc_date",
-                                  tolerance_seconds=tolerance_seconds, right_cols=["x", "y", "z"])
-    tagged = align.assign_laps(with_pos, laps.select(*by, "lap_number", "date_start", "lap_duration"), by=by,
-                               sample_ts="date", bucket_seconds=lap_bucket_seconds, out_col="lap_number",
-                               sample_id="_row")
-    meta = laps.select(*by, "lap_number", "lap_duration", "duration_sector_1", "duration_sector_2",
+    if location is not None:
+        loc = location.select(*BY, F.col("date").alias("loc_date"), "x", "y", "z")
+        car = align.asof_nearest(car, loc, by=BY, left_ts="date", right_ts="loc_date",
+                                 tolerance_seconds=tolerance_seconds, right_cols=["x", "y", "z"])
+    tagged = align.assign_laps(car, laps.select(*BY, "lap_number", "date_start", "lap_duration"), by=BY, sample_ts="date",
+                               bucket_seconds=lap_bucket_seconds, out_col="lap_number", keep_unassigned=True)
+    meta = laps.select(*BY, "lap_number", "lap_duration", "duration_sector_1", "duration_sector_2",
                        "duration_sector_3", "is_pit_out_lap")
-    tagged = align.drop_pit_out_laps(align.attach_lap_attributes(tagged, meta, keys=by + ["lap_number"]))
-    lap_keys = by + ["lap_number"]
+    pit_out = F.coalesce(F.col("is_pit_out_lap").cast("boolean"), F.lit(False))
+    return tagged.join(meta, [*BY, "lap_number"], "left").withColumn(
+        "reason", F.when(F.col("lap_number").isNull(), F.lit("sample_no_lap")).when(pit_out, F.lit("sample_pit_out")))
+
+
+def api_ingest(*, sessions: DataFrame, drivers: DataFrame, laps: DataFrame, stints: DataFrame, car_data: DataFrame,
+               location: DataFrame, schedule: DataFrame, session_filter: Column | None = None,
+               tolerance_seconds: float = S.ASOF_TOLERANCE_SECONDS,
+               lap_bucket_seconds: float = 120.0) -> tuple[DataFrame, DataFrame]:
+    """PL-2: (canonical telemetry, rejects) from one alignment of the samples, which is written as a
+    stage and read by both. ``session_filter`` (FLT-6, see ``operators.sessions.session_predicate``)
+    picks the sessions; default all."""
+    picked = sessions if session_filter is None else sessions.filter(session_filter)
+    rounds, missing = session_rounds(picked, schedule)
+    aligned = cut_lineage(align_samples(rounds=rounds, laps=laps, car_data=car_data, location=location,
+                                        tolerance_seconds=tolerance_seconds, lap_bucket_seconds=lap_bucket_seconds))
+    telemetry = _canonical(aligned.filter(F.col("reason").isNull()), rounds, drivers, laps, stints)
+    return telemetry, _rejects(aligned, car_data, picked, missing)
+
+
+def api_to_telemetry(**documents) -> DataFrame:
+    """PL-2: the telemetry of ``api_ingest``."""
+    return api_ingest(**documents)[0]
+
+
+def _rejects(aligned: DataFrame, car_data: DataFrame, picked: DataFrame, missing: DataFrame) -> DataFrame:
+    """Counts by session: whole sessions from the sample table's session column, samples from the alignment."""
+    per_session = car_data.groupBy("session_key").agg(F.count(F.lit(1)).alias("count"))
+    gone = per_session.join(picked.select("session_key"), "session_key", "left_anti").withColumn("reason", F.lit("session_filtered"))
+    lost = per_session.join(missing.select("session_key"), "session_key", "left_semi").withColumn("reason", F.lit("session_unmatched"))
+    samples = (aligned.filter(F.col("reason").isNotNull()).groupBy("session_key", "reason")
+               .agg(F.count(F.lit(1)).alias("count")))
+    cols = ["session_key", "reason", "count"]
+    return gone.select(*cols).unionByName(lost.select(*cols)).unionByName(samples.select(*cols))
+
+
+def _canonical(tagged: DataFrame, rounds: DataFrame, drivers: DataFrame, laps: DataFrame, stints: DataFrame) -> DataFrame:
+    lap_keys = [*BY, "lap_number"]
     tyres = align.stint_compounds(laps.select(*lap_keys).distinct(),
-                                  stints.select(*by, F.col("stint_number").alias("stint_order"),
+                                  stints.select(*BY, F.col("stint_number").alias("stint_order"),
                                                 "lap_start", "lap_end", "compound"),
-                                  by=by, lap_col="lap_number")
-    timed = align.time_in_lap(tagged, lap_keys=lap_keys, ts="date")
-    names = dedupe_first(drivers.select(*by, "name_acronym"), by, ["name_acronym"])
+                                  by=BY, lap_col="lap_number")
+    timed = align.time_in_lap(tagged, lap_keys=lap_keys, ts="date", stage=False)
+    names = dedupe_first(drivers.select(*BY, "name_acronym"), BY, ["name_acronym"])
     j = (timed.join(tyres, lap_keys, "left")
          .join(rounds, "session_key", "inner")
-         .join(names, by, "left"))
+         .join(names, BY, "left"))
     out = j.select(
         F.col("Year").cast("int").alias("Year"), "Round", "SessionType",
         F.col("driver_number").cast("string").alias("DriverNumber"), F.col("name_acronym").alias("Driver"),
@@ -123,25 +150,11 @@ def api_ingest_rejects(*, sessions: DataFrame, laps: DataFrame, car_data: DataFr
     """What PL-2 leaves out, counted per session: (session_key, reason, count) in samples.
 
     Reasons: ``session_filtered`` (not picked, or not in the session table),
-    ``session_unmatched`` (no round), ``sample_repeated`` (equal to another sample),
-    ``sample_no_lap`` and ``sample_pit_out``. Per session, samples in = stored + rejects."""
+    ``session_unmatched`` (no round), ``sample_no_lap`` and ``sample_pit_out``. Per session,
+    samples in = stored + rejects. Samples are aligned once, without their positions;
+    ``api_ingest`` gives the same counts along with the telemetry."""
     picked = sessions if session_filter is None else sessions.filter(session_filter)
     rounds, missing = session_rounds(picked, schedule)
-    by = ["session_key", "driver_number"]
-    car = car_data.select(*by, "date", sample_key(car_data).alias("_row"))
-    known = cut_lineage(car.join(rounds.select("session_key"), "session_key", "left_semi"))
-    tagged = cut_lineage(align.assign_laps(known, laps.select(*by, "lap_number", "date_start", "lap_duration"), by=by,
-                                           sample_ts="date", bucket_seconds=lap_bucket_seconds, out_col="lap_number",
-                                           sample_id="_row"))
-    kinds = known.groupBy(*by, "_row").agg(F.count(F.lit(1)).alias("n"))
-    pit = tagged.join(laps.filter(F.coalesce(F.col("is_pit_out_lap"), F.lit(False))).select(*by, "lap_number"),
-                      by + ["lap_number"], "left_semi")
-    unpicked = car.join(picked.select("session_key"), "session_key", "left_anti")
-    unmatched = car.join(missing.select("session_key"), "session_key", "left_semi")
-    parts = [("session_filtered", unpicked, F.count(F.lit(1))), ("session_unmatched", unmatched, F.count(F.lit(1))),
-             ("sample_repeated", kinds.filter("n > 1"), F.sum(F.col("n") - 1)),
-             ("sample_no_lap", kinds.join(tagged.select(*by, "_row"), [*by, "_row"], "left_anti"), F.count(F.lit(1))),
-             ("sample_pit_out", pit, F.count(F.lit(1)))]
-    counts = [df.groupBy("session_key").agg(n.cast("long").alias("count")).select(
-        "session_key", F.lit(reason).alias("reason"), "count") for reason, df, n in parts]
-    return reduce(DataFrame.unionByName, counts)
+    aligned = align_samples(rounds=rounds, laps=laps, car_data=car_data.select(*BY, "date"),
+                            lap_bucket_seconds=lap_bucket_seconds)
+    return _rejects(aligned, car_data, picked, missing)

@@ -82,8 +82,7 @@ asg AS (
 def _assigned(spark, sf, sample_cols=("event_id", "user_id", "ts")):
     ev = _events(spark, sf)
     samples = ev.filter(F.col("event_type") != "signup").select(*sample_cols)
-    return align.assign_laps(samples, _laps(ev), by=["user_id"], sample_ts="ts", bucket_seconds=86400.0,
-                             sample_id="event_id")
+    return align.assign_laps(samples, _laps(ev), by=["user_id"], sample_ts="ts", bucket_seconds=86400.0)
 
 
 @register("lap_end_fallback", LAPS_SQL + """
