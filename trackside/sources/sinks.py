@@ -4,12 +4,13 @@ summaries, incremental writes and the ingest manifest."""
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackside import schemas as S
-from trackside.operators.common import sample_sort_cols
+from trackside.operators.common import sample_sort_cols, top_n
 from trackside.sources.files import list_paths
 
 STORE_PARTITIONS = ["Year", "Round", "SessionType"]
@@ -46,6 +47,24 @@ def preview(df: DataFrame, *, n_lines: int = S.PREVIEW_LINES, order: list | None
     return df.orderBy(*order).limit(max(n_lines - 1, 0))
 
 
+def previews(df: DataFrame, *, by: list[str] = STORE_PARTITIONS, n_lines: int = S.PREVIEW_LINES) -> DataFrame:
+    """SNK-2 for every session (or other key) at once: the first ``n_lines - 1`` rows of each, by a
+    two-phase top-n; no session is sorted in one task."""
+    rank = "_line"
+    # a total order: rows that tie in it are alike in every column that can be compared
+    ties = [F.col(f.name).asc() for f in df.schema.fields
+            if f.name not in by and f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    order = [*[F.col(c).asc() for c in ("DriverNumber", S.LAP_COL) if c in df.columns], *sample_sort_cols(df), *ties]
+    return top_n(df, list(by), order, max(n_lines - 1, 0), rank_col=rank, salt_by=[
+        f.name for f in df.schema.fields if f.dataType.typeName() != "map"]).drop(rank)
+
+
+def write_previews(df: DataFrame, path: str, *, by: list[str] = STORE_PARTITIONS, n_lines: int = S.PREVIEW_LINES) -> None:
+    """SNK-2: one CSV preview folder per session; sessions that are not in ``df`` keep theirs."""
+    (previews(df, by=by, n_lines=n_lines).repartition(*by).write.mode("overwrite").option("header", True)
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).csv(path))
+
+
 def write_preview(df: DataFrame, path: str, **kw) -> None:
     """SNK-2: preview as one CSV file (bounded by ``n_lines``)."""
     write_csv(preview(df, **kw).coalesce(1), path)
@@ -70,8 +89,9 @@ def written_sessions(spark: SparkSession, store: str, keys: list[str] = STORE_PA
     found = list_paths(spark, f"{store.rstrip('/')}/" + "/".join(f"{k}=*" for k in STORE_PARTITIONS))
     rows = []
     for path in found:
-        values = dict(x.split("=", 1) for x in path.rsplit("/", len(STORE_PARTITIONS))[1:])
-        rows.append((int(values["Year"]), int(values["Round"]), values["SessionType"]))
+        values = {k: None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)
+                  for k, v in (x.split("=", 1) for x in path.rsplit("/", len(STORE_PARTITIONS))[1:])}
+        rows.append((*[None if values[k] is None else int(values[k]) for k in ("Year", "Round")], values["SessionType"]))
     return spark.createDataFrame(rows, "Year int, Round int, SessionType string").select(*keys)
 
 
