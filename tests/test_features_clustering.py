@@ -94,17 +94,17 @@ def test_silhouette_matches_bruteforce(spark):
 
 
 def test_season_clustering_job_writes_outputs(spark, tmpdir_fresh):
-    import json
     from trackside.plans.jobs import season_clustering_job
+    from trackside.sources import store
     tel = kinematics.add_acceleration(synthetic_season(spark, n_points=120))
     out = os.path.join(tmpdir_fresh, "season")
     summary = season_clustering_job(spark, tel, out, n_clusters=2)
     assert summary["n_rounds"] == 2 and summary["n_drivers"] == 6 and summary["n_clusters"] == 2
     for t in ("round_features", "feature_matrix", "labels", "pca", "profiles"):
-        assert spark.read.parquet(os.path.join(out, t)).count() > 0
-    written = json.loads(spark.read.text(os.path.join(out, "summary")).first()[0])
-    assert written == summary
-    art = clustering.load_clustering_model(spark, os.path.join(out, "model"))
+        assert store.read_run(spark, out, t).count() > 0
+    run = store.latest_run(spark, out)
+    assert run["summary"] == summary
+    art = clustering.load_clustering_model(spark, os.path.join(run["folder"], "model"))
     assert art["n_clusters"] == 2 and len(art["feature_columns"]) >= 20
 
 

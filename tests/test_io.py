@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackside import schemas as S
 from trackside.plans.ingest import api_to_telemetry
 from trackside.sources import api_docs, files, sinks
+from trackside.sources.store import live_sessions, read_store
 from trackside.streaming.ingest import start_ingest
 
 
@@ -48,12 +49,12 @@ def test_store_incremental_and_manifest(spark, tmpdir_fresh):
     store = os.path.join(tmpdir_fresh, "store")
     m1 = {r.Round: (r.q_ok, r.r_ok) for r in season_ingest_job(spark, _raw(spark, [1]), store).collect()}
     assert m1 == {1: (True, False)}
-    before = sorted(os.listdir(os.path.join(store, "Year=2025", "Round=1", "SessionType=Q")))
+    before = {r.Round: r.version for r in live_sessions(spark, store).collect()}
     m2 = {r.Round: r.q_ok for r in season_ingest_job(spark, _raw(spark, [1, 2]), store).collect()}
     assert m2 == {1: True, 2: True}
-    after = sorted(os.listdir(os.path.join(store, "Year=2025", "Round=1", "SessionType=Q")))
-    assert before == after  # round 1 was not rewritten
-    stored = spark.read.parquet(store)
+    after = {r.Round: r.version for r in live_sessions(spark, store).collect()}
+    assert before[1] == after[1] and before.keys() == {1} and after.keys() == {1, 2}  # round 1 was not rewritten
+    stored = read_store(spark, store)
     assert stored.count() == 10 and "Acceleration" in stored.columns and "Corner" in stored.columns
 
 
@@ -70,12 +71,12 @@ def test_streaming_ingest_only_new_files(spark, tmpdir_fresh):
     _raw(spark, [1]).write.parquet(os.path.join(landed, "s1"))
     q = start_ingest(spark, landed + "/*", store, ckpt, schema=schema)
     q.awaitTermination(120)
-    assert spark.read.parquet(store).count() == 5
+    assert read_store(spark, store).count() == 5
     _raw(spark, [2]).write.parquet(os.path.join(landed, "s2"))
     q = start_ingest(spark, landed + "/*", store, ckpt, schema=schema)
     q.awaitTermination(120)
-    assert sorted(r.Round for r in spark.read.parquet(store).select("Round").distinct().collect()) == [1, 2]
-    assert spark.read.parquet(store).count() == 10
+    assert sorted(r.Round for r in read_store(spark, store).select("Round").distinct().collect()) == [1, 2]
+    assert read_store(spark, store).count() == 10
 
 
 def test_processed_discovery_keeps_every_season(spark, tmpdir_fresh):
@@ -97,13 +98,76 @@ def test_streaming_ingest_joins_split_sessions(spark, tmpdir_fresh):
     for n, part in enumerate((whole.filter("TimeInLap < 2"), whole.filter("TimeInLap >= 2"))):
         part.coalesce(1).write.parquet(os.path.join(landed, f"s{n}"))
     start_ingest(spark, landed + "/*", store, ckpt, schema=whole.schema, max_files_per_trigger=1).awaitTermination(120)
-    assert spark.read.parquet(store).count() == 5
+    assert read_store(spark, store).count() == 5
     later.write.parquet(os.path.join(landed, "s9"))  # the same session goes on in another run
     start_ingest(spark, landed + "/*", store, ckpt, schema=whole.schema).awaitTermination(120)
-    got = spark.read.parquet(store)
+    got = read_store(spark, store)
     assert got.count() == 10 and got.select("TimeInLap").distinct().count() == 10
 
 
+def test_streaming_reads_the_files_of_touched_sessions_only(spark, tmpdir_fresh):
+    from trackside.streaming.ingest import file_index, files_of
+    landed, store, ckpt = (os.path.join(tmpdir_fresh, x) for x in ("landed", "store", "ckpt"))
+    schema = _raw(spark, [1]).schema
+    for n, rounds in enumerate(([1], [2], [1, 3])):
+        _raw(spark, rounds).coalesce(1).write.parquet(os.path.join(landed, f"s{n}"))
+    start_ingest(spark, landed + "/*", store, ckpt, schema=schema, max_files_per_trigger=1).awaitTermination(120)
+    assert {r.Round: r["count"] for r in read_store(spark, store).groupBy("Round").count().collect()} == {1: 10, 2: 5, 3: 5}
+    index = file_index(spark, ckpt)
+    for rounds, folders in (([2], {"s1"}), ([3], {"s2"}), ([1], {"s0", "s2"})):
+        touched = _raw(spark, rounds).select("Year", "Round", "SessionType").distinct()
+        assert {r.file.rsplit("/", 2)[1] for r in files_of(index, touched).collect()} == folders
+    # round 2 was computed by one batch only, round 1 by two
+    versions = {r.version: r.Round for r in live_sessions(spark, store).collect()}
+    assert len(versions) >= 2 and sorted(r["count"] for r in index.groupBy("batch").count().collect()) == [1, 1, 2]
+
+
+def test_documents_are_landed_as_lines_and_broken_ones_kept_apart(spark, tmpdir_fresh):
+    source, root = os.path.join(tmpdir_fresh, "dump"), os.path.join(tmpdir_fresh, "landed")
+    os.makedirs(source)
+    good = [{"session_key": 1, "driver_number": n, "date": "2025-03-15T05:00:00.5+00:00", "x": n, "y": 1.5} for n in range(5)]
+    odd = [{"session_key": 1, "driver_number": "seven", "date": "2025-03-15T05:00:00+00:00"}, {"session_key": 1, "date": "yesterday"}]
+    for name, text in (("a.json", json.dumps(good, indent=2)), ("b.json", json.dumps(good[0])), ("c.json", json.dumps(good)[:-9]),
+                       ("d.json", json.dumps(odd + good[:1])), ("e.json", "[1, \"x\", {\"session_key\": 2}]"), ("f.json", " "), ("g.json", "[]"),
+                       ("h.json", "no json")):
+        with open(os.path.join(source, name), "w") as f:
+            f.write(text)
+    landed = api_docs.land_documents(spark, source, root, "location")
+    assert sorted((r.file.rsplit("/", 1)[1], r.reason) for r in landed.collect()) == [
+        ("c.json", "document"), ("e.json", "not_an_object"), ("e.json", "not_an_object"), ("h.json", "not_an_object")]
+    rows, rejects = api_docs.read_documents(spark, root, "location")
+    assert rows.schema == api_docs.ENDPOINT_SCHEMAS["location"]
+    got = sorted((r.session_key, r.driver_number, r.x) for r in rows.filter("driver_number IS NOT NULL").collect())
+    assert got == sorted([(1, n, float(n)) for n in range(5)] + [(1, 0, 0.0)] * 2)
+    assert rows.filter("session_key = 2").count() == 1 and rows.count() == 8
+    assert sorted(json.loads(r.document)["session_key"] for r in rejects.collect()) == [1, 1]
+    none = api_docs.read_documents(spark, root, "weather")
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_season_job_from_landed_files(spark, tmpdir_fresh):
+    from trackside.plans.jobs import season_landed_job
+    root, target = os.path.join(tmpdir_fresh, "landed"), os.path.join(tmpdir_fresh, "store")
+    at = lambda s: f"2025-03-15T05:00:{s:09.6f}+00:00"
+    _land(root, "sessions", [{"session_key": 9, "session_name": "Qualifying", "country_name": "Australia", "location": "Melbourne", "year": 2025}])
+    _land(root, "drivers", [{"session_key": 9, "driver_number": 1, "name_acronym": "VER"}])
+    _land(root, "laps", [{"session_key": 9, "driver_number": 1, "lap_number": 1, "date_start": at(0), "lap_duration": 9.0}])
+    _land(root, "car_data", [{"session_key": 9, "driver_number": 1, "date": at(s), "speed": 100 + s} for s in (1, 2, 3, 30)]
+          + [{"session_key": 9, "driver_number": 1, "date": at(4), "speed": "fast"}])
+    with gzip.open(os.path.join(tmpdir_fresh, "schedule.csv.gz"), "wt") as f:
+        f.write("Unnamed: 0,RoundNumber,Country,Location,EventDate\n0,1,Australia,Melbourne,2025-03-16\n")
+    rejects, pre = os.path.join(tmpdir_fresh, "rejects"), os.path.join(tmpdir_fresh, "previews")
+    job = dict(target=target, as_of="2025-12-31", rejects_path=rejects, preview_path=pre)
+    status = season_landed_job(spark, root, os.path.join(tmpdir_fresh, "schedule.csv"), **job).collect()
+    assert [(r.Round, r.q_ok, r.stored_rows) for r in status] == [(1, True, 3)]
+    assert [r.Speed for r in read_store(spark, target).orderBy("TimeInLap").collect()] == [101.0, 102.0, 103.0]
+    assert [r.reason for r in spark.read.parquet(rejects + "/documents").collect()] == ["row"]
+    assert [(r.reason, r["count"]) for r in spark.read.parquet(rejects + "/samples").collect()] == [("sample_no_lap", 1)]
+    assert spark.read.option("header", True).csv(pre).count() == 3
+    season_landed_job(spark, root, os.path.join(tmpdir_fresh, "schedule.csv"), **job)
+    assert live_sessions(spark, target).count() == 1 and spark.read.parquet(rejects + "/samples").count() == 1
+
+
 def test_two_seasons_and_session_types(spark):
     from trackside.operators.sessions import session_predicate
     from trackside.plans.ingest import api_ingest, api_ingest_rejects

@@ -6,8 +6,6 @@ the clustering fit (driver-side k choice over a one-row-per-driver matrix).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +22,8 @@ from trackside.operators.sessions import (
     union_by_name,
 )
 from trackside.operators.summaries import dedupe_first
-from trackside.plans.ingest import api_to_telemetry, session_rounds
-from trackside.sources import sinks
+from trackside.plans.ingest import api_ingest, session_rounds
+from trackside.sources import api_docs, files, sinks, store
 from trackside.session import cut_lineage
 
 
@@ -47,37 +45,42 @@ def season_clustering_job(spark: SparkSession, telemetry: DataFrame, out_dir: st
     if n_drivers < min_drivers:
         raise ValueError(f"need at least {min_drivers} drivers, got {n_drivers}")
     res = clustering.fit_driver_clusters(matrix, n_clusters=n_clusters, min_rows=min_drivers)
-    per_round.write.mode("overwrite").parquet(os.path.join(out_dir, "round_features"))
-    res.feature_matrix.write.mode("overwrite").parquet(os.path.join(out_dir, "feature_matrix"))
-    res.labels.write.mode("overwrite").parquet(os.path.join(out_dir, "labels"))
-    res.pca_coords.write.mode("overwrite").parquet(os.path.join(out_dir, "pca"))
-    res.cluster_profiles.write.mode("overwrite").parquet(os.path.join(out_dir, "profiles"))
     summary = {"n_rounds": int(n_rounds), "n_drivers": int(n_drivers), "n_clusters": int(res.n_clusters),
                "silhouette_score": round(float(res.silhouette), 4)}
-    sinks.write_run_summary(spark, os.path.join(out_dir, "summary"), **summary)
-    clustering.save_clustering_model(res, os.path.join(out_dir, "model"))
+    tables = {"round_features": per_round, "feature_matrix": res.feature_matrix, "labels": res.labels,
+              "pca": res.pca_coords, "profiles": res.cluster_profiles}
+    store.publish_run(spark, out_dir, tables, summary, save=lambda folder: clustering.save_clustering_model(res, f"{folder}/model"))
     return summary
 
 
-def season_ingest_job(spark: SparkSession, raw: DataFrame, store: str, *,
-                      corners: dict | None = None) -> DataFrame:
-    """PL-7: process only sessions missing from the store (SNK-8), write them with
-    dynamic partition overwrite, and return the manifest (SNK-9)."""
+def season_ingest_job(spark: SparkSession, raw: DataFrame, target: str, *,
+                      corners: dict | None = None, preview_path: str | None = None) -> DataFrame:
+    """PL-7: process only the sessions that are not committed (SNK-8), commit them to the store
+    (``sources.store``), write a preview of each (SNK-2), and return the status (SNK-9)."""
     keys = sinks.STORE_PARTITIONS
-    todo = sinks.sessions_to_process(spark, raw.select(*keys).distinct(), store, keys)
-    fresh = raw.join(todo, keys, "left_semi")
-    if not fresh.isEmpty():
-        sinks.write_store(process_telemetry(fresh, corners=corners), store)
     expected = raw.select(*keys).distinct()
-    return sinks.ingest_manifest(spark, expected, store)
+    todo = cut_lineage(store.missing_sessions(spark, expected, target))
+    if not todo.isEmpty():
+        fresh = raw.join(F.broadcast(todo), [raw[k].eqNullSafe(todo[k]) for k in keys], "left_semi")
+        _commit(spark, process_telemetry(fresh, corners=corners), target, preview_path)
+    return store.ingest_status(spark, expected, target)
+
+
+def _commit(spark: SparkSession, telemetry: DataFrame, target: str, preview_path: str | None) -> None:
+    version = store.commit_sessions(telemetry, target)
+    if preview_path is not None:
+        live = store.live_sessions(spark, target).filter(F.col("version") == version)
+        written = store.read_store(spark, target)
+        new = written.join(F.broadcast(live), [written[k].eqNullSafe(live[k]) for k in sinks.STORE_PARTITIONS], "left_semi")
+        sinks.write_previews(new, preview_path)
 
 
-def season_api_job(spark: SparkSession, *, schedule: DataFrame, store: str, as_of: str, docs: dict[str, DataFrame],
+def season_api_job(spark: SparkSession, *, schedule: DataFrame, target: str, as_of: str, docs: dict[str, DataFrame],
                    session_filter: Column | None = None, preview_path: str | None = None,
-                   corners: dict | None = None, **ingest_kw) -> DataFrame:
+                   corners: dict | None = None, rejects_path: str | None = None, **ingest_kw) -> DataFrame:
     """PL-7 end to end: completed rounds (FLT-4) -> sessions of these rounds (JN-5) that the
-    store lacks (SNK-8) -> telemetry (PL-2) -> corners and acceleration (PL-1) -> store ->
-    preview (SNK-2). Returns the manifest (SNK-9); a second run writes nothing.
+    store lacks (SNK-8) -> telemetry and rejects (PL-2) -> corners and acceleration (PL-1) -> store ->
+    previews of the new sessions (SNK-2). Returns the status (SNK-9); a second run writes nothing.
 
     ``docs`` holds the landed documents: sessions, drivers, laps, stints, car_data, location."""
     done = completed_rounds(schedule.withColumn("EventDate", F.to_date("EventDate")), as_of=as_of)
@@ -85,15 +88,32 @@ def season_api_job(spark: SparkSession, *, schedule: DataFrame, store: str, as_o
     rounds, _ = session_rounds(sessions, done)
     rounds = cut_lineage(rounds)
     expected = rounds.select(*sinks.STORE_PARTITIONS).distinct()
-    todo = sinks.sessions_to_process(spark, expected, store)
+    todo = store.missing_sessions(spark, expected, target)
     fresh = sessions.join(rounds.join(todo, sinks.STORE_PARTITIONS, "left_semi").select("session_key"),
                           "session_key", "left_semi")
     if not fresh.isEmpty():
-        tel = api_to_telemetry(sessions=fresh, schedule=done, **{k: v for k, v in docs.items() if k != "sessions"}, **ingest_kw)
-        sinks.write_store(process_telemetry(tel, corners=corners), store)
-        if preview_path is not None:
-            sinks.write_preview(spark.read.parquet(store), preview_path)
-    return sinks.ingest_manifest(spark, expected, store)
+        tel, rejects = api_ingest(sessions=fresh, schedule=done, **{k: v for k, v in docs.items() if k != "sessions"}, **ingest_kw)
+        _commit(spark, process_telemetry(tel, corners=corners), target, preview_path)
+        if rejects_path is not None:
+            rejects.filter("reason <> 'session_filtered'").write.mode("append").parquet(rejects_path)
+    return store.ingest_status(spark, expected, target)
+
+
+JOB_ENDPOINTS = ("sessions", "drivers", "laps", "stints", "car_data", "location")
+
+
+def season_landed_job(spark: SparkSession, root: str, schedule_path: str, *, target: str, as_of: str,
+                      rejects_path: str | None = None, **kw) -> DataFrame:
+    """PL-7 from files: the landed documents of every endpoint (SRC-4) and the schedule file (SRC-3)
+    into ``season_api_job``. Documents that do not parse go to ``<rejects_path>/documents``."""
+    docs, broken = {}, None
+    for endpoint in JOB_ENDPOINTS:
+        docs[endpoint], bad = api_docs.read_documents(spark, root, endpoint)
+        broken = bad if broken is None else broken.unionByName(bad)
+    if rejects_path is not None:
+        broken.write.mode("overwrite").parquet(f"{rejects_path}/documents")
+        kw["rejects_path"] = f"{rejects_path}/samples"
+    return season_api_job(spark, schedule=files.read_schedule(spark, schedule_path), target=target, as_of=as_of, docs=docs, **kw)
 
 
 def season_results(results: DataFrame, schedule: DataFrame) -> DataFrame:

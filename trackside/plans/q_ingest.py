@@ -18,9 +18,10 @@ from trackside.plans.ingest import api_ingest_rejects, api_to_telemetry, landed_
 from trackside.plans.jobs import api_summaries, season_api_job, season_results
 from trackside.plans.q_align import ASOF_SQL, HOUR, LAPS_SQL
 from trackside.plans.registry import register
-from trackside.session import checkpoint_dir, cut_lineage
+from trackside.session import shared_dir
 from trackside.sources import files, sinks
 from trackside.sources.adapter import read_table, telemetry_view
+from trackside.sources.store import read_store
 
 
 def _documents(spark, sf):
@@ -121,10 +122,8 @@ def q_api_rejects(spark, sf):
 
 
 def _shared(spark, name):
-    """A fresh folder in the shared checkpoint folder (named here where the session has none)."""
-    if not checkpoint_dir(spark):
-        cut_lineage(spark.range(1))
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @register("season_store", API_SQL + """
@@ -136,14 +135,14 @@ def q_season_store(spark, sf):
     """PL-7: the season job writes the store and its manifest; a second run finds nothing left to write."""
     docs, schedule = _documents(spark, sf)
     store = _shared(spark, "season")
-    job = dict(schedule=schedule, store=f"{store}/telemetry", as_of="2025-12-31", docs=docs, preview_path=f"{store}/preview")
+    job = dict(schedule=schedule, target=f"{store}/telemetry", as_of="2025-12-31", docs=docs, preview_path=f"{store}/preview")
     season_api_job(spark, **job, **_INGEST)
-    first = set(spark.read.parquet(job["store"]).inputFiles())
+    first = set(read_store(spark, job["target"]).inputFiles())
     manifest = season_api_job(spark, **job, **_INGEST)
-    same = first == set(spark.read.parquet(job["store"]).inputFiles())
-    rows = spark.read.parquet(job["store"]).groupBy("Year", "Round").agg(F.count(F.lit(1)).alias("Rows"))
+    same = first == set(read_store(spark, job["target"]).inputFiles())
+    rows = read_store(spark, job["target"]).groupBy("Year", "Round").agg(F.count(F.lit(1)).alias("Rows"))
     left = manifest.filter("processed_sessions = 0").count()
-    return manifest.join(rows, ["Year", "Round"]).withColumn("Left", F.lit(left).cast("long")).withColumn("Unchanged", F.lit(same))
+    return manifest.drop("stored_rows").join(rows, ["Year", "Round"]).withColumn("Left", F.lit(left).cast("long")).withColumn("Unchanged", F.lit(same))
 
 
 @register("session_predicate", """

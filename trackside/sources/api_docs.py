@@ -1,13 +1,16 @@
 """Landed API documents (SRC-4): one folder per endpoint, JSON with explicit schemas.
 
 HTTP fetching is not part of this library; documents are landed first
-(``<root>/endpoint=<name>/...json``) and read here. A missing endpoint folder
-gives an empty frame with the endpoint's schema.
+(``<root>/endpoint=<name>/...json``). ``land_documents`` turns array documents, which one
+task must read as a whole, into JSON lines once; ``read_documents`` reads lines in parallel.
+What does not parse is returned as rejects by both, with the file and the text. A
+missing endpoint folder gives empty frames.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackside.sources.files import path_exists
@@ -72,3 +75,67 @@ def read_endpoint(spark: SparkSession, root: str, endpoint: str,
         return spark.createDataFrame([], schema)
     return (spark.read.schema(schema).option("multiLine", multiline)
             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX").json(path))
+
+
+REJECTS = "endpoint string, file string, document string, reason string"
+CORRUPT = "_corrupt_record"
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "columnNameOfCorruptRecord": CORRUPT,
+                "mode": "PERMISSIVE"}
+
+
+def endpoint_path(root: str, endpoint: str) -> str:
+    return f"{root.rstrip('/')}/endpoint={endpoint}"
+
+
+def _texts(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    return spark.read.text(path, wholetext=whole).select(
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text")).filter("text <> ''")
+
+
+def _rejected(df: DataFrame, endpoint: str, text: Column, reason: str) -> DataFrame:
+    return df.select(F.lit(endpoint).alias("endpoint"), "file", text.alias("document"), F.lit(reason).alias("reason"))
+
+
+def split_arrays(texts: DataFrame, endpoint: str) -> tuple[DataFrame, DataFrame]:
+    """(file, text) documents -> (file, line): one object a line, and rejects: documents that are
+    neither an object nor an array of objects."""
+    array = F.from_json("text", "array<string>")
+    parsed = texts.withColumn("objects", F.when(F.startswith("text", F.lit("[")), array).otherwise(F.array("text")))
+    lines = parsed.select("file", F.explode("objects").alias("line"))
+    is_object = F.coalesce(F.startswith(F.trim("line"), F.lit("{")), F.lit(False))
+    bad = _rejected(parsed.filter(F.col("objects").isNull()), endpoint, F.col("text"), "document").unionByName(
+        _rejected(lines.filter(~is_object), endpoint, F.col("line"), "not_an_object"))
+    return lines.filter(is_object), bad
+
+
+def parse_lines(lines: DataFrame, endpoint: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(file, line) -> rows of the endpoint's schema, and rejects: lines that are no JSON or have a
+    value of another type (such a row is not stored with a null in its place)."""
+    schema = schema or ENDPOINT_SCHEMAS[endpoint]
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.select("file", "line", F.from_json("line", full, JSON_OPTIONS).alias("d"))
+    broken = F.col(f"d.{CORRUPT}").isNotNull() | F.col("d").isNull()
+    return (parsed.filter(~broken).select(*[F.col(f"d.{f.name}").alias(f.name) for f in schema.fields]),
+            _rejected(parsed.filter(broken), endpoint, F.col("line"), "row"))
+
+
+def land_documents(spark: SparkSession, source: str, root: str, endpoint: str, *, whole_files: bool = True) -> DataFrame:
+    """Documents below ``source`` (files of one document each, or with ``whole_files=False`` one document
+    a line) -> JSON lines in the endpoint's folder, which any number of tasks can read. Returns the rejects,
+    which are also kept below ``<root>/quarantine``. Landing again replaces the endpoint's lines."""
+    lines, bad = split_arrays(_texts(spark, source, whole_files), endpoint)
+    lines.select("line").write.mode("overwrite").text(endpoint_path(root, endpoint))
+    kept = f"{root.rstrip('/')}/quarantine/endpoint={endpoint}"
+    bad.drop("endpoint").write.mode("overwrite").parquet(kept)
+    return spark.read.schema(REJECTS.replace("endpoint string, ", "")).parquet(kept).select(F.lit(endpoint).alias("endpoint"), "*")
+
+
+def read_documents(spark: SparkSession, root: str, endpoint: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of one endpoint's landed JSON lines; a line may also hold an array."""
+    schema = schema or ENDPOINT_SCHEMAS[endpoint]
+    path = endpoint_path(root, endpoint)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema), spark.createDataFrame([], REJECTS)
+    lines, bad = split_arrays(_texts(spark, path, False), endpoint)
+    rows, broken = parse_lines(lines, endpoint, schema)
+    return rows, bad.unionByName(broken)
