@@ -93,6 +93,20 @@ def test_silhouette_matches_bruteforce(spark):
         assert math.isclose(got[str(i)], exp, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_silhouette_keeps_its_digits_far_from_zero_and_runs_no_python(spark):
+    rng = np.random.default_rng(6)
+    pts, lab = np.round(rng.normal(size=(60, 3)), 3), rng.integers(0, 4, 60).tolist()
+    def score(shift):
+        df = spark.createDataFrame([(str(i), int(c), *[float(x + shift) for x in p]) for i, (c, p) in enumerate(zip(lab, pts))],
+                                   "Driver string, Cluster int, a double, b double, c double")
+        out = clustering.silhouette_points(clustering.assemble(df, ["a", "b", "c"]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+        return {r.Driver: r.silhouette for r in out.collect()}
+    near, far = score(0.0), score(1e8)
+    assert all(math.isclose(near[k], far[k], abs_tol=1e-6) for k in near)
+
+
 def test_season_clustering_job_writes_outputs(spark, tmpdir_fresh):
     from trackside.plans.jobs import season_clustering_job
     from trackside.sources import store

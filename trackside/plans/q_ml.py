@@ -192,6 +192,72 @@ def q_best_k(spark, sf):
                                  "k int, silhouette double, chosen boolean")
 
 
+def _labelings_sql():
+    """Silhouettes of the labelings vec_id % k by the moments of their clusters, in plain SQL."""
+    scored = " UNION ALL ".join(f"SELECT {k} AS k, vec_id, CAST(vec_id % {k} + label * (vec_id % 2) AS INTEGER) AS c, x FROM v"
+                                for k in range(3, 9))
+    return f"""
+v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings),
+l AS ({scored}),
+u AS (SELECT k, c, count(*) AS n, sum(list_inner_product(x, x)) AS q FROM l GROUP BY k, c),
+e AS (SELECT k, c, list(s ORDER BY i) AS s FROM (SELECT k, c, i, sum(xi) AS s
+      FROM (SELECT k, c, unnest(range(1, 65)) AS i, unnest(x) AS xi FROM l) GROUP BY k, c, i) GROUP BY k, c),
+d AS (SELECT l.k, l.vec_id, l.c, u.c AS o, u.n, greatest(u.n * list_inner_product(x, x) - 2 * list_inner_product(x, e.s) + u.q, 0) AS d
+      FROM l JOIN u ON u.k = l.k JOIN e ON e.k = u.k AND e.c = u.c),
+ab AS (SELECT k, vec_id, max(n) FILTER (o = c) AS n, max(d) FILTER (o = c) AS own, min(d / n) FILTER (o <> c) AS b FROM d GROUP BY k, vec_id),
+sc AS (SELECT k, avg(CASE WHEN n > 1 THEN (b - own / (n - 1)) / greatest(own / (n - 1), b) ELSE 0 END) AS s FROM ab GROUP BY k)"""
+
+
+@register("best_labeling", _labelings_sql() + """
+---
+SELECT CAST(k AS INTEGER) AS k, round(s, 6) AS silhouette, k = (SELECT arg_min(k, (-s, k)) FROM sc) AS chosen FROM sc""", adapter=False)
+def q_best_labeling(spark, sf):
+    """ML-5: the choice of k among given labelings of the embeddings, scored in one stacked pass."""
+    m = emb_matrix(spark, sf).withColumn("_id", F.col("Driver").cast("long"))
+    vec = clustering.assemble(m, DIMS).select("_id", "Cluster", "features")
+    labels = {k: (F.col("_id") % k + F.col("Cluster") * (F.col("_id") % 2)).cast("int") for k in range(3, 9)}
+    points = cut_lineage(vec.select("features", *[c.alias(f"k{k}") for k, c in labels.items()]))
+    return round6(clustering.score_labelings(points, {k: f"k{k}" for k in labels}), ["silhouette"])
+
+
+_D = 64
+_POWER_STEPS = 3000
+
+
+def _power(name: str, matrix: str) -> str:
+    """The leading eigenvector of a symmetric matrix (list of rows) by power iteration."""
+    start = "[" + ", ".join(str(1.0 + i / 64) for i in range(_D)) + "]"
+    return f"""{name}_it AS (WITH RECURSIVE it(n, v) AS (
+  SELECT 0, CAST({start} AS DOUBLE[]) UNION ALL
+  SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w)))
+  FROM (SELECT n, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM it, {matrix} WHERE n < {_POWER_STEPS}))
+  SELECT v FROM it WHERE n = {_POWER_STEPS}),
+{name} AS (SELECT list_transform(v, lambda x: x * CASE WHEN list_extract(v, list_position(list_transform(v, lambda y: abs(y)),
+      list_max(list_transform(v, lambda y: abs(y))))) < 0 THEN -1 ELSE 1 END) AS v FROM {name}_it)"""
+
+
+@register("pca_projection", f"""
+x AS (SELECT vec_id, unnest(range(1, {_D + 1})) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT x.vec_id, list((x.x - s.m) / s.sd ORDER BY x.i) AS z FROM x
+      JOIN (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM x GROUP BY i) s USING (i) GROUP BY x.vec_id),
+c AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM (
+      SELECT i, j, sum(z[i] * z[j]) / (count(*) - 1) AS s
+      FROM z, (SELECT unnest(range(1, {_D + 1})) AS i), (SELECT unnest(range(1, {_D + 1})) AS j) GROUP BY i, j) GROUP BY i)),
+{_power("p1", "c")},
+c2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - lam * v[i] * v[j])) AS m
+       FROM (SELECT m, v, list_inner_product(list_transform(m, lambda r: list_inner_product(r, v)), v) AS lam FROM c, p1)),
+{_power("p2", "c2")}
+---
+SELECT CAST(vec_id AS VARCHAR) AS "Driver", round(list_inner_product(z, p1.v), 6) AS "PC1", round(list_inner_product(z, p2.v), 6) AS "PC2"
+FROM z, p1, p2""", adapter=False)
+def q_pca_projection(spark, sf):
+    """ML-6: the two leading components of the standardised embeddings; the oracle finds them by power iteration."""
+    m = emb_matrix(spark, sf).drop("Cluster")
+    vec = cut_lineage(clustering.assemble(clustering.apply_scaler(m, DIMS, clustering.fit_scaler(m, DIMS)), DIMS).select("Driver", "features"))
+    coords, _, _ = clustering.pca_coordinates(vec, len(DIMS), vec.count())
+    return round6(coords, ["PC1", "PC2"])
+
+
 @register("pca_coords")
 def q_pca_coords(spark, sf):
     """ML-6 + CH-6: PCA scatter of the clustered matrix."""
