@@ -72,6 +72,7 @@ def load_all() -> None:
         q_ingest,
         q_ml,
         q_scalar,
+        q_season,
         q_features,
         q_kinematics,
         q_laps,

@@ -72,14 +72,15 @@ def read_processed_sessions(spark: SparkSession, directory: str, schema: T.Struc
 
     The variants are chosen from the directory listing, so only the chosen files are scanned."""
     chosen = choose_variants(list_paths(spark, f"{directory.rstrip('/')}/r*_quali_telemetry_processed*"))
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    # the chosen name is a file, or a folder of part files
+    name = F.regexp_extract(F.col("_metadata.file_path"), "/(" + PROCESSED_NAME[:-1].replace("(.+)", "([^/]+)") + ")(/[^/]+)?$", 1)
 
     def part(i):
         return F.regexp_extract(name, PROCESSED_NAME, i)
 
     raw = (spark.read.option("header", True).schema(schema).csv(chosen) if chosen
            else spark.createDataFrame([], schema))
-    named = {"Year": part(3).cast("int"), "Round": part(1).cast("int"), "event_slug": part(2),
+    named = {"Year": part(3).try_cast("int"), "Round": part(1).try_cast("int"), "event_slug": part(2),
              "is_sample": part(4) == "_sample.csv"}
     if not chosen:
         named = {"Year": F.lit(None).cast("int"), "Round": F.lit(None).cast("int"), "event_slug": F.lit(None).cast("string"),
