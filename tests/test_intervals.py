@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trackside.operators import align, intervals
 
 
-@pytest.mark.parametrize("levels", [3, 32])
+@pytest.mark.parametrize("levels", [3, 20, 32])
 def test_covers_are_disjoint_short_and_exact(spark, levels):
     rng = random.Random(2)
     pairs = [(a, a + rng.randrange(-1, 70)) for a in (rng.randrange(-90, 90) for _ in range(150))]
@@ -20,10 +20,10 @@ def test_covers_are_disjoint_short_and_exact(spark, levels):
         assert held == list(range(r.lo, r.hi + 1))
 
 
-def test_long_intervals_have_few_nodes(spark):
+def test_long_intervals_have_few_nodes(spark):  # with levels for them
     """Ten years in hours, and the whole range of 32-bit numbers."""
     df = spark.createDataFrame([(3, 3 + 87_600), (-2**31, 2**31 - 1), (1, 2**31 - 2), (-2**32 + 1, 2**32 - 2)], "lo long, hi long")
-    for r in df.withColumn("n", F.size(intervals.cover(F.col("lo"), F.col("hi")))).collect():
+    for r in df.withColumn("n", F.size(intervals.cover(F.col("lo"), F.col("hi"), 33))).collect():
         assert r.n <= 2 * (r.hi - r.lo + 1).bit_length()
 
 

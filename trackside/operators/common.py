@@ -82,6 +82,20 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[Column], out: str
             .withColumn(out, (F.col("_own") + F.col("_before")).cast("int")).drop("_slice", "_own", "_before"))
 
 
+def rank_by_bucket(df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
+    """``row_number`` per group under a total ``order`` that begins with the order of ``bucket`` (a rounded
+    value): rows are numbered inside (group, bucket) and the counts of the group's lower buckets are
+    added, so neither a sort by range nor a window over a whole group is needed."""
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*group).orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+             .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_gb"),
+                     F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)))
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_bucket").eqNullSafe(F.col("_gb"))]
+    return own.join(sizes, on).select(*df.columns, (F.col("_own") + F.col("_before")).cast("int").alias(out))
+
+
 TOP_N_SALTS = 64
 
 

@@ -1,7 +1,8 @@
 """A dyadic interval index: which integer intervals hold a point, as an equi-join.
 
 An interval is covered by its canonical nodes: blocks of 2^k integers, aligned to 2^k,
-at most two a level and so at most 2 log2(length) in all, whatever its length. A point
+at most two a level and so at most 2 log2(length) in all (beyond 2^LEVELS, one more for each
+such block). A point
 lies in one block of each level; an interval holds the point if and only if one of
 its nodes is among them, and then exactly one. So intervals and points meet in
 a join on (keys, level, node), without pairs that do not match.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = 32  # blocks of up to 2^32 integers
+LEVELS = 20  # blocks of up to 2^20 integers; longer intervals take one node per 2^20 on top
 
 
 def cover(low: Column, high: Column, levels: int = LEVELS) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import parsable_duration, parse_duration_seconds
-from trackside.operators.common import drop_null_keys, first_non_null, rank_in_group, sample_order, with_group_stats
+from trackside.operators.common import drop_null_keys, first_non_null, rank_by_bucket, sample_order, with_group_stats
 
 LAP_ATTRS = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time", "Compound", "FreshTyre"]
 
@@ -79,7 +79,7 @@ def best_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
 def classification(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
     """CH-1 / WN-7: best laps with Pos 1..n per session (order LapTime, Driver)."""
     bl = best_laps(df, keys=keys)
-    return rank_in_group(bl, list(keys), [F.col("LapTime_seconds").asc(), F.col(S.DRIVER_COL).asc()], "Pos")
+    return rank_by_bucket(bl, list(keys), F.floor("LapTime_seconds"), [F.col("LapTime_seconds").asc(), F.col(S.DRIVER_COL).asc()], "Pos")
 
 
 def fastest_laps(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS) -> DataFrame:
