@@ -37,7 +37,8 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, extra: list[Column]) ->
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  digest_all: bool = False) -> DataFrame:
-    """One row per input row: id, len, prefix, sha, keep_id, group_size, kept.
+    """One row per input row: id, len, prefix, sha, key (a 64-bit hash of the whole normalised text), keep_id,
+    group_size, kept.
 
     ``sha`` is the hash of the whole normalised text, taken only for rows whose
     (length, prefix) group has at least two members; with ``digest_all`` it is
@@ -51,14 +52,15 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                        .select("len", "prefix", F.lit(True).alias("open")), "exact-prefixes")
     norm = _normalised(F.col(text_col))
     if digest_all:
-        rows = (_levels(docs, id_col, text_col, [F.sha2(norm, 256).alias("sha")])
+        rows = (_levels(docs, id_col, text_col, [F.sha2(norm, 256).alias("sha"), F.lit(None).cast("long").alias("key")])
                 .join(by_prefix, ["len", "prefix"], "left"))
     else:
         # the whole text is hashed behind the join, for open groups only
         rows = (_levels(docs, id_col, text_col, [F.col(text_col).alias("whole")])
                 .join(by_prefix, ["len", "prefix"], "inner")
-                .withColumn("sha", F.sha2(_normalised(F.col("whole")), 256)).drop("whole"))
-    rows = stored(rows.select("id", "len", "prefix", "sha", F.coalesce("open", F.lit(False)).alias("open"),
+                .withColumn("sha", F.sha2(_normalised(F.col("whole")), 256))
+                .withColumn("key", F.xxhash64(_normalised(F.col("whole")))).drop("whole"))
+    rows = stored(rows.select("id", "len", "prefix", "sha", "key", F.coalesce("open", F.lit(False)).alias("open"),
                               F.monotonically_increasing_id().alias("row")), "exact-rows")
     groups = stored(rows.filter("open").groupBy("len", "prefix", "sha")
                     .agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -66,7 +68,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     out = rows.join(groups, ["len", "prefix", "sha"], "left")
     alone = F.col("keep").isNull()
     return out.select(
-        "id", "len", "prefix", "sha",
+        "id", "len", "prefix", "sha", "key",
         F.when(alone, F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("keep.row") == F.col("row"))).alias("kept"))
@@ -75,32 +77,27 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that lose against an equal text; columns unchanged.
 
-    Losing (id, length, prefix, sha) keys are removed by an anti join. Rows that
-    repeat the id of the kept row with an equal text are reduced to the one
-    whose other columns sort first.
+    Losing rows are removed by an anti join on id and a 64-bit hash of the text; two texts of
+    one id would have to share that hash to be confused. Rows that repeat the id of the kept
+    row with an equal text are reduced to the one whose other columns sort first.
     """
-    groups = stored(exact_groups(docs, id_col=id_col, text_col=text_col).filter("group_size > 1")
-                    .select("id", "len", "prefix", "sha", "kept"), "exact-losers")
-    fate = stored(groups.groupBy("id", "len", "prefix", "sha")
-                  .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")), "exact-fate")
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col).filter("group_size > 1")
+    fate = groups.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
     tag = "__x"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
-    fate = fate.select(*[F.col(c).alias(tag + c) for c in fate.columns])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the whole text is hashed only for rows that meet a fate of their id, length and prefix
-    joined = docs.join(
-        fate,
-        F.col(id_col).eqNullSafe(F.col(tag + "id")) & (F.octet_length(text) == F.col(tag + "len"))
-        & (F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))) == F.col(tag + "prefix"))
-        # no join key: a key would be taken for every row
-        & F.coalesce(F.sha2(_normalised(F.col(text_col)), 256) == F.col(tag + "sha"), F.lit(False)), "left")
-    kept, copies = F.col(tag + "kept"), F.col(tag + "copies")
-    once = joined.filter(kept.isNull() | (kept & (copies == 1))).select(*docs.columns)
+    # written and narrow, so that texts are shuffled only where the losers are too many to broadcast
+    gone = stored(fate.filter(~F.col("kept") | (F.col("copies") > 1)).select(
+        F.col("id").alias(tag + "id"), F.col("key").alias(tag + "key"), F.col("kept").alias(tag + "kept")), "exact-losers")
+    met = (F.col(id_col).eqNullSafe(F.col(tag + "id"))
+           & (F.xxhash64(_normalised(F.col(text_col))) == F.col(tag + "key")))
+    out = docs.join(gone.drop(tag + "kept"), met, "left_anti")
+    repeated = gone.filter(F.col(tag + "kept"))
+    if repeated.isEmpty():
+        return out
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    one = (joined.filter(kept & (copies > 1))
-           .groupBy(F.col(id_col).alias(tag + "i"), F.col(tag + "sha").alias(tag + "s"))
-           .agg(first_row([*rest, text_col]).alias(tag + "row"))
+    one = (docs.join(repeated, met).groupBy(F.col(tag + "id"), F.col(tag + "key"))
+           .agg(F.min(F.col(id_col)).alias(tag + "i"), first_row([*rest, text_col]).alias(tag + "row"))
            .select(*[F.col(tag + "i").alias(c) if c == id_col else F.col(tag + "row").getField(c).alias(c)
                      for c in docs.columns]))
-    return once.unionByName(one)
+    return out.unionByName(one)

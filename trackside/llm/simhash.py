@@ -157,8 +157,9 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     marked = stored(_with_fingerprint(docs, fp, text_col, shingle_words), "simhash-docs")
     rows = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     named = _named(rows, max_bits)
-    lost = (rows.join(named, "fp").filter(~F.col("id").eqNullSafe(F.col("component_id")))
-            .select(F.col("id").alias(tag + "id"), F.col("fp").alias(tag + "lost")).distinct())
+    # written, so that texts are shuffled only where the losing rows are too many to broadcast
+    lost = stored(rows.join(named, "fp").filter(~F.col("id").eqNullSafe(F.col("component_id")))
+                  .select(F.col("id").alias(tag + "id"), F.col("fp").alias(tag + "lost")).distinct(), "simhash-lost", "none")
     kept = marked.join(
         lost, F.col(id_col).eqNullSafe(F.col(tag + "id")) & (F.col(fp) == F.col(tag + "lost")), "left_anti")
     unnamed = named.filter(F.col("component_id").isNull()).select(
