@@ -94,6 +94,7 @@ def test_silhouette_matches_bruteforce(spark):
 
 
 def test_silhouette_keeps_its_digits_far_from_zero_and_runs_no_python(spark):
+    import numpy as np
     rng = np.random.default_rng(6)
     pts, lab = np.round(rng.normal(size=(60, 3)), 3), rng.integers(0, 4, 60).tolist()
     def score(shift):
