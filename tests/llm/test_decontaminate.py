@@ -77,7 +77,17 @@ def test_threshold_keeps_enough_hashes():
         text = " ".join(f"w{rng.random()}" for _ in range(q)).replace("0.", "")
         sig = dc.Signatures([(1, text)], 0.8)
         n = len(sig.items[0][1])
-        assert len(sig.hashes) == n - -(-4 * n // 5) + 1
+        assert [len(h) for h, _ in sig.parts] == [n - -(-4 * n // 5) + 1]
+
+
+def test_items_of_other_sizes_have_other_tables():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(q)) for q in (6, 6, 40, 300)]
+    sig = dc.Signatures(list(enumerate(texts)), 0.8)
+    assert [sorted(set(owner.tolist())) for _, owner in sig.parts] == [[0, 1], [2], [3]]
+    assert all((h[1:] >= h[:-1]).all() for h, _ in sig.parts)
+    g, at = dc._doc_hashes(b"\n".join(dc.normal_words(t) for t in ["x y z " + texts[3] + " end", "none of it at all here", texts[0]]) + b"\n")
+    assert sig.candidates(g, at) == {(0, 3), (2, 0)}
 
 
 def test_registered_query_finds_the_planted_passages(spark):

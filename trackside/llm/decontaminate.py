@@ -5,8 +5,9 @@ their number of distinct shingles (powers of two); within a partition an item is
 represented by its smallest hashes, as many as the containment threshold needs:
 an item of q shingles whose containment is at least t misses at most
 floor((1 - t) * q) of them, so of its floor((1 - t) * q) + 1 smallest hashes at
-least one lies in every document that must be found. Documents of any length
-contribute all their hashes below the partition's largest kept hash. Candidates
+least one lies in every document that must be found. Every partition has a table of
+its own; documents of any length look up all their hashes up to the table's
+largest, without a sketch of the document. Candidates
 are then verified by counting the item's shingles, as words, in the document.
 The recall is therefore one by construction, not by chance.
 
@@ -83,8 +84,8 @@ class Signatures:
 
     def __init__(self, items: list[tuple], threshold: float):
         share = 1 - Fraction(str(threshold))
-        self.items, pairs = [], []
-        limits: dict[int, int] = {}
+        self.items = []
+        pairs: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             norm = normal_words(text)
             shingles = shingle_set(norm)
@@ -93,25 +94,28 @@ class Signatures:
             hashes = np.unique(_doc_hashes(norm + b"\n")[0])
             keep = min(len(hashes), int(share * len(shingles)) + 1 + len(shingles) - len(hashes))
             part = len(shingles).bit_length()
-            limits[part] = max(limits.get(part, 0), int(hashes[keep - 1]))
-            pairs += [(int(v), len(self.items)) for v in hashes[:keep]]
+            pairs.setdefault(part, []).extend((int(v), len(self.items)) for v in hashes[:keep])
             self.items.append((item_id, shingles))
-        pairs.sort()
-        self.hashes = np.array([v for v, _ in pairs], dtype=K.U64)
-        self.owner = np.array([i for _, i in pairs], dtype=np.int64)
-        self.limit = max(limits.values(), default=-1)  # the largest hash any partition looks at
-        self.limits = limits
+        # a table per size partition: sorted hashes and their items; a partition of long items holds
+        # many hashes but only low ones, one of short items few but high ones
+        self.parts = []
         self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.hashes >> K.U64(44)).astype(np.int64)] = True
+        for part in sorted(pairs):
+            found = sorted(pairs[part])
+            hashes = np.array([v for v, _ in found], dtype=K.U64)
+            self.parts.append((hashes, np.array([i for _, i in found], dtype=np.int64)))
+            self.seen[(hashes >> K.U64(44)).astype(np.int64)] = True
 
     def candidates(self, g: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a signature hash."""
-        if self.limit < 0:
-            return set()
-        hit = np.flatnonzero((g <= K.U64(self.limit)) & self.seen[(g >> K.U64(44)).astype(np.int64)])
-        lo = np.searchsorted(self.hashes, g[hit], "left")
-        hi = np.searchsorted(self.hashes, g[hit], "right")
-        return {(int(t), int(self.owner[k])) for t, a, b in zip(at[hit], lo, hi) if b > a for k in range(a, b)}
+        """(text, item) pairs that share a signature hash; each partition is asked for the hashes up to its largest."""
+        out: set[tuple[int, int]] = set()
+        hit = np.flatnonzero(self.seen[(g >> K.U64(44)).astype(np.int64)])
+        g, at = g[hit], at[hit]
+        for hashes, owner in self.parts:
+            low = np.flatnonzero(g <= hashes[-1])
+            lo, hi = np.searchsorted(hashes, g[low], "left"), np.searchsorted(hashes, g[low], "right")
+            out |= {(int(t), int(owner[k])) for t, a, b in zip(at[low], lo, hi) if b > a for k in range(a, b)}
+        return out
 
 
 def _matches(texts: list[str | None], sig: Signatures, threshold: Fraction) -> Iterator[tuple[int, int, int, int]]:
@@ -137,14 +141,14 @@ def _matches(texts: list[str | None], sig: Signatures, threshold: Fraction) -> I
         lo = at
 
 
-def _blocks(items: DataFrame, item_id: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark in hash blocks of bounded text; each is collected on its own."""
+def _blocks(items: DataFrame, item_id: str, text_col: str) -> Iterator[list[tuple]]:
+    """The benchmark in hash blocks of bounded text; each is collected on its own, one after another."""
     text = F.col(text_col).cast("string")
     total = items.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     n = -(-int(total) // BLOCK_BYTES)
     block = F.pmod(F.xxhash64(text), F.lit(max(n, 1)))
-    return [[(r[0], r[1]) for r in items.select(F.col(item_id), text.alias("t")).filter(block == i).collect()]
-            for i in range(n)]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in items.select(F.col(item_id), text.alias("t")).filter(block == i).collect()]
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
