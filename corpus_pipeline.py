@@ -16,7 +16,7 @@ from trackside.llm.common import read_table, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the rest stay."""
+    """Documents that the classifier rejects go: no letters, or ambiguous in spite of enough of them."""
     return langid.keep_identified(docs, queries.language_model(docs))
 
 
