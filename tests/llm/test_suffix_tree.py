@@ -15,46 +15,49 @@ def tokens(text):
 
 
 def brute(rows, is_train):
-    """Scores by plain dictionaries, by the definitions of the module's docstring."""
+    """Scores by plain dictionaries, by the definitions of the module's docstring: any length, no limit."""
     train = [tokens(t) for i, t, *_ in rows if is_train(i)]
+    every = [tokens(t) for i, t, *_ in rows]
     uni = Counter(x for d in train for x in d)
     n, v = sum(uni.values()), len(uni)
-    frequent = {w for w, c in uni.items() if c >= st.MIN_SHARE * n}
-    pairs = Counter((a, b) for d in train for a, b in zip(d, d[1:-1]) if a in frequent and b in frequent)
-    nxt = defaultdict(Counter)
-    for d in train:
-        for k in range(1, len(d)):
-            if d[k - 1] in frequent:
-                nxt[d[k - 1],][d[k]] += 1
-                if k > 1 and d[k - 2] in frequent:
-                    nxt[d[k - 2], d[k - 1]][d[k]] += 1
-    size = {(): n} | {(w,): uni[w] for w in frequent} | pairs
-    keep = set()
-    for s, c in nxt.items():
-        if len(s) == 2 and pairs[s] < (st.MIN_SHARE - st.LOSS_SHARE) * n:
-            continue
-        up = s[1:]
-        back = st.TEST_WEIGHT * size[s]
-        gain = 0.0
-        for x, own in c.items():
-            p = (nxt[up][x] if up else uni[x]) / size[up]
-            gain += own * (math.log(own - 1 + back * p) - math.log(p))
-        total = sum(c.values())
-        if gain / total - math.log(total - 1 + back) >= st.MIN_GAIN:
-            keep |= {s, up}
+    size, nxt, keep = {(): n}, {(): uni}, {()}
+    tried = {(w,) for w, c in uni.items() if w is not END and c >= st.MIN_COUNT}
+    size |= {(w,): c for w, c in uni.items()}
+    k = 1
+    while tried:
+        for s in tried:
+            nxt[s] = Counter()
+        for d in train:
+            for at in range(k, len(d)):
+                if tuple(d[at - k:at]) in tried:
+                    nxt[tuple(d[at - k:at])][d[at]] += 1
+        for s in tried:
+            up, back, gain = s[1:], st.TEST_WEIGHT * size[s], 0.0
+            for x, own in nxt[s].items():
+                p = nxt[up][x] / size[up]
+                gain += own * (math.log(own - 1 + back * p) - math.log(p))
+            assert sum(nxt[s].values()) == size[s]
+            if gain / size[s] - math.log(size[s] - 1 + back) >= st.MIN_GAIN:
+                keep.add(s)
+            size |= {(*s, x): c for x, c in nxt[s].items()}
+        longer = {(*s, x) for s in tried for x, c in nxt[s].items() if x is not END and c >= st.MIN_COUNT}
+        tried = {s for s in longer if s[1:] in tried and len(nxt[s[1:]]) > 1 and (k < st.FREE_WORDS or s[1:] in keep)}
+        k += 1
     out = []
-    for i, t, *_ in rows:
-        d, base, score = tokens(t), 0.0, 0.0
-        for k, x in enumerate(d):
+    for (i, *_), d in zip(rows, every):
+        base, score = 0.0, 0.0
+        for at, x in enumerate(d):
             p = (uni[x] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            for s in ((d[k - 1],) if k else None, (d[k - 2], d[k - 1]) if k > 1 else None):
-                if s in keep and s in nxt:
-                    c = nxt[s]
-                    p = (c[x] + len(c) * p) / (sum(c.values()) + len(c))
+            for back in range(1, at + 1):
+                s = tuple(d[at - back:at])
+                if s not in nxt:
+                    break
+                if s in keep:
+                    p = (nxt[s][x] + len(nxt[s]) * p) / (size[s] + len(nxt[s]))
             score += math.log10(p)
         out.append((i, len(d), sum(uni[x] > 0 for x in d), n, base, score))
-    return out
+    return out, max(map(len, keep))
 
 
 def close(got, want):
@@ -77,21 +80,42 @@ def run(df, **kw):
 
 
 def test_matches_brute_force(docs, clashing, corpus, monkeypatch):
-    want = brute(corpus, is_train)
+    want, depth = brute(corpus, is_train)
+    assert depth > 2
     close(run(docs), want)
     close(run(clashing, buckets=5), want)
     monkeypatch.setattr(st, "CHUNK_BYTES", 5000)  # many chunks
     close(run(docs, buckets=3), want)
 
 
-def test_pair_counts_do_not_depend_on_the_chunks(spark, monkeypatch):
-    texts = ["x " * 600000 + "a b"] + ["a b " * 20 + f"end{i}" for i in range(10)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    for size in (1000, 6 << 20):  # a chunk of its own for every document, one chunk for all
-        monkeypatch.setattr(st, "CHUNK_BYTES", size)
-        ctx = st.candidate_contexts(st.pack_chunks(df, train=F.lit(True), id_col="doc_id", text_col="text"))
-        # x x, a b, b a; the others are below MIN_SHARE
-        assert sorted(ctx.pair_counts.tolist()) == [190, 201, 599999]
+def test_hot_contexts_and_long_contexts(spark):
+    """One word tells nothing about the next, two do; one word makes up most of the table."""
+    middle = "m"
+    texts = [f"u{i} {a} {middle} {b} z" for i in range(30) for a, b in (("a", "x"), ("b", "y"))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, "hot " * 700) for i in range(4)]
+    want, depth = brute(rows, lambda i: True)
+    assert depth >= 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for buckets in (1, 40):
+        got = st.score_documents(df, train=F.lit(True), buckets=buckets).collect()
+        close([tuple(r[c] for c in ("id", "n_tokens", "n_known", "train_tokens", "base_score", "score")) for r in got], want)
+
+
+def test_a_larger_copy_of_a_table_has_the_contexts_of_the_small_one(spark):
+    """Counts decide, not shares: unrelated text does not take a context away."""
+    rows = [(i, "rare words come together") for i in range(2)]
+    more = [(10 + i, f"w{i} v{i} " * 2000) for i in range(20)]
+    gains = []
+    for table in (rows, rows + more):
+        got = st.score_documents(spark.createDataFrame(table, "doc_id long, text string"), train=F.lit(True)).collect()
+        gains.append(next(r.score - r.base_score for r in got if r.id == 0))
+    assert gains[0] > 0.5 and gains[1] > gains[0]
+
+
+def test_ids_of_any_type(spark, docs, corpus):
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id")))
+    got = st.score_documents(named, train=F.lit(True)).collect()
+    assert Counter(r.id for r in got) == Counter(None if i is None else f"doc {i}" for i, *_ in corpus)
 
 
 def test_empty_table_and_no_training(docs, corpus, empty):

@@ -1,30 +1,40 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of zero, one or two words. Candidates are contexts that make up
-at least ``MIN_SHARE`` of the training tokens (so there are at most 1 / ``MIN_SHARE`` of
-each length, however large the corpus); a candidate is retained if the next-symbol
-distribution after it, judged without the token itself, predicts its tokens better
-than its shorter context does by ``MIN_GAIN`` nats a token. Distributions are smoothed
-into the shorter context's (Witten-Bell), down to the add-one-half word distribution.
-A token is scored in the state of the longest retained suffix before it.
-
-How it runs. Documents are packed once into chunks of a few MB, written to the shared
-folder. Every chunk sends its distinct (context, next word) pairs with their training
-counts to buckets; a bucket adds up the counts of all chunks, tests the divergences
-and replies to each chunk with the totals of the pairs it asked for. So the counts
-that are gathered grow with the corpus and no table of them ever meets in one place;
-only the states (bounded as above) are broadcast. Pairs of frequent next words are
-dealt by (context word, next word), others by next word.
-
-Words are identified by 64-bit hashes of their bytes (63 bits for rare ones).
+States are contexts, runs of any number of words that stand before a token. The tree
+grows level by level, a level being a number of words:
+
+* a context is tried if it occurs at least ``MIN_COUNT`` times in the training
+  documents, the run without its last word was tried before (which is where it is
+  counted), and its suffix, one word shorter, was tried too and is followed by more than
+  one kind of token (otherwise both have the same distribution). Beyond
+  ``FREE_WORDS`` words the suffix must also have been retained;
+* it is retained if the distribution after it, judged without the token itself, predicts
+  its tokens better than its suffix's does by ``MIN_GAIN`` nats a token.
+
+Growth ends when nothing is left to try. No length and no number of states is set, and the
+counts that decide are absolute: a context of a table is a context of any larger one. The
+distribution of a state is smoothed (Witten-Bell) into that of its longest retained suffix, down to the
+add-one-half word distribution. A token is scored in the state of the longest retained
+suffix before it.
+
+How it runs. Documents are packed once into chunks of a few MB, kept in tables bucketed by
+chunk, so that no level shuffles them. At every level a chunk asks one bucket per context for
+the training totals of its distinct (context, next word) pairs, sending its own
+counts; a bucket adds up all chunks, runs the divergence tests of its contexts and
+replies with totals, decisions and numbers of next words. Contexts that hold more than a
+sixteenth of a mean bucket's tokens are dealt by (context, next word) instead; their tests are added up
+by key, and only these decisions are broadcast: at most 16 times the buckets a level.
+The number of buckets follows the number of tokens.
+
+Words are identified by 64-bit hashes of their bytes, longer contexts by 64-bit hashes of their words.
 
 Defined results
 * A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. A null text is
   empty and has the end token only. Contexts do not cross documents.
 * The model gives every document a proper probability; words unseen in training
   share the mass of one unseen word.
-* Repeated rows are documents of their own. A null id is scored under a null id.
-  Without training documents all scores are those of an empty model. Empty tables give
+* Repeated rows are documents of their own. Ids may have any type; a null id is scored under a
+  null id. Without training documents all scores are those of an empty model. Empty tables give
   an empty result; extra columns are ignored.
 """
 
@@ -33,329 +43,356 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackside.llm import kernels as K
-from trackside.llm.common import stored
+from trackside.llm.common import fresh_path, stored
 
 CHUNK_BYTES = 6 << 20
-MIN_SHARE = 1 / (1 << 16)
-LOSS_SHARE = 0.0    # chunks report every pair of candidate words, so pair counts are exact
+MIN_COUNT = 2
+FREE_WORDS = 2      # contexts of up to so many words are tried whether or not their suffix is retained
 MIN_GAIN = 0.01
 TEST_WEIGHT = 0.5   # weight of the shorter context in the divergence test, as a share of the context's count
-_RARE = K.U64(1 << 63)
+BUCKET_TOKENS = 4_000_000
+HOT_SHARE = 16      # a context with over 1 / HOT_SHARE of a mean bucket's tokens is dealt by next word too
+_DROP, _KEEP, _HOT = 0, 1, 2
+_ODD = K.U64(0x9E3779B97F4A7C15)
 
+ASKS = "array<struct<bucket:bigint,message:binary>>"
+REPLY_SCHEMA = "chunk string, bucket long, reply binary, context long, gain double, n long, kinds long"
 
-def _zip(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(K.pack_ints(*arrays))
 
-def _unzip(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
 
+def _unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
+    return K.unpack_ints(zstandard.ZstdDecompressor().decompress(raw), *dtypes)
 
-def pack_chunks(docs: DataFrame, *, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, ids, train, body): documents packed into compressed chunks, written once."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, flags, norms, size = [], [], [], 0
 
-        def chunk() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([flags], pa.list_(pa.bool_())), pa.array([_zip(b"\n".join(norms) + b"\n")], pa.binary())],
-                names=["chunk", "ids", "train", "body"])
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Positions in a sorted array at which a new value begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
-        for b in batches:
-            for i, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                norm = b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-                ids.append(i)
-                flags.append(bool(f))
-                norms.append(norm)
-                size += len(norm) + 1
-                if size >= CHUNK_BYTES:
-                    yield chunk()
-                    ids, flags, norms, size = [], [], [], 0
-        if ids:
-            yield chunk()
 
-    rows = docs.select(F.col(id_col).cast("long"), train, F.col(text_col).cast("string"))
-    return stored(rows.mapInArrow(task, "chunk string, ids array<long>, train array<boolean>, body binary"), "lm-chunks",
-                  compression="none")
+def _pairs(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, x) in sorted order: a row of each, and the pair of every row."""
+    _, k = np.unique(key, return_inverse=True)
+    _, w = np.unique(x, return_inverse=True)
+    _, first, pair = np.unique(k * (int(w.max(initial=0)) + 1) + w, return_index=True, return_inverse=True)
+    return first, pair, k
 
 
-class Tokens:
-    """Tokens of one chunk: words and one end per document, the document of each, training or not."""
-
-    def __init__(self, body: bytes, train: list[bool]):
-        raw = _unzip(body)
-        starts, ends = K.word_spans(raw)
-        words = K.word_hashes(raw, starts, ends)
-        breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
-        text_of = np.searchsorted(breaks, starts)
-        docs = len(train)
-        self.hash = np.full(len(words) + docs, K.END_WORD, dtype=K.U64)
-        self.hash[np.arange(len(words)) + text_of] = words
-        self.per_doc = np.bincount(text_of, minlength=docs) + 1
-        self.offsets = np.concatenate(([0], np.cumsum(self.per_doc)))
-        self.doc = np.repeat(np.arange(docs), self.per_doc)
-        self.train = np.asarray(train, dtype=bool)[self.doc]
+def _deal(pair: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in bucket order, the place of every row's pair in it, the buckets and their edges."""
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    sorted_buckets = bucket[order]
+    begin = _starts(sorted_buckets)
+    return order, place[pair], sorted_buckets[begin], np.append(begin, len(bucket))
 
 
 @dataclass
-class Contexts:
-    """Candidate contexts: 0 is the empty one, then frequent words, then frequent word pairs."""
-    words: np.ndarray     # sorted hashes of the frequent words
-    counts: np.ndarray    # their training counts
-    pairs: np.ndarray     # sorted codes of frequent pairs: rank of the first * len(words) + rank of the second
-    pair_counts: np.ndarray
-    total: int            # training tokens
-    kinds: int            # distinct training tokens
-
-    def __post_init__(self):
-        n1 = len(self.words)
-        self.size = 1 + n1 + len(self.pairs)
-        self.parent = np.zeros(self.size, dtype=np.int64)
-        self.parent[1 + n1:] = self.pairs % max(n1, 1) + 1
-        self.count = np.concatenate(([self.total], self.counts, self.pair_counts)).astype(np.float64)
-
-    def rank(self, h: np.ndarray) -> np.ndarray:
-        return _find(self.words, h)
-
-    def before(self, t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the one-word and of the two-word candidate context of every token, 0 where there is none."""
-        n1 = len(self.words)
-        one = np.zeros(len(rank), dtype=np.int64)
-        same = t.doc[1:] == t.doc[:-1]
-        one[1:] = np.where(same, rank[:-1] + 1, 0)
-        two = np.zeros(len(rank), dtype=np.int64)
-        if len(self.pairs):
-            code = (one[:-1] - 1) * n1 + one[1:] - 1
-            at = _find(self.pairs, np.where(same & (one[:-1] > 0) & (one[1:] > 0), code, -1))
-            two[1:] = np.where(at >= 0, 1 + n1 + at, 0)
-        return one, two
-
-
-def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Position of each value in a sorted table, -1 where it is missing."""
-    if not len(table):
-        return np.full(len(values), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-class Asked:
-    """The distinct (next word, context) pairs of a chunk, in bucket order, with training counts."""
-
-    def __init__(self, t: Tokens, ctx: Contexts, buckets: int):
-        rank = ctx.rank(t.hash)
-        self.rank = rank
-        self.one, self.two = ctx.before(t, rank)
-        word = np.where(rank >= 0, rank.astype(K.U64), t.hash | _RARE)
-        kinds, kind = np.unique(word, return_inverse=True)
-        # entries: the empty context for rare words, then one-word, then two-word contexts
-        self.at = [np.flatnonzero(rank < 0), np.flatnonzero(self.one), np.flatnonzero(self.two)]
-        context = [np.zeros(len(self.at[0]), np.int64), self.one[self.at[1]], self.two[self.at[2]]]
-        key = np.concatenate([kind[a] * ctx.size + s for a, s in zip(self.at, context)])
-        keys, self.where = np.unique(key, return_inverse=True)
-        counts = np.bincount(self.where, weights=np.concatenate([t.train[a] for a in self.at]), minlength=len(keys))
-        x, s = kinds[keys // ctx.size], keys % ctx.size
-        last = np.where(s > len(ctx.words), ctx.parent[s], s)
-        deal = np.where(x & _RARE, x, x * K.U64(0x9E3779B97F4A7C15) + last.astype(K.U64))
-        bucket = (K.mix(deal) % K.U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.position = np.empty(len(order), dtype=np.int64)
-        self.position[order] = np.arange(len(order))
-        self.word, self.context, self.count, bucket = x[order], s[order], counts[order].astype(np.int64), bucket[order]
-        self.buckets = np.unique(bucket)
-        self.edges = np.append(np.searchsorted(bucket, self.buckets), len(bucket))
-
-    def messages(self) -> list[bytes]:
+class Chunk:
+    """Documents of one chunk with their sums so far, and the tokens whose context is being asked for."""
+    per_doc: np.ndarray  # tokens
+    train: np.ndarray    # 1 for training documents
+    known: np.ndarray    # tokens seen in training
+    base: np.ndarray     # log10 sums
+    score: np.ndarray    # log10 sum of the tokens that are done
+    pos: np.ndarray      # the open tokens, by position
+    x: np.ndarray        # their words
+    key: np.ndarray      # their contexts
+    count: np.ndarray    # training counts of those
+    p: np.ndarray        # their probabilities in the states found so far
+    place: np.ndarray    # where the replies name their (context, word)
+
+    TYPES = ("<u4", "u1", "<u4", "<f8", "<f8", "<u4", "<u8", "<u8", "<u8", "<f8", "<u4")
+
+    def pack(self) -> bytes:
+        return _pack(*(np.asarray(a).astype(t) for a, t in zip(vars(self).values(), self.TYPES)))
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Chunk:
+        return cls(*_unpack(raw, *cls.TYPES))
+
+    def docs_of(self, pos: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.cumsum(self.per_doc), pos, side="right")
+
+    def finish(self, pos: np.ndarray, p: np.ndarray) -> None:
+        self.score = self.score + np.bincount(self.docs_of(pos), weights=np.log10(p), minlength=len(self.per_doc))
+
+    def asks(self, shorter: np.ndarray, word: np.ndarray, buckets: int, hot: float) -> list[dict]:
+        """One message per bucket about the distinct (context, word) pairs of the open tokens, with training
+        counts, the counts of the contexts, of their suffixes (``shorter``) and of the words after those (``word``)."""
+        if not len(self.pos):
+            return []
+        first, pair, _ = _pairs(self.key, self.x)
+        n = np.bincount(pair, weights=self.train[self.docs_of(self.pos)], minlength=len(first))
+        key, x, count = self.key[first], self.x[first], self.count[first]
+        bucket = K.mix(np.where(count >= hot, key + x * _ODD, key)) % K.U64(buckets)
+        order, self.place, names, edges = _deal(pair, bucket.astype(np.int64))
+        key, x, count, n, up, after = key[order], x[order], count[order], n[order], shorter[first][order], word[first][order]
         out = []
-        for a, z in zip(self.edges[:-1], self.edges[1:]):
-            x, n = np.unique(self.word[a:z], return_counts=True)  # words are sorted in a bucket, contexts within a word
-            out.append(_zip(K.pack_ints(np.diff(x, prepend=K.U64(0)), n.astype("<u4"), self.context[a:z].astype("<u4"),
-                                        self.count[a:z].astype("<u4"))))
+        for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:]):
+            at = _starts(key[lo:hi])
+            k = key[lo:hi][at]
+            out.append({"bucket": b, "message": _pack(
+                np.diff(k, prepend=K.U64(0)), np.diff(np.append(at, hi - lo)).astype("<u4"), count[lo:hi][at].astype("<u8"),
+                up[lo:hi][at].astype("<u8"), x[lo:hi], after[lo:hi].astype("<u8"), n[lo:hi].astype("<u4"))})
         return out
 
 
-def _open(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    step, n, context, count = K.unpack_ints(_unzip(message), "<u8", "<u4", "<u4", "<u4")
-    return np.repeat(np.cumsum(step), n), context.astype(np.int64), count.astype(np.int64)
-
-
-def _count_words(chunks: DataFrame) -> DataFrame:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for train, body in zip(b.column(0), b.column(1)):
-                t = Tokens(body.as_py(), train.as_py())
-                h, n = np.unique(t.hash[t.train], return_counts=True)
-                for i in range(0, len(h), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i:i + (1 << 16)].view(np.int64)), pa.array(n[i:i + (1 << 16)])],
-                                                     names=["word", "n"])
-
-    return stored(chunks.select("train", "body").mapInArrow(task, "word long, n long")
-                  .groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-
-
-def candidate_contexts(chunks: DataFrame) -> Contexts:
-    """Frequent words and word pairs of the training documents, with N and V."""
-    spark = chunks.sparkSession
-    words = _count_words(chunks)
-    total, kinds = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = int(total or 0)
-    top = words.filter(F.col("n") >= MIN_SHARE * total).toPandas()  # at most 1 / MIN_SHARE rows
-    h = top["word"].to_numpy(dtype=np.int64).view(K.U64)
-    order = np.argsort(h)
-    none = np.zeros(0, dtype=np.int64)
-    ctx = Contexts(h[order], top["n"].to_numpy(dtype=np.int64)[order], none, none, total, int(kinds))
-    sent = spark.sparkContext.broadcast(ctx)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        for b in batches:
-            for train, body in zip(b.column(0), b.column(1)):
-                t = Tokens(body.as_py(), train.as_py())
-                rank = c.rank(t.hash)
-                ok = (t.doc[1:] == t.doc[:-1]) & t.train[1:] & (rank[1:] >= 0) & (rank[:-1] >= 0) & (t.hash[1:] != K.END_WORD)
-                code, n = np.unique(rank[:-1][ok] * len(c.words) + rank[1:][ok], return_counts=True)
-                for i in range(0, len(code), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(code[i:i + (1 << 16)]), pa.array(n[i:i + (1 << 16)])],
-                                                     names=["pair", "n"])
+def _row(name: str, ids: pa.Array, chunk: Chunk, asks: list[dict]) -> pa.RecordBatch:
+    ask = pa.list_(pa.struct([("bucket", pa.int64()), ("message", pa.binary())]))
+    one_list = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([pa.array([name]), one_list, pa.array([len(chunk.pos)], pa.int64()),
+                                       pa.array([chunk.pack()], pa.binary()), pa.array([asks], ask)],
+                                      names=["chunk", "ids", "open", "state", "asks"])
 
-    pairs = (chunks.select("train", "body").mapInArrow(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= MIN_SHARE * total).toPandas().sort_values("pair"))
-    return Contexts(ctx.words, ctx.counts, pairs["pair"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64),
-                    total, int(kinds))
 
+class Levels:
+    """The chunk tables of one run, bucketed by chunk so that replies come to them without moving them."""
 
-REPLY_SCHEMA = "chunk string, bucket long, reply binary, context long, gain double, n long, kinds long"
+    def __init__(self, spark: SparkSession, id_type: T.DataType):
+        self.spark, self.tables, self.names = spark, [], []
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.schema = (T.StructType().add("chunk", "string").add("ids", T.ArrayType(id_type)).add("open", "long")
+                       .add("state", "binary").add("asks", T.DataType.fromDDL(ASKS)))
 
+    def write(self, df: DataFrame) -> DataFrame:
+        name = f"lm_level_{uuid.uuid4().hex}"
+        (df.write.format("parquet").option("compression", "none").option("path", fresh_path(self.spark, "lm-level"))
+         .bucketBy(self.parts, "chunk").saveAsTable(name))
+        self.names.append(name)
+        self.tables.append(self.spark.table(name))
+        return self.tables[-1]
 
-def _add_up(pdf: pd.DataFrame, ctx: Contexts) -> pd.DataFrame:
-    """One bucket: totals for every chunk that asked, and each context's part of the divergence test."""
-    asked = [_open(m) for m in pdf["message"]]
-    x, s, n = (np.concatenate(a) for a in zip(*asked))
-    kinds, kind = np.unique(x, return_inverse=True)
-    keys, where = np.unique(kind * ctx.size + s, return_inverse=True)
-    total = np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
-    rows, at = [], 0
-    for chunk, bucket, one in zip(pdf["chunk"], pdf["bucket"], asked):
-        rows.append((chunk, bucket, _zip(K.pack_ints(total[where[at:at + len(one[0])]].astype("<u8")))))
-        at += len(one[0])
-    word, context = kinds[keys // ctx.size], keys % ctx.size
-    seen = np.flatnonzero((context > 0) & (total > 0))
-    up = ctx.parent[context[seen]]
-    frequent = (word[seen] & _RARE) == 0
-    # the shorter context's count of the same next word: in this bucket too, or known for frequent words
-    there = np.searchsorted(keys, keys[seen] - context[seen] + up)
-    shorter = np.where((up == 0) & frequent, ctx.counts[np.where(frequent, word[seen], 0).astype(np.int64)] if len(ctx.counts) else 0,
-                       total[np.minimum(there, len(keys) - 1)])
-    p = shorter / ctx.count[up]
-    own, back = total[seen], TEST_WEIGHT * ctx.count[context[seen]]
-    gain = own * (np.log(own - 1 + back * p) - np.log(p))
-    some, which = np.unique(context[seen], return_inverse=True)
-    replies = pd.DataFrame(rows, columns=["chunk", "bucket", "reply"])
-    tests = pd.DataFrame({"context": some, "gain": np.bincount(which, weights=gain, minlength=len(some)),
-                          "n": np.bincount(which, weights=own, minlength=len(some)).astype(np.int64),
-                          "kinds": np.bincount(which, minlength=len(some))})
-    out = pd.concat([replies.assign(context=-1, gain=0.0, n=0, kinds=0),
-                     tests.assign(chunk=None, bucket=-1, reply=None)], ignore_index=True)
-    return out[["chunk", "bucket", "reply", "context", "gain", "n", "kinds"]]
+    def forget(self) -> None:
+        """Take the tables out of the catalogue; their files stay in the shared folder like those of other stages."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def gather_counts(chunks: DataFrame, ctx: Contexts, buckets: int) -> DataFrame:
-    """Replies to the chunks and the parts of the divergence tests, written once."""
-    sent = chunks.sparkSession.sparkContext.broadcast(ctx)
+def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Documents packed into chunks, which ask for the training counts of their words."""
+    def chunk(ids: list[pa.Array], flags: list[bool], norms: list[bytes]) -> pa.RecordBatch:
+        raw = b"\n".join(norms) + b"\n"
+        starts, ends = K.word_spans(raw)
+        words = K.word_hashes(raw, starts, ends)
+        text_of = np.searchsorted(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10), starts)
+        x = np.full(len(words) + len(flags), K.END_WORD, dtype=K.U64)
+        x[np.arange(len(words)) + text_of] = words
+        zero = np.zeros(len(flags))
+        per_doc = np.bincount(text_of, minlength=len(flags)) + 1
+        kinds, kind = np.unique(x, return_inverse=True)
+        n = np.bincount(kind, weights=np.repeat(flags, per_doc), minlength=len(kinds))
+        order, place, names, edges = _deal(kind, (K.mix(kinds) % K.U64(buckets)).astype(np.int64))
+        asks = [{"bucket": b, "message": _pack(np.diff(kinds[order][lo:hi], prepend=K.U64(0)), n[order][lo:hi].astype("<u4"))}
+                for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:])]
+        none = np.zeros(0)
+        # key, count and p follow from the replies; x is not needed before them
+        state = Chunk(per_doc, np.asarray(flags), zero, zero, zero, np.arange(len(x)), none, none, none, none, place)
+        return _row(uuid.uuid4().hex, pa.concat_arrays(ids), state, asks)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flags, norms, size = [], [], [], 0
         for b in batches:
-            for chunk, train, body in zip(b.column(0), b.column(1), b.column(2)):
-                asked = Asked(Tokens(body.as_py(), train.as_py()), sent.value, buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk.as_py()] * len(asked.buckets), pa.string()), pa.array(asked.buckets, pa.int64()),
-                     pa.array(asked.messages(), pa.binary())], names=["chunk", "bucket", "message"])
-
-    return stored(chunks.select("chunk", "train", "body").mapInArrow(ask, "chunk string, bucket long, message binary")
-                  .groupBy("bucket").applyInPandas(lambda pdf: _add_up(pdf, sent.value), REPLY_SCHEMA), "lm-replies",
-                  compression="none")
-
-
-@dataclass
-class States:
-    """Retained contexts with their token counts and numbers of distinct next words."""
-    keep: np.ndarray
-    n: np.ndarray
-    kinds: np.ndarray
-
-
-def retained_states(replies: DataFrame, ctx: Contexts) -> States:
-    """The divergence tests, added up over all buckets; at most 2 / MIN_SHARE rows."""
-    got = (replies.filter("context > 0").groupBy("context")
-           .agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas())
-    n, kinds, gain = (np.zeros(ctx.size) for _ in range(3))
-    at = got["context"].to_numpy(dtype=np.int64)
-    n[at], kinds[at], gain[at] = got["n"].to_numpy(), got["kinds"].to_numpy(), got["gain"].to_numpy()
+            for i, (f, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                norm = b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
+                ids.append(b.column(0).slice(i, 1))
+                flags.append(bool(f))
+                norms.append(norm)
+                size += len(norm) + 1
+                if size >= CHUNK_BYTES:
+                    yield chunk(ids, flags, norms)
+                    ids, flags, norms, size = [], [], [], 0
+        if ids:
+            yield chunk(ids, flags, norms)
+
+    rows = docs.select(F.col(id_col), train, F.col(text_col).cast("string"))
+    return levels.write(rows.mapInArrow(task, levels.schema))
+
+
+def _replies(rows: list[tuple], tests: list[tuple]) -> pd.DataFrame:
+    out = [(c, b, r, 0, 0.0, 0, 0) for c, b, r in rows] + [(None, -1, None, *t) for t in tests]
+    return pd.DataFrame(out, columns=["chunk", "bucket", "reply", "context", "gain", "n", "kinds"])
+
+
+def count_words(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """One bucket of words: number and training count of each, told to every chunk that has it."""
+    asked = []
+    for m in pdf["message"]:
+        step, n = _unpack(m, "<u8", "<u4")
+        asked.append((np.cumsum(step), n))
+    kinds, kind = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+    total = np.bincount(kind, weights=np.concatenate([n for _, n in asked]), minlength=len(kinds)).astype("<u8")
+    me, rows, at = int(pdf["bucket"].iloc[0]), [], 0
+    for chunk, (h, _) in zip(pdf["chunk"], asked):
+        mine = kind[at:at + len(h)]
+        rows.append((chunk, me, _pack((mine * buckets + me).astype("<u8"), total[mine])))
+        at += len(h)
+    return _replies(rows, [(0, 0.0, int(total.sum()), int((total > 0).sum()))])
+
+
+def judge_contexts(pdf: pd.DataFrame, hot: float) -> pd.DataFrame:
+    """One bucket of contexts: totals, divergence tests and numbers of next words, told to every chunk that asked."""
+    parts = [_unpack(m, "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for m in pdf["message"]]
+    per = np.concatenate([q[1] for q in parts])
+    context = np.concatenate([np.cumsum(q[0]) for q in parts])
+    spread = lambda i: np.repeat(np.concatenate([q[i] for q in parts]), per)
+    count, up = spread(2), spread(3)
+    x, after, n = (np.concatenate([q[i] for q in parts]) for i in (4, 5, 6))
+    key = np.repeat(context, per)
+    first, pair, ctx = _pairs(key, x)
+    total = np.bincount(pair, weights=n, minlength=len(first))
+    seen = np.flatnonzero(total > 0)
+    own, row = total[seen], first[seen]
+    back, p = TEST_WEIGHT * count[row], after[row] / up[row]
+    gain = own * (np.log(own - 1 + back * p) - np.log(p))
+    size = int(ctx.max()) + 1
+    add = lambda w: np.bincount(ctx[row], weights=w, minlength=size)
+    gains, sums, kinds = add(gain), add(own), add(None).astype(np.int64)
+    counts, keys = np.zeros(size), np.zeros(size, dtype=K.U64)
+    counts[ctx], keys[ctx] = count, key
+    is_hot = counts >= hot
+    verdict = np.where(is_hot, _HOT, _retained(gains, sums, counts)).astype(np.uint8)
+    rows, at, c = [], 0, 0
+    heads = np.concatenate(([0], np.cumsum(per)))[:-1]  # the first pair of every asked context
+    for chunk, bucket, q in zip(pdf["chunk"], pdf["bucket"], parts):
+        mine = ctx[heads[c:c + len(q[1])].astype(np.int64)]
+        rows.append((chunk, bucket, _pack(total[pair[at:at + len(q[4])]].astype("<u8"), q[1], verdict[mine],
+                                          kinds[mine].astype("<u4"))))
+        at, c = at + len(q[4]), c + len(q[1])
+    named = np.flatnonzero(is_hot)
+    return _replies(rows, list(zip(keys[named].view(np.int64).tolist(), gains[named].tolist(),
+                                   sums[named].astype(np.int64).tolist(), kinds[named].tolist())))
+
+
+def _retained(gain: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The divergence test; a context without training tokens fails."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean = gain / n - np.log(np.maximum(n - 1, 0) + TEST_WEIGHT * ctx.count)
-    keep = (n > 0) & (mean >= MIN_GAIN)
-    keep[ctx.parent[keep]] = True  # a suffix tree holds the suffixes of its states
-    keep[0] = True
-    return States(keep, n, kinds)
-
-
-def score_chunk(t: Tokens, ctx: Contexts, states: States, buckets: int, replies: dict[int, bytes]) -> tuple[np.ndarray, ...]:
-    """Per document: tokens, known tokens, base score, score."""
-    asked = Asked(t, ctx, buckets)
-    total = np.concatenate([K.unpack_ints(_unzip(replies[b]), "<u8")[0] for b in asked.buckets.tolist()] or [np.zeros(0)])
-    got = total.astype(np.float64)[asked.position[asked.where]]
-    a, b = len(asked.at[0]), len(asked.at[0]) + len(asked.at[1])
-    count = np.zeros(len(t.hash))
-    count[asked.at[0]] = got[:a]
-    frequent = asked.rank >= 0
-    if frequent.any():
-        count[frequent] = ctx.counts[asked.rank[frequent]]
-    base = (count + 0.5) / (ctx.total + 0.5 * (ctx.kinds + 1))
-    p = base.copy()
-    for at, context, n in ((asked.at[1], asked.one, got[a:b]), (asked.at[2], asked.two, got[b:])):
-        s = context[at]
-        use = states.keep[s] & (states.n[s] > 0)
-        at, s, n = at[use], s[use], n[use]
-        p[at] = (n + states.kinds[s] * p[at]) / (states.n[s] + states.kinds[s])
-    docs = len(t.per_doc)
-    add = lambda v: np.bincount(t.doc, weights=v, minlength=docs)
-    return t.per_doc, add(count > 0).astype(np.int64), add(np.log10(base)), add(np.log10(p))
+        mean = gain / n - np.log(np.maximum(n - 1, 0) + TEST_WEIGHT * count)
+    return (n > 0) & (mean >= MIN_GAIN)
+
+
+def start(state: Chunk, replies: list[bytes], total: int, kinds: int, buckets: int, hot: float) -> list[dict]:
+    """Word counts are there: base scores, and what to ask about contexts of one word."""
+    got = [_unpack(r, "<u8", "<u8") for r in replies]
+    x, count = (np.concatenate([g[i] for g in got])[state.place] for i in (0, 1))
+    p = (count + 0.5) / (total + 0.5 * (kinds + 1))
+    doc = np.repeat(np.arange(len(state.per_doc)), state.per_doc)
+    add = lambda v: np.bincount(doc, weights=v, minlength=len(state.per_doc))
+    state.known, state.base = add(count > 0), add(np.log10(p))
+    go = np.concatenate(([False], (doc[1:] == doc[:-1]) & (count[:-1] >= MIN_COUNT)))
+    state.finish(state.pos[~go], p[~go])
+    at = np.flatnonzero(go)
+    state.pos, state.x, state.p = at, x[at], p[at]
+    state.key, state.count, state.place = x[at - 1], count[at - 1], np.zeros(0)
+    return state.asks(np.full(len(at), total), count[at], buckets, hot)
+
+
+def advance(state: Chunk, replies: list[bytes], level: int, big: pd.DataFrame, buckets: int, hot: float) -> list[dict]:
+    """Contexts of ``level`` words are judged: smooth the retained ones in, and ask about longer ones."""
+    got = [_unpack(r, "<u8", "<u4", "u1", "<u4") for r in replies]
+    per = np.concatenate([g[1] for g in got])
+    total = np.concatenate([g[0] for g in got])[state.place].astype(np.float64)
+    verdict, kinds = (np.repeat(np.concatenate([g[i] for g in got]), per)[state.place] for i in (2, 3))
+    keep, kinds = verdict == _KEEP, kinds.astype(np.float64)
+    rows = np.flatnonzero(verdict == _HOT)
+    if len(rows):
+        at = np.searchsorted(big["context"].to_numpy(), state.key[rows].view(np.int64))
+        keep[rows], kinds[rows] = big["keep"].to_numpy()[at], big["kinds"].to_numpy()[at]
+    p = np.where(keep, (total + kinds * state.p) / (state.count + kinds), state.p)
+    # a token and the one before it, whose run of words is the longer context of the token
+    before = np.flatnonzero(state.pos[1:] == state.pos[:-1] + 1)
+    here = before + 1
+    go = (total[before] >= MIN_COUNT) & (kinds[here] > 1)
+    if level >= FREE_WORDS:
+        go &= keep[here]
+    before, here = before[go], here[go]
+    done = np.ones(len(p), dtype=bool)
+    done[here] = False
+    state.finish(state.pos[done], p[done])
+    shorter, word = state.count[here], total[here]
+    state.key = K.mix(state.key[before] * _ODD + K.mix(state.x[before] + K.U64(1)))
+    state.count, state.pos, state.x, state.p = total[before], state.pos[here], state.x[here], p[here]
+    state.place = np.zeros(0)
+    return state.asks(shorter, word, buckets, hot)
 
 
 def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text",
                     buckets: int | None = None) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = pack_chunks(docs, train=train, id_col=id_col, text_col=text_col)
-    ctx = candidate_contexts(chunks)
-    replies = gather_counts(chunks, ctx, buckets)
-    sent = spark.sparkContext.broadcast((ctx, retained_states(replies, ctx)))
-    answers = (replies.filter("context < 0").groupBy("chunk")
-               .agg(F.collect_list(F.struct("bucket", "reply")).alias("answers")))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, states = sent.value
+    id_type = docs.select(F.col(id_col)).schema[0].dataType
+    levels = Levels(spark, id_type)
+    total = kinds = level = 0
+    parts = buckets or 2 * levels.parts
+    hot = 0.0
+
+    def ask(table: DataFrame, answer) -> DataFrame:
+        asks = table.select("chunk", F.explode("asks").alias("ask")).select("chunk", "ask.bucket", "ask.message")
+        return stored(asks.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA), "lm-replies",
+                      compression="none")
+
+    def tell(table: DataFrame, replies: DataFrame, step) -> DataFrame:
+        """The next level's table: every open chunk with its replies, in the order of its buckets."""
+        answers = (replies.filter("chunk is not null").groupBy("chunk")
+                   .agg(F.collect_list(F.struct("bucket", "reply")).alias("answers")))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, (name, packed, got) in enumerate(zip(b.column(0), b.column(2), b.column(3))):
+                    state = Chunk.unpack(packed.as_py())
+                    ordered = [r["reply"] for r in sorted(got.as_py(), key=lambda r: r["bucket"])]
+                    asks = step(state, ordered)
+                    yield _row(name.as_py(), b.column(1).slice(i, 1).flatten(), state, asks)
+
+        return levels.write(table.filter("open > 0").join(answers, "chunk").select("chunk", "ids", "state", "answers")
+                            .mapInArrow(task, levels.schema))
+
+    table = pack_chunks(docs, levels, train=train, id_col=id_col, text_col=text_col, buckets=parts)
+    first_parts = parts
+    replies = ask(table, lambda pdf: count_words(pdf, first_parts))
+    got = replies.filter("chunk is null").agg(F.sum("n"), F.sum("kinds")).first()
+    total, kinds = int(got[0] or 0), int(got[1] or 0)
+    parts = buckets or max(parts, -(-total // BUCKET_TOKENS))
+    hot = max(total / (HOT_SHARE * parts), 1.0)
+    table = tell(table, replies, lambda s, r: start(s, r, total, kinds, parts, hot))
+    while table.filter("open > 0").select("open").first() is not None:
+        level += 1
+        replies = ask(table.filter("open > 0"), lambda pdf: judge_contexts(pdf, hot))
+        big = (replies.filter("chunk is null").groupBy("context")
+               .agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+               .toPandas().sort_values("context"))  # at most HOT_SHARE * buckets rows
+        n = big["n"].to_numpy(dtype=np.float64)
+        big["keep"] = _retained(big["gain"].to_numpy(dtype=np.float64), n, n)
+        sent = spark.sparkContext.broadcast(big[["context", "keep", "kinds"]])
+        table = tell(table, replies, lambda s, r, k=level, t=sent: advance(s, r, k, t.value, parts, hot))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, train_flags, body, got in zip(*b.columns):
-                flags = train_flags.as_py()
-                t = Tokens(body.as_py(), flags)
-                reply = {r["bucket"]: r["reply"] for r in got.as_py() or []}
-                tokens, known, base, score = score_chunk(t, c, states, buckets, reply)
+            for i, packed in enumerate(b.column(1)):
+                s = Chunk.unpack(packed.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(flags, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known),
-                     pa.array(np.full(len(flags), c.total), pa.int64()), pa.array(base), pa.array(score)],
+                    [b.column(0).slice(i, 1).flatten(), pa.array(s.train.astype(bool)), pa.array(s.per_doc.astype(np.int64)),
+                     pa.array(s.known.astype(np.int64)), pa.array(np.full(len(s.train), total), pa.int64()),
+                     pa.array(s.base), pa.array(s.score)],
                     names=["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return chunks.join(answers, "chunk", "left").select("ids", "train", "body", "answers").mapInArrow(
-        task, "id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = (T.StructType().add("id", id_type).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long")
+           .add("train_tokens", "long").add("base_score", "double").add("score", "double"))
+    finished = [t.filter("open = 0").select("ids", "state") for t in levels.tables]
+    scores = stored(reduce(DataFrame.unionByName, finished).mapInArrow(rows, out), "lm-scores")
+    levels.forget()
+    return scores
