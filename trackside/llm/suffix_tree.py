@@ -27,6 +27,7 @@ by key, and only these decisions are broadcast: at most 16 times the buckets a l
 The number of buckets follows the number of tokens.
 
 Words are identified by 64-bit hashes of their bytes, longer contexts by 64-bit hashes of their words.
+Between levels log probabilities are kept in single precision (a relative error of 6e-8).
 
 Defined results
 * A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. A null text is
@@ -43,7 +44,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,14 +83,6 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _pairs(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, x) in sorted order: a row of each, and the pair of every row."""
-    _, k = np.unique(key, return_inverse=True)
-    _, w = np.unique(x, return_inverse=True)
-    _, first, pair = np.unique(k * (int(w.max(initial=0)) + 1) + w, return_index=True, return_inverse=True)
-    return first, pair, k
-
-
 def _deal(pair: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs in bucket order, the place of every row's pair in it, the buckets and their edges."""
     order = np.argsort(bucket, kind="stable")
@@ -103,45 +95,61 @@ def _deal(pair: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Chunk:
-    """Documents of one chunk with their sums so far, and the tokens whose context is being asked for."""
+    """Documents of one chunk with their sums so far, and the tokens whose context is being asked for.
+
+    What was asked (contexts, words and their counts) stands in the messages only."""
     per_doc: np.ndarray  # tokens
     train: np.ndarray    # 1 for training documents
     known: np.ndarray    # tokens seen in training
     base: np.ndarray     # log10 sums
     score: np.ndarray    # log10 sum of the tokens that are done
     pos: np.ndarray      # the open tokens, by position
-    x: np.ndarray        # their words
-    key: np.ndarray      # their contexts
-    count: np.ndarray    # training counts of those
-    p: np.ndarray        # their probabilities in the states found so far
-    place: np.ndarray    # where the replies name their (context, word)
+    place: np.ndarray    # the (context, word) pair of each, in the order of the messages
+    p: np.ndarray        # log10 probabilities of the pairs in the states found so far; none while there are only words
 
-    TYPES = ("<u4", "u1", "<u4", "<f8", "<f8", "<u4", "<u8", "<u8", "<u8", "<f8", "<u4")
+    TYPES = ("<u4", "u1", "<u4", "<f8", "<f8", "<u4", "<u4", "<f4")
 
     def pack(self) -> bytes:
-        return _pack(*(np.asarray(a).astype(t) for a, t in zip(vars(self).values(), self.TYPES)))
+        arrays = vars(self) | {"pos": np.diff(self.pos, prepend=0)}
+        return _pack(*(np.asarray(a).astype(t) for a, t in zip(arrays.values(), self.TYPES)))
 
     @classmethod
     def unpack(cls, raw: bytes) -> Chunk:
-        return cls(*_unpack(raw, *cls.TYPES))
+        out = cls(*_unpack(raw, *cls.TYPES))
+        out.pos = np.cumsum(out.pos, dtype=np.int64)
+        return out
 
-    def docs_of(self, pos: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.cumsum(self.per_doc), pos, side="right")
+    def docs(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.per_doc)), self.per_doc)
 
     def finish(self, pos: np.ndarray, p: np.ndarray) -> None:
-        self.score = self.score + np.bincount(self.docs_of(pos), weights=np.log10(p), minlength=len(self.per_doc))
+        self.score = self.score + np.bincount(self.docs()[pos], weights=np.log10(p), minlength=len(self.per_doc))
+
+    def ask(self, c: Contexts, context: np.ndarray, x: np.ndarray, after: np.ndarray, p: np.ndarray | None,
+            buckets: int, hot: float) -> list[dict]:
+        """One message per bucket about the distinct (context, word) pairs of the open tokens.
 
-    def asks(self, shorter: np.ndarray, word: np.ndarray, buckets: int, hot: float) -> list[dict]:
-        """One message per bucket about the distinct (context, word) pairs of the open tokens, with training
-        counts, the counts of the contexts, of their suffixes (``shorter``) and of the words after those (``word``)."""
+        By open token: row of its context, word, count of the word after the shorter context, probability."""
         if not len(self.pos):
+            self.place = self.p = np.zeros(0)
             return []
-        first, pair, _ = _pairs(self.key, self.x)
-        n = np.bincount(pair, weights=self.train[self.docs_of(self.pos)], minlength=len(first))
-        key, x, count = self.key[first], self.x[first], self.count[first]
+        by_key = np.argsort(c.key, kind="stable")
+        rank = np.empty(len(by_key), dtype=K.U64)
+        rank[by_key] = np.arange(len(by_key), dtype=K.U64)
+        bits = int(x.max()).bit_length()
+        if bits + len(by_key).bit_length() > 64:
+            word = np.unique(x, return_inverse=True)[1].astype(K.U64)
+            bits = len(x).bit_length()
+        else:
+            word = x
+        _, first, pair = np.unique((rank[context] << K.U64(bits)) | word, return_index=True, return_inverse=True)
+        n = np.bincount(pair, weights=self.train[self.docs()[self.pos]], minlength=len(first))
+        row = context[first]
+        key, x, count = c.key[row], x[first], c.count[row]
         bucket = K.mix(np.where(count >= hot, key + x * _ODD, key)) % K.U64(buckets)
         order, self.place, names, edges = _deal(pair, bucket.astype(np.int64))
-        key, x, count, n, up, after = key[order], x[order], count[order], n[order], shorter[first][order], word[first][order]
+        self.p = np.zeros(0) if p is None else np.log10(p[first][order])
+        key, x, count, n, up, after = key[order], x[order], count[order], n[order], c.up[row][order], after[first][order]
         out = []
         for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:]):
             at = _starts(key[lo:hi])
@@ -152,6 +160,22 @@ class Chunk:
         return out
 
 
+@dataclass
+class Contexts:
+    """Contexts of a chunk: key, training count, count of the shorter context."""
+    key: np.ndarray
+    count: np.ndarray
+    up: np.ndarray
+
+
+def _messages(messages: list[bytes]) -> tuple[Contexts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What messages ask: contexts; by pair the row of its context, word, count after the shorter context, training count."""
+    parts = [_unpack(m, "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for m in messages]
+    per, count, up, x, after, n = (np.concatenate([q[i] for q in parts]) for i in range(1, 7))
+    key = np.concatenate([np.cumsum(q[0]) for q in parts])
+    return Contexts(key, count, up), np.repeat(np.arange(len(per)), per), x, after, n
+
+
 def _row(name: str, ids: pa.Array, chunk: Chunk, asks: list[dict]) -> pa.RecordBatch:
     ask = pa.list_(pa.struct([("bucket", pa.int64()), ("message", pa.binary())]))
     one_list = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -161,26 +185,27 @@ def _row(name: str, ids: pa.Array, chunk: Chunk, asks: list[dict]) -> pa.RecordB
 
 
 class Levels:
-    """The chunk tables of one run, bucketed by chunk so that replies come to them without moving them."""
+    """Tables of one run in a database of its own below the shared folder: chunks, bucketed by chunk so that
+    replies come to them without moving them, and replies. A table goes once the next level is written."""
 
     def __init__(self, spark: SparkSession, id_type: T.DataType):
-        self.spark, self.tables, self.names = spark, [], []
+        self.spark, self.name = spark, f"lm_{uuid.uuid4().hex}"
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.schema = (T.StructType().add("chunk", "string").add("ids", T.ArrayType(id_type)).add("open", "long")
                        .add("state", "binary").add("asks", T.DataType.fromDDL(ASKS)))
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{fresh_path(spark, 'lm')}'")
+
+    def write(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
+        out = df.write.format("parquet").option("compression", "none")
+        (out.bucketBy(self.parts, by) if by else out).saveAsTable(f"{self.name}.{table}")
+        return self.spark.table(f"{self.name}.{table}")
 
-    def write(self, df: DataFrame) -> DataFrame:
-        name = f"lm_level_{uuid.uuid4().hex}"
-        (df.write.format("parquet").option("compression", "none").option("path", fresh_path(self.spark, "lm-level"))
-         .bucketBy(self.parts, "chunk").saveAsTable(name))
-        self.names.append(name)
-        self.tables.append(self.spark.table(name))
-        return self.tables[-1]
+    def drop(self, *tables: str) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE {self.name}.{t}")
 
-    def forget(self) -> None:
-        """Take the tables out of the catalogue; their files stay in the shared folder like those of other stages."""
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
 
 
 def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -199,9 +224,7 @@ def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str,
         order, place, names, edges = _deal(kind, (K.mix(kinds) % K.U64(buckets)).astype(np.int64))
         asks = [{"bucket": b, "message": _pack(np.diff(kinds[order][lo:hi], prepend=K.U64(0)), n[order][lo:hi].astype("<u4"))}
                 for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:])]
-        none = np.zeros(0)
-        # key, count and p follow from the replies; x is not needed before them
-        state = Chunk(per_doc, np.asarray(flags), zero, zero, zero, np.arange(len(x)), none, none, none, none, place)
+        state = Chunk(per_doc, np.asarray(flags), zero, zero, zero, np.arange(len(x)), place, np.zeros(0))
         return _row(uuid.uuid4().hex, pa.concat_arrays(ids), state, asks)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +243,7 @@ def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str,
             yield chunk(ids, flags, norms)
 
     rows = docs.select(F.col(id_col), train, F.col(text_col).cast("string"))
-    return levels.write(rows.mapInArrow(task, levels.schema))
+    return levels.write(rows.mapInArrow(task, levels.schema), "chunks_0", "chunk")
 
 
 def _replies(rows: list[tuple], tests: list[tuple]) -> pd.DataFrame:
@@ -246,33 +269,33 @@ def count_words(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 def judge_contexts(pdf: pd.DataFrame, hot: float) -> pd.DataFrame:
     """One bucket of contexts: totals, divergence tests and numbers of next words, told to every chunk that asked."""
-    parts = [_unpack(m, "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for m in pdf["message"]]
-    per = np.concatenate([q[1] for q in parts])
-    context = np.concatenate([np.cumsum(q[0]) for q in parts])
-    spread = lambda i: np.repeat(np.concatenate([q[i] for q in parts]), per)
-    count, up = spread(2), spread(3)
-    x, after, n = (np.concatenate([q[i] for q in parts]) for i in (4, 5, 6))
-    key = np.repeat(context, per)
-    first, pair, ctx = _pairs(key, x)
+    asked = [_messages([m]) for m in pdf["message"]]
+    key, up = (np.concatenate([getattr(q[0], f) for q in asked]) for f in ("key", "up"))
+    counts = np.concatenate([q[0].count for q in asked])
+    heads = np.cumsum([0] + [len(q[0].key) for q in asked])
+    row = np.concatenate([q[1] + h for q, h in zip(asked, heads)])
+    x, after, n = (np.concatenate([q[i] for q in asked]) for i in (2, 3, 4))
+    keys, which = np.unique(key, return_inverse=True)
+    size = len(keys)
+    words, word = np.unique(x, return_inverse=True)
+    _, first, pair = np.unique(which[row] * len(words) + word, return_index=True, return_inverse=True)
     total = np.bincount(pair, weights=n, minlength=len(first))
     seen = np.flatnonzero(total > 0)
-    own, row = total[seen], first[seen]
-    back, p = TEST_WEIGHT * count[row], after[row] / up[row]
+    own, at = total[seen], row[first[seen]]
+    back, p = TEST_WEIGHT * counts[at], after[first[seen]] / up[at]
     gain = own * (np.log(own - 1 + back * p) - np.log(p))
-    size = int(ctx.max()) + 1
-    add = lambda w: np.bincount(ctx[row], weights=w, minlength=size)
+    add = lambda w: np.bincount(which[at], weights=w, minlength=size)
     gains, sums, kinds = add(gain), add(own), add(None).astype(np.int64)
-    counts, keys = np.zeros(size), np.zeros(size, dtype=K.U64)
-    counts[ctx], keys[ctx] = count, key
-    is_hot = counts >= hot
-    verdict = np.where(is_hot, _HOT, _retained(gains, sums, counts)).astype(np.uint8)
-    rows, at, c = [], 0, 0
-    heads = np.concatenate(([0], np.cumsum(per)))[:-1]  # the first pair of every asked context
-    for chunk, bucket, q in zip(pdf["chunk"], pdf["bucket"], parts):
-        mine = ctx[heads[c:c + len(q[1])].astype(np.int64)]
-        rows.append((chunk, bucket, _pack(total[pair[at:at + len(q[4])]].astype("<u8"), q[1], verdict[mine],
+    count = np.zeros(size)
+    count[which] = counts
+    is_hot = count >= hot
+    verdict = np.where(is_hot, _HOT, _retained(gains, sums, count)).astype(np.uint8)
+    rows, done = [], 0
+    for chunk, bucket, q, a, z in zip(pdf["chunk"], pdf["bucket"], asked, heads[:-1], heads[1:]):
+        mine = which[a:z]
+        rows.append((chunk, bucket, _pack(total[pair[done:done + len(q[1])]].astype("<u8"), verdict[mine],
                                           kinds[mine].astype("<u4"))))
-        at, c = at + len(q[4]), c + len(q[1])
+        done += len(q[1])
     named = np.flatnonzero(is_hot)
     return _replies(rows, list(zip(keys[named].view(np.int64).tolist(), gains[named].tolist(),
                                    sums[named].astype(np.int64).tolist(), kinds[named].tolist())))
@@ -285,49 +308,61 @@ def _retained(gain: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (n > 0) & (mean >= MIN_GAIN)
 
 
-def start(state: Chunk, replies: list[bytes], total: int, kinds: int, buckets: int, hot: float) -> list[dict]:
+@dataclass
+class Model:
+    """What all tasks know: training tokens, distinct ones, buckets, the count from which a context is hot."""
+    total: int
+    kinds: int
+    buckets: int
+    hot: float
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+
+
+def start(state: Chunk, replies: list[bytes], model: Model) -> list[dict]:
     """Word counts are there: base scores, and what to ask about contexts of one word."""
     got = [_unpack(r, "<u8", "<u8") for r in replies]
-    x, count = (np.concatenate([g[i] for g in got])[state.place] for i in (0, 1))
-    p = (count + 0.5) / (total + 0.5 * (kinds + 1))
-    doc = np.repeat(np.arange(len(state.per_doc)), state.per_doc)
+    name, total = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    count, doc = total[state.place], state.docs()
+    p = model.base(total)[state.place]
     add = lambda v: np.bincount(doc, weights=v, minlength=len(state.per_doc))
     state.known, state.base = add(count > 0), add(np.log10(p))
     go = np.concatenate(([False], (doc[1:] == doc[:-1]) & (count[:-1] >= MIN_COUNT)))
-    state.finish(state.pos[~go], p[~go])
-    at = np.flatnonzero(go)
-    state.pos, state.x, state.p = at, x[at], p[at]
-    state.key, state.count, state.place = x[at - 1], count[at - 1], np.zeros(0)
-    return state.asks(np.full(len(at), total), count[at], buckets, hot)
+    state.finish(np.flatnonzero(~go), p[~go])
+    state.pos = np.flatnonzero(go)
+    words = Contexts(name, total, np.full(len(name), model.total))
+    return state.ask(words, state.place[state.pos - 1], name[state.place[go]], count[go], None, model.buckets, model.hot)
 
 
-def advance(state: Chunk, replies: list[bytes], level: int, big: pd.DataFrame, buckets: int, hot: float) -> list[dict]:
+def advance(state: Chunk, asks: list[bytes], replies: list[bytes], level: int, big: pd.DataFrame, model: Model) -> list[dict]:
     """Contexts of ``level`` words are judged: smooth the retained ones in, and ask about longer ones."""
-    got = [_unpack(r, "<u8", "<u4", "u1", "<u4") for r in replies]
-    per = np.concatenate([g[1] for g in got])
-    total = np.concatenate([g[0] for g in got])[state.place].astype(np.float64)
-    verdict, kinds = (np.repeat(np.concatenate([g[i] for g in got]), per)[state.place] for i in (2, 3))
+    c, context, x, after, _ = _messages(asks)
+    got = [_unpack(r, "<u8", "u1", "<u4") for r in replies]
+    total, verdict, kinds = (np.concatenate([g[i] for g in got]) for i in range(3))
     keep, kinds = verdict == _KEEP, kinds.astype(np.float64)
     rows = np.flatnonzero(verdict == _HOT)
     if len(rows):
-        at = np.searchsorted(big["context"].to_numpy(), state.key[rows].view(np.int64))
+        at = np.searchsorted(big["context"].to_numpy(), c.key[rows].view(np.int64))
         keep[rows], kinds[rows] = big["keep"].to_numpy()[at], big["kinds"].to_numpy()[at]
-    p = np.where(keep, (total + kinds * state.p) / (state.count + kinds), state.p)
+    p = model.base(after) if level == 1 else 10.0 ** state.p.astype(np.float64)
+    more = kinds[context]
+    p = np.where(keep[context], (total + more * p) / (c.count[context] + more), p)
     # a token and the one before it, whose run of words is the longer context of the token
     before = np.flatnonzero(state.pos[1:] == state.pos[:-1] + 1)
-    here = before + 1
-    go = (total[before] >= MIN_COUNT) & (kinds[here] > 1)
+    run, own = state.place[before], state.place[before + 1]
+    go = (total[run] >= MIN_COUNT) & (more[own] > 1)
     if level >= FREE_WORDS:
-        go &= keep[here]
-    before, here = before[go], here[go]
-    done = np.ones(len(p), dtype=bool)
+        go &= keep[context[own]]
+    run, own, here = run[go], own[go], before[go] + 1
+    done = np.ones(len(state.pos), dtype=bool)
     done[here] = False
-    state.finish(state.pos[done], p[done])
-    shorter, word = state.count[here], total[here]
-    state.key = K.mix(state.key[before] * _ODD + K.mix(state.x[before] + K.U64(1)))
-    state.count, state.pos, state.x, state.p = total[before], state.pos[here], state.x[here], p[here]
-    state.place = np.zeros(0)
-    return state.asks(shorter, word, buckets, hot)
+    state.finish(state.pos[done], p[state.place[done]])
+    state.pos = state.pos[here]
+    runs, first, longer = np.unique(run, return_index=True, return_inverse=True)
+    longer_contexts = Contexts(K.mix(c.key[context[runs]] * _ODD + K.mix(x[runs] + K.U64(1))), total[runs],
+                               c.count[context[own[first]]])
+    return state.ask(longer_contexts, longer, x[own], total[own], p[own], model.buckets, model.hot)
 
 
 def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -336,49 +371,49 @@ def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", t
     spark = docs.sparkSession
     id_type = docs.select(F.col(id_col)).schema[0].dataType
     levels = Levels(spark, id_type)
-    total = kinds = level = 0
     parts = buckets or 2 * levels.parts
-    hot = 0.0
 
-    def ask(table: DataFrame, answer) -> DataFrame:
+    def ask(table: DataFrame, answer, level: int, parts: int) -> DataFrame:
         asks = table.select("chunk", F.explode("asks").alias("ask")).select("chunk", "ask.bucket", "ask.message")
-        return stored(asks.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA), "lm-replies",
-                      compression="none")
+        return levels.write(asks.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA),
+                            f"replies_{level}")
 
-    def tell(table: DataFrame, replies: DataFrame, step) -> DataFrame:
-        """The next level's table: every open chunk with its replies, in the order of its buckets."""
+    def tell(table: DataFrame, replies: DataFrame, step, level: int) -> DataFrame:
+        """The next level's table: every open chunk takes its replies, in the order of its buckets; the others stay."""
         answers = (replies.filter("chunk is not null").groupBy("chunk")
                    .agg(F.collect_list(F.struct("bucket", "reply")).alias("answers")))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, (name, packed, got) in enumerate(zip(b.column(0), b.column(2), b.column(3))):
-                    state = Chunk.unpack(packed.as_py())
-                    ordered = [r["reply"] for r in sorted(got.as_py(), key=lambda r: r["bucket"])]
-                    asks = step(state, ordered)
-                    yield _row(name.as_py(), b.column(1).slice(i, 1).flatten(), state, asks)
-
-        return levels.write(table.filter("open > 0").join(answers, "chunk").select("chunk", "ids", "state", "answers")
-                            .mapInArrow(task, levels.schema))
+                for i, (name, packed, asks, got) in enumerate(zip(b.column(0), b.column(2), b.column(3), b.column(4))):
+                    state, asked = Chunk.unpack(packed.as_py()), []
+                    if len(state.pos):
+                        replied = [r["reply"] for r in sorted(got.as_py(), key=lambda r: r["bucket"])]
+                        asked = step(state, [a["message"] for a in asks.as_py()], replied)
+                    yield _row(name.as_py(), b.column(1).slice(i, 1).flatten(), state, asked)
+
+        out = levels.write(table.join(answers, "chunk", "left").select("chunk", "ids", "state", "asks", "answers")
+                           .mapInArrow(task, levels.schema), f"chunks_{level + 1}", "chunk")
+        levels.drop(f"chunks_{level}", f"replies_{level}")
+        return out
 
     table = pack_chunks(docs, levels, train=train, id_col=id_col, text_col=text_col, buckets=parts)
-    first_parts = parts
-    replies = ask(table, lambda pdf: count_words(pdf, first_parts))
+    replies = ask(table, lambda pdf: count_words(pdf, parts), 0, parts)
     got = replies.filter("chunk is null").agg(F.sum("n"), F.sum("kinds")).first()
-    total, kinds = int(got[0] or 0), int(got[1] or 0)
-    parts = buckets or max(parts, -(-total // BUCKET_TOKENS))
-    hot = max(total / (HOT_SHARE * parts), 1.0)
-    table = tell(table, replies, lambda s, r: start(s, r, total, kinds, parts, hot))
+    total = int(got[0] or 0)
+    many = buckets or max(parts, -(-total // BUCKET_TOKENS))
+    model = Model(total, int(got[1] or 0), many, max(total / (HOT_SHARE * many), 1.0))
+    table, level = tell(table, replies, lambda s, _, r: start(s, r, model), 0), 0
     while table.filter("open > 0").select("open").first() is not None:
         level += 1
-        replies = ask(table.filter("open > 0"), lambda pdf: judge_contexts(pdf, hot))
+        replies = ask(table, lambda pdf: judge_contexts(pdf, model.hot), level, many)
         big = (replies.filter("chunk is null").groupBy("context")
                .agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
                .toPandas().sort_values("context"))  # at most HOT_SHARE * buckets rows
         n = big["n"].to_numpy(dtype=np.float64)
         big["keep"] = _retained(big["gain"].to_numpy(dtype=np.float64), n, n)
         sent = spark.sparkContext.broadcast(big[["context", "keep", "kinds"]])
-        table = tell(table, replies, lambda s, r, k=level, t=sent: advance(s, r, k, t.value, parts, hot))
+        table = tell(table, replies, lambda s, a, r, k=level, t=sent: advance(s, a, r, k, t.value, model), level)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,7 +427,6 @@ def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", t
 
     out = (T.StructType().add("id", id_type).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long")
            .add("train_tokens", "long").add("base_score", "double").add("score", "double"))
-    finished = [t.filter("open = 0").select("ids", "state") for t in levels.tables]
-    scores = stored(reduce(DataFrame.unionByName, finished).mapInArrow(rows, out), "lm-scores")
-    levels.forget()
+    scores = stored(table.select("ids", "state").mapInArrow(rows, out), "lm-scores")
+    levels.close()
     return scores
