@@ -63,10 +63,10 @@ MIN_GAIN = 0.01
 TEST_WEIGHT = 0.5   # weight of the shorter context in the divergence test, as a share of the context's count
 BUCKET_TOKENS = 4_000_000
 HOT_SHARE = 16      # a context with over 1 / HOT_SHARE of a mean bucket's tokens is dealt by next word too
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the query that wrote them
 _DROP, _KEEP, _HOT = 0, 1, 2
 _ODD = K.U64(0x9E3779B97F4A7C15)
 
-ASKS = "array<struct<bucket:bigint,message:binary>>"
 REPLY_SCHEMA = "chunk string, bucket long, reply binary, context long, gain double, n long, kinds long"
 
 
@@ -83,31 +83,36 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _deal(pair: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs in bucket order, the place of every row's pair in it, the buckets and their edges."""
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    sorted_buckets = bucket[order]
-    begin = _starts(sorted_buckets)
-    return order, place[pair], sorted_buckets[begin], np.append(begin, len(bucket))
+@dataclass
+class Model:
+    """What all tasks know: training tokens, distinct ones, buckets, the count from which a context is hot."""
+    total: int
+    kinds: int
+    buckets: int
+    hot: float
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (self.total + 0.5 * (self.kinds + 1))
 
 
 @dataclass
 class Chunk:
-    """Documents of one chunk with their sums so far, and the tokens whose context is being asked for.
-
-    What was asked (contexts, words and their counts) stands in the messages only."""
+    """Documents of one chunk with their sums so far, and the open tokens, whose context is being asked for."""
     per_doc: np.ndarray  # tokens
     train: np.ndarray    # 1 for training documents
     known: np.ndarray    # tokens seen in training
     base: np.ndarray     # log10 sums
     score: np.ndarray    # log10 sum of the tokens that are done
-    pos: np.ndarray      # the open tokens, by position
-    place: np.ndarray    # the (context, word) pair of each, in the order of the messages
-    p: np.ndarray        # log10 probabilities of the pairs in the states found so far; none while there are only words
+    words: np.ndarray    # the word of every token, as a row of
+    names: np.ndarray    # the distinct words: hashes, then numbers
+    totals: np.ndarray   # and their training counts
+    pos: np.ndarray      # the open tokens, by position; from the second level on:
+    count: np.ndarray    # training count of the context
+    after: np.ndarray    # training count of the word after the shorter context
+    aux: np.ndarray      # second level: kinds of words after the shorter context, 0 if it is no state; then its count
+    p: np.ndarray        # from the third level on: log10 probability in the states found so far
 
-    TYPES = ("<u4", "u1", "<u4", "<f8", "<f8", "<u4", "<u4", "<f4")
+    TYPES = ("<u4", "u1", "<u4", "<f8", "<f8", "<u4", "<u8", "<u8", "<u4", "<u8", "<u8", "<u8", "<f4")
 
     def pack(self) -> bytes:
         arrays = vars(self) | {"pos": np.diff(self.pos, prepend=0)}
@@ -125,63 +130,84 @@ class Chunk:
     def finish(self, pos: np.ndarray, p: np.ndarray) -> None:
         self.score = self.score + np.bincount(self.docs()[pos], weights=np.log10(p), minlength=len(self.per_doc))
 
-    def ask(self, c: Contexts, context: np.ndarray, x: np.ndarray, after: np.ndarray, p: np.ndarray | None,
-            buckets: int, hot: float) -> list[dict]:
-        """One message per bucket about the distinct (context, word) pairs of the open tokens.
-
-        By open token: row of its context, word, count of the word after the shorter context, probability."""
-        if not len(self.pos):
-            self.place = self.p = np.zeros(0)
-            return []
-        by_key = np.argsort(c.key, kind="stable")
-        rank = np.empty(len(by_key), dtype=K.U64)
-        rank[by_key] = np.arange(len(by_key), dtype=K.U64)
-        bits = int(x.max()).bit_length()
-        if bits + len(by_key).bit_length() > 64:
-            word = np.unique(x, return_inverse=True)[1].astype(K.U64)
-            bits = len(x).bit_length()
+    def deal_words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words in bucket order, the buckets and their edges."""
+        bucket = (K.mix(self.names) % K.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        begin = _starts(bucket[order])
+        return order, bucket[order][begin], np.append(begin, len(order))
+
+    def word_messages(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        n = np.bincount(self.words, weights=np.repeat(self.train, self.per_doc), minlength=len(self.names))
+        order, into, edges = self.deal_words(buckets)
+        for b, lo, hi in zip(into.tolist(), edges[:-1], edges[1:]):
+            yield b, _pack(np.diff(self.names[order[lo:hi]], prepend=K.U64(0)), n[order[lo:hi]].astype("<u4"))
+
+
+class Asked:
+    """The distinct (context, word) pairs of a chunk's open tokens, in the order of the messages about them."""
+
+    def __init__(self, s: Chunk, level: int, model: Model):
+        word = lambda back: s.words[s.pos - back]
+        key = s.names[word(level)]
+        for back in range(level - 1, 0, -1):
+            key = K.mix(key * _ODD + K.mix(s.names[word(back)] + K.U64(1)))
+        x, base = s.names[word(0)], model.base(s.totals[word(0)])
+        if level == 1:
+            count, up, after, p = s.totals[word(1)], np.full(len(x), model.total, dtype=K.U64), s.totals[word(0)], base
+        elif level == 2:
+            count, up, after = s.count, s.totals[word(1)], s.after
+            p = np.where(s.aux > 0, (after + s.aux * base) / np.maximum(up + s.aux, 1), base)
         else:
-            word = x
-        _, first, pair = np.unique((rank[context] << K.U64(bits)) | word, return_index=True, return_inverse=True)
-        n = np.bincount(pair, weights=self.train[self.docs()[self.pos]], minlength=len(first))
-        row = context[first]
-        key, x, count = c.key[row], x[first], c.count[row]
-        bucket = K.mix(np.where(count >= hot, key + x * _ODD, key)) % K.U64(buckets)
-        order, self.place, names, edges = _deal(pair, bucket.astype(np.int64))
-        self.p = np.zeros(0) if p is None else np.log10(p[first][order])
-        key, x, count, n, up, after = key[order], x[order], count[order], n[order], c.up[row][order], after[first][order]
-        out = []
-        for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:]):
-            at = _starts(key[lo:hi])
-            k = key[lo:hi][at]
-            out.append({"bucket": b, "message": _pack(
-                np.diff(k, prepend=K.U64(0)), np.diff(np.append(at, hi - lo)).astype("<u4"), count[lo:hi][at].astype("<u8"),
-                up[lo:hi][at].astype("<u8"), x[lo:hi], after[lo:hi].astype("<u8"), n[lo:hi].astype("<u4"))})
-        return out
-
-
-@dataclass
-class Contexts:
-    """Contexts of a chunk: key, training count, count of the shorter context."""
-    key: np.ndarray
-    count: np.ndarray
-    up: np.ndarray
-
-
-def _messages(messages: list[bytes]) -> tuple[Contexts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What messages ask: contexts; by pair the row of its context, word, count after the shorter context, training count."""
-    parts = [_unpack(m, "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for m in messages]
-    per, count, up, x, after, n = (np.concatenate([q[i] for q in parts]) for i in range(1, 7))
-    key = np.concatenate([np.cumsum(q[0]) for q in parts])
-    return Contexts(key, count, up), np.repeat(np.arange(len(per)), per), x, after, n
-
-
-def _row(name: str, ids: pa.Array, chunk: Chunk, asks: list[dict]) -> pa.RecordBatch:
-    ask = pa.list_(pa.struct([("bucket", pa.int64()), ("message", pa.binary())]))
+            count, up, after, p = s.count, s.aux, s.after, 10.0 ** s.p.astype(np.float64)
+        self.level, self.count, self.p = level, count, p
+        keys, context = np.unique(key, return_inverse=True)
+        bits, symbol = int(x.max()).bit_length(), x
+        if bits + len(keys).bit_length() > 64:
+            symbol, bits = word(0).astype(K.U64), len(s.names).bit_length()
+        _, first, pair = np.unique((context.astype(K.U64) << K.U64(bits)) | symbol, return_index=True, return_inverse=True)
+        n = np.bincount(pair, weights=s.train[s.docs()[s.pos]], minlength=len(first))
+        bucket = K.mix(np.where(count[first] >= model.hot, key[first] + x[first] * _ODD, key[first])) % K.U64(model.buckets)
+        order = np.argsort(bucket.astype(np.int64), kind="stable")
+        self.place = np.empty(len(order), dtype=np.int64)  # where each token's pair stands
+        self.place[order] = np.arange(len(order))
+        self.place = self.place[pair]
+        at, bucket = first[order], bucket[order].astype(np.int64)
+        self.key, self.x, self.n, self.pair_count, self.up, self.after = key[at], x[at], n[order], count[at], up[at], after[at]
+        new = np.ones(len(at), dtype=bool)  # a context is named once in every message
+        new[1:] = (self.key[1:] != self.key[:-1]) | (bucket[1:] != bucket[:-1])
+        self.head = np.flatnonzero(new)
+        self.context = np.cumsum(new) - 1   # of each pair
+        begin = _starts(bucket)
+        self.buckets, self.edges = bucket[begin], np.append(begin, len(at))
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        cut = np.searchsorted(self.head, self.edges)
+        for b, lo, hi, i, j in zip(self.buckets.tolist(), self.edges[:-1], self.edges[1:], cut[:-1], cut[1:]):
+            head = self.head[i:j]
+            parts = [np.diff(self.key[head], prepend=K.U64(0)), np.diff(np.append(head, hi)).astype("<u4"),
+                     self.pair_count[head].astype("<u8"), self.up[head].astype("<u8"), self.n[lo:hi].astype("<u4")]
+            if self.level == 1:  # the count goes with the word alone
+                words, first, which = np.unique(self.x[lo:hi], return_index=True, return_inverse=True)
+                parts += [np.diff(words, prepend=K.U64(0)), self.after[lo:hi][first].astype("<u8"), which.astype("<u4")]
+            else:
+                parts += [self.x[lo:hi], self.after[lo:hi].astype("<u8"), np.zeros(0, "<u4")]
+            yield b, _pack(*parts)
+
+
+def _open(message: bytes, level: int) -> tuple[np.ndarray, ...]:
+    """Contexts: key, count, count of the shorter one. By pair: row of the context, word, count after the shorter
+    context, training count."""
+    step, per, count, up, n, x, after, which = _unpack(message, "<u8", "<u4", "<u8", "<u8", "<u4", "<u8", "<u8", "<u4")
+    if level == 1:
+        x, after = np.cumsum(x)[which], after[which]
+    return np.cumsum(step), count, up, np.repeat(np.arange(len(per)), per), x, after, n
+
+
+def _row(name: str, ids: pa.Array, chunk: Chunk) -> pa.RecordBatch:
     one_list = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
     return pa.RecordBatch.from_arrays([pa.array([name]), one_list, pa.array([len(chunk.pos)], pa.int64()),
-                                       pa.array([chunk.pack()], pa.binary()), pa.array([asks], ask)],
-                                      names=["chunk", "ids", "open", "state", "asks"])
+                                       pa.array([chunk.pack()], pa.binary())], names=["chunk", "ids", "open", "state"])
 
 
 class Levels:
@@ -189,11 +215,13 @@ class Levels:
     replies come to them without moving them, and replies. A table goes once the next level is written."""
 
     def __init__(self, spark: SparkSession, id_type: T.DataType):
-        self.spark, self.name = spark, f"lm_{uuid.uuid4().hex}"
+        self.spark, self.id_type, self.name = spark, id_type, f"lm_{uuid.uuid4().hex}"
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.schema = (T.StructType().add("chunk", "string").add("ids", T.ArrayType(id_type)).add("open", "long")
-                       .add("state", "binary").add("asks", T.DataType.fromDDL(ASKS)))
+                       .add("state", "binary"))
         spark.sql(f"CREATE DATABASE {self.name} LOCATION '{fresh_path(spark, 'lm')}'")
+        self.before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
 
     def write(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         out = df.write.format("parquet").option("compression", "none")
@@ -205,11 +233,12 @@ class Levels:
             self.spark.sql(f"DROP TABLE {self.name}.{t}")
 
     def close(self) -> None:
+        self.spark.conf.set(CLEANUP, self.before)
         self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
 
 
-def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """Documents packed into chunks, which ask for the training counts of their words."""
+def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str, text_col: str) -> DataFrame:
+    """Documents packed into chunks, all tokens open."""
     def chunk(ids: list[pa.Array], flags: list[bool], norms: list[bytes]) -> pa.RecordBatch:
         raw = b"\n".join(norms) + b"\n"
         starts, ends = K.word_spans(raw)
@@ -217,15 +246,11 @@ def pack_chunks(docs: DataFrame, levels: Levels, *, train: Column, id_col: str,
         text_of = np.searchsorted(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10), starts)
         x = np.full(len(words) + len(flags), K.END_WORD, dtype=K.U64)
         x[np.arange(len(words)) + text_of] = words
-        zero = np.zeros(len(flags))
+        names, word = np.unique(x, return_inverse=True)
+        zero, none = np.zeros(len(flags)), np.zeros(0)
         per_doc = np.bincount(text_of, minlength=len(flags)) + 1
-        kinds, kind = np.unique(x, return_inverse=True)
-        n = np.bincount(kind, weights=np.repeat(flags, per_doc), minlength=len(kinds))
-        order, place, names, edges = _deal(kind, (K.mix(kinds) % K.U64(buckets)).astype(np.int64))
-        asks = [{"bucket": b, "message": _pack(np.diff(kinds[order][lo:hi], prepend=K.U64(0)), n[order][lo:hi].astype("<u4"))}
-                for b, lo, hi in zip(names.tolist(), edges[:-1], edges[1:])]
-        state = Chunk(per_doc, np.asarray(flags), zero, zero, zero, np.arange(len(x)), place, np.zeros(0))
-        return _row(uuid.uuid4().hex, pa.concat_arrays(ids), state, asks)
+        state = Chunk(per_doc, np.asarray(flags), zero, zero, zero, word, names, none, np.arange(len(x)), none, none, none, none)
+        return _row(uuid.uuid4().hex, pa.concat_arrays(ids), state)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, norms, size = [], [], [], 0
@@ -259,22 +284,23 @@ def count_words(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
         asked.append((np.cumsum(step), n))
     kinds, kind = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
     total = np.bincount(kind, weights=np.concatenate([n for _, n in asked]), minlength=len(kinds)).astype("<u8")
+    rank = np.empty(len(kinds), dtype=np.int64)  # frequent words get small numbers
+    rank[np.argsort(total, kind="stable")[::-1]] = np.arange(len(kinds))
     me, rows, at = int(pdf["bucket"].iloc[0]), [], 0
     for chunk, (h, _) in zip(pdf["chunk"], asked):
         mine = kind[at:at + len(h)]
-        rows.append((chunk, me, _pack((mine * buckets + me).astype("<u8"), total[mine])))
+        rows.append((chunk, me, _pack((rank[mine] * buckets + me).astype("<u8"), total[mine])))
         at += len(h)
     return _replies(rows, [(0, 0.0, int(total.sum()), int((total > 0).sum()))])
 
 
-def judge_contexts(pdf: pd.DataFrame, hot: float) -> pd.DataFrame:
+def judge_contexts(pdf: pd.DataFrame, level: int, hot: float) -> pd.DataFrame:
     """One bucket of contexts: totals, divergence tests and numbers of next words, told to every chunk that asked."""
-    asked = [_messages([m]) for m in pdf["message"]]
-    key, up = (np.concatenate([getattr(q[0], f) for q in asked]) for f in ("key", "up"))
-    counts = np.concatenate([q[0].count for q in asked])
-    heads = np.cumsum([0] + [len(q[0].key) for q in asked])
-    row = np.concatenate([q[1] + h for q, h in zip(asked, heads)])
-    x, after, n = (np.concatenate([q[i] for q in asked]) for i in (2, 3, 4))
+    asked = [_open(m, level) for m in pdf["message"]]
+    key, counts, up = (np.concatenate([q[i] for q in asked]) for i in range(3))
+    heads = np.cumsum([0] + [len(q[0]) for q in asked])
+    row = np.concatenate([q[3] + h for q, h in zip(asked, heads)])
+    x, after, n = (np.concatenate([q[i] for q in asked]) for i in (4, 5, 6))
     keys, which = np.unique(key, return_inverse=True)
     size = len(keys)
     words, word = np.unique(x, return_inverse=True)
@@ -293,9 +319,9 @@ def judge_contexts(pdf: pd.DataFrame, hot: float) -> pd.DataFrame:
     rows, done = [], 0
     for chunk, bucket, q, a, z in zip(pdf["chunk"], pdf["bucket"], asked, heads[:-1], heads[1:]):
         mine = which[a:z]
-        rows.append((chunk, bucket, _pack(total[pair[done:done + len(q[1])]].astype("<u8"), verdict[mine],
+        rows.append((chunk, bucket, _pack(total[pair[done:done + len(q[4])]].astype("<u8"), verdict[mine],
                                           kinds[mine].astype("<u4"))))
-        done += len(q[1])
+        done += len(q[4])
     named = np.flatnonzero(is_hot)
     return _replies(rows, list(zip(keys[named].view(np.int64).tolist(), gains[named].tolist(),
                                    sums[named].astype(np.int64).tolist(), kinds[named].tolist())))
@@ -308,74 +334,75 @@ def _retained(gain: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (n > 0) & (mean >= MIN_GAIN)
 
 
-@dataclass
-class Model:
-    """What all tasks know: training tokens, distinct ones, buckets, the count from which a context is hot."""
-    total: int
-    kinds: int
-    buckets: int
-    hot: float
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.total + 0.5 * (self.kinds + 1))
-
-
-def start(state: Chunk, replies: list[bytes], model: Model) -> list[dict]:
-    """Word counts are there: base scores, and what to ask about contexts of one word."""
+def start(s: Chunk, replies: list[bytes], buckets: int, model: Model) -> None:
+    """Word counts are there: base scores; the tokens after a word that occurs often enough stay open."""
     got = [_unpack(r, "<u8", "<u8") for r in replies]
-    name, total = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-    count, doc = total[state.place], state.docs()
-    p = model.base(total)[state.place]
-    add = lambda v: np.bincount(doc, weights=v, minlength=len(state.per_doc))
-    state.known, state.base = add(count > 0), add(np.log10(p))
+    order = s.deal_words(buckets)[0]
+    s.names, s.totals = (np.concatenate([g[i] for g in got])[np.argsort(order)] for i in (0, 1))
+    count, doc = s.totals[s.words], s.docs()
+    p = model.base(s.totals)[s.words]
+    add = lambda v: np.bincount(doc, weights=v, minlength=len(s.per_doc))
+    s.known, s.base = add(count > 0), add(np.log10(p))
     go = np.concatenate(([False], (doc[1:] == doc[:-1]) & (count[:-1] >= MIN_COUNT)))
-    state.finish(np.flatnonzero(~go), p[~go])
-    state.pos = np.flatnonzero(go)
-    words = Contexts(name, total, np.full(len(name), model.total))
-    return state.ask(words, state.place[state.pos - 1], name[state.place[go]], count[go], None, model.buckets, model.hot)
+    s.finish(np.flatnonzero(~go), p[~go])
+    s.pos = np.flatnonzero(go)
 
 
-def advance(state: Chunk, asks: list[bytes], replies: list[bytes], level: int, big: pd.DataFrame, model: Model) -> list[dict]:
-    """Contexts of ``level`` words are judged: smooth the retained ones in, and ask about longer ones."""
-    c, context, x, after, _ = _messages(asks)
+def advance(s: Chunk, replies: list[bytes], level: int, big: pd.DataFrame, model: Model) -> None:
+    """Contexts of ``level`` words are judged: smooth the retained ones in; tokens with longer ones to try stay open."""
+    asked = Asked(s, level, model)
     got = [_unpack(r, "<u8", "u1", "<u4") for r in replies]
     total, verdict, kinds = (np.concatenate([g[i] for g in got]) for i in range(3))
     keep, kinds = verdict == _KEEP, kinds.astype(np.float64)
-    rows = np.flatnonzero(verdict == _HOT)
-    if len(rows):
-        at = np.searchsorted(big["context"].to_numpy(), c.key[rows].view(np.int64))
-        keep[rows], kinds[rows] = big["keep"].to_numpy()[at], big["kinds"].to_numpy()[at]
-    p = model.base(after) if level == 1 else 10.0 ** state.p.astype(np.float64)
-    more = kinds[context]
-    p = np.where(keep[context], (total + more * p) / (c.count[context] + more), p)
+    hot = np.flatnonzero(verdict == _HOT)
+    if len(hot):
+        at = np.searchsorted(big["context"].to_numpy(), asked.key[asked.head[hot]].view(np.int64))
+        keep[hot], kinds[hot] = big["keep"].to_numpy()[at], big["kinds"].to_numpy()[at]
+    context, total = asked.context[asked.place], total[asked.place].astype(np.float64)
+    keep, kinds = keep[context], kinds[context]
+    p = np.where(keep, (total + kinds * asked.p) / (asked.count + kinds), asked.p)
     # a token and the one before it, whose run of words is the longer context of the token
-    before = np.flatnonzero(state.pos[1:] == state.pos[:-1] + 1)
-    run, own = state.place[before], state.place[before + 1]
-    go = (total[run] >= MIN_COUNT) & (more[own] > 1)
+    before = np.flatnonzero(s.pos[1:] == s.pos[:-1] + 1)
+    go = (total[before] >= MIN_COUNT) & (kinds[before + 1] > 1)
     if level >= FREE_WORDS:
-        go &= keep[context[own]]
-    run, own, here = run[go], own[go], before[go] + 1
-    done = np.ones(len(state.pos), dtype=bool)
+        go &= keep[before + 1]
+    before = before[go]
+    here = before + 1
+    done = np.ones(len(s.pos), dtype=bool)
     done[here] = False
-    state.finish(state.pos[done], p[state.place[done]])
-    state.pos = state.pos[here]
-    runs, first, longer = np.unique(run, return_index=True, return_inverse=True)
-    longer_contexts = Contexts(K.mix(c.key[context[runs]] * _ODD + K.mix(x[runs] + K.U64(1))), total[runs],
-                               c.count[context[own[first]]])
-    return state.ask(longer_contexts, longer, x[own], total[own], p[own], model.buckets, model.hot)
+    s.finish(s.pos[done], p[done])
+    s.pos, s.count, s.after = s.pos[here], total[before], total[here]
+    if level == 1:
+        s.aux = np.where(keep, kinds, 0)[here]
+    else:
+        s.aux, s.p = asked.count[here], np.log10(p[here])
+    if not len(here):
+        s.words = s.names = s.totals = np.zeros(0)
 
 
 def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text",
                     buckets: int | None = None) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
-    id_type = docs.select(F.col(id_col)).schema[0].dataType
-    levels = Levels(spark, id_type)
+    levels = Levels(docs.sparkSession, docs.select(F.col(id_col)).schema[0].dataType)
+    try:
+        return _score(docs, levels, train, id_col, text_col, buckets)
+    finally:
+        levels.close()
+
+
+def _score(docs: DataFrame, levels: Levels, train: Column, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
     parts = buckets or 2 * levels.parts
 
-    def ask(table: DataFrame, answer, level: int, parts: int) -> DataFrame:
-        asks = table.select("chunk", F.explode("asks").alias("ask")).select("chunk", "ask.bucket", "ask.message")
-        return levels.write(asks.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA),
+    def ask(table: DataFrame, messages, answer, level: int, parts: int) -> DataFrame:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, packed in zip(b.column(0), b.column(1)):
+                    into, said = zip(*messages(Chunk.unpack(packed.as_py())))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(into)), pa.array(into, pa.int64()),
+                                                      pa.array(said, pa.binary())], names=["chunk", "bucket", "message"])
+
+        said = table.filter("open > 0").select("chunk", "state").mapInArrow(task, "chunk string, bucket long, message binary")
+        return levels.write(said.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA),
                             f"replies_{level}")
 
     def tell(table: DataFrame, replies: DataFrame, step, level: int) -> DataFrame:
@@ -385,35 +412,36 @@ def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", t
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, (name, packed, asks, got) in enumerate(zip(b.column(0), b.column(2), b.column(3), b.column(4))):
-                    state, asked = Chunk.unpack(packed.as_py()), []
+                for i, (name, packed, got) in enumerate(zip(b.column(0), b.column(2), b.column(3))):
+                    state = Chunk.unpack(packed.as_py())
                     if len(state.pos):
-                        replied = [r["reply"] for r in sorted(got.as_py(), key=lambda r: r["bucket"])]
-                        asked = step(state, [a["message"] for a in asks.as_py()], replied)
-                    yield _row(name.as_py(), b.column(1).slice(i, 1).flatten(), state, asked)
+                        step(state, [r["reply"] for r in sorted(got.as_py(), key=lambda r: r["bucket"])])
+                    yield _row(name.as_py(), b.column(1).slice(i, 1).flatten(), state)
 
-        out = levels.write(table.join(answers, "chunk", "left").select("chunk", "ids", "state", "asks", "answers")
+        out = levels.write(table.join(answers, "chunk", "left").select("chunk", "ids", "state", "answers")
                            .mapInArrow(task, levels.schema), f"chunks_{level + 1}", "chunk")
         levels.drop(f"chunks_{level}", f"replies_{level}")
         return out
 
-    table = pack_chunks(docs, levels, train=train, id_col=id_col, text_col=text_col, buckets=parts)
-    replies = ask(table, lambda pdf: count_words(pdf, parts), 0, parts)
+    table = pack_chunks(docs, levels, train=train, id_col=id_col, text_col=text_col)
+    replies = ask(table, lambda s: s.word_messages(parts), lambda pdf: count_words(pdf, parts), 0, parts)
     got = replies.filter("chunk is null").agg(F.sum("n"), F.sum("kinds")).first()
     total = int(got[0] or 0)
     many = buckets or max(parts, -(-total // BUCKET_TOKENS))
     model = Model(total, int(got[1] or 0), many, max(total / (HOT_SHARE * many), 1.0))
-    table, level = tell(table, replies, lambda s, _, r: start(s, r, model), 0), 0
+    table, level = tell(table, replies, lambda s, r: start(s, r, parts, model), 0), 0
+    judge = lambda k: lambda pdf: judge_contexts(pdf, k, model.hot)
     while table.filter("open > 0").select("open").first() is not None:
         level += 1
-        replies = ask(table, lambda pdf: judge_contexts(pdf, model.hot), level, many)
+        replies = ask(table, lambda s, k=level: Asked(s, k, model).messages(),
+                      judge(level), level, many)
         big = (replies.filter("chunk is null").groupBy("context")
                .agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
                .toPandas().sort_values("context"))  # at most HOT_SHARE * buckets rows
         n = big["n"].to_numpy(dtype=np.float64)
         big["keep"] = _retained(big["gain"].to_numpy(dtype=np.float64), n, n)
-        sent = spark.sparkContext.broadcast(big[["context", "keep", "kinds"]])
-        table = tell(table, replies, lambda s, a, r, k=level, t=sent: advance(s, a, r, k, t.value, model), level)
+        sent = docs.sparkSession.sparkContext.broadcast(big[["context", "keep", "kinds"]])
+        table = tell(table, replies, lambda s, r, k=level, t=sent: advance(s, r, k, t.value, model), level)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -425,8 +453,6 @@ def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", t
                      pa.array(s.base), pa.array(s.score)],
                     names=["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = (T.StructType().add("id", id_type).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long")
+    out = (T.StructType().add("id", levels.id_type).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long")
            .add("train_tokens", "long").add("base_score", "double").add("score", "double"))
-    scores = stored(table.select("ids", "state").mapInArrow(rows, out), "lm-scores")
-    levels.close()
-    return scores
+    return stored(table.select("ids", "state").mapInArrow(rows, out), "lm-scores")
