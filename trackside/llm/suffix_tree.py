@@ -24,7 +24,7 @@ counts; a bucket adds up all chunks, runs the divergence tests of its contexts a
 replies with totals, decisions and numbers of next words. Contexts that hold more than a
 sixteenth of a mean bucket's tokens are dealt by (context, next word) instead; their tests are added up
 by key, and only these decisions are broadcast: at most 16 times the buckets a level.
-The number of buckets follows the number of tokens.
+The number of buckets of a level follows the number of its open tokens, not the number of partitions.
 
 Words are identified by 64-bit hashes of their bytes, longer contexts by 64-bit hashes of their words.
 Between levels log probabilities are kept in single precision (a relative error of 6e-8).
@@ -61,7 +61,7 @@ MIN_COUNT = 2
 FREE_WORDS = 2      # contexts of up to so many words are tried whether or not their suffix is retained
 MIN_GAIN = 0.01
 TEST_WEIGHT = 0.5   # weight of the shorter context in the divergence test, as a share of the context's count
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 1_000_000
 HOT_SHARE = 16      # a context with over 1 / HOT_SHARE of a mean bucket's tokens is dealt by next word too
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the query that wrote them
 _DROP, _KEEP, _HOT = 0, 1, 2
@@ -391,7 +391,9 @@ def score_documents(docs: DataFrame, *, train: Column, id_col: str = "doc_id", t
 
 
 def _score(docs: DataFrame, levels: Levels, train: Column, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
-    parts = buckets or 2 * levels.parts
+
+    def deal(table: DataFrame) -> int:
+        return buckets or max(1, -(-int(table.agg(F.sum("open")).first()[0] or 0) // BUCKET_TOKENS))
 
     def ask(table: DataFrame, messages, answer, level: int, parts: int) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,6 +407,9 @@ def _score(docs: DataFrame, levels: Levels, train: Column, id_col: str, text_col
         return levels.write(said.repartition(parts, "bucket").groupBy("bucket").applyInPandas(answer, REPLY_SCHEMA),
                             f"replies_{level}")
 
+    def judge(level: int, hot: float):
+        return lambda pdf: judge_contexts(pdf, level, hot)
+
     def tell(table: DataFrame, replies: DataFrame, step, level: int) -> DataFrame:
         """The next level's table: every open chunk takes its replies, in the order of its buckets; the others stay."""
         answers = (replies.filter("chunk is not null").groupBy("chunk")
@@ -424,24 +429,23 @@ def _score(docs: DataFrame, levels: Levels, train: Column, id_col: str, text_col
         return out
 
     table = pack_chunks(docs, levels, train=train, id_col=id_col, text_col=text_col)
+    parts = deal(table)
     replies = ask(table, lambda s: s.word_messages(parts), lambda pdf: count_words(pdf, parts), 0, parts)
     got = replies.filter("chunk is null").agg(F.sum("n"), F.sum("kinds")).first()
     total = int(got[0] or 0)
-    many = buckets or max(parts, -(-total // BUCKET_TOKENS))
-    model = Model(total, int(got[1] or 0), many, max(total / (HOT_SHARE * many), 1.0))
-    table, level = tell(table, replies, lambda s, r: start(s, r, parts, model), 0), 0
-    judge = lambda k: lambda pdf: judge_contexts(pdf, k, model.hot)
+    words = Model(total, int(got[1] or 0), parts, total)
+    table, level = tell(table, replies, lambda s, r: start(s, r, parts, words), 0), 0
     while table.filter("open > 0").select("open").first() is not None:
-        level += 1
-        replies = ask(table, lambda s, k=level: Asked(s, k, model).messages(),
-                      judge(level), level, many)
+        level, many = level + 1, deal(table)
+        model = Model(total, words.kinds, many, max(total / (HOT_SHARE * many), 1.0))
+        replies = ask(table, lambda s, k=level, m=model: Asked(s, k, m).messages(), judge(level, model.hot), level, many)
         big = (replies.filter("chunk is null").groupBy("context")
                .agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
                .toPandas().sort_values("context"))  # at most HOT_SHARE * buckets rows
         n = big["n"].to_numpy(dtype=np.float64)
         big["keep"] = _retained(big["gain"].to_numpy(dtype=np.float64), n, n)
         sent = docs.sparkSession.sparkContext.broadcast(big[["context", "keep", "kinds"]])
-        table = tell(table, replies, lambda s, r, k=level, t=sent: advance(s, r, k, t.value, model), level)
+        table = tell(table, replies, lambda s, r, k=level, t=sent, m=model: advance(s, r, k, t.value, m), level)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
