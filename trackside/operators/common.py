@@ -96,6 +96,22 @@ def rank_by_bucket(df: DataFrame, group: list[str], bucket: Column, order: list[
     return own.join(sizes, on).select(*df.columns, (F.col("_own") + F.col("_before")).cast("int").alias(out))
 
 
+LAP_TASK_ROWS = 1 << 16
+
+
+def dealt_by_lap(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """``df`` partitioned by the lap ``keys`` into tasks of about ``LAP_TASK_ROWS`` rows, however many rows there
+    are; windows and aggregates on the keys use this exchange. A given number of partitions is not
+    coalesced again, so the sorts of one task stay as small as its rows. ``rows`` spares a count (one
+    job, from the footers where ``df`` is a Parquet table); a table of one task is left as it is. Name no
+    constant among ``keys``: windows would then not use the exchange."""
+    rows = df.count() if rows is None else rows
+    if rows <= LAP_TASK_ROWS:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(slots, -(-rows // LAP_TASK_ROWS)), *keys)
+
+
 TOP_N_SALTS = 64
 
 

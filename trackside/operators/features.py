@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import parse_duration_seconds
-from trackside.operators.common import with_group_stats
+from trackside.operators.common import dealt_by_lap, with_group_stats
 from trackside.operators.laps import with_laptime_seconds
 from trackside.operators.profile import add_sector_ratios, sector_driver_aggs, sector_text_aggs
 
@@ -20,14 +20,17 @@ ZONE_COLS = ["Mean_Entry_Speed", "Mean_Apex_Speed", "Mean_Exit_Speed", "Mean_Bra
 def round_driver_features(df: DataFrame, *, keys: list[str] = S.SESSION_KEYS,
                           min_lap_samples: int = S.MIN_FASTEST_LAP_SAMPLES,
                           min_feature_samples: int = S.MIN_LAP_FEATURE_SAMPLES,
-                          exact_mean: bool = False) -> DataFrame:
+                          exact_mean: bool = False, dealt: bool = False) -> DataFrame:
     """PL-4: style features of each driver's fastest lap (ties to the lowest LapNumber), for
     every session in one plan. The fastest lap must hold >= ``min_lap_samples`` samples.
 
     One pass over the samples makes the lap table; one aggregate over it picks the fastest
-    lap's features and the driver's sectors; the session's best sectors are joined back."""
+    lap's features and the driver's sectors; the session's best sectors are joined back. The samples
+    are counted and dealt by lap into tasks of bounded size first, unless they are ``dealt`` already."""
     # laps without a driver or number can never be a driver's fastest lap
     work = with_laptime_seconds(df).filter(F.col(S.DRIVER_COL).isNotNull() & F.col(S.LAP_COL).isNotNull())
+    if not dealt:
+        work = dealt_by_lap(work, [*keys, S.DRIVER_COL, S.LAP_COL], df.count())
     parts = all_lap_features(work, keys=keys, exact_mean=exact_mean)
     fcols = [c for c in S.STYLE_FEATURE_COLUMNS if not c.startswith("Sector")]
     timed = F.when(F.col("_timed"), F.struct("LapTime_seconds", S.LAP_COL, "_samples", *fcols))

@@ -30,7 +30,7 @@ def _sel_r6(cols, prefix=""):
 
 
 def with_acc(spark, sf):
-    return kinematics.add_acceleration(telemetry_view(spark, sf))
+    return kinematics.add_acceleration(telemetry_view(spark, sf, dealt=True))
 
 
 def _fmean(x):
@@ -131,7 +131,7 @@ zr AS (SELECT {KEYS}, "Driver", {", ".join(f'CASE WHEN "sd_{c}" IS NULL OR "sd_{
 
 def rdf(spark, sf):
     return features.round_driver_features(with_acc(spark, sf), min_lap_samples=ADAPTER_MIN_SAMPLES,
-                                          min_feature_samples=ADAPTER_MIN_SAMPLES, exact_mean=True)
+                                          min_feature_samples=ADAPTER_MIN_SAMPLES, exact_mean=True, dealt=True)
 
 
 @register("fastest_lap_samples", ACC_SQL + "," + FASTEST_SQL + f"""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from trackside import schemas as S
 from trackside.functions.durations import duration_text
+from trackside.operators.common import dealt_by_lap
 
 HOUR_US = 3600000000
 SECTOR1_END_US = 80 * HOUR_US
@@ -36,7 +37,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def telemetry_from_events(events: DataFrame) -> DataFrame:
+def telemetry_from_events(events: DataFrame, *, dealt: bool = False) -> DataFrame:
+    """The view; with ``dealt``, partitioned by lap into tasks of bounded size (``dealt_by_lap``)."""
     lap_keys = S.LAP_KEYS
     base = events.select(
         F.lit(2024).alias("Year"),
@@ -58,6 +60,9 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
         ((F.floor((F.dayofmonth("ts") - 1) / 10) == 2)
          & (F.pmod(F.col("user_id"), F.lit(7)) == 0)).alias("_no_laptime"),
     )
+    if dealt:
+        # by the columns that are not constant here, else the windows do not use this exchange
+        base = dealt_by_lap(base, ["Round", S.DRIVER_COL, S.LAP_COL], events.count())
     w_lap = Window.partitionBy(*lap_keys)
     d = F.col("_us") - F.min("_us").over(w_lap)
     base = base.withColumn("_d", d)
@@ -95,9 +100,9 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def telemetry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry_view(spark: SparkSession, sf_dir: str, *, dealt: bool = False) -> DataFrame:
     """The adapter view for the tables under ``sf_dir``."""
-    return telemetry_from_events(read_table(spark, sf_dir, "events"))
+    return telemetry_from_events(read_table(spark, sf_dir, "events"), dealt=dealt)
 
 
 # --------------------------------------------------------------------------- #
