@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,3 +139,25 @@ def test_held_out_documents_score_better_than_the_base(spark):
         base = sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(train[x] > 0 for x in t), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
+
+
+def test_later_levels_keep_only_the_words_they_need(spark, monkeypatch):
+    """Words that no open token needs pack to nothing, so that the tables of deep levels follow the open tokens."""
+    rng, rows = random.Random(1), []
+    for i in range(12):
+        run = ["a", "b", "c"]
+        for _ in range(120):  # three words tell the next one, mostly
+            run.append("abcdefgh"[zlib.crc32(" ".join(run[-3:]).encode()) % 8] if rng.random() < 0.8 else rng.choice("abcdefgh"))
+        rows.append((i, " ".join(f"w{i}x{j}" for j in range(3000)) + " " + " ".join(run)))
+    sizes, write = {}, st.Levels.write
+
+    def watch(self, df, table, by=None):
+        out = write(self, df, table, by)
+        if table.startswith("chunks"):
+            sizes[table] = out.agg(F.sum(F.length("state")), F.sum("open")).first()
+        return out
+
+    monkeypatch.setattr(st.Levels, "write", watch)
+    st.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), train=F.lit(True)).count()
+    (first, _), (last, still) = sizes["chunks_1"], sizes["chunks_3"]
+    assert 0 < still < 2000 and last < first / 3
