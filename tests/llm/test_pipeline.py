@@ -1,8 +1,11 @@
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 import __spark_entry__ as entry
-from trackside.llm import langid, queries
+from trackside.llm import common, langid, queries
 
 import test_decontaminate
 import test_exact_dedup
@@ -48,3 +51,22 @@ def test_stages_keep_columns_and_take_odd_rows(spark, docs, clashing, empty):
             if name != "mixing":
                 assert out.columns == table.columns
             assert (out.count() > 0) == (table is not empty)
+
+
+def test_only_texts_go_to_python(spark):
+    """Texts of the rows do not come back from Python, and batches of texts are bounded by bytes, not by rows only."""
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (cp.language_id, cp.clean):
+        plan = stage(spark, table, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    before = spark.conf.get(common.BATCH_CONF)
+    with common.bounded_batches(spark):
+        text = "word " * 2000
+        rows = spark.createDataFrame([(i, text) for i in range(3000)], "doc_id long, text string").coalesce(1)
+
+        def size(texts: pa.Array) -> pa.Array:
+            return pa.array([len(texts)] * len(texts))
+
+        seen = [r[0] for r in rows.select(F.arrow_udf(size, "long")("text")).collect()]
+    assert max(seen) * len(text) <= 2 * common.BATCH_BYTES and spark.conf.get(common.BATCH_CONF) == before

@@ -38,6 +38,7 @@ from trackside.llm import kernels as K
 SHINGLE = 5
 # Benchmark items travel to the tasks in blocks of about this many bytes of text.
 BLOCK_BYTES = 4 << 20
+PART_CHARS = 4 << 20
 _WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -178,6 +179,30 @@ def find_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def _clean(sent, threshold: Fraction):
+    """Which texts hold no item of the broadcast block."""
+    def keep(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), dtype=bool)
+        for lo, part in _parts(texts):
+            out[[lo + r[0] for r in _matches(part, sent.value, threshold)]] = False
+        return pa.array(out)
+
+    return keep
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """A batch's texts by parts of a few MB, so that one part only is held as Python strings."""
+    part, size, lo = [], 0, 0
+    for at, t in enumerate(texts):
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size >= PART_CHARS:
+            yield lo, part
+            part, size, lo = [], 0, at + 1
+    if part:
+        yield lo, part
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; columns unchanged.
@@ -185,16 +210,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     The same search runs over whole rows, block by block, so no join is needed.
     """
     spark = docs.sparkSession
-    at = docs.columns.index(text_col)
     for block in _blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(Signatures(block, threshold))
 
-        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b.column(at).cast(pa.string()).to_pylist()
-                keep = np.ones(b.num_rows, dtype=bool)
-                keep[[r[0] for r in _matches(texts, sent.value, Fraction(str(threshold)))]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(task, docs.schema)
+        docs = docs.filter(F.arrow_udf(_clean(sent, Fraction(str(threshold))), "boolean")(F.col(text_col).cast("string")))
     return docs

@@ -202,11 +202,8 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text",
                     min_letters: int = AMBIGUOUS_LETTERS) -> DataFrame:
     """``docs`` without the rows that ``rejected`` turns down."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [not rejected(sent.value, t.as_py(), min_letters) for t in b.column(at).cast(pa.string())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def keep(texts: pa.Array) -> pa.Array:
+        return pa.array([not rejected(sent.value, t.as_py(), min_letters) for t in texts], pa.bool_())
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.filter(F.arrow_udf(keep, "boolean")(F.col(text_col).cast("string")))

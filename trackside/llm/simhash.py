@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trackside.llm.common import first_row, stored
+from trackside.llm.common import bounded_batches, first_row, stored
 from trackside.llm.components import connected_components
 
 HASH_SEED = 42
@@ -122,22 +121,18 @@ def _named(rows: DataFrame, max_bits: int) -> DataFrame:
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                    shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """One row per input row: id, fp, n_links (other fingerprints linked), component_id."""
-    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
+    with bounded_batches(docs.sparkSession):
+        rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-fp")
     return rows.join(_named(rows, max_bits), "fp").select("id", "fp", "n_links", "component_id")
 
 
 def _with_fingerprint(docs: DataFrame, name: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``docs`` with one more column, the fingerprint of the row's text."""
-    text = name + "text"
+    """``docs`` with one more column, the fingerprint of the row's text. Only texts go to Python, only numbers come back."""
+    def own(texts: pa.Array) -> pa.Array:
+        fps = [fingerprint(shingle_hashes(t.as_py(), shingle_words)) for t in texts]
+        return pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))],
-                                             names=[*b.schema.names[:-1], name])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(task, schema)
+    return docs.withColumn(name, F.arrow_udf(own, "long")(F.col(text_col).cast("string")))
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -154,7 +149,8 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         tag += "_"
     fp = tag + "fp"
     # texts are hashed once: the rows are written with their fingerprints
-    marked = stored(_with_fingerprint(docs, fp, text_col, shingle_words), "simhash-docs")
+    with bounded_batches(docs.sparkSession):
+        marked = stored(_with_fingerprint(docs, fp, text_col, shingle_words), "simhash-docs")
     rows = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     named = _named(rows, max_bits)
     # written, so that texts are shuffled only where the losing rows are too many to broadcast
