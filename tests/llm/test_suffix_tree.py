@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -161,3 +162,39 @@ def test_later_levels_keep_only_the_words_they_need(spark, monkeypatch):
     st.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), train=F.lit(True)).count()
     (first, _), (last, still) = sizes["chunks_1"], sizes["chunks_3"]
     assert 0 < still < 2000 and last < first / 3
+
+
+def chunk_of(n_words, n_tokens, seed):
+    """A chunk as it is before its second level, with words as frequent as in a text."""
+    rng = np.random.default_rng(seed)
+    words = (n_words * rng.random(n_tokens) ** 4).astype(np.int64)
+    pos, per = np.arange(2, n_tokens), rng.integers(2, 40, n_tokens - 2)
+    zero, totals = np.zeros(1), np.sort(rng.integers(50, 3_000_000 // n_words, n_words))[::-1].astype(st.K.U64)
+    kinds = rng.integers(1, 50, n_words).astype(st.K.U64)
+    return st.Chunk(np.array([n_tokens]), np.array([1]), zero, zero, zero, words, np.arange(n_words, dtype=st.K.U64), totals,
+                    pos, per.astype(st.K.U64), per[::-1].astype(st.K.U64), kinds, np.zeros(0))
+
+
+def test_messages_do_not_grow_with_the_number_of_buckets():
+    """What a chunk asks takes about as many bytes over many buckets as over few, at every kind of key, and reads back whole."""
+    s = chunk_of(3000, 200_000, 7)
+    for level, narrow in ((1, True), (2, True), (2, False)):
+        sizes = []
+        for buckets in (2, 16):
+            model = st.Model(3_000_000, 3000, buckets, 30_000.0, narrow)
+            asked, found = st.Asked(s, level, model), []
+            messages = list(asked.messages())
+            for b, m in messages:
+                key, count, up, row, x, after, n = st._open(m, level, b, model)
+                found += zip(key[row].tolist(), up[row].tolist(), x.tolist(), after.tolist(), n.tolist(), count[row].tolist())
+            assert found == list(zip(*(a.tolist() for a in (asked.key, asked.up, asked.x, asked.after, asked.n, asked.hot_count))))
+            sizes.append(sum(len(m) for _, m in messages))
+        assert sizes[1] < 1.15 * sizes[0], (level, narrow, sizes)
+
+
+def test_numbers_of_any_size_read_back():
+    values = np.array([0, 1, 127, 128, 129, 16511, 16512, 16513, 4145279, 4145280, 4145281, 1 << 32, (1 << 63) + 5], dtype=np.uint64)
+    values = np.concatenate([values, values[::-1]])
+    assert (st._whole(*st._short(values)) == values).all() and len(st._whole(*st._short(values[:0]))) == 0
+    signed = values[values < 1 << 61]
+    assert (st._walk(st._steps(signed)) == signed).all()
